@@ -299,13 +299,10 @@ def family_fit_masks(spark, sf):
     return r6(tp.fill(cells, v.N_BINS, v.N_PATCH), *FAM)
 
 
-@query("e05_unobserved_cells", f"""WITH {v.FLAG}, part AS (SELECT * FROM flagged WHERE slice * 64 // n_slices % 3 = 0 AND target = 1),
- {family_ctes('part', 's1', bins=64)} SELECT count(*) AS n_cells, sum(CASE WHEN observed THEN 0 ELSE 1 END)::BIGINT AS n_unobserved,
+@query("e05_unobserved_cells", f"""WITH {v.FLAG}, {family_ctes('flagged', 's1', bins=1024)} SELECT count(*) AS n_cells, sum(CASE WHEN observed THEN 0 ELSE 1 END)::BIGINT AS n_unobserved,
  round(avg(joint), 6) AS mean_joint, round(max(CASE WHEN NOT observed THEN joint END), 6) AS grand FROM fam""")
 def unobserved_cells(spark, sf):
-    rows = v.flagged(spark, sf).where((F.col("target") == 1)
-                                      & (geo.depth_bin(F.col("slice"), F.col("n_slices"), 64) % 3 == 0))
-    fam = tp.fill(tp.fit_cells(rows, F.col("s1"), 64), 64, v.N_PATCH)
+    fam = tp.fill(tp.fit_cells(v.flagged(spark, sf), F.col("s1"), 1024), 1024, v.N_PATCH)
     hidden = ~F.col("observed")
     out = fam.agg(F.count(F.lit(1)).alias("n_cells"), F.sum(hidden.cast("bigint")).alias("n_unobserved"),
                   F.avg("joint").alias("mean_joint"), F.max(F.when(hidden, F.col("joint"))).alias("grand"))
