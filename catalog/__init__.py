@@ -1,7 +1,7 @@
 """Queries over the bundled test tables, each with its reference SQL."""
 import importlib
 
-MODULES = ("ranking", "filters")
+MODULES = ("ranking", "filters", "nulls", "estimands")
 
 
 def load() -> None:

@@ -216,11 +216,11 @@ def patient_fallback(spark, sf):
     return out.groupBy("patient_id").agg(count().alias("n_bags"), F.sum("n").alias("n_rows"))
 
 
-@query("c02_scores_with_targets", f"WITH {v.INST} SELECT bag_id, count(*) AS n, round(sum(s1*target), 6) AS mass FROM inst GROUP BY bag_id")
+@query("c02_scores_with_targets", f"WITH {v.INST} SELECT bag_id, count(*) AS n, round(sum(s0*target), 6) AS mass FROM inst GROUP BY bag_id")
 def scores_with_targets(spark, sf):
     rows = v.instances(spark, sf)
-    joined = rows.select("bag_id", "pos", "s1").join(rows.select("bag_id", "pos", "target"), ["bag_id", "pos"])
-    return r6(joined.groupBy("bag_id").agg(count().alias("n"), F.sum(F.col("s1") * F.col("target")).alias("mass")), "mass")
+    joined = rows.select("bag_id", "pos", "s0").join(rows.select("bag_id", "pos", "target"), ["bag_id", "pos"])
+    return r6(joined.groupBy("bag_id").agg(count().alias("n"), F.sum(F.col("s0") * F.col("target")).alias("mass")), "mass")
 
 
 @query("c03_region_with_instances", f"WITH {v.INST} SELECT bag_id, count(*) AS n, sum(CASE WHEN frac > 0.4 AND target > 0 THEN 1 ELSE 0 END)::BIGINT AS n_pos_inside FROM inst GROUP BY bag_id")

@@ -69,6 +69,10 @@ def cluster_bootstrap(df: DataFrame, keys: Sequence[str], value: str, cluster: s
     cluster up by number. Rows are spread by (key, number), so nothing is collected. ``reps=0``
     gives the mean alone.
     """
+    if not keys:  # one group
+        one = cluster_bootstrap(df.withColumn("_all", F.lit(0)), ["_all"], value, cluster, reps,
+                                seed, alpha)
+        return one.drop("_all")
     keys = list(keys)
     per = cluster_sums(df, keys, value, cluster)
     point = per.groupBy(*keys).agg(
@@ -89,8 +93,6 @@ def cluster_bootstrap(df: DataFrame, keys: Sequence[str], value: str, cluster: s
     edges = means.groupBy(*keys).agg(
         F.percentile("m", F.lit(alpha / 2)).alias("lo"),
         F.percentile("m", F.lit(1 - alpha / 2)).alias("hi"))
-    if not keys:
-        return point.crossJoin(edges).select("mean", "lo", "hi", "n", "n_clusters")
     return point.join(edges, keys).select(*keys, "mean", "lo", "hi", "n", "n_clusters")
 
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import draws
@@ -65,17 +65,18 @@ def shuffle_targets(df: DataFrame, donors: DataFrame, n_patch: int, tiles: int =
             .select("rep", "bag_id", "pos", "target"))
 
 
-def random_slots(df: DataFrame, k: int, scale: float, seed, bias: Sequence[float] | None = None,
+def random_slots(df: DataFrame, k: int, scale, seed, bias: Sequence | None = None,
                  prefix: str = "r") -> DataFrame:
     """Random attention over ``k`` slots per instance, normalised over slots, as FLOAT.
 
     Row-local: no shuffle. ``bias`` adds a persistent preference per slot.
     """
-    bias = list(bias) if bias is not None else [0.0] * k
+    bias = [b if isinstance(b, Column) else F.lit(float(b)) for b in (bias or [0.0] * k)]
+    scale = scale if isinstance(scale, Column) else F.lit(float(scale))
     out = df
     for j in range(k):
-        logit = draws.normal(seed, F.col("bag_id"), F.col("pos"), j) * F.lit(float(scale))
-        out = out.withColumn(f"_l{j}", logit + F.lit(float(bias[j])))
+        logit = draws.normal(seed, F.col("bag_id"), F.col("pos"), j) * scale
+        out = out.withColumn(f"_l{j}", logit + bias[j])
     top = F.greatest(*[F.col(f"_l{j}") for j in range(k)]) if k > 1 else F.col("_l0")
     out = out.withColumn("_top", top)
     for j in range(k):
@@ -109,24 +110,63 @@ def match_scale(probe: DataFrame, normals: Sequence[str], target: DataFrame, lo:
     instead of one point at a time; each round is one aggregation of the probe rows over the
     grid, and the bracket stays a one-row table.
     """
-    k = len(normals)
     bracket = target.select(F.col("slot_entropy").alias("goal"), F.lit(lo).alias("lo"),
                             F.lit(hi).alias("hi"))
+    rows = probe.select(*normals)
     for _ in range(rounds):
-        grid = bracket.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(points)))).select(
-            "goal", "lo", "hi", "_i",
-            (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("_i") / F.lit(points)).alias("scale"))
-        rows = probe.select(*normals).crossJoin(F.broadcast(grid))  # points + 1 rows, fixed
+        low, high = bracket.select("lo").scalar(), bracket.select("hi").scalar()
+        goal = bracket.select("goal").scalar()
+        steps = F.sequence(F.lit(0), F.lit(points))
+        tried = rows.withColumn("_lo", low).withColumn("_hi", high).withColumn(
+            "scale", F.explode(F.transform(steps, lambda i: F.col("_lo") + (F.col("_hi") - F.col("_lo"))
+                                           * i / F.lit(points))))
         top = F.greatest(*[F.col(c) * F.col("scale") for c in normals])
         expo = [F.exp(F.col(c) * F.col("scale") - top) for c in normals]
         total = sum(expo[1:], expo[0])
-        shares = [e / total for e in expo]
-        terms = [s * F.log(F.greatest(s, F.lit(1e-12))) for s in shares]
+        terms = [e / total * F.log(F.greatest(e / total, F.lit(1e-12))) for e in expo]
         ent = -sum(terms[1:], terms[0])
-        curve = rows.groupBy("goal", "scale").agg(F.avg(ent).alias("entropy"))
+        curve = tried.groupBy("scale").agg(F.avg(ent).alias("entropy"))
         above = F.when(F.col("entropy") > F.col("goal"), F.col("scale"))
         below = F.when(F.col("entropy") <= F.col("goal"), F.col("scale"))
-        bracket = curve.groupBy("goal").agg(
+        bracket = curve.withColumn("goal", goal).groupBy("goal").agg(
             F.coalesce(F.max(above), F.min("scale")).alias("lo"),
             F.coalesce(F.min(below), F.max("scale")).alias("hi"))
     return bracket.select(((F.col("lo") + F.col("hi")) / 2).alias("scale"), "goal")
+
+
+def half_precision(value):
+    """The value as a 16-bit float would hold it (11-bit mantissa, round half to even)."""
+    step = F.pow(F.lit(2.0), F.floor(F.log2(F.abs(value))) - 10)
+    return F.when(value == 0, F.lit(0.0)).otherwise(F.rint(value / step) * step)
+
+
+def protocol(rows: DataFrame, slots: Sequence[str], keys: Sequence[str], n_patch: int) -> DataFrame:
+    """The whole evaluation per key: fit the slot on ``part='fit'``, freeze it, score the rest.
+
+    ``rows`` holds every null and replicate under ``keys``, so one pass serves all of them.
+    Returns (keys, slot, auc, n_bags).
+    """
+    from . import alignment as al
+    from . import slots as sl
+    keys = list(keys)
+    fit = rows.where(F.col("part") == "fit")
+    frozen = al.lesion_slot(al.affinity(fit, slots, keys), keys)
+    size = F.col("n_slices") * F.lit(n_patch)
+    test = rows.where(F.col("part") != "fit").withColumn("n_rows", size)
+    per = sl.slot_auc(test, slots, [*keys, "bag_id"], size="n_rows")
+    picked = per.join(frozen.select(*keys, "slot"), [*keys, "slot"])
+    return picked.groupBy(*keys, "slot").agg(F.avg("auc").alias("auc"), F.count("auc").alias("n_bags"))
+
+
+def best_slot_protocol(rows: DataFrame, slots: Sequence[str], keys: Sequence[str],
+                       n_patch: int) -> DataFrame:
+    """As ``protocol``, the slot chosen by its fit-half AUC: the price of selecting."""
+    from . import slots as sl
+    keys = list(keys)
+    sized = rows.withColumn("n_rows", F.col("n_slices") * F.lit(n_patch))
+    per = sl.slot_auc(sized, slots, [*keys, "part", "bag_id"], size="n_rows")
+    means = per.groupBy(*keys, "part", "slot").agg(F.avg("auc").alias("auc"), F.count("auc").alias("n_bags"))
+    pick = means.where(F.col("part") == "fit").groupBy(*keys).agg(
+        F.max_by("slot", F.struct(F.col("auc"), -F.col("slot"))).alias("slot"))
+    return means.where(F.col("part") != "fit").join(pick, [*keys, "slot"]).select(
+        *keys, "slot", "auc", "n_bags")

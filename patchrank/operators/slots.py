@@ -142,8 +142,9 @@ def radial_table(spark, n_patch: int, grid: int, n_bins: int, closed: str = "lef
                                         geo.pixel_radius(F.col("id"), grid).alias("radius"))
     cuts = [float(i) / n_bins for i in range(1, n_bins)]
     edges = cells.agg(F.percentile("radius", F.array(*[F.lit(c) for c in cuts])).alias("edges"))
+    cells = cells.withColumn("edges", edges.scalar())
     below = ((lambda e: e <= F.col("radius")) if closed == "left" else (lambda e: e < F.col("radius")))
-    return cells.crossJoin(edges).select(  # one-row edge table
+    return cells.select(
         "patch", "radius", F.size(F.filter("edges", below)).cast("bigint").alias("rbin"))
 
 
