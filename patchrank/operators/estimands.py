@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import draws
-from .scale import clean, hashed_positions
+from .scale import clean, hashed_positions, quantiles
 
 
 def skill(value: Column, prior: Column) -> Column:
@@ -120,12 +120,10 @@ def seed_summary(df: DataFrame, keys: Sequence[str], value: str, seed: str) -> D
 
 def distribution(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """n, mean, median, p5, p95, min, max of a replicated statistic."""
-    return df.groupBy(*keys).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"),
-        F.percentile(value, F.lit(0.5)).alias("median"),
-        F.percentile(value, F.lit(0.05)).alias("p5"),
-        F.percentile(value, F.lit(0.95)).alias("p95"),
-        F.min(value).alias("lo"), F.max(value).alias("hi"))
+    keys = list(keys)
+    base = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"),
+                                 F.min(value).alias("lo"), F.max(value).alias("hi"))
+    return base.join(quantiles(df, keys, value, (0.5, 0.05, 0.95), ("median", "p5", "p95")), keys)
 
 
 def draw_summary(df: DataFrame, keys: Sequence[str], value: str, draw: str) -> DataFrame:
