@@ -141,6 +141,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
                                .alias(n) for n in names])
 
 
-def attach(big: DataFrame, small: DataFrame, on: Sequence[str], spread: str = "pos") -> DataFrame:
+def attach(big: DataFrame, small: DataFrame, on: Sequence[str], spread: str = "pos",
+           how: str = "inner") -> DataFrame:
     """``salted_join`` with a salt hashed from a column that varies inside the key."""
-    return salted_join(big, small, on, F.xxhash64(spread))
+    return salted_join(big, small, on, F.xxhash64(spread), how)
