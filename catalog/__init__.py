@@ -1,7 +1,7 @@
 """Queries over the bundled test tables, each with its reference SQL."""
 import importlib
 
-MODULES = ("ranking", "filters", "nulls", "estimands", "alignment", "pooling", "provenance", "reports")
+MODULES = ("ranking", "filters", "nulls", "estimands", "alignment", "pooling", "provenance", "reports", "sources")
 
 
 def load() -> None:

@@ -204,11 +204,8 @@ def constant_reference(spark, sf):
 
 # Verdicts ---------------------------------------------------------------------------------
 
-V1 = """v1 AS (SELECT r_name AS condition, (SELECT count(*) FROM tm WHERE tm.condition = r_name AND seed IS NOT NULL) AS n_arms, (SELECT sum(CASE WHEN gap >= 0.02 THEN 1 ELSE 0 END) FROM tm WHERE tm.condition = r_name AND seed IS NOT NULL)::BIGINT AS n_over,
-  (SELECT count(*) FROM tm WHERE tm.condition = r_name AND tag IN ('depth')) AS n_controls, (SELECT sum(CASE WHEN gap > 0.002 THEN 0 ELSE 1 END) FROM tm WHERE tm.condition = r_name AND tag IN ('depth'))::BIGINT AS n_failed FROM region)"""
-
-
-@q("j12_h1_axial_gap", "SELECT condition, n_arms, n_over, n_controls, n_failed2 AS n_failed, CASE WHEN n_failed2 > 0 THEN 'VOID' WHEN n_over >= n_arms//2 + 1 THEN 'FAIL' ELSE 'PASS' END AS outcome FROM (SELECT v1.*, (SELECT sum(CASE WHEN gap > 0.02 THEN 0 ELSE 1 END) FROM tm WHERE tm.condition = v1.condition AND tag='depth')::BIGINT AS n_failed2 FROM v1)", f"{TAGS}, {V1}")
+@q("j12_h1_axial_gap", """SELECT condition, n_arms, n_over, n_controls, n_failed, CASE WHEN n_failed > 0 THEN 'VOID' WHEN n_over >= n_arms//2 + 1 THEN 'FAIL' ELSE 'PASS' END AS outcome
+ FROM (SELECT condition, count(*) FILTER (seed IS NOT NULL) AS n_arms, count(*) FILTER (seed IS NOT NULL AND gap >= 0.02) AS n_over, count(*) FILTER (tag='depth') AS n_controls, count(*) FILTER (tag='depth' AND NOT gap > 0.02) AS n_failed FROM tm GROUP BY condition)""")
 def h1_axial_gap(spark, sf):
     m = tag_means(spark, sf)
     return vd.h1(conditions(spark, sf), m.where(is_arm()), m.where("tag = 'depth'"), m.where("tag = 'mean'"), 0.02)
