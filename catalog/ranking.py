@@ -80,7 +80,7 @@ def atlas_axes(spark, sf):
 
 
 def sized(spark, sf):
-    return v.flagged(spark, sf).withColumn("n_rows", F.col("n_slices") * v.N_PATCH)
+    return v.flagged(spark, sf)
 
 
 LONG = f"""{v.FLAG}, long AS MATERIALIZED (SELECT bag_id, pos, slice, patch, n_slices, target, slice_pos, 0 AS slot, s0 AS score FROM flagged

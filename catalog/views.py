@@ -33,6 +33,7 @@ def build_instances(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select(
         "bag_id", "pos", geo.slice_of(F.col("pos"), N_PATCH).alias("slice"),
         geo.patch_of(F.col("pos"), N_PATCH).alias("patch"), "n_slices",
+        (F.col("n_slices") * N_PATCH).alias("n_rows"),
         lesion.cast("int").alias("target"),
         F.when(lesion, F.col("l_tax")).otherwise(F.lit(0.0)).alias("coverage"),
         (F.col("l_quantity") / 50).alias("s0"), (F.col("l_extendedprice") / 100000).alias("s1"),
@@ -156,7 +157,7 @@ def auc(source: str, keys: str, score: str = "score", target: str = "target",
 def axes(source: str, keys: str = "bag_id", score: str = "score") -> str:
     """Flat, slice and within-slice AUC per bag; ``source`` has slice_pos."""
     slices = (f"(SELECT {keys}, slice, max(slice_pos) AS has, "
-              f"CAST(sum({exact(score)}) AS DOUBLE) AS sm FROM {source} GROUP BY {keys}, slice)")
+              f"CAST(CAST(sum({exact(score)}) AS DOUBLE)/count(*) AS FLOAT) AS sm FROM {source} GROUP BY {keys}, slice)")
     return f"""(SELECT {', '.join('f.' + k.strip() for k in keys.split(','))}, f.auc AS flat, s.auc AS slice,
       w.auc AS within_slice, s.n_pos + s.n_neg AS n_slices, s.n_pos AS n_lesion_slices
      FROM {auc(source, keys, score)} f

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .scale import HOT_ROWS, clean, route, running
+from .scale import HOT_ROWS, clean, exact_total, running, score_bucket
 
 
 def ratio(top: Column, bottom: Column) -> Column:
@@ -50,25 +50,50 @@ def auc_from(name: str) -> Column:
     return ratio(F.col(f"{name}_conc2"), 2 * pos * neg)
 
 
+def ranked_in_place(rows: DataFrame, keys: Sequence[str], score: str,
+                    pairs: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """Add ``_c_<name>``: twice the negatives below plus the tied ones, times the positives.
+
+    For groups small enough for one task. ``rows`` must be partitioned by ``keys``; the windows
+    then need no further exchange.
+    """
+    up_to = W.partitionBy(*keys).orderBy(score).rangeBetween(W.unboundedPreceding, W.currentRow)
+    tied = W.partitionBy(*keys, score)
+    for pos, neg, name in pairs:
+        beaten = 2 * F.sum(neg).over(up_to) - F.sum(neg).over(tied)
+        rows = rows.withColumn(f"_c_{name}", F.col(pos).cast("double") * beaten.cast("double"))
+    return rows
+
+
+def by_size(rows: DataFrame, size: str | None, limit: int) -> tuple[DataFrame | None, DataFrame]:
+    """Rows of groups known to be small, and the rest. The filter reaches the parquet scan."""
+    if size is None:
+        return None, rows
+    return rows.where(F.col(size) <= limit), rows.where(F.col(size) > limit)
+
+
 def auc(df: DataFrame, keys: Sequence[str], score: str = "score", target: str = "target",
         weight: str | None = None, size: str | None = None,
         hot_rows: int = HOT_ROWS) -> DataFrame:
     """ROC AUC per group; NULL where a class is missing.
 
     ``weight`` is an integer multiplicity. ``size`` names a column that bounds the group's row
-    count; small groups then skip the bucketing.
+    count: groups up to ``hot_rows`` are shuffled once and ranked in one task each, larger ones
+    (and all, without ``size``) are pre-aggregated per distinct score and ranked in buckets.
     """
     keys = list(keys)
-    w = F.col(weight) if weight else F.lit(1)
-    value = clean(F.col(score))
-    rows = (df.select(*keys, value.alias("score"), (F.col(target) > 0).alias("_y"),
-                      w.cast("bigint").alias("_w"), *([F.col(size).alias("_size")] if size else []))
-            .where(F.col("score").isNotNull()))
-    rows = rows.withColumn("_b", route(F.col("score"), F.col("_size") if size else None, hot_rows))
-    hist = rows.groupBy(*keys, "_b", "score").agg(
-        F.sum(F.when(F.col("_y"), F.col("_w")).otherwise(0)).alias("p"),
-        F.sum(F.when(F.col("_y"), 0).otherwise(F.col("_w"))).alias("q"))
+    w = (F.col(weight) if weight else F.lit(1)).cast("bigint")
+    y = F.col(target) > 0
+    rows = df.select(*keys, clean(F.col(score)).alias("score"), F.when(y, w).otherwise(0).alias("p"),
+                     F.when(y, 0).otherwise(w).alias("q"), *([F.col(size).alias("_size")] if size else []))
+    small, rest = by_size(rows.where(F.col("score").isNotNull()), "_size" if size else None, hot_rows)
+    hist = rest.groupBy(*keys, score_bucket(F.col("score")).alias("_b"), "score").agg(
+        F.sum("p").alias("p"), F.sum("q").alias("q"))
     out = concordance(hist, keys, [("p", "q", "a")])
+    if small is not None:
+        placed = ranked_in_place(small.drop("_size").repartition(*keys), keys, "score", [("p", "q", "a")])
+        out = out.unionByName(placed.groupBy(*keys).agg(
+            F.sum("p").alias("a_pos"), F.sum("q").alias("a_neg"), F.sum("_c_a").alias("a_conc2")))
     return out.select(*keys, F.col("a_pos").alias("n_pos"), F.col("a_neg").alias("n_neg"),
                       F.col("a_conc2").alias("conc2"), auc_from("a").alias("auc"))
 
@@ -78,16 +103,18 @@ def average_precision(df: DataFrame, keys: Sequence[str], score: str = "score",
                       hot_rows: int = HOT_ROWS) -> DataFrame:
     """Step sum over distinct scores from the top, with prevalence; NULL without a positive."""
     keys = list(keys)
-    extra = [F.max(size).alias("_size")] if size else []
-    hist = (df.withColumn("score", clean(F.col(score))).where(F.col("score").isNotNull())
-            .groupBy(*keys, "score")
-            .agg(F.sum((F.col(target) > 0).cast("bigint")).alias("p"),
-                 F.count(F.lit(1)).alias("n"), *extra))
-    cum = running(hist, keys, "score", ["p", "n"], descending=True,
-                  size="_size" if size else None, hot_rows=hot_rows)
-    found = F.col("before_p") + F.col("p")
-    seen = F.col("before_n") + F.col("n")
-    term = F.col("p").cast("double") * found.cast("double") / seen.cast("double")
+    rows = (df.select(*keys, clean(F.col(score)).alias("score"), (F.col(target) > 0).cast("bigint").alias("p"),
+                      F.lit(1).cast("bigint").alias("n"), *([F.col(size).alias("_size")] if size else []))
+            .where(F.col("score").isNotNull()))
+    small, rest = by_size(rows, "_size" if size else None, hot_rows)
+    hist = rest.groupBy(*keys, "score").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    cum = running(hist, keys, "score", ["p", "n"], descending=True).select(
+        *keys, "p", "n", (F.col("before_p") + F.col("p")).alias("found"), (F.col("before_n") + F.col("n")).alias("seen"))
+    if small is not None:
+        down = W.partitionBy(*keys).orderBy(F.col("score").desc()).rangeBetween(W.unboundedPreceding, W.currentRow)
+        cum = cum.unionByName(small.repartition(*keys).select(
+            *keys, "p", "n", F.sum("p").over(down).alias("found"), F.sum("n").over(down).alias("seen")))
+    term = F.col("p").cast("double") * F.col("found").cast("double") / F.col("seen").cast("double")
     return cum.groupBy(*keys).agg(
         ratio(F.sum(term), F.sum("p").cast("double")).alias("avg_precision"),
         (F.sum("p").cast("double") / F.sum("n").cast("double")).alias("prevalence"),
@@ -112,48 +139,60 @@ def axes(df: DataFrame, n_patch: int, keys: Sequence[str] = ("bag_id",), score:
          target: str = "target", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Flat, slice and within-slice AUC per bag.
 
-    ``keys`` identify one scored bag, e.g. ``(scorer, bag_id)``. Needs ``slice`` and, if present,
-    reuses ``n_slices`` (a size bound) and ``slice_pos`` (the slice holds a positive). Bags with
+    ``keys`` identify one scored bag, e.g. ``(scorer, bag_id)``. Needs ``slice`` and reuses, if
+    present, ``n_slices`` (a size bound) and ``slice_pos`` (the slice holds a positive). Bags with
     one class or a ragged length give no row; a bag degenerate on one axis keeps its row and gets
-    NULL there. Flat and within-slice share one histogram.
+    NULL there. Slice means are FLOAT like the scores they average.
     """
     keys = list(keys)
-    rows = df.withColumn("_s", clean(F.col(score))).withColumn("_t", (F.col(target) > 0).cast("int"))
-    if "slice_pos" not in df.columns:
-        rows = with_slice_flag(rows, keys, target="_t")
-    bound = F.col("n_slices") * F.lit(n_patch) if "n_slices" in df.columns else None
-    p, q = F.col("_t"), 1 - F.col("_t")
-    inst = (rows.where(F.col("_s").isNotNull())
-            .withColumn("_b", route(F.col("_s"), bound, hot_rows))
-            .groupBy(*keys, "_b", F.col("_s").alias("score"))
-            .agg(F.sum(p).alias("p"), F.sum(q).alias("q"),
-                 F.sum(p * F.col("slice_pos")).alias("pw"),
-                 F.sum(q * F.col("slice_pos")).alias("qw"))
-            .withColumn("_axis", F.lit(0)))
-    slices = rows.groupBy(*keys, "slice").agg(
-        F.sum(F.col("_s").cast("decimal(38,18)")).cast("double").alias("score"),
-        F.max("slice_pos").alias("has"),
-        *([F.max("n_slices").alias("n_slices")] if bound is not None else []))
-    small = F.col("n_slices") if bound is not None else None
-    per_slice = (slices.withColumn("_b", route(F.col("score"), small, hot_rows))
-                 .groupBy(*keys, "_b", "score")
-                 .agg(F.sum("has").alias("p"), F.sum(1 - F.col("has")).alias("q"),
-                      F.lit(0).cast("bigint").alias("pw"), F.lit(0).cast("bigint").alias("qw"))
-                 .withColumn("_axis", F.lit(1)))
-    both = concordance(inst.unionByName(per_slice), [*keys, "_axis"],
-                       [("p", "q", "a"), ("pw", "qw", "w")])
-    each = both.select(*keys, "_axis", "a_pos", "a_neg", auc_from("a").alias("auc"),
-                       auc_from("w").alias("within"))
-    on, off = F.col("_axis") == 0, F.col("_axis") == 1
-    wide = each.groupBy(*keys).agg(
-        F.max(F.when(on, F.col("auc"))).alias("flat"),
-        F.max(F.when(off, F.col("auc"))).alias("slice"),
-        F.max(F.when(on, F.col("within"))).alias("within_slice"),
-        F.max(F.when(on, F.col("a_pos") + F.col("a_neg"))).alias("_n"),
-        F.max(F.when(off, F.col("a_pos") + F.col("a_neg"))).alias("n_slices"),
-        F.max(F.when(off, F.col("a_pos"))).alias("n_lesion_slices"))
-    return (wide.where(F.col("flat").isNotNull()
-                       & (F.col("_n") == F.col("n_slices") * F.lit(n_patch))).drop("_n"))
+    rows = (df.withColumn("score", clean(F.col(score))).withColumn("p", (F.col(target) > 0).cast("bigint"))
+            .where(F.col("score").isNotNull()))
+    extra = [c for c in ("n_slices", "slice_pos") if c in df.columns]
+    rows = rows.select(*keys, "slice", "score", "p", *extra)
+    small, rest = by_size(rows, "n_slices" if "n_slices" in extra else None, max(hot_rows // n_patch, 0))
+    out = _axes_bucketed(rest, keys)
+    if small is not None:
+        out = out.unionByName(_axes_in_place(small, keys))
+    wide = out.select(*keys, auc_from("a").alias("flat"), auc_from("s").alias("slice"), auc_from("w").alias("within_slice"),
+                      (F.col("a_pos") + F.col("a_neg")).alias("_n"), (F.col("s_pos") + F.col("s_neg")).alias("n_slices"),
+                      F.col("s_pos").alias("n_lesion_slices"))
+    return wide.where(F.col("flat").isNotNull() & (F.col("_n") == F.col("n_slices") * F.lit(n_patch))).drop("_n")
+
+
+PAIRS = (("p", "q", "a"), ("pw", "qw", "w"), ("ps", "qs", "s"))
+
+
+def _axes_in_place(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Whole bags in one task: a single exchange serves all three rankings."""
+    one = W.partitionBy(*keys, "slice")
+    rows = rows.drop("n_slices", "slice_pos").repartition(*keys)
+    rows = rows.withColumn("_has", F.max("p").over(one)).withColumn(
+        "_mean", (exact_total(F.col("score"), one) / F.count(F.lit(1)).over(one)).cast("float")).withColumn(
+        "_lead", F.row_number().over(one.orderBy("score")) == 1)
+    lead, q = F.col("_lead").cast("bigint"), 1 - F.col("p")
+    rows = (rows.withColumn("q", q).withColumn("pw", F.col("p") * F.col("_has")).withColumn("qw", q * F.col("_has"))
+            .withColumn("ps", lead * F.col("_has")).withColumn("qs", lead * (1 - F.col("_has"))))
+    rows = ranked_in_place(rows, keys, "score", PAIRS[:2])
+    rows = ranked_in_place(rows, keys, "_mean", PAIRS[2:])
+    return rows.groupBy(*keys).agg(*[F.sum(c).alias(f"{n}_{t}") for pos, neg, n in PAIRS
+                                     for c, t in ((pos, "pos"), (neg, "neg"), (f"_c_{n}", "conc2"))])
+
+
+def _axes_bucketed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Bags of any size: flat and within-slice share one histogram, slices have their own."""
+    if "slice_pos" not in rows.columns:
+        rows = with_slice_flag(rows, keys, "p")
+    q = 1 - F.col("p")
+    inst = rows.groupBy(*keys, score_bucket(F.col("score")).alias("_b"), "score").agg(
+        F.sum("p").alias("p"), F.sum(q).alias("q"), F.sum(F.col("p") * F.col("slice_pos")).alias("pw"),
+        F.sum(q * F.col("slice_pos")).alias("qw"))
+    means = rows.groupBy(*keys, "slice").agg(
+        (exact_total(F.col("score")) / F.count(F.lit(1))).cast("float").cast("double").alias("score"),
+        F.max("slice_pos").alias("has"))
+    per_slice = means.groupBy(*keys, score_bucket(F.col("score")).alias("_b"), "score").agg(
+        F.sum("has").alias("ps"), F.sum(1 - F.col("has")).alias("qs"))
+    flat = concordance(inst, keys, PAIRS[:2])
+    return flat.join(concordance(per_slice, keys, PAIRS[2:]), keys)
 
 
 def with_slice_flag(df: DataFrame, keys: Sequence[str] = ("bag_id",),

@@ -5,7 +5,7 @@ Three ideas are used throughout the library:
 * running totals inside a group go through monotone *buckets*: totals per bucket, a prefix over
   the (few) buckets, then an exact window inside one bucket;
 * a join of a large table with one row per group is *salted*, so that a hot group is spread;
-* sums whose ties matter are taken over exact decimals, so that the order of addition is moot.
+* sums whose ties matter are taken over integers, so that the order of addition is moot.
 """
 from __future__ import annotations
 
@@ -26,9 +26,20 @@ def clean(value: Column) -> Column:
     return F.when(F.isnan(value), F.lit(None).cast("double")).otherwise(value)
 
 
-def exact(value: Column) -> Column:
-    """A decimal whose sum does not depend on the order of the rows."""
-    return value.cast("double").cast("decimal(38,18)")
+def exact_total(value: Column, window=None) -> Column:
+    """Sum that does not depend on the order of the rows, as a double.
+
+    Each value is cut into two integers (units of 2**-20 and of 2**-52) that are summed as BIGINT.
+    Values up to 2**34 in groups up to 2**9 rows, or smaller values in larger groups, never
+    overflow; beyond, the ANSI cast fails rather than giving a wrong sum.
+    """
+    scaled = value.cast("double") * F.lit(1048576.0)
+    high = F.rint(scaled)
+    low = F.rint((scaled - high) * F.lit(4294967296.0))
+    parts = [F.sum(c.cast("bigint")) for c in (high, low)]
+    if window is not None:
+        parts = [c.over(window) for c in parts]
+    return (parts[0].cast("double") + parts[1].cast("double") / F.lit(4294967296.0)) / F.lit(1048576.0)
 
 
 def score_bucket(value: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
-from .scale import exact, salted_join
+from .scale import exact_total, salted_join
 
 MEMBERS = ("inplane", "axial", "separable", "joint")
 
@@ -22,7 +22,8 @@ def fit_cells(df: DataFrame, value: Column, n_bins: int, keys: Sequence[str] = (
               refuse_split: str | None = None) -> DataFrame:
     """Sum and count per (depth bin, patch): at most ``n_bins * n_patch`` rows per key.
 
-    The whole family derives from these cells, so the instances are read once. With
+    The whole family derives from these cells, so the instances are read once. Sums are doubles:
+    template scores are FLOAT, which absorbs the order of addition. With
     ``refuse_split`` a row of that split is an error: references are never fitted on test.
     """
     rows = df
@@ -31,7 +32,7 @@ def fit_cells(df: DataFrame, value: Column, n_bins: int, keys: Sequence[str] = (
         rows = df.where(F.when(F.col("split") == refuse_split, bad).otherwise(F.lit(True)))
     b = geo.depth_bin(F.col("slice"), F.col("n_slices"), n_bins)
     return (rows.groupBy(*keys, b.alias("bin"), "patch")
-            .agg(F.sum(exact(value)).alias("total"), F.count(F.lit(1)).alias("cells")))
+            .agg(F.sum(value.cast("double")).alias("total"), F.count(F.lit(1)).alias("cells")))
 
 
 def fill(cells: DataFrame, n_bins: int, n_patch: int, keys: Sequence[str] = ()) -> DataFrame:
@@ -93,7 +94,7 @@ def centre_prior_rows(df: DataFrame, grid: int) -> DataFrame:
 def global_template(df: DataFrame, value: Column) -> DataFrame:
     """Mean score per patch over all slices of all bags, as FLOAT."""
     return df.groupBy("patch").agg(
-        (F.sum(exact(value)).cast("double") / F.count(F.lit(1))).cast("float").alias("template"),
+        F.avg(value.cast("double")).cast("float").alias("template"),
         F.count(F.lit(1)).alias("n_slices_fit"))
 
 
@@ -108,7 +109,7 @@ def bag_static(df: DataFrame, value: str, floor: float = 1e-12) -> DataFrame:
     (bag, patch) holds one row per slice, so the join back is salted by slice.
     """
     own = df.groupBy("bag_id", "patch").agg(
-        (F.sum(exact(F.col(value))).cast("double") / F.count(F.lit(1))).alias("static"))
+        (exact_total(F.col(value)) / F.count(F.lit(1))).alias("static"))
     out = salted_join(df, own, ["bag_id", "patch"], F.col("slice"))
     return out.withColumn("residual", F.col(value) / F.greatest(F.col("static"), F.lit(floor)))
 
