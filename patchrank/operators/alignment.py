@@ -180,16 +180,16 @@ def axial_normality(df: DataFrame, slots: Sequence[str], var_floor: float = 1.0)
     aggregation per bag; the slice rows are then joined with them, salted by slice.
     """
     from .slots import long_slots
-    per = df.groupBy("bag_id", "slice").agg(*[F.sum(s).alias(s) for s in slots])
+    per = df.groupBy("bag_id", "slice", "n_slices").agg(*[F.sum(s).alias(s) for s in slots])
     rows = long_slots(per, slots).withColumn("c", F.col("slice").cast("double"))
-    sums = rows.groupBy("bag_id", "slot").agg(
+    sums = rows.groupBy("bag_id", "slot", "n_slices").agg(
         F.sum("score").alias("s"), F.sum(F.col("score") * F.col("c")).alias("sc"))
-    first = salted_join(rows, sums, ["bag_id", "slot"], F.col("slice"))
+    first = salted_join(rows, sums, ["bag_id", "slot"], F.col("slice"), size="n_slices", per_copy=1 << 20)
     first = first.withColumn("m", F.col("score") / F.greatest(F.col("s"), F.lit(EPS))).withColumn(
         "mu", F.col("sc") / F.greatest(F.col("s"), F.lit(EPS))).drop("s", "sc")
     gap = (F.col("c") - F.col("mu")) * (F.col("c") - F.col("mu"))
-    spread = first.groupBy("bag_id", "slot").agg(F.sum(F.col("m") * gap).alias("var"))
-    second = salted_join(first, spread, ["bag_id", "slot"], F.col("slice"))
+    spread = first.groupBy("bag_id", "slot", "n_slices").agg(F.sum(F.col("m") * gap).alias("var"))
+    second = salted_join(first, spread, ["bag_id", "slot"], F.col("slice"), size="n_slices", per_copy=1 << 20)
     raw = F.lit(-0.5) * gap / F.greatest(F.col("var"), F.lit(var_floor))
     out = second.groupBy("bag_id", "slot").agg(
         F.sum(F.col("m") * F.log(F.greatest(F.col("m"), F.lit(EPS)))).alias("neg_entropy"),

@@ -8,7 +8,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import draws
-from .scale import clean, hashed_positions, quantiles
+from ..session import pin
+from .scale import clean, hashed_positions, quantiles, require
 
 
 def skill(value: Column, prior: Column) -> Column:
@@ -56,7 +57,7 @@ def reference_chain(links: DataFrame, keys: Sequence[str], step: str, name: str,
 
 def cluster_sums(df: DataFrame, keys: Sequence[str], value: str, cluster: str) -> DataFrame:
     """Sum and count per cluster, undefined values left out before anything is drawn."""
-    return (df.withColumn("_v", clean(F.col(value))).where(F.col("_v").isNotNull())
+    return (require(df, [*keys, cluster]).withColumn("_v", clean(F.col(value))).where(F.col("_v").isNotNull())
             .groupBy(*keys, F.col(cluster).cast("string").alias("cluster"))
             .agg(F.sum("_v").alias("total"), F.count(F.lit(1)).alias("rows")))
 
@@ -75,6 +76,8 @@ def cluster_bootstrap(df: DataFrame, keys: Sequence[str], value: str, cluster: s
         return one.drop("_all")
     keys = list(keys)
     per = cluster_sums(df, keys, value, cluster)
+    if reps > 0:
+        per = pin(per)  # the scores behind it are computed once
     point = per.groupBy(*keys).agg(
         (F.sum("total") / F.sum("rows")).alias("mean"), F.sum("rows").alias("n"),
         F.count(F.lit(1)).alias("n_clusters"))

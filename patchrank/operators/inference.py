@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import draws, tails
 from . import ranking as rk
-from .scale import clean, hashed_positions, running, salted_join
+from .scale import clean, hashed_positions, running
 
 
 def _lookup(pairs: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
@@ -35,8 +35,8 @@ def delong(df: DataFrame, keys: Sequence[str], a: str, b: str, target: str = "ta
     pairs = (df.select(*keys, (F.col(target) > 0).cast("int").alias("y"), clean(F.col(a)).alias("a"),
                        clean(F.col(b)).alias("b"))
              .groupBy(*keys, "y", "a", "b").agg(F.count(F.lit(1)).alias("w")))
-    rows = salted_join(pairs, _lookup(pairs, keys, "a"), [*keys, "a"], F.xxhash64("b"))
-    rows = salted_join(rows, _lookup(pairs, keys, "b"), [*keys, "b"], F.xxhash64("a"))
+    # one lookup row per distinct score; a score shared by many pairs is split by Spark's skew join
+    rows = pairs.join(_lookup(pairs, keys, "a"), [*keys, "a"]).join(_lookup(pairs, keys, "b"), [*keys, "b"])
     va = F.when(F.col("y") == 1, F.col("v10_a")).otherwise(F.col("v01_a"))
     vb = F.when(F.col("y") == 1, F.col("v10_b")).otherwise(F.col("v01_b"))
     rows = rows.select(*keys, "y", F.col("w").cast("double").alias("w"), va.alias("va"), vb.alias("vb"))
@@ -146,8 +146,7 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
         hist = pairs.groupBy(*keys, name).agg(F.sum("m").alias("c"))
         cum = running(hist, keys, name, ["c"])
         return cum.select(*keys, name, (F.col("before_c") + (F.col("c") + 1) / 2).alias(f"r_{name}"))
-    rows = salted_join(pairs, ranks("x"), [*keys, "x"], F.xxhash64("y"))
-    rows = salted_join(rows, ranks("y"), [*keys, "y"], F.xxhash64("x"))
+    rows = pairs.join(ranks("x"), [*keys, "x"]).join(ranks("y"), [*keys, "y"])
     m, a, b = F.col("m").cast("double"), F.col("r_x"), F.col("r_y")
     s = rows.groupBy(*keys).agg(F.sum(m).alias("n"), F.sum(m * a).alias("a"), F.sum(m * b).alias("b"),
                                 F.sum(m * a * a).alias("aa"), F.sum(m * b * b).alias("bb"), F.sum(m * a * b).alias("ab"))

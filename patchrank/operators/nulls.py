@@ -51,13 +51,15 @@ def shuffle_targets(df: DataFrame, donors: DataFrame, n_patch: int, tiles: int =
     copies = F.least(F.ceil(F.col("n_slices") / F.col("donor_slices")), F.lit(tiles)).cast("int")
     wanted = donors.withColumn("copies", copies)
     source = salted_join(
-        df.select(F.col("bag_id").alias("donor_id"), F.col("pos").alias("donor_pos"), "target"),
-        wanted.select("rep", "donor_id", "bag_id", "copies"), ["donor_id"], F.col("donor_pos"))
+        df.select(F.col("bag_id").alias("donor_id"), F.col("n_slices").alias("donor_slices"),
+                  F.col("pos").alias("donor_pos"), "target"),
+        wanted.select("rep", "donor_id", "donor_slices", "bag_id", "copies"), ["donor_id"], F.col("donor_pos"),
+        size="donor_slices")
     source = source.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     length = F.col("donor_slices") * F.lit(n_patch)
-    asked = salted_join(df.select("bag_id", "pos"),
-                        wanted.select("rep", "bag_id", "donor_slices", "copies"), ["bag_id"],
-                        F.col("pos"))
+    asked = salted_join(df.select("bag_id", "n_slices", "pos"),
+                        wanted.select("rep", "bag_id", "n_slices", "donor_slices", "copies"), ["bag_id"],
+                        F.col("pos"), size="n_slices")
     asked = (asked.withColumn("donor_pos", F.col("pos") % length)
              .withColumn("copy", (F.floor(F.col("pos") / length) % F.col("copies")).cast("int")))
     return (asked.join(source.select("rep", "bag_id", "donor_pos", "copy", "target"),

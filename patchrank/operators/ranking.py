@@ -54,15 +54,15 @@ def ranked_in_place(rows: DataFrame, keys: Sequence[str], score: str,
                     pairs: Sequence[tuple[str, str, str]]) -> DataFrame:
     """Add ``_c_<name>``: twice the negatives below plus the tied ones, times the positives.
 
-    For groups small enough for one task. ``rows`` must be partitioned by ``keys``; the windows
-    then need no further exchange.
+    For groups small enough for one task. ``rows`` must be partitioned by ``keys``; both frames
+    share one sort and one pass.
     """
-    up_to = W.partitionBy(*keys).orderBy(score).rangeBetween(W.unboundedPreceding, W.currentRow)
-    tied = W.partitionBy(*keys, score)
-    for pos, neg, name in pairs:
-        beaten = 2 * F.sum(neg).over(up_to) - F.sum(neg).over(tied)
-        rows = rows.withColumn(f"_c_{name}", F.col(pos).cast("double") * beaten.cast("double"))
-    return rows
+    order = W.partitionBy(*keys).orderBy(score)
+    up_to = order.rangeBetween(W.unboundedPreceding, W.currentRow)
+    tied = order.rangeBetween(W.currentRow, W.currentRow)
+    return rows.select("*", *[
+        (F.col(pos).cast("double") * (2 * F.sum(neg).over(up_to) - F.sum(neg).over(tied)).cast("double")).alias(f"_c_{name}")
+        for pos, neg, name in pairs])
 
 
 def by_size(rows: DataFrame, size: str | None, limit: int) -> tuple[DataFrame | None, DataFrame]:
@@ -163,19 +163,26 @@ PAIRS = (("p", "q", "a"), ("pw", "qw", "w"), ("ps", "qs", "s"))
 
 
 def _axes_in_place(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Whole bags in one task: a single exchange serves all three rankings."""
-    one = W.partitionBy(*keys, "slice")
-    rows = rows.drop("n_slices", "slice_pos").repartition(*keys)
-    rows = rows.withColumn("_has", F.max("p").over(one)).withColumn(
-        "_mean", (exact_total(F.col("score"), one) / F.count(F.lit(1)).over(one)).cast("float")).withColumn(
-        "_lead", F.row_number().over(one.orderBy("score")) == 1)
-    lead, q = F.col("_lead").cast("bigint"), 1 - F.col("p")
-    rows = (rows.withColumn("q", q).withColumn("pw", F.col("p") * F.col("_has")).withColumn("qw", q * F.col("_has"))
-            .withColumn("ps", lead * F.col("_has")).withColumn("qs", lead * (1 - F.col("_has"))))
-    rows = ranked_in_place(rows, keys, "score", PAIRS[:2])
-    rows = ranked_in_place(rows, keys, "_mean", PAIRS[2:])
-    return rows.groupBy(*keys).agg(*[F.sum(c).alias(f"{n}_{t}") for pos, neg, n in PAIRS
-                                     for c, t in ((pos, "pos"), (neg, "neg"), (f"_c_{n}", "conc2"))])
+    """Whole bags in one task: a single exchange serves all three rankings.
+
+    Slice and flags travel as one code, so that both branches read the same exchange.
+    """
+    if "slice_pos" not in rows.columns:
+        rows = with_slice_flag(rows, keys, "p")
+    code = F.col("slice").cast("bigint") * 4 + F.col("p") * 2 + F.col("slice_pos")
+    placed = rows.select(*keys, "score", code.alias("_code")).repartition(*keys)
+    p, has = F.shiftright("_code", 1).bitwiseAND(F.lit(1)), F.col("_code").bitwiseAND(F.lit(1))
+    inst = placed.select(*keys, "score", p.alias("p"), (1 - p).alias("q"), (p * has).alias("pw"), ((1 - p) * has).alias("qw"))
+    flat = _totals(ranked_in_place(inst, keys, "score", PAIRS[:2]), keys, PAIRS[:2])
+    means = placed.groupBy(*keys, F.shiftright("_code", 2).alias("slice")).agg(
+        (exact_total(F.col("score")) / F.count(F.lit(1))).cast("float").alias("score"), F.max(has).alias("ps"))
+    means = means.select(*keys, "score", "ps", (1 - F.col("ps")).alias("qs"))
+    return _side_by_side(flat, _totals(ranked_in_place(means, keys, "score", PAIRS[2:]), keys, PAIRS[2:]), keys)
+
+
+def _totals(ranked: DataFrame, keys: list[str], pairs) -> DataFrame:
+    return ranked.groupBy(*keys).agg(*[F.sum(c).alias(f"{n}_{t}") for pos, neg, n in pairs
+                                       for c, t in ((pos, "pos"), (neg, "neg"), (f"_c_{n}", "conc2"))])
 
 
 def _axes_bucketed(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -192,7 +199,13 @@ def _axes_bucketed(rows: DataFrame, keys: list[str]) -> DataFrame:
     per_slice = means.groupBy(*keys, score_bucket(F.col("score")).alias("_b"), "score").agg(
         F.sum("has").alias("ps"), F.sum(1 - F.col("has")).alias("qs"))
     flat = concordance(inst, keys, PAIRS[:2])
-    return flat.join(concordance(per_slice, keys, PAIRS[2:]), keys)
+    return _side_by_side(flat, concordance(per_slice, keys, PAIRS[2:]), keys)
+
+
+def _side_by_side(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Columns of both, one row per key; unlike a join this keeps NULL keys."""
+    both = a.unionByName(b, allowMissingColumns=True)
+    return both.groupBy(*keys).agg(*[F.max(c).alias(c) for c in both.columns if c not in keys])
 
 
 def with_slice_flag(df: DataFrame, keys: Sequence[str] = ("bag_id",),

@@ -62,15 +62,34 @@ def route(value: Column, size: Column | None, hot_rows: int = HOT_ROWS) -> Colum
     return F.when(size <= hot_rows, F.lit(0).cast("bigint")).otherwise(score_bucket(value))
 
 
-def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], salt: Column,
-                how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """Equi-join of many rows per key with few rows per key, hot keys spread over ``salts``.
+def require(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """A NULL in a grouping column is an error: the joins behind a group would drop its rows."""
+    if not columns:
+        return df
+    missing = F.col(columns[0]).isNull()
+    for c in columns[1:]:
+        missing = missing | F.col(c).isNull()
+    bad = F.raise_error(F.lit(f"NULL in {', '.join(columns)}")).cast("boolean")
+    return df.where(F.when(missing, bad).otherwise(F.lit(True)))
+
 
-    ``salt`` must vary inside a key of the large side. Spark still turns this into a broadcast
-    join on its own when the measured size of the small side allows it.
+def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], salt: Column,
+                how: str = "inner", salts: int = SALTS, size: str | None = None,
+                per_copy: int = 4096) -> DataFrame:
+    """Equi-join of many rows per key with few rows per key, hot keys spread over copies.
+
+    ``salt`` must vary inside a key of the large side. With ``size``, a column of both sides that
+    grows with the key's rows (such as ``n_slices``), ordinary keys keep a single copy and only
+    large ones are copied; without it every row of the small side is copied ``salts`` times.
+    Spark still turns this into a broadcast join on its own when the measured size allows it.
     """
-    left = big.withColumn("_salt", F.pmod(salt.cast("bigint"), F.lit(salts)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    if size:
+        copies = F.least(F.lit(salts), 1 + F.floor(F.col(size) / F.lit(per_copy))).cast("int")
+        on = [*on, size]
+    else:
+        copies = F.lit(salts)
+    left = big.withColumn("_salt", F.pmod(salt.cast("bigint"), copies).cast("int"))
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), copies - 1)))
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
@@ -82,6 +101,7 @@ def positions(df: DataFrame, keys: Sequence[str], bucket: Sequence[str], order:
     whole group runs on bucket counts.
     """
     keys, bucket, order = list(keys), list(bucket), list(order)
+    df = require(df, [*keys, *bucket])
     counts = df.groupBy(*keys, *bucket).agg(F.count(F.lit(1)).alias("_count"))
     before = W.partitionBy(*keys).orderBy(*bucket).rowsBetween(W.unboundedPreceding, -1)
     columns = [F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_start")]
@@ -111,6 +131,7 @@ def running(hist: DataFrame, keys: Sequence[str], score: str, sums: Sequence[str
     ``before_<c>`` is the total of ``c`` over the rows of the group ahead of this one.
     """
     keys = list(keys)
+    hist = require(hist, [*keys, score])
     bucketed = hist.withColumn("_b", route(F.col(score), F.col(size) if size else None, hot_rows))
     totals = bucketed.groupBy(*keys, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     lead = F.col("_b").desc() if descending else F.col("_b").asc()
@@ -155,4 +176,4 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
 def attach(big: DataFrame, small: DataFrame, on: Sequence[str], spread: str = "pos",
            how: str = "inner") -> DataFrame:
     """``salted_join`` with a salt hashed from a column that varies inside the key."""
-    return salted_join(big, small, on, F.xxhash64(spread), how)
+    return salted_join(big, small, on, F.xxhash64(spread), how, salts=8)

@@ -55,9 +55,9 @@ def slot_report(df: DataFrame, slots: Sequence[str], frozen: int,
 
 def normalised(df: DataFrame, slots: Sequence[str]) -> DataFrame:
     """Min-max normalise each slot inside its bag (0 where flat): columns ``h_<slot>``."""
-    ext = df.groupBy("bag_id").agg(*[f(s).alias(f"_{n}_{s}") for s in slots
+    ext = df.groupBy("bag_id", "n_slices").agg(*[f(s).alias(f"_{n}_{s}") for s in slots
                                      for n, f in (("lo", F.min), ("hi", F.max))])
-    out = salted_join(df, ext, ["bag_id"], F.col("pos"))
+    out = salted_join(df, ext, ["bag_id"], F.col("pos"), size="n_slices")
     for s in slots:
         lo, hi = F.col(f"_lo_{s}"), F.col(f"_hi_{s}")
         out = out.withColumn(f"h_{s}", F.when(hi > lo, (F.col(s) - lo) / (hi - lo)).otherwise(0.0))
@@ -169,9 +169,9 @@ def radial_profile(df: DataFrame, slots: Sequence[str], n_patch: int, grid: int,
 def concentration(df: DataFrame, slots: Sequence[str], normalise: bool = True,
                   floor: float = 1e-12) -> DataFrame:
     """Entropy of each slot over its bag's instances, optionally divided by log N."""
-    sums = df.groupBy("bag_id").agg(F.count(F.lit(1)).alias("_n"),
+    sums = df.groupBy("bag_id", "n_slices").agg(F.count(F.lit(1)).alias("_n"),
                                     *[F.sum(s).alias(f"_m_{s}") for s in slots])
-    rows = salted_join(df, sums, ["bag_id"], F.col("pos"))
+    rows = salted_join(df, sums, ["bag_id"], F.col("pos"), size="n_slices")
     terms = []
     for s in slots:
         p = F.col(s) / F.greatest(F.col(f"_m_{s}"), F.lit(floor))

@@ -108,9 +108,9 @@ def bag_static(df: DataFrame, value: str, floor: float = 1e-12) -> DataFrame:
 
     (bag, patch) holds one row per slice, so the join back is salted by slice.
     """
-    own = df.groupBy("bag_id", "patch").agg(
+    own = df.groupBy("bag_id", "patch", "n_slices").agg(
         (exact_total(F.col(value)) / F.count(F.lit(1))).alias("static"))
-    out = salted_join(df, own, ["bag_id", "patch"], F.col("slice"))
+    out = salted_join(df, own, ["bag_id", "patch"], F.col("slice"), size="n_slices")
     return out.withColumn("residual", F.col(value) / F.greatest(F.col("static"), F.lit(floor)))
 
 
@@ -127,6 +127,6 @@ def centre_gaussian(df: DataFrame, sigma: float = 0.25) -> DataFrame:
     """Attention of a centred Gaussian over depth, normalised over the bag's instances."""
     z = geo.spread(F.col("slice"), F.col("n_slices"))
     raw = df.withColumn("_e", F.exp(F.lit(-0.5) * (z / F.lit(sigma)) * (z / F.lit(sigma))))
-    sums = raw.groupBy("bag_id").agg(F.sum("_e").alias("_z"))
-    out = salted_join(raw, sums, ["bag_id"], F.col("slice"))
+    sums = raw.groupBy("bag_id", "n_slices").agg(F.sum("_e").alias("_z"))
+    out = salted_join(raw, sums, ["bag_id"], F.col("slice"), size="n_slices")
     return out.withColumn("attention", F.col("_e") / F.col("_z")).drop("_e", "_z")

@@ -39,10 +39,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not found:
         found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
-    spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+def pin(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of a reduced table that several later steps read."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
+    return df.checkpoint(eager=True)
+
+
 _TABLES: dict[tuple, str] = {}
 
 

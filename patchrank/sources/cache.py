@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions import draws
 from ..operators.scale import attach, positions
+from ..session import pin
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -103,9 +104,7 @@ def replace_series(rows: DataFrame, path: str, by: str = "bag_id", buckets: int
     touched = new.select("_part").distinct()
     keep = (old.join(F.broadcast(touched), "_part", "left_semi")  # at most ``buckets`` rows
             .join(rows.select(by).distinct(), by, "left_anti"))
-    from ..session import checkpoint_dir
-    checkpoint_dir(spark)
-    merged = new.unionByName(keep.select(*new.columns)).checkpoint(eager=True)
+    merged = pin(new.unionByName(keep.select(*new.columns)))
     (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("_part").parquet(path))
 
