@@ -64,13 +64,11 @@ def route(value: Column, size: Column | None, hot_rows: int = HOT_ROWS) -> Colum
 
 def require(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """A NULL in a grouping column is an error: the joins behind a group would drop its rows."""
-    if not columns:
-        return df
-    missing = F.col(columns[0]).isNull()
-    for c in columns[1:]:
-        missing = missing | F.col(c).isNull()
-    bad = F.raise_error(F.lit(f"NULL in {', '.join(columns)}")).cast("boolean")
-    return df.where(F.when(missing, bad).otherwise(F.lit(True)))
+    out = {}
+    for c in columns:
+        bad = F.raise_error(F.lit(f"NULL in {c}")).cast(df.schema[c].dataType)
+        out[c] = F.coalesce(F.col(c), bad)
+    return df.withColumns(out) if out else df
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], salt: Column,
