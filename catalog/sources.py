@@ -5,8 +5,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from patchrank.operators import estimands as es
-from patchrank.operators import ranking as rk
+from patchrank.operators.scale import positions
 from patchrank.session import checkpoint_dir
 from patchrank.sources import artefacts as ar
 from patchrank.sources import cache as ca
@@ -44,10 +43,9 @@ def masked_keys(spark, sf):
 @query("a04_flat_dump", f"WITH {v.INST} SELECT bag_id, count(*) AS n, max(pos) AS last_pos, round(sum(s0), 4) AS total FROM inst GROUP BY bag_id")
 def flat_dump(spark, sf):
     rows = v.instances(spark, sf).select("bag_id", "pos", "s0")
-    flat = ca.flat_index(rows).select("ix", "s0")
     lengths = rows.groupBy("bag_id").agg(count().alias("length"))
-    from patchrank.operators.scale import positions
     lengths = positions(lengths.withColumn("_b", F.floor(F.col("bag_id") / 65536)), [], ["_b"], ["bag_id"], "bag_ix").drop("_b")
+    flat = ca.flat_index(rows, lengths).select("ix", "s0")
     out = ca.unflatten(flat, lengths)
     return out.groupBy("bag_id").agg(count().alias("n"), F.max("pos").alias("last_pos"), F.round(F.sum("s0"), 4).alias("total"))
 
@@ -178,5 +176,5 @@ def incremental_ingest(spark, sf):
     for g in range(4):
         rows.where(group == g).write.mode("append").parquet(landing)
         if g in (1, 3):
-            done = ig.ingest(spark, landing, out, mark, rows.schema, v.N_PATCH, "s1", files_per_batch=10000)
+            done = ig.ingest(spark, landing, out, mark, rows.schema, v.N_PATCH, "s1", files_per_batch=5)
     return r6(done.select("bag_id", "n_slices", "n_lesion_slices", "flat", "slice", "within_slice"), "flat", "slice", "within_slice")

@@ -4,6 +4,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,22 +51,27 @@ def coverage_report(bags: DataFrame, sizes: DataFrame) -> DataFrame:
         F.sum("n_slices").alias("n_slices"), F.sum(F.col("has_mask").cast("bigint")).alias("n_masked"))
 
 
-def unflatten(flat: DataFrame, lengths: DataFrame, block: int = 4096) -> DataFrame:
-    """Cut a flat array into bags by prefix sums of the bag lengths.
+def bag_offsets(lengths: DataFrame, block: int = 4096) -> DataFrame:
+    """Prefix sums of the bag lengths in ``bag_ix`` order (0-based, contiguous): column ``start``.
 
-    ``flat`` has ``ix`` (0-based), ``lengths`` has ``bag_ix`` (0-based, contiguous) and ``length``.
-    Offsets come from bucketed prefix sums; the range lookup is an equality join on blocks of
-    ``block`` positions, so a long bag is cut over many blocks.
+    Totals per ``block`` bags, a prefix over those few totals, then a prefix inside each block.
     """
     group = F.floor(F.col("bag_ix") / F.lit(block))
     totals = lengths.groupBy(group.alias("_g")).agg(F.sum("length").alias("_t"))
-    from pyspark.sql import Window as W
     over = W.orderBy("_g").rowsBetween(W.unboundedPreceding, -1)
     starts = totals.select("_g", F.coalesce(F.sum("_t").over(over), F.lit(0)).alias("_base"))
     inside = W.partitionBy("_g").orderBy("bag_ix").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (lengths.withColumn("_g", group).join(starts, "_g")
-               .withColumn("start", F.col("_base") + F.coalesce(F.sum("length").over(inside), F.lit(0))))
-    spans = offsets.where("length > 0").withColumn("_block", F.explode(F.sequence(
+    return (lengths.withColumn("_g", group).join(starts, "_g")
+            .withColumn("start", F.col("_base") + F.coalesce(F.sum("length").over(inside), F.lit(0))).drop("_g", "_base"))
+
+
+def unflatten(flat: DataFrame, lengths: DataFrame, block: int = 4096) -> DataFrame:
+    """Cut a flat array into bags by the prefix sums of the bag lengths.
+
+    ``flat`` has ``ix`` (0-based). The range lookup is an equality join on blocks of ``block``
+    positions, so a long bag is cut over many blocks.
+    """
+    spans = bag_offsets(lengths).where("length > 0").withColumn("_block", F.explode(F.sequence(
         F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("length") - 1) / block))))
     rows = flat.withColumn("_block", F.floor(F.col("ix") / block))
     hit = (F.col("ix") >= F.col("start")) & (F.col("ix") < F.col("start") + F.col("length"))
@@ -73,9 +79,10 @@ def unflatten(flat: DataFrame, lengths: DataFrame, block: int = 4096) -> DataFra
             .withColumn("pos", F.col("ix") - F.col("start")).drop("_block", "start"))
 
 
-def flat_index(rows: DataFrame) -> DataFrame:
-    """The inverse: a global 0-based index in (bag_id, pos) order."""
-    return positions(rows.withColumn("_blk", F.floor(F.col("pos") / 65536)), [], ["bag_id", "_blk"], ["pos"], "ix").drop("_blk")
+def flat_index(rows: DataFrame, lengths: DataFrame) -> DataFrame:
+    """The inverse: a global 0-based index in (bag_ix, pos) order."""
+    starts = bag_offsets(lengths).select("bag_id", "start")
+    return attach(rows, starts, ["bag_id"]).withColumn("ix", F.col("start") + F.col("pos")).drop("start")
 
 
 def write_scores(scores: DataFrame, path: str, stamp: dict[str, str]) -> None:

@@ -1,4 +1,4 @@
-"""Incremental ingest: new instance files are scored once and merged by bag."""
+"""Incremental ingest: bags touched by new files are scored again, all others are left alone."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
@@ -6,39 +6,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import ranking as rk
-from ..sources.cache import to_do
+from ..operators.scale import attach
 
 
-def score_new_bags(batch: DataFrame, done: DataFrame | None, n_patch: int, score: str) -> DataFrame:
-    """Axes of the bags of a batch that have no result yet. A batch holds whole bags."""
-    rows = batch
-    if done is not None:
-        wanted = to_do(batch.select("bag_id").distinct(), done)
-        rows = batch.join(wanted, "bag_id", "left_semi")
-    return rk.axes(rows, n_patch, ["bag_id"], score)
+def latest(results: DataFrame) -> DataFrame:
+    """The result of the last batch that touched a bag."""
+    value = F.struct(*[c for c in results.columns if c not in ("bag_id", "batch")])
+    return results.groupBy("bag_id").agg(F.max_by(value, "batch").alias("_v")).select("bag_id", "_v.*")
 
 
 def ingest(spark: SparkSession, landing: str, out: str, checkpoint: str, schema: T.StructType, n_patch: int,
-           score: str, files_per_batch: int = 64):
-    """Process everything in ``landing`` that is new, then stop.
+           score: str, files_per_batch: int = 64) -> DataFrame:
+    """Process everything in ``landing`` that is new, then stop; return the current results.
 
-    Each batch writes to its own partition (``batch``) in overwrite mode, so that a batch repeated
-    after a failure replaces its own output; bags finished in earlier batches are left out.
+    A bag may arrive in pieces over several batches, or a piece twice: each batch reads the landed
+    rows of the bags it touches, once per (bag, position). A batch writes its own folder in
+    overwrite mode, so one repeated after a failure replaces its own output.
     """
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(landing))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(landing)
 
     def each(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        try:
-            done = session.read.parquet(out).where(F.col("batch") != number)
-        except Exception as e:  # first batch: no result table yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            done = None
-        axes = score_new_bags(batch, done, n_patch, score)
-        axes.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        touched = batch.select("bag_id").distinct()
+        landed = batch.sparkSession.read.schema(schema).parquet(landing)
+        rows = attach(landed, touched, ["bag_id"]).dropDuplicates(["bag_id", "pos"])
+        rk.axes(rows, n_patch, ["bag_id"], score).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     query = (stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
     query.awaitTermination()
-    return spark.read.parquet(out)
+    return latest(spark.read.parquet(out))
