@@ -215,14 +215,14 @@ def seed_summary(spark, sf):
     return r6(out.withColumn("vals", text).drop("values"), "mean", "std")
 
 
-@query("g13_best_arm", f"""WITH {v.RUNS}, m AS (SELECT arm, seed, avg(value) AS x FROM runs GROUP BY ALL), b AS (SELECT arm FROM (SELECT arm, avg(x) AS a FROM m GROUP BY arm) ORDER BY a DESC, arm DESC LIMIT 1),
- d AS (SELECT p.arm AS best, q.arm AS other, p.x - q.x AS d FROM m p JOIN m q ON p.seed = q.seed AND p.arm IN (SELECT arm FROM b) AND q.arm NOT IN (SELECT arm FROM b)),
- s AS (SELECT best, other, avg(d) AS delta, sum(CASE WHEN d > 0 THEN 1 ELSE 0 END)::BIGINT AS wins, sum(CASE WHEN d < 0 THEN 1 ELSE 0 END)::BIGINT AS losses, count(*) AS n, avg(d)/(stddev_samp(d)/sqrt(count(*))) AS t FROM d GROUP BY ALL),
- p AS (SELECT *, {p_t('t', '(n-1.0::DOUBLE)')} AS p FROM s)
- SELECT best, other, wins, losses, n, {rs('delta', 't', 'p')} FROM p""")
+@query("g13_best_arm", f"""WITH {v.RUNS}, m AS (SELECT arm, seed, avg(value) AS x FROM runs GROUP BY ALL), p AS (SELECT arm, avg(x) AS m, var_samp(x) AS v, count(*) AS n FROM m GROUP BY arm),
+ b AS (SELECT * FROM p WHERE arm IN ('click', 'view', 'error') ORDER BY m DESC, arm DESC LIMIT 1),
+ s AS (SELECT b.arm AS best, p.arm AS other, b.m - p.m AS delta, (b.m - p.m)/sqrt(b.v/b.n + p.v/p.n) AS t, (b.v/b.n + p.v/p.n)**2/((b.v/b.n)**2/(b.n-1) + (p.v/p.n)**2/(p.n-1)) AS df FROM p, b WHERE p.arm <> b.arm),
+ q AS (SELECT *, {p_t('t', 'df')} AS p FROM s)
+ SELECT best, other, {rs('delta', 't', 'p')}, delta > 0 AND p < 0.05 AS wins, delta < 0 AND p < 0.05 AS loses FROM q""")
 def best_arm(spark, sf):
     m = v.runs(spark, sf).groupBy("arm", "seed").agg(F.avg("value").alias("x"))
-    return r6(inf.best_against_others(m, "arm", "seed", "x"), "delta", "t", "p")
+    return r6(inf.best_against_others(m, "arm", "x", ["click", "view", "error"]).drop("df"), "delta", "t", "p")
 
 
 @query("g14_floor_distribution", f"""WITH {v.RUNS}, m AS (SELECT arm, bag_id, avg(value) AS x FROM runs GROUP BY ALL)
@@ -233,9 +233,8 @@ def floor_distribution(spark, sf):
 
 
 @query("g15_power_note", f"""WITH {v.RUNS}, e AS (SELECT * FROM runs WHERE ts < TIMESTAMP '2024-01-10'), l AS (SELECT * FROM runs WHERE ts >= TIMESTAMP '2024-01-10'),
- j AS (SELECT a.arm, a.lo AS lo_a, a.hi AS hi_a, a.mean AS mean_a, b.lo AS lo_b, b.hi AS hi_b, b.mean AS mean_b FROM {v.bootstrap('e', 'arm', 'value', 'bag_id', 100)} a JOIN {v.bootstrap('l', 'arm', 'value', 'bag_id', 100)} b USING (arm)),
- n AS (SELECT arm, abs(mean_b - mean_a) AS separation, CASE WHEN mean_b >= mean_a THEN (hi_a - mean_a) + (mean_b - lo_b) ELSE (mean_a - lo_a) + (hi_b - mean_b) END AS needed FROM j)
- SELECT arm, round(separation, 6) AS separation, round(needed, 6) AS needed, round(greatest(needed - separation, 0), 6) AS shortfall FROM n""")
+ j AS (SELECT a.arm, a.lo AS lo_a, a.hi AS hi_a, a.mean AS mean_a, b.lo AS lo_b, b.hi AS hi_b, b.mean AS mean_b FROM {v.bootstrap('e', 'arm', 'value', 'bag_id', 100)} a JOIN {v.bootstrap('l', 'arm', 'value', 'bag_id', 100)} b USING (arm))
+ SELECT arm, round(mean_b - mean_a, 6) AS observed, round((mean_b - lo_b) + (hi_a - mean_a), 6) AS required, round((mean_b - lo_b) + (hi_a - mean_a) - (mean_b - mean_a), 6) AS shortfall, hi_a < lo_b AS orders FROM j""")
 def power_note(spark, sf):
     rows = v.runs(spark, sf)
     early = F.col("ts") < F.lit("2024-01-10").cast("timestamp")
@@ -244,7 +243,7 @@ def power_note(spark, sf):
         return out.select("arm", *[F.col(c).alias(f"{c}_{tag}") for c in ("mean", "lo", "hi")])
     both = ci(rows.where(early), "a").join(ci(rows.where(~early), "b"), "arm")
     out = es.power_note(both, "lo_a", "hi_a", "mean_a", "lo_b", "hi_b", "mean_b")
-    return r6(out.select("arm", "separation", "needed", "shortfall"), "separation", "needed", "shortfall")
+    return r6(out.select("arm", "observed", "required", "shortfall", "orders"), "observed", "required", "shortfall")
 
 
 

@@ -208,10 +208,11 @@ def slice_subsample(spark, sf):
 
 # Joins by identity ------------------------------------------------------------------------
 
-@query("c01_patient_fallback", f"WITH {v.INST}, {v.BAGS} SELECT coalesce(patient_id, b.bag_id) AS patient_id, count(*) AS n_bags, sum(n)::BIGINT AS n_rows FROM (SELECT bag_id, count(*) AS n FROM inst GROUP BY 1) b LEFT JOIN (SELECT * FROM bags WHERE patient_id > 3) USING (bag_id) GROUP BY 1")
+@query("c01_patient_fallback", f"WITH {v.INST}, {v.BAGS} SELECT coalesce(patient_id, b.bag_id) AS patient_id, count(*) AS n_bags, sum(n)::BIGINT AS n_rows FROM (SELECT bag_id, count(*) AS n FROM inst GROUP BY 1) b LEFT JOIN (SELECT s_suppkey AS bag_id, CASE WHEN s_acctbal > 0 THEN CAST(s_nationkey AS BIGINT) END AS patient_id FROM supplier) USING (bag_id) GROUP BY 1")
 def patient_fallback(spark, sf):
     per = v.instances(spark, sf).groupBy("bag_id").agg(count().alias("n"))
-    known = v.bags(spark, sf).where("patient_id > 3")
+    known = v.table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("bag_id"), F.when(F.col("s_acctbal") > 0, F.col("s_nationkey").cast("bigint")).alias("patient_id"))
     out = per.join(known, "bag_id", "left").withColumn("patient_id", F.coalesce("patient_id", "bag_id"))
     return out.groupBy("patient_id").agg(count().alias("n_bags"), F.sum("n").alias("n_rows"))
 

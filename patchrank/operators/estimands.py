@@ -140,9 +140,12 @@ def draw_summary(df: DataFrame, keys: Sequence[str], value: str, draw: str) -> D
 
 def power_note(df: DataFrame, lo_a: str, hi_a: str, mean_a: str, lo_b: str, hi_b: str,
                mean_b: str) -> DataFrame:
-    """Facing half-widths of two intervals against their observed separation."""
-    sep = F.col(mean_b) - F.col(mean_a)
-    need = (F.when(sep >= 0, (F.col(hi_a) - F.col(mean_a)) + (F.col(mean_b) - F.col(lo_b)))
-            .otherwise((F.col(mean_a) - F.col(lo_a)) + (F.col(hi_b) - F.col(mean_b))))
-    return (df.withColumn("separation", F.abs(sep)).withColumn("needed", need)
-            .withColumn("shortfall", F.greatest(F.col("needed") - F.col("separation"), F.lit(0.0))))
+    """Separation two intervals needed for a to lie below b, against the one observed.
+
+    The facing half-widths add up to the requirement; a positive shortfall means that the
+    intervals were too wide for the observed separation.
+    """
+    return (df.withColumn("observed", F.col(mean_b) - F.col(mean_a))
+            .withColumn("required", (F.col(mean_b) - F.col(lo_b)) + (F.col(hi_a) - F.col(mean_a)))
+            .withColumn("shortfall", F.col("required") - F.col("observed"))
+            .withColumn("orders", F.col(hi_a) < F.col(lo_b)))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import draws, tails
 from . import ranking as rk
-from .scale import clean, hashed_positions, running
+from .scale import clean, hashed_positions, require, running
 
 
 def _lookup(pairs: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
@@ -32,9 +32,12 @@ def delong(df: DataFrame, keys: Sequence[str], a: str, b: str, target: str = "ta
     if not keys:
         return delong(df.withColumn("_all", F.lit(0)), ["_all"], a, b, target).drop("_all")
     keys = list(keys)
-    pairs = (df.select(*keys, (F.col(target) > 0).cast("int").alias("y"), clean(F.col(a)).alias("a"),
-                       clean(F.col(b)).alias("b"))
-             .groupBy(*keys, "y", "a", "b").agg(F.count(F.lit(1)).alias("w")))
+    rows = df.select(*keys, (F.col(target) > 0).cast("int").alias("y"), clean(F.col(a)).alias("a"),
+                     clean(F.col(b)).alias("b"))
+    rows = require(rows, [*keys, "a", "b"])
+    for c in [*keys, "a", "b"]:  # implied by the joins below; stated here, all read one exchange
+        rows = rows.where(F.col(c).isNotNull())
+    pairs = rows.groupBy(*keys, "y", "a", "b").agg(F.count(F.lit(1)).alias("w"))
     # one lookup row per distinct score; a score shared by many pairs is split by Spark's skew join
     rows = pairs.join(_lookup(pairs, keys, "a"), [*keys, "a"]).join(_lookup(pairs, keys, "b"), [*keys, "b"])
     va = F.when(F.col("y") == 1, F.col("v10_a")).otherwise(F.col("v01_a"))
@@ -217,23 +220,24 @@ def bag_bootstrap(df: DataFrame, key: str, y: str, score: str, metric: str = "au
                    F.percentile(metric, F.lit(1 - alpha / 2)).alias("hi"), F.count(F.lit(1)).alias("n_boot"))
 
 
-def best_against_others(df: DataFrame, arm: str, seed: str, value: str) -> DataFrame:
-    """The arm with the highest mean against each other arm, paired by seed.
+def best_against_others(df: DataFrame, arm: str, value: str, candidates: Sequence[str],
+                        alpha: float = 0.05) -> DataFrame:
+    """The candidate arm with the highest mean against every other arm, by Welch's t over seeds.
 
-    Wins and losses of the best arm are both reported. Arms and seeds are a declared list.
+    Significant wins and losses of the best arm are both reported. Arms are a declared list.
     """
-    means = df.groupBy(arm).agg(F.avg(value).alias("m"))
-    best = means.agg(F.max_by(arm, F.struct(F.col("m"), F.col(arm)))).scalar()
-    rows = df.withColumn("_best", best)
-    lead = rows.where(F.col(arm) == F.col("_best")).select(F.col(arm).alias("best"), seed, F.col(value).alias("_a"))
-    rest = rows.where(F.col(arm) != F.col("_best")).select(F.col(arm).alias("other"), seed, F.col(value).alias("_b"))
-    pairs = lead.join(rest, seed).withColumn("_d", F.col("_a") - F.col("_b"))
-    out = pairs.groupBy("best", "other").agg(
-        F.avg("_d").alias("delta"), F.sum((F.col("_d") > 0).cast("bigint")).alias("wins"),
-        F.sum((F.col("_d") < 0).cast("bigint")).alias("losses"), F.count(F.lit(1)).alias("n"),
-        (F.stddev_samp("_d") / F.sqrt(F.count(F.lit(1)))).alias("_sem"))
-    out = out.withColumn("t", rk.ratio(F.col("delta"), F.col("_sem"))).drop("_sem")
-    return out.withColumn("p", tails.t_p("t", (F.col("n") - 1).cast("double")))
+    per = df.groupBy(arm).agg(F.avg(value).alias("m"), F.var_samp(value).alias("v"), F.count(value).alias("n"))
+    top = per.where(F.col(arm).isin(*candidates)).agg(
+        F.max_by(F.struct(F.col(arm).alias("arm"), "m", "v", "n"), F.struct(F.col("m"), F.col(arm)))).scalar()
+    rows = per.withColumn("_b", top).where(F.col(arm) != F.col("_b.arm"))
+    ea, eb = F.col("_b.v") / F.col("_b.n"), F.col("v") / F.col("n")
+    dof = (ea + eb) * (ea + eb) / (ea * ea / (F.col("_b.n") - 1) + eb * eb / (F.col("n") - 1))
+    usable = (F.col("_b.n") > 1) & (F.col("n") > 1) & (ea + eb > 0)
+    rows = rows.select(F.col("_b.arm").alias("best"), F.col(arm).alias("other"), (F.col("_b.m") - F.col("m")).alias("delta"),
+                       F.when(usable, (F.col("_b.m") - F.col("m")) / F.sqrt(ea + eb)).alias("t"), F.when(usable, dof).alias("df"))
+    rows = rows.withColumn("p", tails.t_p("t", "df"))
+    return (rows.withColumn("wins", (F.col("delta") > 0) & (F.col("p") < alpha))
+            .withColumn("loses", (F.col("delta") < 0) & (F.col("p") < alpha)))
 
 
 def multilabel_metrics(df: DataFrame, labels: Sequence[tuple[str, str]], cut: float = 0.5) -> DataFrame:

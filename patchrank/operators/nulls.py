@@ -116,21 +116,20 @@ def match_scale(probe: DataFrame, normals: Sequence[str], target: DataFrame, lo:
                             F.lit(hi).alias("hi"))
     rows = probe.select(*normals)
     for _ in range(rounds):
-        low, high = bracket.select("lo").scalar(), bracket.select("hi").scalar()
-        goal = bracket.select("goal").scalar()
+        state = bracket.select(F.struct("lo", "hi", "goal")).scalar()
         steps = F.sequence(F.lit(0), F.lit(points))
-        tried = rows.withColumn("_lo", low).withColumn("_hi", high).withColumn(
-            "scale", F.explode(F.transform(steps, lambda i: F.col("_lo") + (F.col("_hi") - F.col("_lo"))
+        tried = rows.withColumn("_s", state).withColumn(
+            "scale", F.explode(F.transform(steps, lambda i: F.col("_s.lo") + (F.col("_s.hi") - F.col("_s.lo"))
                                            * i / F.lit(points))))
         top = F.greatest(*[F.col(c) * F.col("scale") for c in normals])
         expo = [F.exp(F.col(c) * F.col("scale") - top) for c in normals]
         total = sum(expo[1:], expo[0])
         terms = [e / total * F.log(F.greatest(e / total, F.lit(1e-12))) for e in expo]
         ent = -sum(terms[1:], terms[0])
-        curve = tried.groupBy("scale").agg(F.avg(ent).alias("entropy"))
+        curve = tried.groupBy("scale").agg(F.avg(ent).alias("entropy"), F.max("_s.goal").alias("goal"))
         above = F.when(F.col("entropy") > F.col("goal"), F.col("scale"))
         below = F.when(F.col("entropy") <= F.col("goal"), F.col("scale"))
-        bracket = curve.withColumn("goal", goal).groupBy("goal").agg(
+        bracket = curve.groupBy("goal").agg(
             F.coalesce(F.max(above), F.min("scale")).alias("lo"),
             F.coalesce(F.min(below), F.max("scale")).alias("hi"))
     return bracket.select(((F.col("lo") + F.col("hi")) / 2).alias("scale"), "goal")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import draws
+from ..session import pin
 from .scale import attach, hashed_positions
 
 BAG = ["bag_id"]
@@ -183,6 +184,7 @@ def fit_probe(fit: DataFrame, vector: str, max_iter: int = 200):
     """Balanced logistic regression (L2, C = 1) on the fit set with Spark ML."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
+    fit = pin(fit)  # the optimiser passes over it many times
     counts = fit.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("target") > 0).cast("bigint")).alias("p"))
     n, p = counts.select("n").scalar(), counts.select("p").scalar()
     rows = fit.withColumn("_n", n).withColumn("_p", p)

@@ -131,6 +131,9 @@ def running(hist: DataFrame, keys: Sequence[str], score: str, sums: Sequence[str
     keys = list(keys)
     hist = require(hist, [*keys, score])
     bucketed = hist.withColumn("_b", route(F.col(score), F.col(size) if size else None, hot_rows))
+    # the join below implies this filter on one side; stated here, both sides read one exchange
+    for c in [*keys, "_b"]:
+        bucketed = bucketed.where(F.col(c).isNotNull())
     totals = bucketed.groupBy(*keys, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     lead = F.col("_b").desc() if descending else F.col("_b").asc()
     ahead = W.partitionBy(*keys).orderBy(lead).rowsBetween(W.unboundedPreceding, -1)

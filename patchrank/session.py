@@ -22,7 +22,8 @@ def local_session(cpus: int = 8, memory: str = "8g", name: str = "patchrank") ->
                .config("spark.driver.memory", memory)
                .config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false")
-               .config("spark.sql.shuffle.partitions", str(cpus)))
+               .config("spark.sql.shuffle.partitions", str(cpus))
+               .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k"))
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
