@@ -176,5 +176,5 @@ def incremental_ingest(spark, sf):
     for g in range(4):
         rows.where(group == g).write.mode("append").parquet(landing)
         if g in (1, 3):
-            done = ig.ingest(spark, landing, out, mark, rows.schema, v.N_PATCH, "s1", files_per_batch=5)
+            done = ig.ingest(spark, landing, out, mark, rows.schema, v.N_PATCH, "s1", files_per_batch=12)
     return r6(done.select("bag_id", "n_slices", "n_lesion_slices", "flat", "slice", "within_slice"), "flat", "slice", "within_slice")

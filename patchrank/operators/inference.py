@@ -170,13 +170,20 @@ def binary_metrics(df: DataFrame, keys: Sequence[str], y: str, score: str, cut:
     cells = {"tp": yes & hit, "fp": ~yes & hit, "fn": yes & ~hit, "tn": ~yes & ~hit}
     counts = df.groupBy(*keys).agg(*[F.sum(F.when(c, w).otherwise(0)).cast("double").alias(n) for n, c in cells.items()])
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
-    f1 = (_guard(2 * tp, 2 * tp + fp + fn) + _guard(2 * tn, 2 * tn + fp + fn)) / 2
+    f1 = _over_present((2 * tp, 2 * tp + fp + fn), (2 * tn, 2 * tn + fp + fn))
     out = counts.select(*keys, f1.alias("macro_f1"), ((tp + tn) / (tp + fp + fn + tn)).alias("acc"),
-                        ((_guard(tp, tp + fn) + _guard(tn, tn + fp)) / 2).alias("balanced_acc"))
+                        _over_present((tp, tp + fn), (tn, tn + fp)).alias("balanced_acc"))
     a = rk.auc(df, keys, score, y, weight=weight)
     return out.join(a.select(*keys, "auc", "n_pos", "n_neg"), keys)
 
 
+def _over_present(*ratios: tuple[Column, Column]) -> Column:
+    """Mean of the ratios whose denominator is positive: a class that never occurs has no say."""
+    present = [(low > 0).cast("int") for _, low in ratios]
+    values = [_guard(top, low) for top, low in ratios]
+    return sum(values[1:], values[0]) / F.greatest(sum(present[1:], present[0]), F.lit(1))
+
+
 def _guard(top: Column, low: Column) -> Column:
     return F.when(low > 0, top / low).otherwise(F.lit(0.0))
 
