@@ -1,7 +1,7 @@
 """The registered queries: each applies its operator to its whole table and derives the digest columns."""
 from __future__ import annotations
 
-from patchrank.llm import substring
+from patchrank.llm import jaccard, substring
 from patchrank.llm.common import table
 from patchrank.llm.registry import ORACLES, QUERIES, query
 
@@ -11,6 +11,11 @@ def substring_dedup(spark, sf):
     return substring.digests(table(spark, sf, "documents"))
 
 
+@query("op7_ngram_jaccard")
+def ngram_jaccard(spark, sf):
+    return jaccard.classes_of(table(spark, sf, "documents"))
+
+
 def registry() -> tuple[dict, dict]:
     """(queries, SQL) of this package and of the pipeline."""
     return dict(QUERIES), dict(ORACLES)
