@@ -12,6 +12,7 @@ fields lie in the same subtree, so sorting codes walks the (hashed) tree in orde
    travels; the others are known repeats. A passage held by a third of all documents reaches its group once per batch.
 3. Each group is one subtree: its nodes at depth ``width`` with leaves in several documents give the repeats. Repeats of
    consecutive suffixes overlap, and their union in a document is the maximal repeat that is removed.
+4. Codes of repeats return to their documents packed by document shard, so that rows do not follow documents times groups.
 """
 from __future__ import annotations
 
@@ -27,8 +28,9 @@ from patchrank.llm import text as T
 from patchrank.llm.common import blobs, breaks, spread
 
 CELL_BITS = 16
-SHUFFLED = "grp INT, codes BINARY, refs BINARY, docs BINARY, doc_id BIGINT"
-FOUND = "doc_id BIGINT, codes BINARY, every BOOLEAN"
+SHARD_BYTES = 8 << 20
+SHUFFLED = "grp INT, codes BINARY, refs BINARY, docs BINARY"
+FOUND = "_shard INT, docs BINARY, counts BINARY, codes BINARY"
 
 
 def path_codes(words: T.Words, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,9 +95,25 @@ def _codes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
 
+def packed(docs: np.ndarray, codes: np.ndarray, whole: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(documents, counts, codes), ordered by document; a document all of whose suffixes repeat has count -1 and no codes."""
+    order = np.argsort(docs, kind="stable")
+    docs, codes = docs[order], codes[order]
+    at = breaks(docs)
+    names, counts = docs[at[:-1]], np.diff(at)
+    if whole:
+        every = np.array([n == whole[d] for d, n in zip(names.tolist(), counts.tolist())], bool)
+        codes, counts = codes[~np.repeat(every, counts)], np.where(every, -1, counts)
+    return names, counts.astype(np.int32), codes
+
+
+def _row(grp, codes, refs, docs):
+    return pa.RecordBatch.from_arrays([pa.array(grp, pa.int32()), *(pa.array([x], pa.binary()) for x in (codes, refs, docs))], ["grp", "codes", "refs", "docs"])
+
+
 def _suffixes(width, groups):
     def rows(stream):
-        for batch in T.batches(stream, 16 << 20):
+        for batch in T.batches(stream, 8 << 20):
             codes, first = path_codes(T.Words(*T.utf8(batch["text"]), T.BLANK), width)
             ids, rank = np.unique(batch["doc_id"].to_numpy(), return_inverse=True)
             owner = np.repeat(rank, np.diff(first)).astype(np.uint32)
@@ -107,16 +125,9 @@ def _suffixes(width, groups):
             low = np.minimum.reduceat(owner, cut[:-1])
             again = owner > np.repeat(low, np.diff(cut))
             # repeats inside the batch go straight to their documents
-            by_doc = np.argsort(owner[again], kind="stable")
-            local, local_codes = owner[again][by_doc], codes[again][by_doc]
-            at = breaks(local)
-            whole = np.bincount(owner, minlength=len(ids))
-            for a, b in zip(at[:-1], at[1:]):
-                every = b - a == whole[local[a]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([-1 - int(ids[local[a]] % (1 << 30))], pa.int32()), pa.array([None if every else local_codes[a:b].tobytes()], pa.binary()),
-                     pa.array([None], pa.binary()), pa.array([None], pa.binary()), pa.array([ids[local[a]]], pa.int64())],
-                    ["grp", "codes", "refs", "docs", "doc_id"])
+            if again.any():
+                docs, counts, local = packed(ids[owner[again]], codes[again], dict(zip(ids.tolist(), np.bincount(owner, minlength=len(ids)).tolist())))
+                yield _row([-1 - int(len(local) % 1024)], local.tobytes(), counts.tobytes(), docs.tobytes())
             codes, owner = codes[cut[:-1]], low
             grp = groups.of(codes)
             edges = breaks(grp)
@@ -124,63 +135,96 @@ def _suffixes(width, groups):
                 used, refs = np.unique(owner[a:b], return_inverse=True)
                 refs = refs.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32)
                 docs = np.diff(ids[used], prepend=0)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(grp[a])], pa.int32()), pa.array([_planes(codes[a:b])], pa.binary()), pa.array([refs.tobytes()], pa.binary()),
-                     pa.array([docs.astype(np.int64).tobytes()], pa.binary()), pa.array([None], pa.int64())],
-                    ["grp", "codes", "refs", "docs", "doc_id"])
+                yield _row([int(grp[a])], _planes(codes[a:b]), refs.tobytes(), docs.astype(np.int64).tobytes())
     return rows
 
 
 def subtree(codes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(doc_id, code) of every leaf below a full-depth node that a smaller doc_id reaches too, ordered by doc_id."""
+    """(doc_id, code) of every leaf below a full-depth node that a smaller doc_id reaches too."""
     order = np.argsort(codes)
     codes, docs = codes[order], docs[order]
     cut = breaks(codes)
     low = np.minimum.reduceat(docs, cut[:-1])
     again = docs > np.repeat(low, np.diff(cut))
-    codes, docs = codes[again], docs[again]
-    order = np.argsort(docs, kind="stable")
-    return docs[order], codes[order]
+    return docs[again], codes[again]
+
+
+def shard_of(docs: np.ndarray, shards: int) -> np.ndarray:
+    return (docs ^ (docs >> 15)) % shards
+
+
+def shard_column(shards: int):
+    """The same in Spark; a row without doc_id goes by its text."""
+    doc = F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64("text"))
+    return F.pmod(doc.bitwiseXOR(F.shiftright(doc, 15)), F.lit(shards)).cast("int")
+
 
+class _Outbox:
+    """Repeats of a task, sent to document shards when enough are held."""
 
-def _subtrees(stream):
+    def __init__(self, shards: int, most: int = 1 << 21):
+        self.shards, self.most, self.held, self.parts = shards, most, 0, []
+
+    def add(self, docs, counts, codes):
+        self.parts.append((docs, counts, codes))
+        self.held += len(codes) + len(docs)
+        if self.held > self.most:
+            yield from self.flush()
+
+    def flush(self):
+        if not self.parts:
+            return
+        docs, counts, codes = (np.concatenate(x) for x in zip(*self.parts))
+        self.held, self.parts = 0, []
+        shard = shard_of(docs, self.shards)
+        order = np.argsort(shard, kind="stable")
+        size = np.maximum(counts, 0)
+        first = np.concatenate([[0], np.cumsum(size)])[:-1]
+        ends = np.concatenate([[0], np.cumsum(size[order])])
+        at = np.arange(ends[-1]) + np.repeat(first[order] - ends[:-1], size[order])
+        docs, counts, codes, shard = docs[order], counts[order], codes[at], shard[order]
+        cut = breaks(shard)
+        for k in range(0, len(cut) - 1, 64):  # few rows a batch: each may be large
+            c = cut[k:k + 65]
+            yield pa.RecordBatch.from_arrays([pa.array(shard[c[:-1]], pa.int32()), blobs(docs[c[0]:c[-1]], c - c[0]), blobs(counts[c[0]:c[-1]], c - c[0]),
+                                              blobs(codes[ends[c[0]]:ends[c[-1]]], ends[c] - ends[c[0]])], ["_shard", "docs", "counts", "codes"])
+
+
+def _subtrees(shards):
     """Rows arrive ordered by group; one group is held at a time."""
-    held, codes, docs = None, [], []
-
-    def close():
-        found, out = subtree(np.concatenate(codes), np.concatenate(docs))
-        if len(found):
-            at = breaks(found)
-            yield pa.RecordBatch.from_arrays([pa.array(found[at[:-1]], pa.int64()), blobs(out, at), pa.array(np.zeros(len(at) - 1, bool))],
-                                             ["doc_id", "codes", "every"])
-
-    for batch in stream:
-        grp = batch.column("grp").to_numpy()
-        passing = grp < 0
-        if passing.any():
-            part = batch.filter(pa.array(passing))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("codes"), part.column("codes").is_null()], ["doc_id", "codes", "every"])
-        for i in np.flatnonzero(~passing):
-            if grp[i] != held:
-                if codes:
-                    yield from close()
-                held, codes, docs = grp[i], [], []
-            c = _codes(batch.column("codes")[i].as_py())
-            table = np.cumsum(np.frombuffer(batch.column("docs")[i].as_py(), np.int64))
-            refs = batch.column("refs")[i].as_py()
-            codes.append(c)
-            docs.append(table[np.frombuffer(refs, np.uint16 if len(refs) == 2 * len(c) else np.uint32)])
-    if codes:
-        yield from close()
-
-
-def repeats(docs: DataFrame, width: int = 13, group_rows: int = 2_000_000) -> DataFrame:
-    """(doc_id, found ARRAY<BINARY>, every): path codes of the suffixes of each document that repeat one of a smaller doc_id."""
+    def rows(stream):
+        held, codes, docs, out = None, [], [], _Outbox(shards)
+
+        def close():
+            found, at = subtree(np.concatenate(codes), np.concatenate(docs))
+            if len(found):
+                yield from out.add(*packed(found, at))
+
+        for batch in stream:
+            for i, grp in enumerate(batch.column("grp").to_pylist()):
+                c, r, d = (batch.column(x)[i].as_py() for x in ("codes", "refs", "docs"))
+                if grp < 0:
+                    yield from out.add(np.frombuffer(d, np.int64), np.frombuffer(r, np.int32), np.frombuffer(c, np.uint64))
+                    continue
+                if grp != held:
+                    if codes:
+                        yield from close()
+                    held, codes, docs = grp, [], []
+                c = _codes(c)
+                codes.append(c)
+                docs.append(np.cumsum(np.frombuffer(d, np.int64))[np.frombuffer(r, np.uint16 if len(r) == 2 * len(c) else np.uint32)])
+        if codes:
+            yield from close()
+        yield from out.flush()
+    return rows
+
+
+def repeats(docs: DataFrame, shards: int, width: int = 13, group_rows: int = 2_000_000) -> DataFrame:
+    """Packed path codes of the suffixes of each document that repeat one of a smaller doc_id, by document shard."""
     groups = groups_of(docs, width, group_rows)
-    rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(_suffixes(width, groups), SHUFFLED)
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_suffixes(width, groups), SHUFFLED)
     dealt = rows.repartition(spread(docs.sparkSession, groups.n, 4), "grp").sortWithinPartitions("grp")
-    return (dealt.mapInArrow(_subtrees, FOUND).groupBy("doc_id")
-            .agg(F.collect_list("codes").alias("found"), F.max("every").alias("every")))
+    return dealt.mapInArrow(_subtrees(shards), FOUND)
 
 
 def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:
@@ -192,31 +236,36 @@ def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:
 
 
 def _cleaner(width, emit):
-    """Per row, (words, mask of removed words or None) to ``emit``, which gives the added columns."""
-    def rows(stream):
-        for batch in T.batches(stream):
+    """For each row of a shard, its words and the mask of removed ones (or None) go to ``emit``, which gives the added columns."""
+    def shard(left: pa.Table, right: pa.Table) -> pa.Table:
+        marked: dict[int, list] = {}
+        for d, n, c in zip(right["docs"].to_pylist(), right["counts"].to_pylist(), right["codes"].to_pylist()):
+            d, n, c = np.frombuffer(d, np.int64), np.frombuffer(n, np.int32), np.frombuffer(c, np.uint64)
+            ends = np.cumsum(np.maximum(n, 0))
+            for doc, count, end in zip(d.tolist(), n.tolist(), ends.tolist()):
+                marked.setdefault(doc, []).append(None if count < 0 else c[end - count:end])
+        out = []
+        for batch in T.batches(left.to_batches()):
             words = T.Words(*T.utf8(batch["text"]), T.BLANK)
-            marked = [(f, e) if e is not None else None for f, e in zip(batch["_found"].to_pylist(), batch["_every"].to_pylist())]
+            found = [marked.get(doc) for doc in batch["doc_id"].to_pylist()]
             codes = first = None
-            if any(marked):
+            if any(found):
                 codes, first = path_codes(words, width)
-            out = []
             for i, (a, b) in enumerate(zip(words.offsets[:-1], words.offsets[1:])):
                 pieces = words.data[a:b].tobytes().split()
                 hit = None
-                if marked[i] and first[i + 1] > first[i]:
-                    if marked[i][1]:
+                if found[i] and first[i + 1] > first[i]:
+                    if any(x is None for x in found[i]):
                         hit = np.ones(len(pieces), bool)
                     else:
-                        bad = np.frombuffer(b"".join(marked[i][0]), np.uint64)
-                        starts = np.flatnonzero(np.isin(codes[first[i]:first[i + 1]], bad))
+                        starts = np.flatnonzero(np.isin(codes[first[i]:first[i + 1]], np.concatenate(found[i])))
                         hit = covered(len(pieces), starts, width)
                 out.append(emit(pieces, hit))
-            kept = batch.drop_columns(["_found", "_every"])
-            for name, kind, values in zip(*emit.columns, zip(*out)):
-                kept = kept.append_column(name, pa.array(values, kind))
-            yield from kept.to_batches()
-    return rows
+        kept = left.drop_columns(["_shard"])
+        for k, (name, kind) in enumerate(zip(*emit.columns)):
+            kept = kept.append_column(name, pa.array([row[k] for row in out], kind))
+        return kept
+    return shard
 
 
 class Digest:
@@ -252,11 +301,14 @@ def dedup(docs: DataFrame, width: int = 13, group_rows: int = 2_000_000, emit=No
     """
     emit = emit or Kept()
     added = emit.columns[0]
-    rows = docs.select(*[c for c in (columns or docs.columns) if c not in added and c != "text"], "text")
-    found = repeats(rows, width, group_rows).select(F.col("doc_id").alias("_doc"), F.col("found").alias("_found"), F.coalesce("every", F.lit(False)).alias("_every"))
-    joined = rows.join(found, F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
+    names = [c for c in (columns or docs.columns) if c not in (*added, "text", "_shard")]
+    rows = docs.select(*names, F.col("text").cast("string"))
+    volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = spread(docs.sparkSession, volume, SHARD_BYTES) | 1
+    dealt = rows.withColumn("_shard", shard_column(shards)).repartition(shards, "_shard")
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields]
-    return joined.mapInArrow(_cleaner(width, emit), ", ".join([*kinds, emit.schema]))
+    found = repeats(rows, shards, width, group_rows)
+    return dealt.groupBy("_shard").cogroup(found.groupBy("_shard")).applyInArrow(_cleaner(width, emit), ", ".join([*kinds, emit.schema]))
 
 
 def digests(docs: DataFrame) -> DataFrame:

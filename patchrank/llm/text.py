@@ -46,14 +46,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+BLOCK = 1 << 20
+
+
 def ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Fingerprint of each range of ``values``, independent of where the range stands."""
-    if not len(starts):
-        return np.empty(0, U64)
-    up, down = powers(base, len(values) + 1)
-    sums = np.zeros(len(values) + 1, U64)
-    np.cumsum(values * up[:len(values)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    """Fingerprint of each range of ``values``, independent of where the range stands. ``starts`` and ``ends`` ascend."""
+    out = np.empty(len(starts), U64)
+    a = 0
+    while a < len(starts):  # in blocks, so that scratch space does not follow the batch
+        b = max(a + 1, int(np.searchsorted(starts, starts[a] + BLOCK)))
+        low, high = int(starts[a]), int(ends[b - 1])
+        part = values[low:high]
+        if part.dtype != U64:
+            part = part.astype(U64) + U64(1)
+        up, down = powers(base, len(part) + 1)
+        sums = np.zeros(len(part) + 1, U64)
+        np.cumsum(part * up[:len(part)], out=sums[1:])
+        first = starts[a:b] - low
+        out[a:b] = mix((sums[ends[a:b] - low] - sums[first]) * down[first])
+        a = b
+    return out
 
 
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +105,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """64-bit fingerprint of each word."""
-        return ranges(self.data.astype(U64) + U64(1), self.start, self.end, BYTE_BASE)
+        return ranges(self.data, self.start, self.end, BYTE_BASE)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
