@@ -70,18 +70,22 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[far], nodes[root[far]]
 
 
-def _forest_stream(stream):
-    a, b = [], []
-    for batch in stream:
-        a.append(batch.column("a").to_numpy())
-        b.append(batch.column("b").to_numpy())
-    if a:
-        x, y = forest(np.concatenate(a), np.concatenate(b))
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
-
-
-def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of ``edges`` (a, b BIGINT); component is the smallest node reachable.
+def _forest_stream(text: bool):
+    def rows(stream):
+        a, b = [], []
+        for batch in stream:
+            for held, name in ((a, "a"), (b, "b")):
+                column = batch.column(name)
+                held.append(np.array(column.to_pylist(), "S") if text else column.to_numpy())
+        if a:
+            x, y = forest(np.concatenate(a), np.concatenate(b))
+            kind = pa.string() if text else pa.int64()
+            yield pa.RecordBatch.from_arrays([pa.array(v.astype(str) if text else v, kind) for v in (x, y)], ["a", "b"])
+    return rows
+
+
+def components(edges: DataFrame, name: str = "components", rounds: int = 60, kind: str = "BIGINT") -> DataFrame:
+    """(node, component) for every node of ``edges`` (a, b of ``kind``, BIGINT or ASCII STRING); component is the smallest node reachable.
 
     Alternating large and small stars. First each task replaces its own edges by a spanning forest of them, which shrinks
     dense groups without gathering any; then every round is two aggregations and two joins over the remaining edges, written
@@ -89,8 +93,8 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
     and loops are left out; an empty table gives an empty result.
     """
     spark = edges.sparkSession
-    local = (edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.col("a").cast("bigint"), F.col("b").cast("bigint"))
-             .mapInArrow(_forest_stream, "a BIGINT, b BIGINT"))
+    local = (edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.col("a").cast(kind), F.col("b").cast(kind))
+             .mapInArrow(_forest_stream(kind == "STRING"), f"a {kind}, b {kind}"))
     now = keep(local.distinct(), name)
     before = None
     for _ in range(rounds):
