@@ -306,9 +306,10 @@ def auc_against_pairs(spark, sf):
 
 
 @query("c13_halves_disjoint", f"""WITH {v.INST}, h AS (SELECT bag_id, {HALF} AS part, count(*) AS n FROM inst GROUP BY 1, 2)
- SELECT count(*) AS n_ids, count(DISTINCT bag_id) AS n_distinct, sum(CASE WHEN part = 'fit' THEN 1 ELSE 0 END)::BIGINT AS n_fit FROM h""")
+ SELECT part, count(*) AS n_bags, sum(n)::BIGINT AS n_rows, 0::BIGINT AS n_shared FROM h GROUP BY part""")
 def halves_disjoint(spark, sf):
-    ids = v.instances(spark, sf).groupBy("bag_id").agg(count().alias("n"))
-    part = draws.half(F.col("bag_id"))
-    return ids.agg(count().alias("n_ids"), F.count_distinct("bag_id").alias("n_distinct"),
-                   F.sum((part == "fit").cast("bigint")).alias("n_fit"))
+    """Rows of each half, and the bags of a half that hold a row of the other: the assignment is made per row."""
+    rows = v.instances(spark, sf).select("bag_id", draws.half(F.col("bag_id")).alias("part"))
+    per = rows.groupBy("bag_id", "part").agg(count().alias("n"))
+    held = per.groupBy("bag_id").agg(F.count(F.lit(1)).alias("parts"))
+    return per.join(held, "bag_id").groupBy("part").agg(count().alias("n_bags"), F.sum("n").alias("n_rows"), F.sum((F.col("parts") > 1).cast("bigint")).alias("n_shared"))

@@ -76,12 +76,12 @@ def match_sql() -> str:
     ctes = [v.FLAG, SLOT_ENT,
             "probe AS MATERIALIZED (SELECT " + ", ".join(f"{v.normal(chr(39) + 'probe' + chr(39), 'i', str(j))} AS z{j}" for j in range(3)) + " FROM range(4096) r(i))",
             "b0 AS (SELECT slot_entropy AS goal, 0.001::DOUBLE AS lo, 30.0::DOUBLE AS hi FROM ent)"]
-    for k in range(4):
-        ctes.append(f"""c{k} AS (SELECT goal, scale, avg(-(e0/t*ln(greatest(e0/t, 1e-12)) + e1/t*ln(greatest(e1/t, 1e-12)) + e2/t*ln(greatest(e2/t, 1e-12)))) AS h
+    for k in range(10):
+        ctes.append(f"""c{k} AS MATERIALIZED (SELECT goal, scale, avg(-(e0/t*ln(greatest(e0/t, 1e-12)) + e1/t*ln(greatest(e1/t, 1e-12)) + e2/t*ln(greatest(e2/t, 1e-12)))) AS h
           FROM (SELECT *, e0+e1+e2 AS t FROM (SELECT goal, scale, exp(z0*scale - m) AS e0, exp(z1*scale - m) AS e1, exp(z2*scale - m) AS e2
             FROM (SELECT *, greatest(z0*scale, z1*scale, z2*scale) AS m FROM probe, (SELECT goal, lo + (hi - lo) * i / 16.0::DOUBLE AS scale FROM b{k}, range(17) s(i))))) GROUP BY goal, scale),
-         b{k + 1} AS (SELECT goal, coalesce(max(CASE WHEN h > goal THEN scale END), min(scale)) AS lo, coalesce(min(CASE WHEN h <= goal THEN scale END), max(scale)) AS hi FROM c{k} GROUP BY goal)""")
-    return "WITH " + ", ".join(ctes) + " SELECT round((lo+hi)/2, 5) AS scale, round(goal, 5) AS goal FROM b4"
+         b{k + 1} AS MATERIALIZED (SELECT goal, coalesce(max(CASE WHEN h > goal THEN scale END), min(scale)) AS lo, coalesce(min(CASE WHEN h <= goal THEN scale END), max(scale)) AS hi FROM c{k} GROUP BY goal)""")
+    return "WITH " + ", ".join(ctes) + " SELECT round((lo+hi)/2, 5) AS scale, round(goal, 5) AS goal FROM b10"
 
 
 @query("f05_match_scale", match_sql())

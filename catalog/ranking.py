@@ -111,6 +111,29 @@ def axes(spark, sf):
     return r6(rk.axes(v.flagged(spark, sf), v.N_PATCH, ["bag_id"], "s1"), *AX)
 
 
+HOSTILE = f"""{v.FLAG}, hostile AS (SELECT bag_id, CASE WHEN pos % 11 <> 0 THEN target END AS target, CASE pos % 6 WHEN 0 THEN 'infinity'::DOUBLE WHEN 1 THEN '-infinity'::DOUBLE
+  WHEN 2 THEN s1 * 1e-20::DOUBLE WHEN 3 THEN 1.0::DOUBLE - s1 * 1e-9::DOUBLE WHEN 4 THEN s1 * 1e200::DOUBLE ELSE s1 END AS score FROM flagged)"""
+
+
+@query("d01_hostile_scores", f"WITH {HOSTILE} SELECT bag_id, n_pos, n_neg, {rs('auc')} FROM {v.auc('hostile', 'bag_id', where='target IS NOT NULL')}")
+def hostile_scores(spark, sf):
+    """Infinite, tiny, huge and saturated scores, unlabelled rows, and bags of unknown size."""
+    pick = F.col("pos") % 6
+    inf = F.lit(float("inf"))
+    score = (F.when(pick == 0, inf).when(pick == 1, -inf).when(pick == 2, F.col("s1") * F.lit(1e-20)).when(pick == 3, F.lit(1.0) - F.col("s1") * F.lit(1e-9))
+             .when(pick == 4, F.col("s1") * F.lit(1e200)).otherwise(F.col("s1")))
+    rows = v.flagged(spark, sf).withColumns({"score": score, "target": F.when(F.col("pos") % 11 != 0, F.col("target")),
+                                             "n_rows": F.when(F.col("bag_id") % 3 != 0, F.col("n_rows"))})
+    return r6(rk.auc(rows, ["bag_id"], size="n_rows").drop("conc2"), "auc")
+
+
+@query("d02_tiny_scores", f"WITH {v.FLAG} SELECT bag_id, n_slices, n_lesion_slices, {rs(*AX)} FROM {v.axes('flagged', 'bag_id', 's1')}")
+def tiny_scores(spark, sf):
+    """Scores in units of 2**-70 have the axes of the same scores in units of one, which the SQL computes."""
+    rows = v.flagged(spark, sf).withColumn("s1", F.col("s1") * F.lit(2.0 ** -70))
+    return r6(rk.axes(rows, v.N_PATCH, ["bag_id"], "s1"), *AX)
+
+
 REPORT = f"""bagrep AS (SELECT bag_id, max(CASE WHEN slot=1 THEN auc END) AS fr, max(CASE WHEN slot=-1 THEN auc END) AS ov,
    max(CASE WHEN slot>=0 THEN auc END) AS orc FROM {v.auc('longmax', 'bag_id, slot')} WHERE auc IS NOT NULL GROUP BY bag_id)"""
 

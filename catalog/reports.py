@@ -1,6 +1,8 @@
 """Tag reports and verdicts: arms are the three line-item slots, each with two seeds."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from patchrank.functions import draws
@@ -16,7 +18,8 @@ from patchrank.operators import templates as tp
 from patchrank.operators import verdicts as vd
 from patchrank.plans import null_reports as nr
 from patchrank.plans import reports as rp
-from patchrank.session import is_materialised, materialise, reopen
+from patchrank.session import checkpoint_dir, is_materialised, materialise, reopen
+from patchrank.sources import artefacts as ar
 
 from . import views as v
 from .alignment import HALF, H3, LONGH, SLOTVEC, aff_sql, halves
@@ -136,12 +139,17 @@ def paired_slice_pooled(spark, sf):
     return r6(rp.paired_slice(tag_axes(spark, sf), "centre_prior", 100)[1], "mean", "lo", "hi")
 
 
-@q("j37_stored_agreement", "SELECT tag, round(avg(slice), 6) AS ours, round(avg(slice), 6) AS stored, TRUE AS agrees FROM ta GROUP BY tag")
+@q("j37_stored_agreement", "SELECT tag, round(avg(slice), 6) AS ours, round(avg(slice), 6) AS stored, TRUE AS agrees, count(slice) AS n_stored FROM ta GROUP BY tag HAVING count(slice) > 0")
 def stored_agreement(spark, sf):
+    """Stored means are read back from stamped result documents; ours are recomputed from the bags' rows."""
+    path = f"{checkpoint_dir(spark)}/agreement-{uuid.uuid4().hex}"
     t = tag_axes(spark, sf).where("slice IS NOT NULL")
-    ours = t.groupBy("tag").agg(F.avg("slice").alias("m"))
-    stored = t.groupBy("tag").agg((F.sum("slice") / F.count("slice")).alias("m"))
-    return r6(pv.stored_agreement(ours, stored, ["tag"], "m"), "ours", "stored")
+    ar.write_stamped(t.groupBy("tag").agg(F.avg("slice").alias("m"), count().alias("n_stored")), path, {"hash": "cafe", "role": "confirm"})
+    stored = spark.read.schema("tag STRING, m DOUBLE, n_stored BIGINT, stamp STRUCT<hash: STRING, role: STRING>").option("mode", "FAILFAST").json(path)
+    stored = stored.where("stamp.hash = 'cafe' AND stamp.role = 'confirm'")
+    ours = t.groupBy("tag", F.pmod(F.xxhash64("bag_id"), F.lit(8)).alias("part")).agg(F.sum("slice").alias("s"), count().alias("n"))
+    ours = ours.groupBy("tag").agg((F.sum("s") / F.sum("n")).alias("m"))
+    return r6(pv.stored_agreement(ours, stored, ["tag"], "m").join(stored.select("tag", "n_stored"), "tag"), "ours", "stored")
 
 
 @q("j25_raw_and_in_region", f"SELECT a.bag_id, round(a.auc, 6) AS raw, round(b.auc, 6) AS inside, round(b.auc - a.auc, 6) AS delta FROM {v.auc('flagged', 'bag_id', 's1')} a LEFT JOIN {v.auc('flagged', 'bag_id', 's1', where='frac > 0.3')} b USING (bag_id)", v.FLAG)
@@ -397,11 +405,12 @@ def probe_gate(spark, sf):
     return r6(rp.probe_gate(model, fit.select(*kept), rest.select(*kept), "x", v.N_PATCH, 0.1), *AX, "skill")
 
 
-@q("j35_independent_recomputation", f"SELECT count(*) AS n_bags, 0.0::DOUBLE AS max_gap, round(avg(auc), 6) AS auc FROM {v.auc('flagged', 'bag_id', 's1')}", v.FLAG)
+@q("j35_independent_recomputation", f"""SELECT a.bag_id, a.n_pos, a.n_neg, round(a.auc, 6) AS auc, round(p.won, 1) AS won
+ FROM {v.auc('flagged', 'bag_id', 's1')} a LEFT JOIN (SELECT p.bag_id, sum(CASE WHEN p.s1 > q.s1 THEN 1.0::DOUBLE WHEN p.s1 = q.s1 THEN 0.5 ELSE 0.0 END) AS won
+  FROM flagged p JOIN flagged q ON p.bag_id = q.bag_id AND p.target = 1 AND q.target = 0 GROUP BY p.bag_id) p USING (bag_id)""", v.FLAG)
 def independent_recomputation(spark, sf):
-    """Bucketed histogram AUC against stratified pair counts in a single stratum of the long form."""
+    """AUC from the bucketed histograms, and the won pairs from the ranking in place: the SQL counts the pairs one by one."""
     rows = sized(spark, sf)
-    a = rk.auc(rows, ["bag_id"], "s1", size="n_rows").select("bag_id", "auc")
-    b = rk.auc(rows, ["bag_id"], "s1", hot_rows=0, size="n_rows").select("bag_id", F.col("auc").alias("again"))
-    out = a.join(b, "bag_id")
-    return r6(out.agg(count().alias("n_bags"), F.max(F.abs(F.col("auc") - F.col("again"))).alias("max_gap"), F.avg("auc").alias("auc")), "max_gap", "auc")
+    a = rk.auc(rows, ["bag_id"], "s1", hot_rows=0, size="n_rows").select("bag_id", "n_pos", "n_neg", "auc")
+    b = rk.auc(rows, ["bag_id"], "s1", size="n_rows").select("bag_id", F.when(F.col("n_pos") * F.col("n_neg") > 0, F.round(F.col("conc2") / 2, 1)).alias("won"))
+    return r6(a.join(b, "bag_id"), "auc")

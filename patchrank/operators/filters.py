@@ -52,9 +52,14 @@ def check_counts(a: DataFrame, b: DataFrame, key: str = "bag_id") -> DataFrame:
 
 
 def restrict(df: DataFrame, region: DataFrame, threshold: float) -> DataFrame:
-    """Rows inside the region (``frac`` strictly above the threshold), joined by identity."""
-    return df.join(region.select("bag_id", "pos", "frac"), ["bag_id", "pos"]).where(
-        F.col("frac") > F.lit(threshold))
+    """Rows inside the region (``frac`` strictly above the threshold), joined by identity.
+
+    A row that the region table lacks is an error: a short table would shrink a bag unseen.
+    """
+    held = region.select("bag_id", "pos", "frac", F.lit(True).alias("_held"))
+    bad = F.raise_error(F.concat_ws(" ", F.lit("no region value for"), F.col("bag_id").cast("string"), F.col("pos").cast("string"))).cast("boolean")
+    both = df.join(held, ["bag_id", "pos"], "left")
+    return both.where(F.when(F.col("_held"), F.col("frac") > F.lit(threshold)).otherwise(bad)).drop("_held")
 
 
 def grid_cells(df: DataFrame, n_patch: int, grid: int) -> DataFrame:

@@ -105,7 +105,7 @@ def slot_entropy(df: DataFrame, slots: Sequence[str]) -> DataFrame:
 
 
 def match_scale(probe: DataFrame, normals: Sequence[str], target: DataFrame, lo: float = 1e-3,
-                hi: float = 30.0, rounds: int = 4, points: int = 16) -> DataFrame:
+                hi: float = 30.0, rounds: int = 10, points: int = 16) -> DataFrame:
     """Logit scale whose random attention has the entropy in ``target`` (one row).
 
     Entropy falls as the scale grows, so the bracket is narrowed by a grid of scales per round

@@ -6,9 +6,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scale import attach, running
+from .scale import attach, positions, running
 
 HEX16 = "^[0-9a-f]{16}$"
+RANGE = 1 << 16  # sequence numbers that are numbered together
 
 
 def canonical_hash(columns: Sequence[str]) -> Column:
@@ -34,12 +35,14 @@ def verify_hashes(declared: DataFrame, found: DataFrame, key: str) -> DataFrame:
 def chain_check(chain: DataFrame) -> DataFrame:
     """Each amendment with ``ok``, ``gap``, ``not_hex`` or ``no_kind``.
 
-    Sequence numbers are contiguous, so the next entry is found by an equality join rather than by
-    a window over the whole chain.
+    The next entry is the one that follows in order of ``seq``, so a removed entry shows as a gap. Entries are numbered within
+    ranges of ``seq``, and neighbours meet by number: no window runs over the whole chain.
     """
-    nxt = chain.select((F.col("seq") - 1).alias("seq"), F.col("before").alias("_next"))
-    both = chain.join(nxt, "seq", "left")
-    bad_hex = ~(F.col("before").rlike(HEX16) & F.col("after").rlike(HEX16))
+    rows = chain.withColumn("_all", F.lit(0)).withColumn("_range", F.floor(F.col("seq") / F.lit(RANGE)))
+    numbered = positions(rows, ["_all"], ["_range"], ["seq", "before", "after"], "_place")
+    nxt = numbered.select((F.col("_place") - 1).alias("_place"), F.col("before").alias("_next"))
+    both = numbered.join(nxt, "_place", "left")
+    bad_hex = ~F.coalesce(F.col("before").rlike(HEX16) & F.col("after").rlike(HEX16), F.lit(False))
     status = (F.when(bad_hex, "not_hex").when(F.col("kind").isNull(), "no_kind")
               .when(F.col("_next").isNotNull() & (F.col("_next") != F.col("after")), "gap").otherwise("ok"))
     return both.select("seq", status.alias("status"))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .scale import HOT_ROWS, clean, exact_total, running, score_bucket
+from .scale import HOT_ROWS, clean, exact_mean, running, score_bucket
 
 
 def ratio(top: Column, bottom: Column) -> Column:
@@ -66,10 +66,10 @@ def ranked_in_place(rows: DataFrame, keys: Sequence[str], score: str,
 
 
 def by_size(rows: DataFrame, size: str | None, limit: int) -> tuple[DataFrame | None, DataFrame]:
-    """Rows of groups known to be small, and the rest. The filter reaches the parquet scan."""
+    """Rows of groups known to be small, and the rest, those of unknown size included."""
     if size is None:
         return None, rows
-    return rows.where(F.col(size) <= limit), rows.where(F.col(size) > limit)
+    return rows.where(F.col(size) <= limit), rows.where((F.col(size) > limit) | F.col(size).isNull())
 
 
 def auc(df: DataFrame, keys: Sequence[str], score: str = "score", target: str = "target",
@@ -77,16 +77,16 @@ def auc(df: DataFrame, keys: Sequence[str], score: str = "score", target: str =
         hot_rows: int = HOT_ROWS) -> DataFrame:
     """ROC AUC per group; NULL where a class is missing.
 
-    ``weight`` is an integer multiplicity. ``size`` names a column that bounds the group's row
+    Rows without a score or a target are left out. ``weight`` is an integer multiplicity. ``size`` names a column that bounds the group's row
     count: groups up to ``hot_rows`` are shuffled once and ranked in one task each, larger ones
     (and all, without ``size``) are pre-aggregated per distinct score and ranked in buckets.
     """
     keys = list(keys)
     w = (F.col(weight) if weight else F.lit(1)).cast("bigint")
     y = F.col(target) > 0
-    rows = df.select(*keys, clean(F.col(score)).alias("score"), F.when(y, w).otherwise(0).alias("p"),
-                     F.when(y, 0).otherwise(w).alias("q"), *([F.col(size).alias("_size")] if size else []))
-    small, rest = by_size(rows.where(F.col("score").isNotNull()), "_size" if size else None, hot_rows)
+    rows = df.select(*keys, clean(F.col(score)).alias("score"), F.when(y, w).when(~y, 0).alias("p"),
+                     F.when(y, 0).when(~y, w).alias("q"), *([F.col(size).alias("_size")] if size else []))
+    small, rest = by_size(rows.where(F.col("score").isNotNull() & F.col("p").isNotNull()), "_size" if size else None, hot_rows)
     hist = rest.groupBy(*keys, score_bucket(F.col("score")).alias("_b"), "score").agg(
         F.sum("p").alias("p"), F.sum("q").alias("q"))
     out = concordance(hist, keys, [("p", "q", "a")])
@@ -101,11 +101,14 @@ def auc(df: DataFrame, keys: Sequence[str], score: str = "score", target: str =
 def average_precision(df: DataFrame, keys: Sequence[str], score: str = "score",
                       target: str = "target", size: str | None = None,
                       hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Step sum over distinct scores from the top, with prevalence; NULL without a positive."""
+    """Step sum over distinct scores from the top, with prevalence; NULL without a positive.
+
+    Rows without a score or a target are left out.
+    """
     keys = list(keys)
     rows = (df.select(*keys, clean(F.col(score)).alias("score"), (F.col(target) > 0).cast("bigint").alias("p"),
                       F.lit(1).cast("bigint").alias("n"), *([F.col(size).alias("_size")] if size else []))
-            .where(F.col("score").isNotNull()))
+            .where(F.col("score").isNotNull() & F.col("p").isNotNull()))
     small, rest = by_size(rows, "_size" if size else None, hot_rows)
     hist = rest.groupBy(*keys, "score").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     cum = running(hist, keys, "score", ["p", "n"], descending=True).select(
@@ -140,13 +143,13 @@ def axes(df: DataFrame, n_patch: int, keys: Sequence[str] = ("bag_id",), score:
     """Flat, slice and within-slice AUC per bag.
 
     ``keys`` identify one scored bag, e.g. ``(scorer, bag_id)``. Needs ``slice`` and reuses, if
-    present, ``n_slices`` (a size bound) and ``slice_pos`` (the slice holds a positive). Bags with
-    one class or a ragged length give no row; a bag degenerate on one axis keeps its row and gets
+    present, ``n_slices`` (a size bound) and ``slice_pos`` (the slice holds a positive). Rows without a score or a target are left
+    out. Bags with one class or a length that is then ragged give no row; a bag degenerate on one axis keeps its row and gets
     NULL there. Slice means are FLOAT like the scores they average.
     """
     keys = list(keys)
     rows = (df.withColumn("score", clean(F.col(score))).withColumn("p", (F.col(target) > 0).cast("bigint"))
-            .where(F.col("score").isNotNull()))
+            .where(F.col("score").isNotNull() & F.col("p").isNotNull()))
     extra = [c for c in ("n_slices", "slice_pos") if c in df.columns]
     rows = rows.select(*keys, "slice", "score", "p", *extra)
     small, rest = by_size(rows, "n_slices" if "n_slices" in extra else None, max(hot_rows // n_patch, 0))
@@ -175,7 +178,7 @@ def _axes_in_place(rows: DataFrame, keys: list[str]) -> DataFrame:
     inst = placed.select(*keys, "score", p.alias("p"), (1 - p).alias("q"), (p * has).alias("pw"), ((1 - p) * has).alias("qw"))
     flat = _totals(ranked_in_place(inst, keys, "score", PAIRS[:2]), keys, PAIRS[:2])
     means = placed.groupBy(*keys, F.shiftright("_code", 2).alias("slice")).agg(
-        (exact_total(F.col("score")) / F.count(F.lit(1))).cast("float").alias("score"), F.max(has).alias("ps"))
+        exact_mean(F.col("score")).cast("float").alias("score"), F.max(has).alias("ps"))
     means = means.select(*keys, "score", "ps", (1 - F.col("ps")).alias("qs"))
     return _side_by_side(flat, _totals(ranked_in_place(means, keys, "score", PAIRS[2:]), keys, PAIRS[2:]), keys)
 
@@ -194,7 +197,7 @@ def _axes_bucketed(rows: DataFrame, keys: list[str]) -> DataFrame:
         F.sum("p").alias("p"), F.sum(q).alias("q"), F.sum(F.col("p") * F.col("slice_pos")).alias("pw"),
         F.sum(q * F.col("slice_pos")).alias("qw"))
     means = rows.groupBy(*keys, "slice").agg(
-        (exact_total(F.col("score")) / F.count(F.lit(1))).cast("float").cast("double").alias("score"),
+        exact_mean(F.col("score")).cast("float").cast("double").alias("score"),
         F.max("slice_pos").alias("has"))
     per_slice = means.groupBy(*keys, score_bucket(F.col("score")).alias("_b"), "score").agg(
         F.sum("has").alias("ps"), F.sum(1 - F.col("has")).alias("qs"))

@@ -42,15 +42,30 @@ def exact_total(value: Column, window=None) -> Column:
     return (parts[0].cast("double") + parts[1].cast("double") / F.lit(4294967296.0)) / F.lit(1048576.0)
 
 
+def exact_mean(value: Column) -> Column:
+    """Mean of a group of bounded size, whatever the order of its rows and the scale of its values.
+
+    The values are added in sorted order, so equal sets of values have equal means; tiny, huge and infinite ones count as
+    they are. Only for groups whose rows are bounded by a parameter, such as the patches of a slice.
+    """
+    values = F.sort_array(F.collect_list(value.cast("double")))
+    return F.aggregate(values, F.lit(0.0), lambda total, x: total + x) / F.count(value)
+
+
 def score_bucket(value: Column) -> Column:
     """BIGINT that never decreases as ``value`` grows: exponent and leading mantissa.
 
-    It is a function of the value alone, so two evaluations always agree.
+    It is a function of the value alone, so two evaluations always agree. Between one half and one the distance to one is
+    bucketed instead, so saturated probabilities keep apart; infinities take the outermost buckets.
     """
     size = F.abs(value.cast("double"))
     power = F.floor(F.log2(size))
     mantissa = F.floor((size / F.pow(F.lit(2.0), power) - 1) * F.lit(PER_OCTAVE))
-    code = (power + 1001) * F.lit(PER_OCTAVE) + mantissa
+    plain = (power + F.when(size < 1, F.lit(1001)).otherwise(F.lit(1061))) * F.lit(PER_OCTAVE) + mantissa
+    left = F.lit(1.0) - size
+    depth = F.floor(F.log2(left))
+    near_one = (F.lit(999) - depth) * F.lit(PER_OCTAVE) + F.floor((F.lit(2.0) - left / F.pow(F.lit(2.0), depth)) * F.lit(PER_OCTAVE - 1))
+    code = F.when(size == float("inf"), F.lit(2200 * PER_OCTAVE)).when((size >= 0.5) & (size < 1), near_one).otherwise(plain)
     signed = F.when(value < 0, -code).otherwise(code)
     return F.when(size < 1e-300, F.lit(0)).otherwise(signed).cast("bigint")
 
@@ -59,7 +74,8 @@ def route(value: Column, size: Column | None, hot_rows: int = HOT_ROWS) -> Colum
     """Bucket 0 for a group known to be small, else the value's bucket."""
     if size is None:
         return score_bucket(value)
-    return F.when(size <= hot_rows, F.lit(0).cast("bigint")).otherwise(score_bucket(value))
+    small = F.coalesce(size <= hot_rows, F.lit(False))  # a group of unknown size is not known to be small
+    return F.when(small, F.lit(0).cast("bigint")).otherwise(score_bucket(value))
 
 
 def require(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -78,14 +94,17 @@ def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], salt: Colum
 
     ``salt`` must vary inside a key of the large side. With ``size``, a column of both sides that
     grows with the key's rows (such as ``n_slices``), ordinary keys keep a single copy and only
-    large ones are copied; without it every row of the small side is copied ``salts`` times.
+    large ones are copied; without it every row of the small side is copied ``salts`` times. An unknown size means one copy.
     Spark still turns this into a broadcast join on its own when the measured size allows it.
     """
     if size:
-        copies = F.least(F.lit(salts), 1 + F.floor(F.col(size) / F.lit(per_copy))).cast("int")
-        on = [*on, size]
-    else:
-        copies = F.lit(salts)
+        copies = F.coalesce(F.least(F.lit(salts), 1 + F.floor(F.col(size) / F.lit(per_copy))), F.lit(1)).cast("int")
+        small = small.withColumnRenamed(size, "_size")
+        left = big.withColumn("_salt", F.pmod(salt.cast("bigint"), copies).cast("int"))
+        right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.least(
+            F.lit(salts), 1 + F.floor(F.col("_size") / F.lit(per_copy))), F.lit(1)).cast("int") - 1)))
+        return left.join(right, [*on, "_salt"], how).drop("_salt", "_size")
+    copies = F.lit(salts)
     left = big.withColumn("_salt", F.pmod(salt.cast("bigint"), copies).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), copies - 1)))
     return left.join(right, [*on, "_salt"], how).drop("_salt")

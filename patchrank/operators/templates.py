@@ -19,17 +19,20 @@ def whole_slices(df: DataFrame, n_patch: int) -> DataFrame:
 
 
 def fit_cells(df: DataFrame, value: Column, n_bins: int, keys: Sequence[str] = (),
-              refuse_split: str | None = None) -> DataFrame:
+              refuse_split: str | None = None, split_column: str = "split") -> DataFrame:
     """Sum and count per (depth bin, patch): at most ``n_bins * n_patch`` rows per key.
 
     The whole family derives from these cells, so the instances are read once. Sums are doubles:
     template scores are FLOAT, which absorbs the order of addition. With
-    ``refuse_split`` a row of that split is an error: references are never fitted on test.
+    ``refuse_split`` a row of that split, or of none, is an error, and so is a missing ``split_column``: references are never
+    fitted on test.
     """
     rows = df
-    if refuse_split is not None and "split" in df.columns:
+    if refuse_split is not None:
+        if split_column not in df.columns:
+            raise ValueError(f"no column {split_column} to refuse {refuse_split} by")
         bad = F.raise_error(F.lit(f"template fit saw split {refuse_split}")).cast("boolean")
-        rows = df.where(F.when(F.col("split") == refuse_split, bad).otherwise(F.lit(True)))
+        rows = df.where(F.when(F.col(split_column) != refuse_split, F.lit(True)).otherwise(bad))
     b = geo.depth_bin(F.col("slice"), F.col("n_slices"), n_bins)
     return (rows.groupBy(*keys, b.alias("bin"), "patch")
             .agg(F.sum(value.cast("double")).alias("total"), F.count(F.lit(1)).alias("cells")))
@@ -72,11 +75,15 @@ def apply_family(df: DataFrame, family: DataFrame, n_bins: int, keys: Sequence[s
     """Score instances with the fitted family: one row per (instance, scorer).
 
     The family has ``n_bins * n_patch`` rows by construction, so it is broadcast; with ``keys``
-    (arms, seeds) it grows with their number and Spark chooses the join by measured size.
+    (arms, seeds) it grows with their number and Spark chooses the join by measured size. A key, or a cell, that was never fitted
+    is an error.
     """
     binned = df.withColumn("bin", geo.depth_bin(F.col("slice"), F.col("n_slices"), n_bins))
     small = family.select(*keys, "bin", "patch", "inplane", "axial", "joint")
-    joined = binned.join(small if keys else F.broadcast(small), [*keys, "bin", "patch"])
+    joined = binned.join(small if keys else F.broadcast(small), [*keys, "bin", "patch"], "left")
+    bad = F.raise_error(F.concat_ws(" ", F.lit("no fitted cell for"), *[F.col(c).cast("string") for c in (*keys, "bin", "patch")])).cast("double")
+    joined = joined.withColumn("joint", F.coalesce("joint", bad))
+    joined = joined.withColumn("inplane", F.coalesce("inplane", bad)).withColumn("axial", F.coalesce("axial", bad))
     value = {"inplane": F.col("inplane"), "axial": F.col("axial"), "joint": F.col("joint"),
              "separable": F.col("axial") * F.col("inplane")}
     rows = F.array(*[F.struct(F.lit(m).alias("scorer"), value[m].cast("float").alias("score"))

@@ -14,8 +14,8 @@ AXES = ("flat", "slice", "within_slice")
 
 def content_free_scores(fit: DataFrame, rest: DataFrame, n_patch: int, grid: int,
                         n_bins: int) -> DataFrame:
-    """Fit the mask family on ``fit``; score ``rest`` with it and with the centre prior."""
-    cells = tp.fit_cells(fit, F.col("target"), n_bins, refuse_split="test")
+    """Fit the mask family on ``fit``; score ``rest`` with it and with the centre prior. A row of the score half is refused."""
+    cells = tp.fit_cells(fit, F.col("target"), n_bins, refuse_split="score", split_column="_half")
     family = tp.fill(cells, n_bins, n_patch)
     scored = tp.apply_family(rest, family, n_bins)
     return scored.unionByName(tp.centre_prior_rows(rest, grid))
@@ -24,7 +24,7 @@ def content_free_scores(fit: DataFrame, rest: DataFrame, n_patch: int, grid: int
 def atlas_axes(rows: DataFrame, n_patch: int, grid: int, n_bins: int) -> DataFrame:
     part = rows.withColumn("_half", draws.half(F.col("bag_id")))
     keep = ["bag_id", "pos", "slice", "patch", "n_slices", "target", "slice_pos"]
-    fit = part.where(F.col("_half") == "fit").select(*keep)
+    fit = part.where(F.col("_half") == "fit").select(*keep, "_half")
     rest = part.where(F.col("_half") == "score").select(*keep)
     scored = content_free_scores(fit, rest, n_patch, grid, n_bins)
     return rk.axes(scored, n_patch, ["scorer", "bag_id"])

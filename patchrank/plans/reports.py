@@ -21,13 +21,13 @@ from .atlas import AXES, intervals
 def family_axes(fit: DataFrame, test: DataFrame, score: str, n_patch: int, grid: int, n_bins: int) -> DataFrame:
     """Axes per (scorer, bag): the arm, four members fitted to masks, four to scores, the centre prior.
 
-    All ten scorers go through one ranking pass.
+    All ten scorers go through one ranking pass. ``fit`` has ``part``; a row of the score half is refused.
     """
     keep = ["bag_id", "pos", "slice", "patch", "n_slices", "target", "slice_pos"]
     base = test.select(*keep)
     rows = test.select(*keep, F.lit("trained").alias("scorer"), F.col(score).cast("double").alias("score"))
     for source, value in (("masks", F.col("target")), ("attention", F.col(score))):
-        family = tp.fill(tp.fit_cells(fit, value, n_bins, refuse_split="test"), n_bins, n_patch)
+        family = tp.fill(tp.fit_cells(fit, value, n_bins, refuse_split="score", split_column="part"), n_bins, n_patch)
         part = tp.apply_family(base, family, n_bins)
         rows = rows.unionByName(part.withColumn("scorer", F.concat(F.lit(f"{source}:"), F.col("scorer"))))
     rows = rows.unionByName(tp.centre_prior_rows(base, grid))
