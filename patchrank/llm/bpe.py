@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchrank.llm.common import spread
+from patchrank.llm.common import schema_with, spread
 
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed value: the byte-level word rule
 SHARD_BYTES = 8 << 20
@@ -181,7 +181,7 @@ def _join(spec: str, emit):
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, emit=None, columns=None) -> DataFrame:
-    """``columns`` of ``docs`` (all by default), text included, with ``ids`` or what ``emit`` adds instead.
+    """``columns`` of ``docs`` (all by default, text last) with ``ids`` or what ``emit`` adds instead.
 
     A null text is empty and has no ids. A column named like an added one is replaced; other extra columns pass through.
     """
@@ -189,13 +189,14 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, emit=None, columns=None) ->
     spark = docs.sparkSession
     volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = spread(spark, volume, SHARD_BYTES)
-    names = [c for c in (columns or docs.columns) if c not in (*emit.columns[0], "text", "shard")]
-    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(names).schema.fields), "text STRING", emit.schema])
+    base = docs.select(*columns) if columns else docs.drop("text")
     key = F.pmod(F.xxhash64(*[F.col(c) for c in ["text", "doc_id"] if c in docs.columns]), F.lit(shards)).cast("int")
-    dealt = docs.select(*names, F.col("text").cast("string"), key.alias("shard")).repartition(shards, "shard")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in base.columns if c not in emit.columns[0]]).alias("row"), F.col("text").cast("string"), key.alias("shard"))
+    dealt = rows.repartition(shards, "shard")
     asked = dealt.mapInArrow(_ask(vocabulary.spec, shards), ASKED)
     answers = asked.repartition(shards, "part").mapInArrow(_answer(vocabulary.spec), ANSWERED)
-    return dealt.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_join(vocabulary.spec, emit), kinds)
+    joined = dealt.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_join(vocabulary.spec, emit), schema_with(rows.drop("shard"), emit.schema))
+    return joined.select("row.*", *([] if columns else ["text"]), *emit.columns[0])
 
 
 def _decoder(spec: str):
@@ -212,10 +213,9 @@ def _decoder(spec: str):
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """``encoded`` with ``text`` made of the pieces of ``ids``; null ids give an empty text, null entries are left out."""
-    fields = [f for f in encoded.schema.fields if f.name != "text"]
-    return encoded.mapInArrow(_decoder(vocabulary.spec), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "text STRING"]))
+    return encoded.mapInArrow(_decoder(vocabulary.spec), schema_with(encoded.drop("text"), "text STRING"))
 
 
 def digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 per document."""
-    return encode(docs, vocabulary, Digest(), ["doc_id"]).drop("text")
+    return encode(docs, vocabulary, Digest(), ["doc_id"])

@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from patchrank.session import checkpoint_dir
 
@@ -20,6 +21,22 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def packed(df: DataFrame, *columns) -> DataFrame:
+    """All columns of ``df`` as one struct ``row`` beside ``columns``: no name of the caller's can clash with an operator's."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *columns)
+
+
+def unpacked(df: DataFrame, names, **changed) -> DataFrame:
+    """The columns ``names`` of ``row``, with those in ``changed`` replaced or added."""
+    rest = [F.col(f"row.`{c}`").alias(c) if c not in changed else changed[c].alias(c) for c in names]
+    return df.select(*rest, *[v.alias(k) for k, v in changed.items() if k not in names])
+
+
+def schema_with(df: DataFrame, ddl: str) -> StructType:
+    """The schema of ``df`` followed by the fields of ``ddl``."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to shared storage and read it back: lineage ends here and lost executors cost nothing."""
     path = shared_path(df.sparkSession, name)

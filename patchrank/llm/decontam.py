@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patchrank.llm import text as T
-from patchrank.llm.common import keep
+from patchrank.llm.common import keep, packed, schema_with, unpacked
 
 END, GAP, FIRST = 0, 1, 2  # symbols before the vocabulary
 SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -229,13 +229,12 @@ def mark(docs: DataFrame, benchmark: DataFrame, width: int = 13, block_bytes: in
     blocks = -(-int(total) // block_bytes) or 1
     items = benchmark.select("item_id", F.col("text").cast("string"))
     names = [c for c in docs.columns if c not in ("_words", "_hit", "_spans", "_items")]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(names).schema.fields)
     added = "_words BIGINT, _hit BIGINT, _spans ARRAY<STRUCT<start: BIGINT, end: BIGINT>>, _items ARRAY<STRING>"
     out = docs.select(names).withColumns({"_spans": F.lit(None).cast("array<struct<start:bigint,end:bigint>>"), "_items": F.lit(None).cast("array<string>")})
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         phrases = Phrases(part.toArrow(), width)  # bounded by block_bytes
-        out = (keep(out, "decontam-block") if k else out).mapInArrow(_marker(phrases, source), f"{kinds}, {added}")
+        out = (keep(out, "decontam-block") if k else out).mapInArrow(_marker(phrases, source), schema_with(docs.select(names), added))
     return out
 
 
@@ -253,7 +252,7 @@ def digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, as they are."""
-    return mark(docs, benchmark).where(~contaminated()).select(docs.columns)
+    return unpacked(mark(packed(docs, "text"), benchmark).where(~contaminated()), docs.columns)
 
 
 def _cut(stream):
@@ -272,6 +271,5 @@ def _cut(stream):
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` with every merged span cut out of its text; a null text becomes empty."""
-    marked = mark(docs, benchmark)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema.fields)
-    return marked.mapInArrow(_cut, kinds).select(docs.columns)
+    marked = mark(packed(docs, "text"), benchmark)
+    return unpacked(marked.mapInArrow(_cut, marked.schema), docs.columns, text=F.col("text"))

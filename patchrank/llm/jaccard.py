@@ -97,7 +97,7 @@ def signatures(members: np.ndarray, classes: Classes) -> np.ndarray:
 
 def _signer(width, percent, groups):
     def rows(stream):
-        for batch in T.batches(stream, 8 << 20):
+        for batch in T.batches(stream):
             ids = batch["doc_id"]
             known = ids.is_valid().to_numpy()
             ids = ids.fill_null(0).to_numpy()
@@ -252,7 +252,7 @@ def _products(percent):
     return rows
 
 
-def links(docs: DataFrame, width: int = 3, percent: int = 90, block: int = 2_000_000, group_rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, width: int = 3, percent: int = 90, block: int = 1_000_000, group_rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """(sizes, components): rows (doc_id, n_shingles) for every row of ``docs``, and (node, component) for every linked doc_id.
 
     ``block`` bounds the shingles of one chunk of a family. A text without words has an empty set and no links. Rows without a doc_id

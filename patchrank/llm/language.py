@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patchrank.llm import text as T
+from patchrank.llm.common import schema_with
 from patchrank.llm.quality import held_out
 
 SAMPLE, GRAM, BITS, HASHES, CAPACITY = 1000, 4, 18, 3, 20_000
@@ -134,8 +135,7 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
     get the first language and an even score. Columns with these names are replaced.
     """
     rows = docs.drop("lang_pred", "score").withColumn("text", F.col("text").cast("string"))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields]
-    return rows.mapInArrow(_identifier(filters), ", ".join([*kinds, "lang_pred STRING, score DOUBLE"]))
+    return rows.mapInArrow(_identifier(filters), schema_with(rows, "lang_pred STRING, score DOUBLE"))
 
 
 def predictions(docs: DataFrame) -> DataFrame:

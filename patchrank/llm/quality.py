@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchrank.llm import text as T
+from patchrank.llm.common import packed, schema_with, unpacked
 
 SAMPLE = 4000
 BITS = 17
@@ -129,8 +130,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     A column named score is replaced; rows and all other columns stay.
     """
     rows = docs.drop("score").withColumn("text", F.col("text").cast("string"))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields]
-    return rows.mapInArrow(_scorer(model), ", ".join([*kinds, "score DOUBLE"]))
+    return rows.mapInArrow(_scorer(model), schema_with(rows, "score DOUBLE"))
 
 
 def predictions(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
@@ -141,5 +141,4 @@ def predictions(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataF
 
 def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject."""
-    kept = score(docs.withColumnRenamed("score", "_own") if "score" in docs.columns else docs, fit(docs, labels)).where(F.col("score") >= least).drop("score")
-    return (kept.withColumnRenamed("_own", "score") if "score" in docs.columns else kept).select(docs.columns)
+    return unpacked(score(packed(docs, "text"), fit(docs, labels)).where(F.col("score") >= least), docs.columns)

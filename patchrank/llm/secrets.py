@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from patchrank.llm.common import keep
+from patchrank.llm.common import keep, packed, unpacked
 
 LEDGER = "blob BINARY, rule STRING, version STRING, gaps ARRAY<INT>, sizes ARRAY<INT>, valid ARRAY<BOOLEAN>"
 
@@ -104,10 +104,10 @@ def findings(ledger: DataFrame, rules=RULES) -> DataFrame:
 
 def by_path(versions: DataFrame, ledger: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
     """``versions`` with ``_spans``, an array of (start, rank, end, kind) in order, empty where the blob is clean."""
-    found = findings(ledger, rules).groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "end", "kind"))).alias("_spans"))
+    found = findings(ledger, rules).groupBy(F.col("blob").alias("_found")).agg(F.sort_array(F.collect_list(F.struct("start", "rank", "end", "kind"))).alias("_spans"))
     named = with_blob(versions, text)
     none = F.array().cast(found.schema["_spans"].dataType)
-    return (named.join(found, named["_blob"] == found["blob"], "left").withColumn("_spans", F.coalesce("_spans", none)).drop("blob", "_blob"))
+    return (named.join(found, named["_blob"] == found["_found"], "left").withColumn("_spans", F.coalesce("_spans", none)).drop("_found", "_blob"))
 
 
 def _of(kind: str):
@@ -128,14 +128,16 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", ledger: DataFrame | None = N
 
     ``n_chars`` follows the new text where the column exists.
     """
-    found = by_path(docs, update(docs, ledger))
+    rows = packed(docs, F.col("text").cast("string"))
+    found = by_path(rows, update(rows, ledger))
     inside = lambda at: F.exists("_spans", lambda p: (p["start"] < at) & (p["end"] > at))
     border = lambda name: F.array_sort(F.array_distinct(F.transform(F.filter("_spans", lambda s: ~inside(s[name])), lambda s: s[name].cast("int"))))
     pieces = F.transform(F.sequence(F.lit(0), F.size("_starts")), lambda k: F.substring(
         F.col("text"), F.element_at(F.concat(F.array(F.lit(0)), F.col("_ends")), k + 1) + 1,
         F.element_at(F.concat(F.col("_starts"), F.array(F.length("text"))), k + 1) - F.element_at(F.concat(F.array(F.lit(0)), F.col("_ends")), k + 1)))
     clean = F.when(F.size("_spans") == 0, F.col("text")).otherwise(F.array_join(pieces, mask))
-    out = found.withColumns({"_starts": border("start"), "_ends": border("end")}).withColumn("text", clean)
+    out = found.withColumns({"_starts": border("start"), "_ends": border("end")}).withColumn("_clean", clean)
+    changed = {"text": F.col("_clean")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_spans") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+        changed["n_chars"] = F.when(F.size("_spans") == 0, F.col("row.n_chars")).otherwise(F.length("_clean")).cast(docs.schema["n_chars"].dataType)
+    return unpacked(out, docs.columns, **changed)

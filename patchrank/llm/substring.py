@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patchrank.llm import text as T
-from patchrank.llm.common import blobs, breaks, spread
+from patchrank.llm.common import blobs, breaks, schema_with, spread
 
 CELL_BITS = 16
 SHARD_BYTES = 8 << 20
@@ -292,7 +292,7 @@ class Kept(Digest):
 
 
 def dedup(docs: DataFrame, width: int = 13, group_rows: int = 2_000_000, emit=None, columns=None) -> DataFrame:
-    """``columns`` of ``docs`` (all by default) with n_words, n_removed and kept_text, or what ``emit`` gives instead.
+    """``columns`` of ``docs`` (all by default, text last) with n_words, n_removed and kept_text, or what ``emit`` gives instead.
 
     Removes each word covered by a window of ``width`` words whose sequence also starts in a document with a smaller doc_id. Windows
     are judged on the input. A null text has no words. A row without doc_id has no place in the order: it is returned whole and
@@ -301,16 +301,16 @@ def dedup(docs: DataFrame, width: int = 13, group_rows: int = 2_000_000, emit=No
     """
     emit = emit or Kept()
     added = emit.columns[0]
-    names = [c for c in (columns or docs.columns) if c not in (*added, "text", "_shard")]
-    rows = docs.select(*names, F.col("text").cast("string"))
+    base = docs.select(*columns) if columns else docs.drop("text")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in base.columns if c not in added]).alias("row"), F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = spread(docs.sparkSession, volume, SHARD_BYTES) | 1
     dealt = rows.withColumn("_shard", shard_column(shards)).repartition(shards, "_shard")
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields]
     found = repeats(rows, shards, width, group_rows)
-    return dealt.groupBy("_shard").cogroup(found.groupBy("_shard")).applyInArrow(_cleaner(width, emit), ", ".join([*kinds, emit.schema]))
+    cleaned = dealt.groupBy("_shard").cogroup(found.groupBy("_shard")).applyInArrow(_cleaner(width, emit), schema_with(rows, emit.schema))
+    return cleaned.select("row.*", *([] if columns else ["text"]), *added)
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256."""
-    return dedup(docs, emit=Digest(), columns=["doc_id"]).drop("text")
+    return dedup(docs, emit=Digest(), columns=["doc_id"])

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patchrank.llm.common import components
+from patchrank.llm.common import components, packed, unpacked
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MOST_RULES = 1000  # rules are literals of the plan; a longer list must be split
@@ -106,11 +106,10 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) ->
     if redirects is not None:
         edges = edges.union(redirects.select("source", "target"))
     bad = blocked_aliases(edges.where("source IS NOT NULL AND target IS NOT NULL"), rules).withColumn("_bad", F.lit(True))
-    rows = pages.withColumns({"host": F.coalesce(host_of(url), F.lit("")), "path": F.coalesce(path_of(url), F.lit(""))})
-    rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("_node", F.md5(url))
-    joined = rows.join(bad, rows["_node"] == bad["node"], "left").drop("node", "_node")
+    rows = packed(pages, F.coalesce(host_of(url), F.lit("")).alias("host"), F.coalesce(path_of(url), F.lit("")).alias("path"), F.md5(url).alias("at"))
+    joined = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).join(bad, F.col("at") == F.col("node"), "left")
     verdict = F.coalesce(verdict_of(F.col("rule"), rules), F.when(F.col("_bad"), F.lit("block")), F.lit("allow"))
-    return joined.withColumn("verdict", verdict).drop("_bad")
+    return unpacked(joined, pages.columns, host=F.col("host"), path=F.col("path"), rule=F.col("rule"), verdict=verdict)
 
 
 def verdicts(pages: DataFrame) -> DataFrame:
@@ -120,4 +119,5 @@ def verdicts(pages: DataFrame) -> DataFrame:
 
 def allowed(pages: DataFrame, **options) -> DataFrame:
     """The rows of ``pages`` that are not blocked."""
-    return judge(pages, **options).where("verdict = 'allow'").select(pages.columns)
+    rows = packed(pages, "url", "html")
+    return unpacked(judge(rows, **options).where("verdict = 'allow'"), pages.columns)
