@@ -9,6 +9,7 @@ from patchrank.operators import nulls as nl
 from patchrank.operators import ranking as rk
 from patchrank.operators import templates as tp
 from patchrank.plans import null_reports as nr
+from patchrank.session import pin
 
 from . import views as v
 from .filters import DONOR, SHUF, count
@@ -31,8 +32,8 @@ def r4(df, *columns):
  SELECT rep, bag_id, n_pos, round(auc, 6) AS auc FROM {v.auc('m', 'rep, bag_id', 's1')}""")
 def roll_null(spark, sf):
     rows = sized(spark, sf)
-    out = nl.replace_target(rows.select("bag_id", "pos", "s1", "target", "n_rows"), nl.roll_targets(rows, v.N_PATCH, 11, 2))
-    return r6(rk.auc(out, ["rep", "bag_id"], "s1", size="n_rows").select("rep", "bag_id", "n_pos", "auc"), "auc")
+    per = rk.auc_of_positives(rk.midranks(rows, ["bag_id"], "s1", size="n_rows"), nl.roll_positives(rows, v.N_PATCH, 11, 2), ["rep", "bag_id"])
+    return r6(nl.every_replicate(per, v.bag_sizes(spark, sf), 2), "auc")
 
 
 @query("f02_donor_cycle", f"WITH {v.INST}, {DONOR.format(seed=5, reps=3)} SELECT rep, bag_id, donor_id, donor_id <> bag_id AS moved FROM donors")
@@ -45,9 +46,10 @@ def donor_cycle(spark, sf):
  SELECT rep, bag_id, n_pos, round(auc, 6) AS auc FROM {v.auc('m', 'rep, bag_id', 's1')}""")
 def cross_bag_null(spark, sf):
     rows = sized(spark, sf)
-    targets = nl.shuffle_targets(rows, nl.donor_map(v.bag_sizes(spark, sf), 5, 2), v.N_PATCH)
-    out = nl.replace_target(rows.select("bag_id", "pos", "s1", "target", "n_rows"), targets)
-    return r6(rk.auc(out, ["rep", "bag_id"], "s1", size="n_rows").select("rep", "bag_id", "n_pos", "auc"), "auc")
+    sizes = v.bag_sizes(spark, sf)
+    moved = nl.shuffle_positives(rows, pin(nl.donor_map(sizes, 5, 2)), v.N_PATCH)
+    per = rk.auc_of_positives(rk.midranks(rows, ["bag_id"], "s1", size="n_rows"), moved, ["rep", "bag_id"])
+    return r6(nl.every_replicate(per, sizes, 2), "auc")
 
 
 def random_ctes(source: str, scale: str, seed: str, bias=("0", "0", "0"), name: str = "rnd") -> str:
@@ -172,7 +174,7 @@ def half_precision(spark, sf):
  round(min_by(skill, rep), 6) AS first_draw, count(skill) AS n_computable FROM per""")
 def replicated_null(spark, sf):
     rows = sized(spark, sf)
-    moved = nl.replace_target(rows.select("bag_id", "pos", "s1", "target", "n_rows"), nl.roll_targets(rows, v.N_PATCH, 21, 5))
-    per = rk.auc(moved, ["rep", "bag_id"], "s1", size="n_rows").groupBy("rep").agg(F.avg("auc").alias("auc"))
+    moved = nl.roll_positives(rows, v.N_PATCH, 21, 5)
+    per = rk.auc_of_positives(rk.midranks(rows, ["bag_id"], "s1", size="n_rows"), moved, ["rep", "bag_id"]).groupBy("rep").agg(F.avg("auc").alias("auc"))
     skill = per.withColumn("skill", es.skill(F.col("auc"), F.lit(0.4)))
     return r6(es.draw_summary(skill, [], "skill", "rep"), "mean", "median", "sd", "lo", "hi", "first_draw")

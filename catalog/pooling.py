@@ -59,22 +59,21 @@ def pooled_sql(att: str, keys: str) -> str:
 @query("p03_attention_pool", f"""WITH {EL}, {proj('v', HID)}, l AS (SELECT bag_id, pos, sum(tanh(y) * [1.0, -0.5, 0.25, 0.75][r+1]::DOUBLE) AS logit FROM v GROUP BY ALL)
  {pooled_sql(softmax_sql('l', 'bag_id'), 'bag_id')}""")
 def attention_pool(spark, sf):
-    rows = pl.attention_logits(v.vectors(spark, sf), "embedding", rule(HID), HEADS[:1])
-    return r6(pl.attention_pool(pl.softmax(rows, ["bag_id"]), "embedding", ["bag_id"]), "value")
+    out = pl.pooled_attention(v.vectors(spark, sf), "embedding", ["bag_id"], rule(HID), HEADS[:1])
+    return r6(out.drop("head"), "value")
 
 
 @query("p03_gated_attention", f"""WITH {EL}, {proj('v', HID)}, {proj('u', HID, 10)}, l AS (SELECT bag_id, pos, sum(tanh(v.y)/(1+exp(-u.y)) * [1.0, -0.5, 0.25, 0.75][r+1]::DOUBLE) AS logit FROM v JOIN u USING (bag_id, pos, r) GROUP BY ALL)
  SELECT bag_id, pos, round(attention, 6) AS attention FROM {softmax_sql('l', 'bag_id')}""")
 def gated_attention(spark, sf):
     rows = pl.attention_logits(v.vectors(spark, sf), "embedding", rule(HID), HEADS[:1], rule(HID, 10))
-    return r6(pl.softmax(rows, ["bag_id"]).select("bag_id", "pos", "attention"), "attention")
+    return r6(pl.softmax(rows.select("bag_id", "pos", "logit"), ["bag_id"]).drop("logit"), "attention")
 
 
 @query("p04_multi_head_attention", f"""WITH {EL}, {proj('v', 2 * HID)}, {proj('u', 2 * HID, 10)}, l AS (SELECT bag_id, pos, CAST(r//4 AS INTEGER) AS head, sum(tanh(v.y)/(1+exp(-u.y)) * [1.0, -0.5, 0.25, 0.75, 0.5, 0.5, -1.0, 0.25][r+1]::DOUBLE) AS logit FROM v JOIN u USING (bag_id, pos, r) GROUP BY ALL)
  {pooled_sql(softmax_sql('l', 'bag_id, head'), 'bag_id, head')}""")
 def multi_head(spark, sf):
-    rows = pl.attention_logits(v.vectors(spark, sf), "embedding", rule(2 * HID), HEADS, rule(2 * HID, 10))
-    return r6(pl.attention_pool(pl.softmax(rows, ["bag_id", "head"]), "embedding", ["bag_id", "head"]), "value")
+    return r6(pl.pooled_attention(v.vectors(spark, sf), "embedding", ["bag_id"], rule(2 * HID), HEADS, rule(2 * HID, 10)), "value")
 
 
 @query("p05_critical_instances", f"""WITH {EL}, {proj('c', 2, 20)}, {proj('q', HID, 30)}, cr AS (SELECT bag_id, r AS cls, pos AS critical FROM c QUALIFY row_number() OVER (PARTITION BY bag_id, r ORDER BY y DESC, pos) = 1),

@@ -231,14 +231,14 @@ def h3_floor(spark, sf):
     return r6(vd.h3(conditions(spark, sf), floors, 0.55, 15), "p95")
 
 
-CROSS = f"""{v.FLAG}, {v.BAGS}, {DONOR.format(seed=0, reps=3)}, {SHUF}, cm AS (SELECT s.rep, f.bag_id, f.s1, s.target FROM shuf s JOIN flagged f USING (bag_id, pos)),
+CROSS = f"""{v.FLAG}, {v.BAGS}, {DONOR.format(seed=0, reps=100)}, {SHUF}, cm AS (SELECT s.rep, f.bag_id, f.s1, s.target FROM shuf s JOIN flagged f USING (bag_id, pos)),
  cb AS (SELECT r.bag_id, patient_id, r.auc AS "real", c.x AS "cross", r.auc - c.x AS skill FROM {v.auc('flagged', 'bag_id', 's1')} r JOIN (SELECT bag_id, avg(auc) AS x FROM {v.auc('cm', 'rep, bag_id', 's1')} GROUP BY bag_id) c USING (bag_id) JOIN bags USING (bag_id) WHERE r.auc IS NOT NULL AND x IS NOT NULL),
  cl AS (UNPIVOT (SELECT patient_id, "real", "cross", skill FROM cb) ON "real", "cross", skill INTO NAME quantity VALUE value)"""
 
 
 @q("j15_cross_patient", f"SELECT quantity, n, n_clusters, {rs('mean', 'lo', 'hi')} FROM {v.bootstrap('cl', 'quantity', 'value', reps=100)}", CROSS)
 def cross_patient(spark, sf):
-    out = rp.cross_patient(v.flagged(spark, sf), v.bags(spark, sf), v.bag_sizes(spark, sf), "s1", v.N_PATCH, 3, 100)
+    out = rp.cross_patient(v.flagged(spark, sf), v.bags(spark, sf), v.bag_sizes(spark, sf), "s1", v.N_PATCH, 100, 100)
     return r6(out, "mean", "lo", "hi")
 
 

@@ -67,6 +67,27 @@ def shuffle_targets(df: DataFrame, donors: DataFrame, n_patch: int, tiles: int =
             .select("rep", "bag_id", "pos", "target"))
 
 
+def roll_positives(df: DataFrame, n_patch: int, seed: int, reps: int = 1) -> DataFrame:
+    """(rep, bag_id, pos) of the positives of ``roll_targets``, without moving any other row."""
+    return roll_targets(df.where(F.col("target") > 0), n_patch, seed, reps).drop("target")
+
+
+def shuffle_positives(df: DataFrame, donors: DataFrame, n_patch: int) -> DataFrame:
+    """(rep, bag_id, pos) of the positives of ``shuffle_targets``: each donor's positives, cropped or tiled to length."""
+    given = df.where(F.col("target") > 0).select(F.col("bag_id").alias("donor_id"), F.col("pos").alias("donor_pos"), F.col("n_slices").alias("_size"))
+    moved = salted_join(given, donors.withColumn("_size", F.col("donor_slices")), ["donor_id"], F.col("donor_pos"), size="_size")
+    length, wide = F.col("donor_slices") * F.lit(n_patch), F.col("n_slices") * F.lit(n_patch)
+    tiles = F.floor((wide - 1 - F.col("donor_pos")) / length)
+    copies = F.when(tiles >= 0, F.sequence(F.lit(0).cast("bigint"), tiles))
+    return moved.withColumn("_tile", F.explode(copies)).select("rep", "bag_id", (F.col("donor_pos") + F.col("_tile") * length).alias("pos"))
+
+
+def every_replicate(per: DataFrame, bags: DataFrame, reps: int) -> DataFrame:
+    """``per`` (rep, bag_id, n_pos, auc) with a row for each bag and replicate; a bag without a positive has none to rank."""
+    whole = bags.select("bag_id").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    return (whole.join(per, ["rep", "bag_id"], "left").select("rep", "bag_id", F.coalesce("n_pos", F.lit(0)).alias("n_pos"), "auc"))
+
+
 def random_slots(df: DataFrame, k: int, scale, seed, bias: Sequence | None = None,
                  prefix: str = "r") -> DataFrame:
     """Random attention over ``k`` slots per instance, normalised over slots, as FLOAT.

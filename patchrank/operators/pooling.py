@@ -76,6 +76,40 @@ def softmax(df: DataFrame, keys: Sequence[str], logit: str = "logit") -> DataFra
     return attach(rows, total, keys).withColumn("attention", F.col("_e") / F.col("_z")).drop("_top", "_e", "_z")
 
 
+def pooled_attention(df: DataFrame, vector: str, keys: Sequence[str], weights: np.ndarray, head: np.ndarray,
+                     gate: np.ndarray | None = None) -> DataFrame:
+    """(keys, head, dim, value): softmax attention over the instances of a key, and the weighted sum of their vectors.
+
+    Every task reduces its own rows to one partial sum per key and head, taken against the largest logit it has seen; partial
+    sums are rescaled and added. The vectors themselves cross no exchange, and a hot key leaves one row per batch.
+    """
+    keys = list(keys)
+    heads = head.shape[0]
+
+    def partial(batches):
+        for batch in batches:
+            batch = batch[batch[vector].map(lambda x: x is not None and len(x) > 0)]
+            if not len(batch):
+                continue
+            x = np.asarray(batch[vector].tolist(), dtype=np.float64)
+            out = np.tanh(x @ weights.T)
+            if gate is not None:
+                out = out / (1.0 + np.exp(-(x @ gate.T)))
+            logit = np.einsum("nkh,kh->nk", out.reshape(len(x), heads, head.shape[1]), head)
+            for _, at in batch.groupby(keys, dropna=False, sort=False).indices.items():
+                top = logit[at].max(axis=0)
+                e = np.exp(logit[at] - top)
+                yield pd.DataFrame({**{k: [batch[k].iloc[at[0]]] * heads for k in keys}, "head": np.arange(heads, dtype=np.int32), "_top": top,
+                                    "_z": e.sum(axis=0), "_sum": list(e.T @ x[at])})
+
+    schema = T.StructType([*df.select(*keys).schema.fields, *T.StructType.fromDDL("head INT, _top DOUBLE, _z DOUBLE, _sum ARRAY<DOUBLE>").fields])
+    parts = pin(df.select(*keys, vector).mapInPandas(partial, schema))
+    tops = parts.groupBy(*keys, "head").agg(F.max("_top").alias("_m"))
+    scaled = attach(parts, tops, [*keys, "head"], "_top").withColumn("_f", F.exp(F.col("_top") - F.col("_m")))
+    long = scaled.select(*keys, "head", "_f", "_z", F.posexplode("_sum").alias("dim", "x"))
+    return long.groupBy(*keys, "head", "dim").agg((F.sum(F.col("x") * F.col("_f")) / F.sum(F.col("_z") * F.col("_f"))).alias("value"))
+
+
 def attention_pool(rows: DataFrame, vector: str, keys: Sequence[str]) -> DataFrame:
     """(keys, dim, value): attention-weighted sum of the vectors."""
     long = rows.select(*keys, "attention", F.posexplode(vector).alias("dim", "x"))
@@ -93,7 +127,7 @@ def critical_instances(df: DataFrame, vector: str, classes: np.ndarray, query: n
     def project(x: pd.Series) -> pd.Series:
         block = np.asarray(x.tolist(), dtype=np.float64)
         return pd.Series(list(np.tanh(block @ query.T))) if block.size else pd.Series([], dtype=object)
-    rows = (df.withColumn("_s", inst(vector)).withColumn("_q", project(vector))
+    rows = (df.withColumn("_s", inst(vector)).withColumn("_q", project(vector)).drop(vector)
             .select("*", F.posexplode("_s").alias("cls", "logit")).drop("_s"))
     crit = rows.groupBy("bag_id", "cls").agg(
         F.max_by(F.struct("pos", F.col("_q").alias("q")), F.struct(F.col("logit"), -F.col("pos"))).alias("c"))

@@ -98,6 +98,43 @@ def auc(df: DataFrame, keys: Sequence[str], score: str = "score", target: str =
                       F.col("a_conc2").alias("conc2"), auc_from("a").alias("auc"))
 
 
+def midranks(df: DataFrame, keys: Sequence[str], score: str = "score", kept: Sequence[str] = ("pos",),
+             size: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(keys, kept, mr2, group_rows): twice the midrank of every row in its group, and the group's rows.
+
+    Ranks do not depend on a target, so one ranking serves any number of permuted targets. Rows without a score are left out.
+    """
+    keys, kept = list(keys), list(kept)
+    rows = (df.select(*keys, *kept, clean(F.col(score)).alias("score"), *([F.col(size).alias("_size")] if size else []))
+            .where(F.col("score").isNotNull()))
+    small, rest = by_size(rows, "_size" if size else None, hot_rows)
+    rest = rest.select(*keys, *kept, "score")
+    hist = rest.groupBy(*keys, "score").agg(F.count(F.lit(1)).alias("m"))
+    cum = running(hist, keys, "score", ["m"])
+    cum = cum.select(*keys, "score", (2 * F.col("before_m") + F.col("m") + 1).alias("mr2"), F.col("all_m").alias("group_rows"))
+    out = rest.join(cum, [*keys, "score"]).select(*keys, *kept, "mr2", "group_rows")
+    if small is not None:
+        order = W.partitionBy(*keys).orderBy("score")
+        up_to = F.count(F.lit(1)).over(order.rangeBetween(W.unboundedPreceding, W.currentRow))
+        tied = F.count(F.lit(1)).over(order.rangeBetween(W.currentRow, W.currentRow))
+        placed = small.repartition(*keys).select(*keys, *kept, (2 * up_to - tied + 1).alias("mr2"),
+                                                 F.count(F.lit(1)).over(W.partitionBy(*keys)).alias("group_rows"))
+        out = out.unionByName(placed)
+    return out
+
+
+def auc_of_positives(ranks: DataFrame, positives: DataFrame, keys: Sequence[str], on: Sequence[str] = ("bag_id", "pos")) -> DataFrame:
+    """(keys, n_pos, auc) from midranks and the positions of the positives alone.
+
+    ``keys`` name a group of ``ranks`` under one replicate of ``positives``. Only positives are moved, so a replicate costs as much
+    as it has positives. A group without a positive gives no row; one without a negative has a NULL auc.
+    """
+    found = positives.join(ranks, list(on)).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_pos"), F.sum("mr2").cast("double").alias("_s"), F.max("group_rows").cast("double").alias("_n"))
+    p = F.col("n_pos").cast("double")
+    return found.select(*keys, "n_pos", ratio(F.col("_s") - p * (p + 1), 2 * p * (F.col("_n") - p)).alias("auc"))
+
+
 def average_precision(df: DataFrame, keys: Sequence[str], score: str = "score",
                       target: str = "target", size: str | None = None,
                       hot_rows: int = HOT_ROWS) -> DataFrame:

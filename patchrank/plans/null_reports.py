@@ -10,6 +10,7 @@ from ..functions import draws
 from ..operators import nulls as nl
 from ..operators import ranking as rk
 from ..operators import templates as tp
+from ..session import pin
 
 SCALES = (0.5, 1.0, 2.0, 4.0)
 
@@ -34,7 +35,7 @@ def null_rows(rows: DataFrame, bags: DataFrame, slots: Sequence[str], n_patch: i
     for i, s in enumerate(slots):
         rand = rand.withColumnRenamed(f"r{i}", s)
     rolled = nl.replace_target(base, nl.roll_targets(base, n_patch, seed, reps)).withColumn("null", F.lit("roll"))
-    donors = nl.donor_map(bags, seed, reps)
+    donors = pin(nl.donor_map(bags, seed, reps))
     shuffled = nl.replace_target(base, nl.shuffle_targets(base, donors, n_patch)).withColumn("null", F.lit("shuffle"))
     cols = ["null", "rep", *keep]
     out = real.select(*cols)
@@ -61,7 +62,7 @@ def under_nulls(rows: DataFrame, bags: DataFrame, n_patch: int, seed: int = 0) -
     real = keep.withColumn("condition", F.lit("real"))
     out = real
     rolled = nl.replace_target(keep, nl.roll_targets(keep, n_patch, seed)).withColumn("condition", F.lit("roll"))
-    swapped = nl.replace_target(keep, nl.shuffle_targets(keep, nl.donor_map(bags, seed), n_patch)).withColumn(
+    swapped = nl.replace_target(keep, nl.shuffle_targets(keep, pin(nl.donor_map(bags, seed)), n_patch)).withColumn(
         "condition", F.lit("shuffle"))
     for part in (rolled, swapped):
         out = out.unionByName(part.drop("rep").select(*out.columns))
@@ -82,16 +83,18 @@ def crosstab_scorers(rows: DataFrame, slot: str, grid: int, template: DataFrame)
 
 def crosstab(rows: DataFrame, bags: DataFrame, slot: str, template: DataFrame, n_patch: int, grid: int,
              seed: int = 0) -> DataFrame:
-    """Five scorers by three targets, with the differences real - shuffle and shuffle - roll."""
+    """Five scorers by three targets, with the differences real - shuffle and shuffle - roll.
+
+    Each scorer is ranked once; the targets differ in their positives only.
+    """
     scored = crosstab_scorers(rows, slot, grid, template)
-    wide = scored.withColumn("condition", F.lit("real"))
     targets = rows.select("bag_id", "pos", "n_slices", "target")
-    rolled = nl.roll_targets(targets, n_patch, seed).withColumn("condition", F.lit("roll"))
-    swapped = nl.shuffle_targets(targets, nl.donor_map(bags, seed), n_patch).withColumn("condition", F.lit("shuffle"))
-    other = rolled.unionByName(swapped).drop("rep")
-    moved = scored.drop("target").join(other, ["bag_id", "pos"]).select(*wide.columns)
-    both = wide.unionByName(moved).withColumn("n_rows", F.col("n_slices") * F.lit(n_patch))
-    per = rk.auc(both, ["scorer", "condition", "bag_id"], size="n_rows")
+    real = targets.where(F.col("target") > 0).select("bag_id", "pos").withColumn("condition", F.lit("real"))
+    rolled = nl.roll_positives(targets, n_patch, seed).withColumn("condition", F.lit("roll")).drop("rep")
+    swapped = nl.shuffle_positives(targets, pin(nl.donor_map(bags, seed)), n_patch).withColumn("condition", F.lit("shuffle")).drop("rep")
+    positives = real.unionByName(rolled).unionByName(swapped)
+    ranks = rk.midranks(scored.withColumn("n_rows", F.col("n_slices") * F.lit(n_patch)), ["scorer", "bag_id"], size="n_rows")
+    per = rk.auc_of_positives(ranks, positives, ["scorer", "condition", "bag_id"])
     table = per.groupBy("scorer").pivot("condition", ["real", "shuffle", "roll"]).agg(F.avg("auc"))
     return (table.withColumn("real_minus_shuffle", F.col("real") - F.col("shuffle"))
             .withColumn("shuffle_minus_roll", F.col("shuffle") - F.col("roll")))

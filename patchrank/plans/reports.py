@@ -15,6 +15,7 @@ from ..operators import nulls as nl
 from ..operators import ranking as rk
 from ..operators import slots as sl
 from ..operators import templates as tp
+from ..session import pin
 from .atlas import AXES, intervals
 
 
@@ -75,11 +76,13 @@ def paired_slice(axes: DataFrame, reference: str, reps: int, seed: int = 0) -> t
 
 def cross_patient(rows: DataFrame, bags: DataFrame, sizes: DataFrame, score: str, n_patch: int, derangements: int,
                   reps: int, seed: int = 0) -> DataFrame:
-    """Real, cross-patient and difference intervals over patients; derangements are replicate rows."""
+    """Real, cross-patient and difference intervals over patients; a derangement moves positives only."""
     keep = rows.select("bag_id", "pos", "n_slices", "target", score).withColumn("n_rows", F.col("n_slices") * F.lit(n_patch))
-    real = rk.auc(keep, ["bag_id"], score, size="n_rows").where("auc IS NOT NULL").select("bag_id", F.col("auc").alias("real"))
-    moved = nl.replace_target(keep, nl.shuffle_targets(keep, nl.donor_map(sizes, seed, derangements), n_patch))
-    per = rk.auc(moved, ["rep", "bag_id"], score, size="n_rows").groupBy("bag_id").agg(F.avg("auc").alias("cross"))
+    ranks = rk.midranks(keep, ["bag_id"], score, size="n_rows")
+    own = keep.where(F.col("target") > 0).select("bag_id", "pos")
+    real = rk.auc_of_positives(ranks, own, ["bag_id"]).where("auc IS NOT NULL").select("bag_id", F.col("auc").alias("real"))
+    moved = nl.shuffle_positives(keep, pin(nl.donor_map(sizes, seed, derangements)), n_patch)
+    per = rk.auc_of_positives(ranks, moved, ["rep", "bag_id"]).groupBy("bag_id").agg(F.avg("auc").alias("cross"))
     both = real.join(per.where("cross IS NOT NULL"), "bag_id").withColumn("skill", F.col("real") - F.col("cross"))
     long = es.melt(both.join(bags, "bag_id"), ["patient_id"], ["real", "cross", "skill"], "quantity", "value")
     return es.cluster_bootstrap(long, ["quantity"], "value", "patient_id", reps, seed)
