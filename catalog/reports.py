@@ -67,7 +67,9 @@ TAGS = f"""{v.FLAG}, {v.BAGS}, {centre_cte('flagged')},
   UNION ALL SELECT 'depth', 'depth', NULL, bag_id, slice, target, slice_pos, -(abs(slice - (n_slices-1)/2.0::DOUBLE) / greatest((n_slices-1)/2.0::DOUBLE, 1.0)) FROM flagged),
  tg0 AS (SELECT DISTINCT tag, arm, seed FROM tagrows),
  ta AS MATERIALIZED (SELECT x.*, arm, seed, patient_id, r_name AS condition FROM {v.axes('tagrows', 'tag, bag_id')} x JOIN tg0 USING (tag) JOIN bags USING (bag_id) JOIN nation ON n_nationkey = patient_id JOIN region ON r_regionkey = n_regionkey),
- tm AS (SELECT condition, tag, arm, seed, avg(flat) AS flat, avg(slice) AS slice, avg(within_slice) AS within_slice, abs(avg(flat) - avg(within_slice)) AS gap, count(*) AS n_bags FROM ta GROUP BY ALL)"""
+ tm AS (SELECT condition, tag, arm, seed, avg(flat) AS flat, avg(slice) AS slice, avg(within_slice) AS within_slice, abs(avg(flat) - avg(within_slice)) AS gap, count(*) AS n_bags FROM ta GROUP BY ALL),
+ am AS (SELECT condition, arm, avg(flat) AS flat, avg(slice) AS slice, abs(avg(flat) - avg(within_slice)) AS gap FROM tm WHERE seed IS NOT NULL GROUP BY ALL),
+ sa AS (SELECT a.condition, a.arm, (a.flat - c.flat)/(1 - c.flat) AS skill, a.slice FROM am a JOIN tm c ON a.condition = c.condition AND c.tag='centre_prior')"""
 
 
 def tag_means(spark, sf, keys=("condition",)):
@@ -76,6 +78,12 @@ def tag_means(spark, sf, keys=("condition",)):
     return m.withColumn("gap", F.abs(F.col("flat") - F.col("within_slice")))
 
 
+def arm_means(spark, sf):
+    """One row per condition and arm: what the arm's seeds have on average."""
+    m = tag_means(spark, sf).where(is_arm()).groupBy("condition", "arm").agg(*[F.avg(c).alias(c) for c in AX])
+    return m.withColumn("gap", F.abs(F.col("flat") - F.col("within_slice")))
+
+
 def conditions(spark, sf):
     return v.table(spark, sf, "region").select(F.col("r_name").alias("condition"))
 
@@ -213,16 +221,16 @@ def constant_reference(spark, sf):
 # Verdicts ---------------------------------------------------------------------------------
 
 @q("j12_h1_axial_gap", """SELECT condition, n_arms, n_over, n_controls, n_failed, CASE WHEN n_failed > 0 THEN 'VOID' WHEN n_over >= n_arms//2 + 1 THEN 'FAIL' ELSE 'PASS' END AS outcome
- FROM (SELECT condition, count(*) FILTER (seed IS NOT NULL) AS n_arms, count(*) FILTER (seed IS NOT NULL AND gap >= 0.02) AS n_over, count(*) FILTER (tag='depth') AS n_controls, count(*) FILTER (tag='depth' AND NOT gap > 0.02) AS n_failed FROM tm GROUP BY condition)""")
+ FROM (SELECT condition, count(*) FILTER (tag IS NULL) AS n_arms, count(*) FILTER (tag IS NULL AND gap >= 0.02) AS n_over, count(*) FILTER (tag='depth') AS n_controls, count(*) FILTER (tag='depth' AND NOT gap > 0.02) AS n_failed FROM (SELECT condition, NULL AS tag, gap FROM am UNION ALL SELECT condition, tag, gap FROM tm WHERE seed IS NULL) GROUP BY condition)""")
 def h1_axial_gap(spark, sf):
     m = tag_means(spark, sf)
-    return vd.h1(conditions(spark, sf), m.where(is_arm()), m.where("tag = 'depth'"), m.where("tag = 'mean'"), 0.02)
+    return vd.h1(conditions(spark, sf), arm_means(spark, sf), m.where("tag = 'depth'"), m.where("tag = 'mean'"), 0.02)
 
 
-@q("j13_h2_slice_prior", "SELECT r_name AS condition, n_arms, n_at_or_above, CASE WHEN n_at_or_above > 0 THEN 'FAIL' ELSE 'PASS' END AS outcome FROM region JOIN (SELECT a.condition, count(*) AS n_arms, sum(CASE WHEN a.slice >= c.slice THEN 1 ELSE 0 END)::BIGINT AS n_at_or_above FROM tm a JOIN tm c ON a.condition = c.condition AND c.tag='centre_prior' WHERE a.seed IS NOT NULL GROUP BY 1) ON condition = r_name")
+@q("j13_h2_slice_prior", "SELECT r_name AS condition, n_arms, n_at_or_above, CASE WHEN n_at_or_above > 0 THEN 'FAIL' ELSE 'PASS' END AS outcome FROM region JOIN (SELECT a.condition, count(*) AS n_arms, sum(CASE WHEN a.slice >= c.slice THEN 1 ELSE 0 END)::BIGINT AS n_at_or_above FROM am a JOIN tm c ON a.condition = c.condition AND c.tag='centre_prior' GROUP BY 1) ON condition = r_name")
 def h2_slice_prior(spark, sf):
     m = tag_means(spark, sf)
-    return vd.h2(conditions(spark, sf), m.where(is_arm()), m.where("tag = 'centre_prior'"), "slice")
+    return vd.h2(conditions(spark, sf), arm_means(spark, sf), m.where("tag = 'centre_prior'"), "slice")
 
 
 @q("j14_h3_floor", "SELECT r_name AS condition, round(p95, 6) AS p95, n_inits, CASE WHEN p95 IS NULL THEN 'NOT_RUN' WHEN n_inits < 15 THEN 'VOID' WHEN p95 > 0.55 THEN 'PASS' ELSE 'FAIL' END AS outcome FROM region LEFT JOIN (SELECT condition, min(p95) AS p95, min(n) AS n_inits FROM (SELECT condition, tag, quantile_cont(flat, 0.95) AS p95, count(flat) AS n FROM ta WHERE seed = 0 GROUP BY ALL) GROUP BY condition) ON condition = r_name")
@@ -245,15 +253,20 @@ def cross_patient(spark, sf):
 SKL = "sk AS (SELECT a.condition, a.arm, a.seed, (a.flat - c.flat)/(1 - c.flat) AS skill, a.slice, a.flat, c.flat AS den FROM tm a JOIN tm c ON a.condition = c.condition AND c.tag='centre_prior' WHERE a.seed IS NOT NULL)"
 
 
+def arm_skills(spark, sf):
+    ref = tag_means(spark, sf).where("tag = 'centre_prior'").select("condition", F.col("flat").alias("den"))
+    return arm_means(spark, sf).join(ref, "condition").withColumn("skill", es.skill(F.col("flat"), F.col("den")))
+
+
 def skills(spark, sf):
     m = tag_means(spark, sf)
     ref = m.where("tag = 'centre_prior'").select("condition", F.col("flat").alias("den"))
     return m.where(is_arm()).join(ref, "condition").withColumn("skill", es.skill(F.col("flat"), F.col("den")))
 
 
-@q("j15_h4_verdict", "SELECT condition, round(median(skill), 6) AS median, sum(CASE WHEN skill >= 0.05 THEN 1 ELSE 0 END)::BIGINT AS n_over, count(*) AS n_arms, CASE WHEN sum(CASE WHEN skill >= 0.05 THEN 1 ELSE 0 END) > 0 OR median(skill) >= 0.02 THEN 'FAIL' ELSE 'PASS' END AS outcome FROM sk GROUP BY condition", f"{TAGS}, {SKL}")
+@q("j15_h4_verdict", "SELECT condition, round(median(skill), 6) AS median, sum(CASE WHEN skill >= 0.05 THEN 1 ELSE 0 END)::BIGINT AS n_over, count(*) AS n_arms, CASE WHEN sum(CASE WHEN skill >= 0.05 THEN 1 ELSE 0 END) > 0 OR median(skill) >= 0.02 THEN 'FAIL' ELSE 'PASS' END AS outcome FROM sa GROUP BY condition", TAGS)
 def h4_verdict(spark, sf):
-    return r6(vd.h4(conditions(spark, sf), skills(spark, sf), 0.05, 0.02), "median")
+    return r6(vd.h4(conditions(spark, sf), arm_skills(spark, sf), 0.05, 0.02), "median")
 
 
 @q("j16_h5_skill", "SELECT condition, round(max(m), 6) AS max_mean, sum(CASE WHEN m > 0.04 THEN 1 ELSE 0 END)::BIGINT AS n_over, sum(s)::BIGINT AS n_seeds_over, count(*) AS n_arms, CASE WHEN max(m) > 0.04 THEN 'FAIL' ELSE 'PASS' END AS outcome FROM (SELECT condition, arm, avg(skill) AS m, sum(CASE WHEN skill > 0.04 THEN 1 ELSE 0 END) AS s FROM sk GROUP BY ALL) GROUP BY condition", f"{TAGS}, {SKL}")
@@ -269,9 +282,9 @@ def floored_denominator(spark, sf):
     return r6(out.withColumn("flips", (F.col("published") > 0.04) != (F.col("floored") > 0.04)), "published", "floored")
 
 
-@q("j17_h6_guidance", "SELECT r_name AS condition, round(a.skill - b.skill, 6) AS delta_skill, round(a.slice - b.slice, 6) AS delta_slice, CASE WHEN a.skill - b.skill >= 0.02 THEN 'FAIL' ELSE 'PASS' END AS outcome FROM region JOIN sk a ON a.condition = r_name AND a.arm='s1' AND a.seed=0 JOIN sk b ON b.condition = r_name AND b.arm='s0' AND b.seed=0", f"{TAGS}, {SKL}")
+@q("j17_h6_guidance", "SELECT r_name AS condition, round(a.skill - b.skill, 6) AS delta_skill, round(a.slice - b.slice, 6) AS delta_slice, CASE WHEN a.skill - b.skill >= 0.02 THEN 'FAIL' ELSE 'PASS' END AS outcome FROM region JOIN sa a ON a.condition = r_name AND a.arm='s1' JOIN sa b ON b.condition = r_name AND b.arm='s0'", TAGS)
 def h6_guidance(spark, sf):
-    s = skills(spark, sf).where("seed = 0")
+    s = arm_skills(spark, sf)
     return r6(vd.h6(conditions(spark, sf), s.where("arm = 's1'"), s.where("arm = 's0'"), 0.02), "delta_skill", "delta_slice")
 
 
@@ -342,8 +355,8 @@ def h10_outcomes(spark, sf):
     return vd.h10(conditions(spark, sf), h10_rows(spark, sf))
 
 
-MATRIX = f"""vm AS (SELECT r_name AS condition, CASE WHEN (SELECT bool_or(gap <= 0.02) FROM tm WHERE tm.condition=r_name AND tag='depth') THEN 'VOID' WHEN (SELECT sum(CASE WHEN gap >= 0.02 THEN 1 ELSE 0 END) FROM tm WHERE tm.condition=r_name AND seed IS NOT NULL) >= 4 THEN 'FAIL' ELSE 'PASS' END AS "H1",
-  CASE WHEN (SELECT bool_or(a.slice >= c.slice) FROM tm a, tm c WHERE a.condition=r_name AND c.condition=r_name AND c.tag='centre_prior' AND a.seed IS NOT NULL) THEN 'FAIL' ELSE 'PASS' END AS "H2",
+MATRIX = f"""vm AS (SELECT r_name AS condition, CASE WHEN (SELECT bool_or(gap <= 0.02) FROM tm WHERE tm.condition=r_name AND tag='depth') THEN 'VOID' WHEN (SELECT sum(CASE WHEN gap >= 0.02 THEN 1 ELSE 0 END) FROM am WHERE am.condition=r_name) >= 2 THEN 'FAIL' ELSE 'PASS' END AS "H1",
+  CASE WHEN (SELECT bool_or(a.slice >= c.slice) FROM am a, tm c WHERE a.condition=r_name AND c.condition=r_name AND c.tag='centre_prior') THEN 'FAIL' ELSE 'PASS' END AS "H2",
   CASE WHEN (SELECT max(m) FROM (SELECT avg(skill) AS m FROM sk WHERE sk.condition=r_name GROUP BY arm)) > 0.04 THEN 'FAIL' ELSE 'PASS' END AS "H5", 'NOT_RUN' AS "H7" FROM region)"""
 
 

@@ -116,3 +116,21 @@ def test_ingest_of_split_slices_and_of_bags_that_become_ragged(spark, tmp_path):
     spark.createDataFrame([(1, 8, 2, 3, 0, 0, 1.0)], schema).write.mode("append").parquet(landing)
     again = ig.ingest(spark, landing, out, mark, first.schema, 4, "s")
     assert {r.bag_id for r in again.collect()} == {0, 2}
+
+
+@pytest.mark.parametrize("hot_rows", [0, 1 << 20])
+def test_moving_positives_equals_moving_targets(spark, hot_rows):
+    from patchrank.operators import nulls as nl
+    rng = random.Random(9)
+    sizes = {0: 2, 1: 5, 2: 3, 3: 1}
+    rows = [(b, p, n, n * 4, int(rng.random() < 0.3), rng.choice([0.1, 0.2, 0.5, 0.9])) for b, n in sizes.items() for p in range(n * 4)]
+    df = spark.createDataFrame(rows, "bag_id INT, pos BIGINT, n_slices BIGINT, n_rows BIGINT, target INT, score DOUBLE")
+    bags = df.groupBy("bag_id").agg(F.max("n_slices").alias("n_slices"))
+    donors = nl.donor_map(bags, 3, 4)
+    ranks = rk.midranks(df, ["bag_id"], size="n_rows", hot_rows=hot_rows)
+    for targets, positives in ((nl.roll_targets(df, 4, 3, 4), nl.roll_positives(df, 4, 3, 4)), (nl.shuffle_targets(df, donors, 4), nl.shuffle_positives(df, donors, 4))):
+        want = {(r.rep, r.bag_id): (r.n_pos, r.auc) for r in rk.auc(nl.replace_target(df, targets), ["rep", "bag_id"]).collect()}
+        got = {(r.rep, r.bag_id): (r.n_pos, r.auc) for r in nl.every_replicate(rk.auc_of_positives(ranks, positives, ["rep", "bag_id"]), bags, 4).collect()}
+        assert got.keys() == want.keys() and len(got) == 16
+        for k, (n, a) in want.items():
+            assert got[k][0] == n and (got[k][1] == pytest.approx(a) if a is not None else got[k][1] is None)
