@@ -72,6 +72,13 @@ def confound_atlas(spark, sf):
     return r6(out, "mean", "lo", "hi")
 
 
+@query("e11_atlas_coverage", f"""WITH {v.INST}, c AS (SELECT bag_id, {HALF} AS half, max(target) AS hi, min(target) AS lo, count(*) AS n FROM inst GROUP BY bag_id)
+ SELECT half, count(*) AS n_cases, count(*) FILTER (n % 16 = 0 AND hi = 1 AND lo = 0) AS n_kept, count(*) FILTER (n % 16 = 0 AND hi = 0) AS n_no_lesion,
+  count(*) FILTER (n % 16 = 0 AND lo = 1) AS n_no_background, count(*) FILTER (n % 16 <> 0) AS n_ragged FROM c GROUP BY half""")
+def atlas_coverage(spark, sf):
+    return at.atlas_coverage(v.instances(spark, sf), v.N_PATCH)
+
+
 @query("e11_atlas_axes", f"WITH {ATLAS_CTES} SELECT scorer, bag_id, n_slices, n_lesion_slices, "
        f"{rs(*AX)} FROM ax")
 def atlas_axes(spark, sf):

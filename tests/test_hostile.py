@@ -134,3 +134,15 @@ def test_moving_positives_equals_moving_targets(spark, hot_rows):
         assert got.keys() == want.keys() and len(got) == 16
         for k, (n, a) in want.items():
             assert got[k][0] == n and (got[k][1] == pytest.approx(a) if a is not None else got[k][1] is None)
+
+
+def test_atlas_refuses_bad_cases_and_counts_the_rest(spark):
+    from patchrank.plans import atlas as at
+    rows = [(b, p, p // 4, p % 4, int(b % 3 == 0 and p == 1)) for b in range(30) for p in range(8 + (b == 7))]
+    df = spark.createDataFrame(rows, "bag_id INT, pos INT, slice INT, patch INT, target INT")
+    out = at.atlas_coverage(df, 4).collect()
+    assert sum(r.n_cases for r in out) == 30 and sum(r.n_kept for r in out) == 10 and sum(r.n_ragged for r in out) == 1 and sum(r.n_no_lesion for r in out) == 19
+    for bad, text in ((df.union(df.limit(1)), "duplicate position"), (df.where("bag_id <> 3 OR pos <> 2"), "broken layout"), (df.withColumn("slice", F.lit(0)), "broken layout"),
+                      (df.withColumn("target", F.lit(0)), "no usable case")):
+        with pytest.raises(Exception, match=text):
+            at.atlas_coverage(bad, 4).collect()
