@@ -3,7 +3,7 @@
 1. Documents are dealt into shards of a bounded size. Each shard splits its texts into words and asks once for each distinct word.
 2. Requests meet by word hash. Each part of the word table encodes each of its distinct words once, with the tokenizer itself, and
    answers every shard that asked.
-3. A shard looks its words up and joins the ids back by position. Decoding looks every id up in the table of pieces, whose size is the
+3. A shard numbers its words, takes the answers in the order of its requests, and joins the ids back by position. Decoding looks every id up in the table of pieces, whose size is the
    vocabulary's.
 
 Frequent words travel once per shard, never once per occurrence. The shuffle of the documents is shared by steps 1 and 3.
@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from patchrank.llm.common import schema_with, spread
 
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed value: the byte-level word rule
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 16 << 20
 ASKED = "part INT, shard INT, words BINARY"
-ANSWERED = "shard INT, words BINARY, ids BINARY"
+ANSWERED = "shard INT, part INT, ids BINARY"
 
 
 def byte_letters() -> dict[str, int]:
@@ -96,7 +96,7 @@ def _vocabulary(spec: str) -> Vocabulary:
 
 def pack(values: list[bytes]) -> bytes:
     sizes = np.fromiter(map(len, values), np.uint32, len(values))
-    return zlib.compress(np.uint32(len(values)).tobytes() + sizes.tobytes() + b"".join(values), 1)
+    return zlib.compress(np.uint32(len(values)).tobytes() + sizes.tobytes() + b"".join(values), 6)
 
 
 def unpack(data: bytes) -> list[bytes]:
@@ -107,6 +107,33 @@ def unpack(data: bytes) -> list[bytes]:
     return [body[a:b] for a, b in zip([0, *ends], ends)]
 
 
+def pack_ids(values: list[bytes]) -> bytes:
+    """Ids of words as their numbers and, where all fit, two bytes an id."""
+    sizes = np.fromiter((len(v) // 4 for v in values), np.uint32, len(values))
+    ids = np.frombuffer(b"".join(values), "<u4")
+    narrow = len(ids) == 0 or ids.max() < 1 << 16
+    counts = sizes.astype(np.uint8) if len(sizes) == 0 or sizes.max() < 256 else sizes
+    head = np.array([len(values), narrow, counts.itemsize], np.uint32).tobytes()
+    return zlib.compress(head + counts.tobytes() + (ids.astype("<u2") if narrow else ids).tobytes(), 6)
+
+
+def unpack_ids(data: bytes) -> list[bytes]:
+    data = zlib.decompress(data)
+    n, narrow, width = np.frombuffer(data[:12], np.uint32).tolist()
+    counts = np.frombuffer(data[12:12 + width * n], np.uint8 if width == 1 else np.uint32)
+    body = np.frombuffer(data[12 + width * n:], "<u2" if narrow else "<u4").astype("<u4").tobytes()
+    ends = (4 * np.cumsum(counts, dtype=np.int64)).tolist()
+    return [body[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def requests(words, parts: int) -> dict[int, list[bytes]]:
+    """Distinct words by part of the word table, each list in byte order."""
+    dealt: dict[int, list[bytes]] = {}
+    for w in sorted(x.encode() for x in words):
+        dealt.setdefault(zlib.crc32(w) % parts, []).append(w)
+    return dealt
+
+
 def _ask(spec: str, parts: int):
     def rows(stream):
         words = _vocabulary(spec).words
@@ -115,10 +142,7 @@ def _ask(spec: str, parts: int):
             for shard, text in zip(batch.column("shard").to_pylist(), batch.column("text")):
                 shards.setdefault(shard, set()).update(words(text.as_py() or ""))
         for shard, found in shards.items():
-            dealt: dict[int, list] = {}
-            for w in sorted(x.encode() for x in found):
-                dealt.setdefault(zlib.crc32(w) % parts, []).append(w)
-            for part, asked in dealt.items():
+            for part, asked in requests(found, parts).items():
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([pack(asked)], pa.binary())], ["part", "shard", "words"])
     return rows
 
@@ -129,15 +153,15 @@ def _answer(spec: str, step: int = 1 << 14):
         encode = _vocabulary(spec).encode
         table: dict[bytes, bytes] = {}
         for batch in stream:
-            for shard, blob in zip(batch.column("shard").to_pylist(), batch.column("words").to_pylist()):
+            for part, shard, blob in zip(*(batch.column(c).to_pylist() for c in ("part", "shard", "words"))):
                 asked = unpack(blob)
                 new = [w for w in asked if w not in table]
                 for a in range(0, len(new), step):
                     some = new[a:a + step]
                     table.update(zip(some, (np.array(i, np.uint32).tobytes() for i in encode([w.decode() for w in some]))))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard], pa.int32()), pa.array([blob], pa.binary()), pa.array([pack([table[w] for w in asked])], pa.binary())],
-                    ["shard", "words", "ids"])
+                    [pa.array([shard], pa.int32()), pa.array([part], pa.int32()), pa.array([pack_ids([table[w] for w in asked])], pa.binary())],
+                    ["shard", "part", "ids"])
     return rows
 
 
@@ -165,14 +189,19 @@ def decode_ids(ids: np.ndarray, pieces: list[bytes]) -> str:
     return b"".join(map(pieces.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-def _join(spec: str, emit):
+def _join(spec: str, parts: int, emit):
     def shard(left: pa.Table, right: pa.Table) -> pa.Table:
         vocabulary = _vocabulary(spec)
         words = vocabulary.words
-        table: dict[str, bytes] = {}
-        for w, i in zip(right["words"].to_pylist(), right["ids"].to_pylist()):
-            table.update(zip((x.decode() for x in unpack(w)), unpack(i)))
-        out = [emit(b"".join(map(table.__getitem__, words(text.as_py() or ""))), vocabulary) for text in left["text"]]
+        number: dict[str, int] = {}
+        texts = [np.array([number.setdefault(w, len(number)) for w in words(text.as_py() or "")], np.int32) for text in left["text"]]
+        ids: list = [b""] * len(number)
+        answers = dict(zip(right["part"].to_pylist(), right["ids"].to_pylist()))
+        for part, asked in requests(number, parts).items():
+            for w, i in zip(asked, unpack_ids(answers[part]), strict=True):
+                ids[number[w.decode()]] = i
+        number.clear()
+        out = [emit(b"".join(map(ids.__getitem__, t.tolist())), vocabulary) for t in texts]
         left = left.drop_columns(["shard"])
         for k, (name, kind) in enumerate(zip(*emit.columns)):
             left = left.append_column(name, pa.array([row[k] for row in out], kind))
@@ -195,7 +224,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, emit=None, columns=None) ->
     dealt = rows.repartition(shards, "shard")
     asked = dealt.mapInArrow(_ask(vocabulary.spec, shards), ASKED)
     answers = asked.repartition(shards, "part").mapInArrow(_answer(vocabulary.spec), ANSWERED)
-    joined = dealt.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_join(vocabulary.spec, emit), schema_with(rows.drop("shard"), emit.schema))
+    joined = dealt.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_join(vocabulary.spec, shards, emit), schema_with(rows.drop("shard"), emit.schema))
     return joined.select("row.*", *([] if columns else ["text"]), *emit.columns[0])
 
 
