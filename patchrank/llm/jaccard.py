@@ -3,10 +3,10 @@
 A document's set holds its distinct shingles (fingerprints of 64 bits). Two sets of sizes a and b link when their overlap o
 satisfies 100 o >= t (a + b - o), so they differ in at most H(a + b) shingles.
 
-1. *Blocks.* Shingles are dealt by hash into H + 1 + SPARE parts, for H of the size class. Linked sets agree in one part that is not
-   empty, or both have more than SPARE empty parts; each set therefore sends one signature per part, and all empty ones only in
-   that case. Sets that share a signature are joined by star edges, and their components are the candidate families. A set's
-   classes are its own and, if it is large enough to link upwards, the next. Equal sets of one task travel once.
+1. *Blocks.* Shingles are dealt by hash into H + 1 + spare parts, for H of the size class. Linked sets agree in one part that is not
+   empty, or both have more than ``spare`` empty parts; each set therefore sends one signature per part, and all empty ones only in
+   that case. ``spare`` is five deviations above the empty parts that the smallest set of the class is expected to have. Sets that share a signature are joined by star edges, and their components are the candidate families. A set's
+   classes are its own and the larger ones with which it can link. Equal sets of one task travel once.
 2. *Product.* A family's incidence rows meet in blocks of bounded size; a larger family is cut into chunks and every pair of
    chunks is a block. A block accumulates the overlap counts of one row with all rows not yet reached whose sizes can
    link, and keeps those that meet the bound. It returns a spanning forest, never pairs.
@@ -15,6 +15,7 @@ satisfies 100 o >= t (a + b - o), so they differ in at most H(a + b) shingles.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,6 @@ from pyspark.sql import functions as F
 from patchrank.llm import text as T
 from patchrank.llm.common import breaks, components, forest, keep, spread
 
-SPARE = 2
 RATIO = 1.4
 PACKED = "grp INT, sigs BINARY, refs BINARY, docs BINARY, sizes BINARY"
 REDUCED = "kind STRING, a BIGINT, b BIGINT, n BIGINT"
@@ -39,19 +39,23 @@ class Classes:
     """Size classes and the number of parts of each."""
 
     def __init__(self, percent: int, largest: int):
-        low, parts = [1], []
-        while low[-1] <= largest:
+        low, self.parts, self.spare = [1], [], []
+        while percent * low[-1] <= 100 * largest:
             high = max(low[-1] + 1, int(low[-1] * RATIO))
             total = np.arange(2, 2 * high - 1)
             differ = int(np.max(total - 2 * needed(total, percent)))
-            parts.append(1 if differ == 0 else differ + 1 + SPARE)
+            spare = 0
+            for _ in range(3 if differ else 0):
+                empty = (differ + 1 + spare) * math.exp(-low[-1] / (differ + 1 + spare))
+                spare = math.ceil(empty + 5 * math.sqrt(empty) + 1)
+            self.parts.append(differ + 1 + spare)
+            self.spare.append(spare)
             low.append(high)
-        self.low, self.parts, self.percent = np.array(low), parts, percent
+        self.low, self.percent = np.array(low), percent
 
     def of(self, n: int) -> list[int]:
         own = int(np.searchsorted(self.low, n, side="right")) - 1
-        upward = own + 1 < len(self.parts) and 100 * n >= self.percent * self.low[own + 1]
-        return [own, own + 1] if upward else [own]
+        return [c for c in range(own, len(self.parts)) if c == own or 100 * n >= self.percent * self.low[c]]
 
 
 def lowered(column) -> T.Words:
@@ -88,7 +92,7 @@ def signatures(members: np.ndarray, classes: Classes) -> np.ndarray:
         at = breaks(part[order])
         total = np.add.reduceat(mixed[order], at[:-1])
         named = part[order][at[:-1]]
-        if m - len(named) > SPARE:
+        if m - len(named) > classes.spare[c]:
             empty = np.setdiff1d(np.arange(m, dtype=np.uint64), named)
             named, total = np.concatenate([named, empty]), np.concatenate([total, np.zeros(len(empty), np.uint64)])
         out.append(T.mix(total + T.mix(named + np.uint64(c << 32))))
@@ -97,13 +101,16 @@ def signatures(members: np.ndarray, classes: Classes) -> np.ndarray:
 
 def _signer(width, percent, groups):
     def rows(stream):
+        classes, largest = None, 0
         for batch in T.batches(stream):
             ids = batch["doc_id"]
             known = ids.is_valid().to_numpy()
             ids = ids.fill_null(0).to_numpy()
             members, bounds = sets_of(lowered(batch["text"]), width)
             sizes = np.diff(bounds)
-            classes = Classes(percent, int(sizes.max(initial=1)))
+            if classes is None or sizes.max(initial=1) > largest:
+                largest = int(sizes.max(initial=1))
+                classes = Classes(percent, largest)
             same: dict[bytes, int] = {}
             reps = ids.copy()
             sigs, owner = [], []
@@ -252,7 +259,7 @@ def _products(percent):
     return rows
 
 
-def links(docs: DataFrame, width: int = 3, percent: int = 90, block: int = 1_000_000, group_rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, width: int = 5, percent: int = 80, block: int = 1_000_000, group_rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """(sizes, components): rows (doc_id, n_shingles) for every row of ``docs``, and (node, component) for every linked doc_id.
 
     ``block`` bounds the shingles of one chunk of a family. A text without words has an empty set and no links. Rows without a doc_id

@@ -41,7 +41,7 @@ def decontamination(spark, sf):
 
 @query("op7_ngram_jaccard", sql.JACCARD)
 def ngram_jaccard(spark, sf):
-    return jaccard.classes_of(table(spark, sf, "documents"))
+    return jaccard.classes_of(table(spark, sf, "documents"), width=3, percent=90)
 
 
 @query("op8_url_filter", sql.URLS)

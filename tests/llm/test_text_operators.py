@@ -73,43 +73,48 @@ def test_path_groups_cut_frequent_prefixes():
     assert got[0] == got[1] and got[3] - got[2] == 9 and got[4] > got[3] and groups.n == got[4] + 1
 
 
-@pytest.mark.parametrize("block", [2_000_000, 150])
-def test_jaccard_equals_brute_force(make, hard, block):
+@pytest.mark.parametrize("block, width, percent", [(2_000_000, 3, 90), (150, 3, 90), (1000, 5, 80)])
+def test_jaccard_equals_brute_force(make, hard, block, width, percent):
     for df in (hard, make(some_texts(2, 50) + some_texts(2, 50))):
-        got = [tuple(r) for r in jaccard.classes_of(df, block=block).collect()]
+        got = [tuple(r) for r in jaccard.classes_of(df, width=width, percent=percent, block=block).collect()]
         key = lambda x: tuple((v is None, v or 0) for v in x)
-        assert sorted(got, key=key) == sorted(brute.jaccard(pairs(df)), key=key)
+        assert sorted(got, key=key) == sorted(brute.jaccard(pairs(df), width, percent), key=key)
 
 
-def test_jaccard_near_copies_at_the_bound(make):
+@pytest.mark.parametrize("width, percent, edits", [(3, 90, 5), (5, 80, 8)])
+def test_jaccard_near_copies_at_the_bound(make, width, percent, edits):
     rng = random.Random(5)
     base = [f"p{i}" for i in range(200)]
     rows = []
     for i in range(40):
         w = list(base)
-        for _ in range(rng.randint(0, 5)):
+        for _ in range(rng.randint(0, edits)):
             w[rng.randrange(200)] = f"q{rng.randrange(10 ** 6)}"
         rows.append((i, " ".join(w)))
     df = make(rows, 5)
-    assert sorted(tuple(r) for r in jaccard.classes_of(df, block=900).collect()) == sorted(brute.jaccard(rows))
+    assert sorted(tuple(r) for r in jaccard.classes_of(df, width=width, percent=percent, block=900).collect()) == sorted(brute.jaccard(rows, width, percent))
 
 
-@pytest.mark.parametrize("size", [1, 3, 19, 20, 50, 333])
-def test_linked_sets_share_a_signature(size):
+@pytest.mark.parametrize("percent", [90, 80])
+@pytest.mark.parametrize("size", [1, 3, 9, 19, 20, 50, 333])
+def test_linked_sets_share_a_signature(size, percent):
     rng = np.random.default_rng(size)
-    classes = jaccard.Classes(90, 2000)
-    for _ in range(60):
+    part = 19 if percent == 90 else 9
+    for _ in range(100):
         a = rng.integers(1, 2 ** 63, size).astype(np.uint64)
-        drop = rng.integers(0, size // 19 + 1)
-        b = np.concatenate([a[drop:], rng.integers(1, 2 ** 63, rng.integers(0, size // 19 + 1)).astype(np.uint64)])
+        drop = rng.integers(0, size // part + 1)
+        b = np.concatenate([a[drop:], rng.integers(1, 2 ** 63, rng.integers(0, size // part + 2)).astype(np.uint64)])
         a, b = np.unique(a), np.unique(b)
+        classes = jaccard.Classes(percent, len(a))
         o = len(np.intersect1d(a, b))
-        if len(b) and 100 * o >= 90 * (len(a) + len(b) - o):
-            assert len(np.intersect1d(jaccard.signatures(a, classes), jaccard.signatures(b, classes)))
+        if len(b) and 100 * o >= percent * (len(a) + len(b) - o):
+            classes_b = jaccard.Classes(percent, 2 * len(b))
+            assert len(np.intersect1d(jaccard.signatures(a, classes), jaccard.signatures(b, classes_b)))
+            assert len(np.intersect1d(jaccard.signatures(a, classes_b), jaccard.signatures(b, classes_b)))
 
 
 def test_jaccard_dedup_keeps_the_smallest(make, hard):
-    kept = {r.doc_id for r in jaccard.dedup(hard).select("doc_id").collect()}
+    kept = {r.doc_id for r in jaccard.dedup(hard, width=3, percent=90).select("doc_id").collect()}
     assert kept == {i for i, _, c in brute.jaccard(pairs(hard)) if i == c}
     assert jaccard.dedup(hard).columns == hard.columns
     assert jaccard.classes_of(make([])).count() == 0 and jaccard.dedup(make([(1, None)])).count() == 1
