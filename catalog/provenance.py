@@ -152,6 +152,18 @@ def blind_codes(spark, sf):
     return key.agg(count().alias("n_names"), F.sum((F.col("n_same_code") > 1).cast("bigint")).alias("n_colliding"), F.min("code").alias("first_code"))
 
 
+@query("j09_blind_round_trip", f"""WITH {v.RUNS}, t AS (SELECT DISTINCT arm, arm || '_seed' || seed AS tag FROM runs)
+ SELECT CASE WHEN arm = 'view' THEN arm ELSE 'ARM-' || upper(left(sha256('s1' || arm), 6)) END AS code, count(*) AS n_tags, min(CASE WHEN arm = 'view' THEN tag ELSE replace(tag, arm, 'ARM-' || upper(left(sha256('s1' || arm), 6))) END) AS first_tag, count(*) AS n_restored
+ FROM t GROUP BY arm""")
+def blind_round_trip(spark, sf):
+    """Names and tags under blinding, the declared control left open, and restored by the inverse."""
+    rows = v.runs(spark, sf).select("arm", F.concat("arm", F.lit("_seed"), F.col("seed").cast("string")).alias("tag")).distinct()
+    key = pv.blind_key(rows, "arm", "s1").select(F.col("arm").alias("name"), "code", (F.col("arm") != "view").alias("blind"))
+    hidden = pv.blind(rows.withColumn("spec", F.col("tag")), key, "arm", ["tag"])
+    back = pv.blind(hidden.withColumn("code", F.col("arm")).withColumn("first", F.col("tag")), key, "arm", ["tag"], inverse=True)
+    return back.groupBy("code").agg(count().alias("n_tags"), F.min("first").alias("first_tag"), F.count_if(F.col("tag") == F.col("spec")).alias("n_restored"))
+
+
 @query("j09_blinded_report", f"WITH {v.RUNS} SELECT 'ARM-' || upper(left(sha256('s1' || arm), 6)) AS code, count(*) AS n, round(avg(value), 6) AS mean, FALSE AS leaks FROM runs GROUP BY arm")
 def blinded_report(spark, sf):
     rows = v.runs(spark, sf)

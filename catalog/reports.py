@@ -209,7 +209,7 @@ def condition_bridge(spark, sf):
     return r6(out, "mean_skill", "max_gap")
 
 
-@q("j28_constant_reference", "SELECT condition, round(avg(slice), 6) AS slice, 6 AS n FROM ta WHERE tag='centre_prior' GROUP BY condition")
+@q("j28_constant_reference", "SELECT condition, round(avg(slice), 6) AS slice, CAST((SELECT count(DISTINCT tag) FROM ta b WHERE b.seed IS NOT NULL AND b.condition = ta.condition) AS INTEGER) AS n FROM ta WHERE tag='centre_prior' GROUP BY condition")
 def constant_reference(spark, sf):
     t = tag_axes(spark, sf)
     ref = t.where("tag = 'centre_prior'").select("condition", "bag_id", F.col("slice").alias("ref"))

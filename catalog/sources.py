@@ -129,10 +129,11 @@ def merge_shards(spark, sf):
 
 @query("a16_merge_results", f"WITH {v.RUNS} SELECT arm, CAST(seed AS INTEGER) AS seed, count(*) AS n, round(avg(value), 6) AS mean FROM runs GROUP BY ALL")
 def merge_results(spark, sf):
-    rows = v.runs(spark, sf).withColumn("path", F.concat(F.lit("/runs/"), "arm", F.lit("_seed"), F.col("seed").cast("string"), F.lit("/result.json")))
-    arm, seed = ar.run_of(F.col("path"))
-    rows = rows.select(arm.alias("arm"), seed.alias("seed"), "value", F.lit("confirm").alias("role"), F.lit("h1").alias("split_hash"))
-    out = ar.merge_results(rows, "role", "split_hash")
+    """Every run's values are written as a result file of its own folder and read back from there."""
+    path = scratch(spark, "runs")
+    rows = v.runs(spark, sf).select(F.concat("arm", F.lit("_seed"), F.col("seed").cast("string")).alias("run"), "value", F.lit("confirm").alias("role"), F.lit("h1").alias("split_hash"))
+    rows.repartition("run").write.mode("errorifexists").partitionBy("run").json(path)
+    out = ar.merge_results(ar.read_runs(spark, path, "value DOUBLE, role STRING, split_hash STRING"), "role", "split_hash")
     return r6(out.groupBy("arm", "seed").agg(count().alias("n"), F.avg("value").alias("mean")), "mean")
 
 

@@ -63,7 +63,9 @@ def restrict(df: DataFrame, region: DataFrame, threshold: float) -> DataFrame:
 
 
 def grid_cells(df: DataFrame, n_patch: int, grid: int) -> DataFrame:
-    """Position as (slice, row, col)."""
+    """Position as (slice, row, col); a grid that does not hold ``n_patch`` patches is refused."""
+    if grid * grid != n_patch:
+        raise ValueError(f"a grid of {grid} x {grid} does not hold {n_patch} patches")
     return (df.withColumn("slice", geo.slice_of(F.col("pos"), n_patch))
             .withColumn("row", F.floor((F.col("pos") % n_patch) / grid))
             .withColumn("col", (F.col("pos") % n_patch) % grid))

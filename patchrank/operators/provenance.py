@@ -88,6 +88,26 @@ def blind_key(names: DataFrame, name: str, salt: str) -> DataFrame:
     return coded.join(n, "code").select(name, "code", "n_same_code")
 
 
+def blind(df: DataFrame, key: DataFrame, arm: str, texts: Sequence[str] = (), inverse: bool = False) -> DataFrame:
+    """``df`` with arm names replaced by codes in ``arm`` and inside ``texts`` (tags, specs), or back again with ``inverse``.
+
+    ``key`` has ``name``, ``code`` and optionally ``blind``; a name that is not to be blinded keeps itself. A code that several
+    names share, or a name that the key lacks, is an error.
+    """
+    shown = F.coalesce(F.col("blind"), F.lit(True)) if "blind" in key.columns else F.lit(True)
+    used = key.select(F.col("name").alias("_name"), F.when(shown, F.col("code")).otherwise(F.col("name")).alias("_code"))
+    shared = used.groupBy("_code").agg(F.count(F.lit(1)).alias("_same"))
+    used = used.join(shared, "_code")
+    old, new = ("_code", "_name") if inverse else ("_name", "_code")
+    both = df.join(used, df[arm] == used[old], "left")
+    bad = F.when(F.col(new).isNull(), F.raise_error(F.concat(F.lit("no blinding key for "), F.col(arm))).cast("string")).when(
+        F.col("_same") > 1, F.raise_error(F.concat(F.lit("several names share "), F.col("_code"))).cast("string")).otherwise(F.col(new))
+    out = both.withColumn(new, bad)
+    for c in texts:
+        out = out.withColumn(c, F.replace(F.col(c), F.col(old), F.col(new)))
+    return out.withColumn(arm, F.col(new)).drop("_name", "_code", "_same")
+
+
 def gate(declared: DataFrame, found: DataFrame, key: str, current: str, role: str) -> DataFrame:
     """Each declared input as usable, ABSENT or UNTRUSTED, with the first reason that applies.
 

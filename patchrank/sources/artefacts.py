@@ -37,6 +37,13 @@ def run_of(path) -> tuple:
     return arm, F.regexp_extract(path, r"([A-Za-z0-9=.]+)_seed(\d+)", 2).cast("int")
 
 
+def read_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Result files below ``path``, one folder ``run=<arm>_seed<N>`` a run, with arm and seed from the folder; malformed input fails."""
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    arm, seed = run_of(F.regexp_replace(F.input_file_name(), "/run=", "/"))
+    return rows.withColumn("arm", arm).withColumn("seed", seed).drop("run")
+
+
 def merge_results(rows: DataFrame, role: str, split_hash: str) -> DataFrame:
     """Per-run files as one table; mixed roles or split hashes are errors."""
     kinds = rows.agg(F.count_distinct(role).alias("r"), F.count_distinct(split_hash).alias("h"))

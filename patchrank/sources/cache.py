@@ -51,6 +51,12 @@ def coverage_report(bags: DataFrame, sizes: DataFrame) -> DataFrame:
         F.sum("n_slices").alias("n_slices"), F.sum(F.col("has_mask").cast("bigint")).alias("n_masked"))
 
 
+def stored_size(files: DataFrame) -> DataFrame:
+    """(n_files, n_bytes) of the files behind a scan; a file counts once, however many rows it holds."""
+    each = files.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("s")).distinct()
+    return each.agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("s"), F.lit(0)).alias("n_bytes"))
+
+
 def bag_offsets(lengths: DataFrame, block: int = 4096) -> DataFrame:
     """Prefix sums of the bag lengths in ``bag_ix`` order (0-based, contiguous): column ``start``.
 

@@ -146,3 +146,25 @@ def test_atlas_refuses_bad_cases_and_counts_the_rest(spark):
                       (df.withColumn("target", F.lit(0)), "no usable case")):
         with pytest.raises(Exception, match=text):
             at.atlas_coverage(bad, 4).collect()
+
+
+def test_blinding_is_inverted_and_refuses_shared_codes(spark):
+    rows = spark.createDataFrame([("a", "a_seed0", "spec of a"), ("b", "b_seed1", "b"), ("ctl", "ctl_seed0", "ctl")], "arm STRING, tag STRING, spec STRING")
+    key = spark.createDataFrame([("a", "X1", True), ("b", "X2", None), ("ctl", "X3", False)], "name STRING, code STRING, blind BOOLEAN")
+    hidden = pv.blind(rows, key, "arm", ["tag"])
+    assert sorted(r.tag for r in hidden.collect()) == ["X1_seed0", "X2_seed1", "ctl_seed0"]
+    assert sorted(pv.blind(hidden, key, "arm", ["tag"], inverse=True).collect()) == sorted(rows.collect())
+    with pytest.raises(Exception, match="several names share"):
+        pv.blind(rows, key.withColumn("code", F.lit("X")), "arm").collect()
+    with pytest.raises(Exception, match="no blinding key"):
+        pv.blind(rows, key.where("name <> 'b'"), "arm").collect()
+
+
+def test_grid_and_file_sizes(spark, tmp_path):
+    from patchrank.sources import cache as ca
+    with pytest.raises(ValueError, match="does not hold"):
+        fl.grid_cells(spark.range(1).withColumnRenamed("id", "pos"), 16, 5)
+    path = str(tmp_path / "t")
+    spark.range(100).repartition(3).write.parquet(path)
+    r = ca.stored_size(spark.read.parquet(path)).first()
+    assert r.n_files == 3 and r.n_bytes == sum(p.stat().st_size for p in (tmp_path / "t").glob("*.parquet"))
