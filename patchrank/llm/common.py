@@ -65,6 +65,39 @@ def breaks(sorted_values: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(sorted_values[1:] != sorted_values[:-1]) + 1, [len(sorted_values)]])
 
 
+def planes(codes: np.ndarray) -> bytes:
+    """Bytes of equal weight together: the leading ones of sorted codes hardly vary and compress well."""
+    return np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def packed_slices(grp: np.ndarray, codes: np.ndarray, owner: np.ndarray, ids: np.ndarray, small: int = 256):
+    """Yield Arrow columns (grp, codes, refs, docs), a row for each run of equal ``grp``.
+
+    ``codes`` (64 bits, ascending with ``grp``) belong to the documents ``ids[owner]``. Long runs name their documents once and refer to
+    them; with many groups runs are short, and all rows are then made at once with a doc_id beside every code.
+    """
+    edges = breaks(grp)
+    if len(codes) < small * (len(edges) - 1):
+        for k in range(0, len(edges) - 1, 4096):
+            e = edges[k:k + 4097]
+            a, b = e[0], e[-1]
+            yield [pa.array(grp[e[:-1]], pa.int32()), blobs(codes[a:b], e - a), pa.nulls(len(e) - 1, pa.binary()), blobs(ids[owner[a:b]].astype(np.int64), e - a)]
+        return
+    for a, b in zip(edges[:-1], edges[1:]):
+        used, refs = np.unique(owner[a:b], return_inverse=True)
+        refs = refs.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32)
+        docs = np.diff(ids[used], prepend=0).astype(np.int64)
+        yield [pa.array([int(grp[a])], pa.int32()), *(pa.array([x], pa.binary()) for x in (planes(codes[a:b]), refs.tobytes(), docs.tobytes()))]
+
+
+def unpacked_slice(codes: bytes, refs: bytes | None, docs: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, doc_ids) of a row of ``packed_slices``."""
+    if refs is None:
+        return np.frombuffer(codes, np.uint64), np.frombuffer(docs, np.int64)
+    codes = np.ascontiguousarray(np.frombuffer(codes, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+    return codes, np.cumsum(np.frombuffer(docs, np.int64))[np.frombuffer(refs, np.uint16 if len(refs) == 2 * len(codes) else np.uint32)]
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Star edges (node, smallest node of its component) with the connectivity of the edges a-b."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patchrank.llm import text as T
-from patchrank.llm.common import breaks, components, forest, keep, spread
+from patchrank.llm.common import breaks, components, forest, keep, packed_slices, spread, unpacked_slice
 
 RATIO = 1.4
 PACKED = "grp INT, sigs BINARY, refs BINARY, docs BINARY, sizes BINARY"
@@ -131,14 +131,9 @@ def _signer(width, percent, groups):
             order = np.argsort(sigs)
             sigs, owner = sigs[order], owner[order]
             grp = (((sigs >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)).astype(np.int64)
-            at = breaks(grp)
-            for a, b in zip(at[:-1], at[1:]):
-                table, refs = np.unique(owner[a:b], return_inverse=True)
-                refs = refs.astype(np.uint16 if len(table) <= 1 << 16 else np.uint32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(grp[a])], pa.int32()), pa.array([sigs[a:b].tobytes()], pa.binary()), pa.array([refs.tobytes()], pa.binary()),
-                     pa.array([np.diff(table, prepend=0).astype(np.int64).tobytes()], pa.binary()), pa.array([None], pa.binary())],
-                    ["grp", "sigs", "refs", "docs", "sizes"])
+            table, owner = np.unique(owner, return_inverse=True)
+            for columns in packed_slices(grp, sigs, owner, table):
+                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(columns[0]), pa.binary())], ["grp", "sigs", "refs", "docs", "sizes"])
     return rows
 
 
@@ -175,10 +170,9 @@ def _families(stream):
                 if sigs:
                     yield from close()
                 held, sigs, docs = grp, [], []
-            s = np.frombuffer(s, np.uint64)
-            table = np.cumsum(np.frombuffer(d, np.int64))
+            s, d = unpacked_slice(s, r, d)
             sigs.append(s)
-            docs.append(table[np.frombuffer(r, np.uint16 if len(r) == 2 * len(s) else np.uint32)])
+            docs.append(d)
     if sigs:
         yield from close()
 

@@ -25,10 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patchrank.llm import text as T
-from patchrank.llm.common import blobs, breaks, schema_with, spread
+from patchrank.llm.common import blobs, breaks, packed_slices, schema_with, spread, unpacked_slice
 
 CELL_BITS = 16
 SHARD_BYTES = 8 << 20
+NAMES = ["grp", "codes", "refs", "docs"]
 SHUFFLED = "grp INT, codes BINARY, refs BINARY, docs BINARY"
 FOUND = "_shard INT, docs BINARY, counts BINARY, codes BINARY"
 
@@ -86,15 +87,6 @@ def groups_of(docs: DataFrame, width: int, group_rows: int) -> Groups:
     return Groups(counts, int(max(1000, min(group_rows, counts.sum() // (4 * tasks)))))
 
 
-def _planes(codes: np.ndarray) -> bytes:
-    """Bytes of equal weight together: the leading ones of sorted codes hardly vary and compress well."""
-    return np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def _codes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
-
-
 def packed(docs: np.ndarray, codes: np.ndarray, whole: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(documents, counts, codes), ordered by document; a document all of whose suffixes repeat has count -1 and no codes."""
     order = np.argsort(docs, kind="stable")
@@ -108,7 +100,7 @@ def packed(docs: np.ndarray, codes: np.ndarray, whole: dict | None = None) -> tu
 
 
 def _row(grp, codes, refs, docs):
-    return pa.RecordBatch.from_arrays([pa.array(grp, pa.int32()), *(pa.array([x], pa.binary()) for x in (codes, refs, docs))], ["grp", "codes", "refs", "docs"])
+    return pa.RecordBatch.from_arrays([pa.array(grp, pa.int32()), *(pa.array([x], pa.binary()) for x in (codes, refs, docs))], NAMES)
 
 
 def _suffixes(width, groups):
@@ -129,13 +121,8 @@ def _suffixes(width, groups):
                 docs, counts, local = packed(ids[owner[again]], codes[again], dict(zip(ids.tolist(), np.bincount(owner, minlength=len(ids)).tolist())))
                 yield _row([-1 - int(len(local) % 1024)], local.tobytes(), counts.tobytes(), docs.tobytes())
             codes, owner = codes[cut[:-1]], low
-            grp = groups.of(codes)
-            edges = breaks(grp)
-            for a, b in zip(edges[:-1], edges[1:]):
-                used, refs = np.unique(owner[a:b], return_inverse=True)
-                refs = refs.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32)
-                docs = np.diff(ids[used], prepend=0)
-                yield _row([int(grp[a])], _planes(codes[a:b]), refs.tobytes(), docs.astype(np.int64).tobytes())
+            for columns in packed_slices(groups.of(codes), codes, owner, ids):
+                yield pa.RecordBatch.from_arrays(columns, NAMES)
     return rows
 
 
@@ -210,9 +197,9 @@ def _subtrees(shards):
                     if codes:
                         yield from close()
                     held, codes, docs = grp, [], []
-                c = _codes(c)
+                c, d = unpacked_slice(c, r, d)
                 codes.append(c)
-                docs.append(np.cumsum(np.frombuffer(d, np.int64))[np.frombuffer(r, np.uint16 if len(r) == 2 * len(c) else np.uint32)])
+                docs.append(d)
         if codes:
             yield from close()
         yield from out.flush()

@@ -181,3 +181,14 @@ def test_bpe_equals_the_library_and_round_trips(make, hard):
         assert digest[i].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest() or i in (None, 6)
         assert digest[500].decoded_sha256 == hashlib.sha256(ODD[0].encode()).hexdigest()
     assert bpe.digests(make([]), vocabulary).count() == 0
+
+
+@pytest.mark.parametrize("small", [0, 1 << 30])
+def test_slices_unpack_to_what_was_packed(small):
+    from patchrank.llm.common import packed_slices, unpacked_slice
+    rng = np.random.default_rng(1)
+    codes = np.sort(rng.integers(0, 2 ** 63, 9000).astype(np.uint64))
+    grp, owner, ids = (codes >> np.uint64(51)).astype(np.int64), rng.integers(0, 300, 9000), np.sort(rng.integers(-10 ** 12, 10 ** 12, 300))
+    rows = [(g, *unpacked_slice(c, r, d)) for columns in packed_slices(grp, codes, owner, ids, small) for g, c, r, d in zip(*(x.to_pylist() for x in columns))]
+    assert [r[0] for r in rows] == sorted(set(grp.tolist()))
+    assert (np.concatenate([r[1] for r in rows]) == codes).all() and (np.concatenate([r[2] for r in rows]) == ids[owner]).all()
