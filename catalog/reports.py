@@ -53,10 +53,15 @@ def tag_axes(spark, sf):
     if is_materialised(spark, key):
         return reopen(spark, key)
     ax = rk.axes(tag_rows(spark, sf), v.N_PATCH, ["tag", "arm", "seed", "bag_id"])
+    return materialise(with_condition(ax, spark, sf), key)
+
+
+def with_condition(per_bag, spark, sf):
+    """Attach the patient and the condition, the patient's region."""
     region = v.table(spark, sf, "nation").join(
         v.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(
         F.col("n_nationkey").cast("bigint").alias("patient_id"), F.col("r_name").alias("condition"))
-    return materialise(v.with_patient(ax, spark, sf).join(region, "patient_id"), key)
+    return v.with_patient(per_bag, spark, sf).join(region, "patient_id")
 
 
 U1 = f"(({v.draw(chr(39) + '1' + chr(39), 'bag_id', 'pos')} + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
@@ -317,10 +322,16 @@ def h7_verdict(spark, sf):
     return r6(vd.h7(study, probe, members, 0.5, 0.1), "probe_skill", "worst")
 
 
-@q("j19_h8_verdict", "SELECT condition, round(value, 6) AS value, value > 0.5 AS exceeds, 'REPORTED' AS outcome FROM (SELECT r_name AS condition, avg(flat) AS value FROM region JOIN ta ON condition = r_name WHERE tag='centre_prior' GROUP BY r_name)")
+@q("j19_h8_verdict", f"""SELECT r_name AS condition, round(x, 6) AS value, x > 0.5 AS exceeds, CASE WHEN x IS NULL THEN 'NOT_RUN' ELSE 'REPORTED' END AS outcome
+ FROM region LEFT JOIN (SELECT n_regionkey, avg(auc) AS x FROM {v.auc('rr', 'slot, region, bag_id')} JOIN bags USING (bag_id) JOIN nation ON n_nationkey = patient_id WHERE slot = 0 AND region = 'inside' GROUP BY 1) ON n_regionkey = r_regionkey""",
+   f"{REG}, {v.BAGS}")
 def h8_verdict(spark, sf):
-    m = tag_means(spark, sf).where("tag = 'centre_prior'").withColumn("value", F.col("flat"))
-    return r6(vd.h8(conditions(spark, sf), m, 0.5), "value")
+    """The template's AUC inside the region."""
+    rows = v.flagged(spark, sf)
+    tiled = tp.tile(rows, tp.global_template(rows, F.col("s1"))).withColumn("s_0", F.col("template").cast("double"))
+    inside = rp.in_region(tiled, ["s_0"], 0.3, v.N_PATCH, v.GRID, 4).where("region = 'inside' AND NOT stratified")
+    value = with_condition(inside.select("bag_id", "auc"), spark, sf).groupBy("condition").agg(F.avg("auc").alias("value"))
+    return r6(vd.h8(conditions(spark, sf), value, 0.5), "value")
 
 
 H9B = v.bootstrap("fl9", "condition, tag", "flat", reps=100)
@@ -338,19 +349,21 @@ def h9_ordering(spark, sf):
     return r6(vd.h9(pairs).select("tag", "cond_a", "cond_b", "outcome", "basis", "hi_a", "lo_b"), "hi_a", "lo_b")
 
 
-D10 = "d10 AS (SELECT a.condition, a.tag, a.patient_id, c.flat - a.flat AS delta FROM ta a JOIN ta c ON c.tag='centre_prior' AND a.bag_id = c.bag_id WHERE a.seed IS NOT NULL)"
+D10 = "d10 AS (SELECT r_name AS condition, m.patient_id, m.flat - t.flat AS delta FROM fax m JOIN fax t ON m.bag_id = t.bag_id AND t.scorer = 'trained' AND m.scorer = 'masks:separable' JOIN nation ON n_nationkey = m.patient_id JOIN region ON r_regionkey = n_regionkey)"
 
 
 def h10_rows(spark, sf):
-    t = tag_axes(spark, sf)
-    ref = t.where("tag = 'centre_prior'").select("bag_id", F.col("flat").alias("_r"))
-    d = t.where(is_arm()).join(ref, "bag_id").withColumn("delta", F.col("_r") - F.col("flat"))
-    ci = es.cluster_bootstrap(d, ["condition", "tag"], "delta", "patient_id", 100)
+    """The declared mask-fitted member against the arm, per condition."""
+    fax = family_axes(spark, sf)
+    arm = fax.where("scorer = 'trained'").select("bag_id", F.col("flat").alias("_arm"))
+    d = fax.where("scorer = 'masks:separable'").join(arm, "bag_id").select("bag_id", (F.col("flat") - F.col("_arm")).alias("delta"))
+    ci = es.cluster_bootstrap(with_condition(d, spark, sf), ["condition"], "delta", "patient_id", 100)
     return ci.withColumn("interval", es.interval_outcome(F.col("lo"), F.col("hi")))
 
 
-@q("j21_h10_outcomes", f"""SELECT condition, count(o) AS n_scored, sum(CASE WHEN o='oracle_wins' THEN 1 ELSE 0 END)::BIGINT AS oracle_wins, sum(CASE WHEN o='indistinguishable' THEN 1 ELSE 0 END)::BIGINT AS indistinguishable, sum(CASE WHEN o='trained_wins' THEN 1 ELSE 0 END)::BIGINT AS trained_wins,
- CASE WHEN sum(CASE WHEN o='trained_wins' THEN 1 ELSE 0 END) >= count(o)//2 + 1 THEN 'FAIL' ELSE 'PASS' END AS outcome FROM (SELECT condition, {OUTCOME} AS o FROM {v.bootstrap('d10', 'condition, tag', 'delta', reps=100)}) GROUP BY condition""", f"{TAGS}, {D10}")
+@q("j21_h10_outcomes", f"""SELECT r_name AS condition, n_scored, oracle_wins, indistinguishable, trained_wins, CASE WHEN n_scored IS NULL THEN 'NOT_RUN' WHEN trained_wins >= n_scored//2 + 1 THEN 'FAIL' ELSE 'PASS' END AS outcome
+ FROM region LEFT JOIN (SELECT condition, count(o) AS n_scored, sum(CASE WHEN o='oracle_wins' THEN 1 ELSE 0 END)::BIGINT AS oracle_wins, sum(CASE WHEN o='indistinguishable' THEN 1 ELSE 0 END)::BIGINT AS indistinguishable, sum(CASE WHEN o='trained_wins' THEN 1 ELSE 0 END)::BIGINT AS trained_wins
+  FROM (SELECT condition, {OUTCOME} AS o FROM {v.bootstrap('d10', 'condition', 'delta', reps=100)}) GROUP BY condition) ON condition = r_name""", f"{FAMILY}, {D10}")
 def h10_outcomes(spark, sf):
     return vd.h10(conditions(spark, sf), h10_rows(spark, sf))
 
