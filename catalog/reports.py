@@ -194,7 +194,7 @@ HF = f"""{v.FLAG}, {GT}, {centre_cte('flagged')}, hb AS MATERIALIZED (SELECT bag
  hh AS (SELECT *, least(1.0::DOUBLE, max(sc) OVER (PARTITION BY seed ORDER BY p, test ROWS UNBOUNDED PRECEDING)) AS p_adjusted FROM hs)"""
 
 
-@q("j26_holm_family", f"SELECT seed, arm, reference, n_pos, n_neg, n_family, {rs('auc_a', 'auc_b', 'delta', 'z')}, round(p_adjusted, 5) AS p_adjusted, p_adjusted <= 0.05 AS reject FROM hh", HF)
+@q("j26_holm_family", f"SELECT seed, arm, reference, n_pos, n_neg, n_family, {rs('auc_a', 'auc_b', 'delta', 'z')}, round(p_adjusted, 5) AS p_adjusted, p_adjusted <= 0.05 AS reject, n_family < 6 AS short FROM hh", HF)
 def holm_family(spark, sf):
     rows = v.flagged(spark, sf)
     tiled = tp.tile(rows, tp.global_template(rows, F.col("s1")))
@@ -202,7 +202,7 @@ def holm_family(spark, sf):
         (F.col("bag_id") % 3).alias("seed"), "target", *ARMS3, F.col("score").alias("centre"), F.col("template").cast("double").alias("tmpl"))
     out = rp.holm_family(scored, ARMS3, ("centre", "tmpl"))
     out = out.select("seed", "arm", "reference", "n_pos", "n_neg", "n_family", "auc_a", "auc_b", "delta", "z",
-                     F.round("p_adjusted", 5).alias("p_adjusted"), "reject")
+                     F.round("p_adjusted", 5).alias("p_adjusted"), "reject", "short")
     return r6(out, "auc_a", "auc_b", "delta", "z")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import draws
@@ -102,14 +103,22 @@ def in_region(rows: DataFrame, scorers: Sequence[str], threshold: float, n_patch
 
 
 def holm_family(rows: DataFrame, arms: Sequence[str], references: Sequence[str], seed_key: str = "seed") -> DataFrame:
-    """Pooled DeLong of every arm against every reference per seed, Holm-adjusted inside the seed."""
+    """Pooled DeLong of every arm against every reference per seed, Holm-adjusted inside the seed.
+
+    A member that cannot be paired in a seed (one class, or no rows) stays in the output with a NULL p and counts
+    toward the family; ``short`` says that the seed's family then lacks a declared member, ``underflow`` that a p-value is below doubles.
+    """
     pairs = F.array(*[F.struct(F.lit(a).alias("arm"), F.lit(r).alias("reference"), F.col(a).cast("double").alias("a"),
                                F.col(r).cast("double").alias("b")) for a in arms for r in references])
     long = rows.withColumn("_p", F.explode(pairs)).select(seed_key, "target", "_p.*")
     tests = inf.delong(long, [seed_key, "arm", "reference"], "a", "b")
-    tests = tests.withColumn("test", F.concat_ws("|", "arm", "reference"))
-    out = inf.holm(tests, [seed_key], "p", "test")
-    return out.withColumn("underflow", (F.col("p") == 0).cast("int")).drop("test")
+    declared = F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), F.lit(r).alias("reference")) for a in arms for r in references]))
+    whole = rows.select(seed_key).distinct().withColumn("_m", declared).select(seed_key, "_m.arm", "_m.reference")
+    every = whole.join(tests, [seed_key, "arm", "reference"], "left").withColumn("test", F.concat_ws("|", "arm", "reference"))
+    out = inf.holm(every, [seed_key], "p", "test").drop("test")
+    known = F.count_if(F.col("p").isNotNull() & ~F.isnan("p")).over(W.partitionBy(seed_key))  # a declared list of tests
+    return (out.withColumn("short", known < len(arms) * len(references))
+            .withColumn("underflow", (F.col("p") == 0).cast("int")))
 
 
 def untrained_floor(rows: DataFrame, bags: DataFrame, slots: Sequence[str], n_patch: int, inits: int, reps: int,

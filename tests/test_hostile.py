@@ -168,3 +168,14 @@ def test_grid_and_file_sizes(spark, tmp_path):
     spark.range(100).repartition(3).write.parquet(path)
     r = ca.stored_size(spark.read.parquet(path)).first()
     assert r.n_files == 3 and r.n_bytes == sum(p.stat().st_size for p in (tmp_path / "t").glob("*.parquet"))
+
+
+def test_holm_family_keeps_a_member_that_cannot_be_paired(spark):
+    from patchrank.plans import reports as rp
+    rng = random.Random(3)
+    rows = [(s, rng.randrange(2) if s < 2 else 1, rng.random(), rng.random(), rng.random()) for s in range(3) for _ in range(40)]
+    df = spark.createDataFrame(rows, "seed INT, target INT, a DOUBLE, b DOUBLE, ref DOUBLE")
+    out = rp.holm_family(df, ["a", "b"], ["ref"]).collect()
+    assert len(out) == 6
+    assert {(r.seed, r.short, r.n_family) for r in out} == {(0, False, 2), (1, False, 2), (2, True, 2)}
+    assert all((r.p_adjusted is None) == (r.seed == 2) for r in out)
