@@ -175,6 +175,7 @@ def _families(stream):
             docs.append(d)
     if sigs:
         yield from close()
+    T.release()
 
 
 def _incidence(width):
@@ -250,13 +251,15 @@ def _products(percent):
                 docs.append(doc)
                 sets.append(np.frombuffer(members, np.uint64))
         yield from close()
+        T.release()
     return rows
 
 
-def links(docs: DataFrame, width: int = 5, percent: int = 80, block: int = 1_000_000, group_rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, width: int = 3, percent: int = 90, block: int = 1_000_000, group_rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """(sizes, components): rows (doc_id, n_shingles) for every row of ``docs``, and (node, component) for every linked doc_id.
 
-    ``block`` bounds the shingles of one chunk of a family. A text without words has an empty set and no links. Rows without a doc_id
+    Any bound gives the exact links, but parts shrink as the bound falls, and small parts join documents that only share a
+    passage into one family, whose blocks are many. ``block`` bounds the shingles of one chunk of a family. A text without words has an empty set and no links. Rows without a doc_id
     have a size and no links. Rows that share a doc_id are one node, linked by any of their texts.
     """
     spark = docs.sparkSession

@@ -47,7 +47,7 @@ def test_pipeline_equals_brute_force(spark):
 
 
 def _first_of_groups(rows):
-    kept = {i for i, _, c in brute.jaccard(rows, 5, 80) if i == c}
+    kept = {i for i, _, c in brute.jaccard(rows, 3, 90) if i == c}
     return [(i, t) for i, t in rows if i in kept]
 
 
