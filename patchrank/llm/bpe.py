@@ -23,6 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from patchrank.llm import text as T
 from patchrank.llm.common import schema_with, spread
 
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed value: the byte-level word rule
@@ -144,6 +145,8 @@ def _ask(spec: str, parts: int):
         for shard, found in shards.items():
             for part, asked in requests(found, parts).items():
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([pack(asked)], pa.binary())], ["part", "shard", "words"])
+        shards.clear()
+        T.release()
     return rows
 
 
@@ -162,6 +165,8 @@ def _answer(spec: str, step: int = 1 << 14):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([shard], pa.int32()), pa.array([part], pa.int32()), pa.array([pack_ids([table[w] for w in asked])], pa.binary())],
                     ["shard", "part", "ids"])
+        table.clear()
+        T.release()
     return rows
 
 
@@ -205,6 +210,8 @@ def _join(spec: str, parts: int, emit):
         left = left.drop_columns(["shard"])
         for k, (name, kind) in enumerate(zip(*emit.columns)):
             left = left.append_column(name, pa.array([row[k] for row in out], kind))
+        del texts, ids, answers, out
+        T.release()
         return left
     return shard
 

@@ -184,7 +184,7 @@ def occurrences(words: T.Words, phrases: Phrases, most: int = 1 << 21):
 def _marker(phrases: Phrases, source: str):
     """Adds the spans and items of one block to what the columns _spans and _items hold."""
     def rows(stream):
-        for batch in T.batches(stream, 8 << 20, source):
+        for batch in T.batches(stream, 4 << 20, source):
             words = words_of(batch[source])
             step = np.zeros(len(words) + 1, np.int64)
             items: list[set] = [set(x or ()) for x in batch["_items"].to_pylist()]

@@ -112,7 +112,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, bits: int = BITS, capacity: int =
 
 def _identifier(filters: Filters):
     def rows(stream):
-        for batch in T.batches(stream):
+        for batch in T.batches(stream, 1 << 20):
             lettered = [t is not None and any(map(str.isalpha, t)) for t in batch["text"].to_pylist()]
             if filters.languages:
                 shares = filters.shares(batch["text"])

@@ -95,7 +95,7 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int = BITS, dim:
 
 def _counted(bits):
     def rows(stream):
-        for batch in T.batches(stream):
+        for batch in T.batches(stream, 1 << 20):
             parts = list(features(batch["text"], bits))
             out = []
             for i in range(batch.num_rows):
@@ -119,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BI
 
 def _scorer(model: Model):
     def rows(stream):
-        for batch in T.batches(stream):
+        for batch in T.batches(stream, 1 << 20):
             yield from batch.append_column("score", pa.array(model.scores(batch["text"]), pa.float64())).to_batches()
     return rows
 

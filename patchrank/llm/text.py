@@ -6,6 +6,9 @@ words. Fingerprints have 64 bits and depend on the text alone, never on the proc
 """
 from __future__ import annotations
 
+import ctypes
+import functools
+
 import numpy as np
 import pyarrow as pa
 
@@ -86,6 +89,20 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+@functools.lru_cache(maxsize=1)
+def _trim():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library: nothing to give back by hand
+        return lambda _: 0
+
+
+def release() -> None:
+    """Give freed memory back to the system: Python workers are reused, and an idle one would keep what it once needed."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 class Words:
     """Words of a run of texts: ``start`` and ``end`` byte positions, and ``first``, the number of words before each text."""
 
@@ -121,7 +138,7 @@ def shingles(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndar
 
 def batches(stream, limit: int = 4 << 20, column: str = "text"):
     """Regroup Arrow batches so that each holds about ``limit`` bytes of ``column``, or one row that is longer."""
-    held, size = [], 0
+    held, size, given = [], 0, 0
     for batch in stream:
         data, offsets = utf8(batch.column(column))
         at = 0
@@ -134,6 +151,10 @@ def batches(stream, limit: int = 4 << 20, column: str = "text"):
                 at = stop
             if at < batch.num_rows or size >= limit:
                 yield pa.Table.from_batches(held).combine_chunks()
-                held, size = [], 0
+                held, size, given = [], 0, given + 1
+                if given % 4 == 0:
+                    release()
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+    held = None
+    release()
