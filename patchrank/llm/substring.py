@@ -87,15 +87,30 @@ def groups_of(docs: DataFrame, width: int, group_rows: int) -> Groups:
     return Groups(counts, int(max(1000, min(group_rows, counts.sum() // (4 * tasks)))))
 
 
-def packed(docs: np.ndarray, codes: np.ndarray, whole: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(documents, counts, codes), ordered by document; a document all of whose suffixes repeat has count -1 and no codes."""
+def row_prints(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """One fingerprint, of all its path codes, for every text that has a suffix."""
+    starts = first[:-1][np.diff(first) > 0]
+    return np.add.reduceat(T.mix(codes), starts) if len(starts) else np.zeros(0, np.uint64)
+
+
+def packed(docs: np.ndarray, codes: np.ndarray, whole: dict | None = None, rows: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(documents, counts, codes), ordered by document.
+
+    ``whole`` has the suffixes of each document, ``rows`` (documents, prints) of its texts: a document all of whose suffixes repeat has
+    minus the number of its texts as count, and their prints for codes. They name these texts only: the document may have others
+    in other batches.
+    """
     order = np.argsort(docs, kind="stable")
     docs, codes = docs[order], codes[order]
     at = breaks(docs)
     names, counts = docs[at[:-1]], np.diff(at)
     if whole:
         every = np.array([n == whole[d] for d, n in zip(names.tolist(), counts.tolist())], bool)
-        codes, counts = codes[~np.repeat(every, counts)], np.where(every, -1, counts)
+        named = np.isin(rows[0], names[every])
+        rest = ~np.repeat(every, counts)
+        owner, codes = np.concatenate([docs[rest], rows[0][named]]), np.concatenate([codes[rest], rows[1][named]])
+        codes = codes[np.argsort(owner, kind="stable")]
+        counts[every] = -np.unique(rows[0][named], return_counts=True)[1]
     return names, counts.astype(np.int32), codes
 
 
@@ -109,6 +124,7 @@ def _suffixes(width, groups):
             codes, first = path_codes(T.Words(*T.utf8(batch["text"]), T.BLANK), width)
             ids, rank = np.unique(batch["doc_id"].to_numpy(), return_inverse=True)
             owner = np.repeat(rank, np.diff(first)).astype(np.uint32)
+            texts = ids[rank[np.diff(first) > 0]], row_prints(codes, first)
             order = np.argsort(codes)
             codes, owner = codes[order], owner[order]
             cut = breaks(codes)
@@ -118,7 +134,7 @@ def _suffixes(width, groups):
             again = owner > np.repeat(low, np.diff(cut))
             # repeats inside the batch go straight to their documents
             if again.any():
-                docs, counts, local = packed(ids[owner[again]], codes[again], dict(zip(ids.tolist(), np.bincount(owner, minlength=len(ids)).tolist())))
+                docs, counts, local = packed(ids[owner[again]], codes[again], dict(zip(ids.tolist(), np.bincount(owner, minlength=len(ids)).tolist())), texts)
                 yield _row([-1 - int(len(local) % 1024)], local.tobytes(), counts.tobytes(), docs.tobytes())
             codes, owner = codes[cut[:-1]], low
             for columns in packed_slices(groups.of(codes), codes, owner, ids):
@@ -165,7 +181,7 @@ class _Outbox:
         self.held, self.parts = 0, []
         shard = shard_of(docs, self.shards)
         order = np.argsort(shard, kind="stable")
-        size = np.maximum(counts, 0)
+        size = np.abs(counts)
         first = np.concatenate([[0], np.cumsum(size)])[:-1]
         ends = np.concatenate([[0], np.cumsum(size[order])])
         at = np.arange(ends[-1]) + np.repeat(first[order] - ends[:-1], size[order])
@@ -225,12 +241,12 @@ def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:
 def _cleaner(width, emit):
     """For each row of a shard, its words and the mask of removed ones (or None) go to ``emit``, which gives the added columns."""
     def shard(left: pa.Table, right: pa.Table) -> pa.Table:
-        marked: dict[int, list] = {}
+        marked: dict[int, tuple[list, list]] = {}
         for d, n, c in zip(right["docs"].to_pylist(), right["counts"].to_pylist(), right["codes"].to_pylist()):
             d, n, c = np.frombuffer(d, np.int64), np.frombuffer(n, np.int32), np.frombuffer(c, np.uint64)
-            ends = np.cumsum(np.maximum(n, 0))
+            ends = np.cumsum(np.abs(n))
             for doc, count, end in zip(d.tolist(), n.tolist(), ends.tolist()):
-                marked.setdefault(doc, []).append(None if count < 0 else c[end - count:end])
+                marked.setdefault(doc, ([], []))[count < 0].append(c[end - abs(count):end])
         out = []
         for batch in T.batches(left.to_batches()):
             words = T.Words(*T.utf8(batch["text"]), T.BLANK)
@@ -242,10 +258,11 @@ def _cleaner(width, emit):
                 pieces = words.data[a:b].tobytes().split()
                 hit = None
                 if found[i] and first[i + 1] > first[i]:
-                    if any(x is None for x in found[i]):
+                    own, (parts, texts) = codes[first[i]:first[i + 1]], found[i]
+                    if texts and np.isin(row_prints(own, np.array([0, len(own)])), np.concatenate(texts)).any():
                         hit = np.ones(len(pieces), bool)
-                    else:
-                        starts = np.flatnonzero(np.isin(codes[first[i]:first[i + 1]], np.concatenate(found[i])))
+                    elif parts:
+                        starts = np.flatnonzero(np.isin(own, np.concatenate(parts)))
                         hit = covered(len(pieces), starts, width)
                 out.append(emit(pieces, hit))
         kept = left.drop_columns(["_shard"])
