@@ -4,7 +4,7 @@ Each language has a Bloom filter of its frequent byte n-grams. The filters are s
 language, so the AND of the masks at an n-gram's positions names all languages that contain it. A text's masks are counted per
 language, the count is corrected for the filter's rate of false positives, and the largest share decides.
 
-The filters are learned from about ``sample`` texts of each language, drawn by a hash of doc_id.
+The filters are learned from at most ``sample`` distinct rows (doc_id, text) of each language, drawn by a hash of both.
 """
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchrank.llm import text as T
@@ -87,16 +87,32 @@ def _filter_of(bits: int, capacity: int):
     return build
 
 
+def draw(known: DataFrame, sizes: dict[str, int], sample: int) -> DataFrame:
+    """lang and text of the ``sample`` rows of each language with the smallest ``draw``, or of all; ``sizes`` counts distinct draws.
+
+    A share with five deviations to spare is taken first, so that only few rows are ordered.
+    """
+    share = {k: min(1.0, (sample + 5 * sample ** 0.5 + 25) / n) for k, n in sizes.items()}
+    share = F.try_element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("lang"))
+    near = known.where(F.pmod("draw", F.lit(1 << 40)) < share * float(1 << 40)).groupBy("lang", "draw").agg(F.min("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("draw", F.lit(1 << 40)), "draw"))
+    return near.withColumn("place", place).where(F.col("place") <= sample).select("lang", "text")
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE, bits: int = BITS, capacity: int = CAPACITY) -> Filters:
-    """Learn from documents with a language that are not held out. At most MOST_LANGUAGES languages are supported."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), 4, 2)).select("doc_id", F.col("lang").cast("string"), F.col("text").cast("string"))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    """Learn from documents with a language that are not held out. At most MOST_LANGUAGES languages are supported.
+
+    Rows are told apart by doc_id and text together, so rows without a doc_id, or with a common one, are drawn like any others.
+    """
+    known = (docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), 4, 2))
+             .select("doc_id", F.col("lang").cast("string"), F.col("text").cast("string"))
+             .select("lang", "text", F.xxhash64("doc_id", "text").alias("draw")))
+    sizes = {r["lang"]: r["n"] for r in known.select("lang", "draw").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if len(sizes) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not sizes:
         return Filters([], np.zeros((1 << bits, 1), np.uint8), np.zeros(0))
-    share = F.try_element_at(F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, sample / n)))]), F.col("lang"))
-    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < share * float(1 << 40)).select("lang", "text")
+    drawn = draw(known, sizes, sample)
     planes = drawn.groupBy("lang").applyInArrow(_filter_of(bits, capacity), "lang STRING, plane BINARY").toArrow()
     planes = dict(zip(planes["lang"].to_pylist(), planes["plane"].to_pylist()))
     languages = sorted(planes)
