@@ -1,9 +1,9 @@
-"""Substring dedup with prefix-partitioned suffix trees.
+"""Substring dedup by grouping window fingerprints, in place of prefix-partitioned suffix trees.
 
 A suffix starts at every word that has ``width - 1`` words after it. It is written as a path code of 64 bits, one field per depth:
 8 bits of its first word, 8 bits of its first three words, 48 bits of its first ``width`` words. Codes that agree in leading
-fields lie in the same subtree, so sorting codes walks the (hashed) tree in order and equal codes are one node at depth
-``width``. Codes are compared together with the group they fall in.
+fields would lie in the same subtree, but only the full depth is looked at: equal codes are taken for equal windows. Windows that
+share their first three words differ in the last 48 bits only. Codes are compared together with the group they fall in.
 
 1. Count suffixes per prefix cell (65,536 counters, whatever the input) and cut the code line into groups of about
    ``group_rows`` suffixes: rare first words share a group, frequent ones are split by their three-word prefix, and a prefix that is
