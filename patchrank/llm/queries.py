@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from patchrank.llm import bpe, chat, decontam, jaccard, language, quality, secrets, sql, substring, urls, vectors
+from patchrank.llm import bpe, chat, decontam, grace, jaccard, language, merkle, periodic, quality, secrets, sql, substring, urls, vectors
 from patchrank.llm.common import table
 from patchrank.llm.registry import ORACLES, QUERIES, query
 
@@ -62,6 +62,21 @@ def chat_format(spark, sf):
     return chat.read_back(chat.format_turns(rows.union(extra)))
 
 
+@query("op11_exact_dedup", sql.COPIES)
+def exact_dedup(spark, sf):
+    return grace.digests(table(spark, sf, "documents"))
+
+
+@query("op12_merkle_manifest", sql.MERKLE)
+def merkle_manifest(spark, sf):
+    return merkle.digests(table(spark, sf, "documents"))
+
+
+@query("op13_periodic_runs")
+def periodic_runs(spark, sf):
+    return periodic.digests(table(spark, sf, "documents"))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
 
 
