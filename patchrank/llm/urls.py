@@ -8,6 +8,7 @@ Urls are compared as written. Nodes are 128-bit digests of urls, so edges stay s
 """
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from patchrank.llm.common import components, packed, unpacked
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MOST_RULES = 1000  # rules are literals of the plan; a longer list must be split
+MOST_RULES = 1000  # rules are one literal of the plan; a longer list must be split
 
 
 @dataclass(frozen=True)
@@ -49,21 +50,23 @@ def path_of(url: Column) -> Column:
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> Column:
-    """Name of the longest rule that fits, or null."""
+    """(size, name, verdict) of the longest rule that fits, ties by name; null if none does.
+
+    The rules are one literal map from a host to its rules, looked up by the last labels of ``host``, as many as a rule's host has at most:
+    the expression's size does not depend on the number of rules.
+    """
     if len(rules) > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} rules")
-    out = F.lit(None).cast("string")
-    for r in sorted(rules, key=lambda r: (len(r.name), r.name)):
-        fits = ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)
-        out = F.when(fits, F.lit(r.name)).otherwise(out)
-    return out
-
-
-def verdict_of(rule: Column, rules=RULES) -> Column:
-    out = F.lit(None).cast("string")
+    if not rules:
+        return F.lit(None).cast("struct<size: int, name: string, verdict: string>")
+    by_host: dict[str, list] = {}
     for r in rules:
-        out = F.when(rule == r.name, F.lit(r.verdict)).otherwise(out)
-    return out
+        by_host.setdefault(r.host, []).append({"size": len(r.name), "name": r.name, "verdict": r.verdict, "path": r.path})
+    table = F.from_json(F.lit(json.dumps(by_host)), "MAP<STRING, ARRAY<STRUCT<size: INT, name: STRING, verdict: STRING, path: STRING>>>")
+    tails = [F.substring_index(host, ".", k) for k in range(-max(h.count(".") + 1 for h in by_host), 0)]
+    found = F.flatten(F.transform(F.array_distinct(F.array(*tails)), lambda h: F.coalesce(F.try_element_at(table, h), F.array())))
+    fits = F.filter(found, lambda r: path.startswith(r["path"]))
+    return F.array_max(F.transform(fits, lambda r: F.struct(r["size"].alias("size"), r["name"].alias("name"), r["verdict"].alias("verdict"))))
 
 
 def resolved(target: Column, url: Column) -> Column:
@@ -89,7 +92,8 @@ def page_edges(pages: DataFrame) -> DataFrame:
 def blocked_aliases(edges: DataFrame, rules=RULES) -> DataFrame:
     """(node) of every url that shares a component with a blocked one."""
     ends = edges.select(F.col("source").alias("url")).union(edges.select(F.col("target").alias("url"))).distinct()
-    judged = ends.select(F.md5("url").alias("node"), (verdict_of(rule_of(host_of(F.col("url")), path_of(F.col("url")), rules), rules) == "block").alias("bad"))
+    parts = ends.select(F.md5("url").alias("node"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    judged = parts.select("node", (rule_of(F.col("host"), F.col("path"), rules)["verdict"] == "block").alias("bad"))
     found = components(edges.select(F.md5("source").alias("a"), F.md5("target").alias("b")), "url-aliases", kind="STRING")
     bad = judged.where("bad").join(found, "node").select("component").distinct()
     return found.join(bad, "component").select("node").distinct()
@@ -107,9 +111,9 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) ->
         edges = edges.union(redirects.select("source", "target"))
     bad = blocked_aliases(edges.where("source IS NOT NULL AND target IS NOT NULL"), rules).withColumn("_bad", F.lit(True))
     rows = packed(pages, F.coalesce(host_of(url), F.lit("")).alias("host"), F.coalesce(path_of(url), F.lit("")).alias("path"), F.md5(url).alias("at"))
-    joined = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).join(bad, F.col("at") == F.col("node"), "left")
-    verdict = F.coalesce(verdict_of(F.col("rule"), rules), F.when(F.col("_bad"), F.lit("block")), F.lit("allow"))
-    return unpacked(joined, pages.columns, host=F.col("host"), path=F.col("path"), rule=F.col("rule"), verdict=verdict)
+    joined = rows.withColumn("hit", rule_of(F.col("host"), F.col("path"), rules)).join(bad, F.col("at") == F.col("node"), "left")
+    verdict = F.coalesce(F.col("hit.verdict"), F.when(F.col("_bad"), F.lit("block")), F.lit("allow"))
+    return unpacked(joined, pages.columns, host=F.col("host"), path=F.col("path"), rule=F.col("hit.name"), verdict=verdict)
 
 
 def verdicts(pages: DataFrame) -> DataFrame:
