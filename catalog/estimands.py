@@ -37,15 +37,15 @@ def bag_auc(spark, sf, score="s1"):
 BAGAUC = f"ba AS MATERIALIZED (SELECT a.*, patient_id FROM {v.auc('flagged', 'bag_id', 's1')} a JOIN bags USING (bag_id))"
 
 
-@query("g01_cluster_bootstrap", f"WITH {v.FLAG}, {v.BAGS}, {BAGAUC} SELECT n, n_clusters, {rs('mean', 'lo', 'hi')} FROM {v.bootstrap('ba', '', 'auc', reps=500)}")
+@query("g01_cluster_bootstrap", f"WITH {v.FLAG}, {v.BAGS}, {BAGAUC} SELECT n, n_clusters, {rs('mean', 'lo', 'hi')} FROM {v.bootstrap('ba', '', 'auc', reps=10000)}")
 def cluster_bootstrap(spark, sf):
     rows = v.with_patient(bag_auc(spark, sf), spark, sf)
-    return r6(es.cluster_bootstrap(rows, [], "auc", "patient_id", 500), "mean", "lo", "hi")
+    return r6(es.cluster_bootstrap(rows, [], "auc", "patient_id", 10000), "mean", "lo", "hi")
 
 
-@query("g01_bootstrap_by_arm", f"WITH {v.RUNS} SELECT arm, n, n_clusters, {rs('mean', 'lo', 'hi')} FROM {v.bootstrap('runs', 'arm', 'value', 'bag_id', 200, 3)}")
+@query("g01_bootstrap_by_arm", f"WITH {v.RUNS} SELECT arm, n, n_clusters, {rs('mean', 'lo', 'hi')} FROM {v.bootstrap('runs', 'arm', 'value', 'bag_id', 10000, 3)}")
 def bootstrap_by_arm(spark, sf):
-    return r6(es.cluster_bootstrap(v.runs(spark, sf), ["arm"], "value", "bag_id", 200, 3), "mean", "lo", "hi")
+    return r6(es.cluster_bootstrap(v.runs(spark, sf), ["arm"], "value", "bag_id", 10000, 3), "mean", "lo", "hi")
 
 
 PREDS = """preds AS (SELECT doc_id, quality AS y, toxic AS y2, n_chars/(n_chars + 1500.0::DOUBLE) AS score, 1500.0::DOUBLE/(n_chars + 1500.0::DOUBLE) AS score2 FROM documents JOIN labels USING (doc_id))"""
@@ -60,11 +60,11 @@ def predictions(spark, sf):
 
 
 @query("g02_bag_bootstrap", f"""WITH {PREDS}, num AS (SELECT *, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS ix, count(*) OVER () AS size FROM preds),
- d AS (SELECT rep, {v.draw("'0'", 'rep', 'ix')} % size AS ix FROM num, range(60) r(rep)),
+ d AS (SELECT rep, {v.draw("'0'", 'rep', 'ix')} % size AS ix FROM num, range(2000) r(rep)),
  s AS (SELECT rep, y, score FROM d JOIN num USING (ix)), a AS (SELECT * FROM {v.auc('s', 'rep', 'score', 'y')} WHERE auc IS NOT NULL)
  SELECT round(avg(auc), 6) AS mean, round(quantile_cont(auc, 0.025), 6) AS lo, round(quantile_cont(auc, 0.975), 6) AS hi, count(*) AS n_boot FROM a""")
 def bag_bootstrap(spark, sf):
-    return r6(inf.bag_bootstrap(predictions(spark, sf), "doc_id", "y", "score", "auc", 60), "mean", "lo", "hi")
+    return r6(inf.bag_bootstrap(predictions(spark, sf), "doc_id", "y", "score", "auc", 2000), "mean", "lo", "hi")
 
 
 SKILL = f"""{v.FLAG}, {centre_cte('flagged')}, sk AS (SELECT a.bag_id, a.auc AS auc, c.auc AS prior FROM {v.auc('flagged', 'bag_id', 's1')} a JOIN {v.auc('centre', 'bag_id')} c USING (bag_id) WHERE a.auc IS NOT NULL)"""
@@ -102,17 +102,17 @@ def reference_chain(spark, sf):
 OUTCOME = "CASE WHEN lo IS NULL OR hi IS NULL THEN NULL WHEN lo > 0 THEN 'oracle_wins' WHEN hi < 0 THEN 'trained_wins' ELSE 'indistinguishable' END"
 
 
-@query("g06_interval_outcomes", f"""WITH {v.RUNS}, d AS (SELECT arm, bag_id, value - 60 AS value FROM runs) SELECT arm, {OUTCOME} AS outcome, {rs('lo', 'hi')} FROM {v.bootstrap('d', 'arm', 'value', 'bag_id', 100, 1)}""")
+@query("g06_interval_outcomes", f"""WITH {v.RUNS}, d AS (SELECT arm, bag_id, value - 60 AS value FROM runs) SELECT arm, {OUTCOME} AS outcome, {rs('lo', 'hi')} FROM {v.bootstrap('d', 'arm', 'value', 'bag_id', 10000, 1)}""")
 def interval_outcomes(spark, sf):
     rows = v.runs(spark, sf).withColumn("value", F.col("value") - 60)
-    ci = es.cluster_bootstrap(rows, ["arm"], "value", "bag_id", 100, 1)
+    ci = es.cluster_bootstrap(rows, ["arm"], "value", "bag_id", 10000, 1)
     return r6(ci.select("arm", es.interval_outcome(F.col("lo"), F.col("hi")).alias("outcome"), "lo", "hi"), "lo", "hi")
 
 
-@query("g07_paired_bootstrap", f"WITH {SKILL}, {v.BAGS}, d AS (SELECT auc - prior AS delta, patient_id FROM sk JOIN bags USING (bag_id)) SELECT n, n_clusters, {rs('mean', 'lo', 'hi')} FROM {v.bootstrap('d', '', 'delta', reps=300)}")
+@query("g07_paired_bootstrap", f"WITH {SKILL}, {v.BAGS}, d AS (SELECT auc - prior AS delta, patient_id FROM sk JOIN bags USING (bag_id)) SELECT n, n_clusters, {rs('mean', 'lo', 'hi')} FROM {v.bootstrap('d', '', 'delta', reps=10000)}")
 def paired_bootstrap(spark, sf):
     d = with_prior(spark, sf).withColumn("delta", F.col("auc") - F.col("prior"))
-    return r6(es.cluster_bootstrap(v.with_patient(d, spark, sf), [], "delta", "patient_id", 300), "mean", "lo", "hi")
+    return r6(es.cluster_bootstrap(v.with_patient(d, spark, sf), [], "delta", "patient_id", 10000), "mean", "lo", "hi")
 
 
 BATTERY = """dd AS (SELECT {k} a, b, a - b AS d FROM {src} WHERE a - b IS NOT NULL),
@@ -239,7 +239,7 @@ def power_note(spark, sf):
     rows = v.runs(spark, sf)
     early = F.col("ts") < F.lit("2024-01-10").cast("timestamp")
     def ci(part, tag):
-        out = es.cluster_bootstrap(part, ["arm"], "value", "bag_id", 100)
+        out = es.cluster_bootstrap(part, ["arm"], "value", "bag_id", 10000)
         return out.select("arm", *[F.col(c).alias(f"{c}_{tag}") for c in ("mean", "lo", "hi")])
     both = ci(rows.where(early), "a").join(ci(rows.where(~early), "b"), "arm")
     out = es.power_note(both, "lo_a", "hi_a", "mean_a", "lo_b", "hi_b", "mean_b")

@@ -68,7 +68,7 @@ ATLAS_CTES = f"""{v.FLAG}, {v.BAGS},
  FROM {v.bootstrap('(SELECT axl.*, patient_id FROM axl JOIN bags USING (bag_id))', 'scorer, axis', 'value')}""")
 def confound_atlas(spark, sf):
     rows = v.flagged(spark, sf)
-    out = at.confound_atlas(rows, v.bags(spark, sf), v.N_PATCH, v.GRID, v.N_BINS, reps=200)
+    out = at.confound_atlas(rows, v.bags(spark, sf), v.N_PATCH, v.GRID, v.N_BINS, reps=10000)
     return r6(out, "mean", "lo", "hi")
 
 

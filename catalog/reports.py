@@ -118,38 +118,38 @@ def family_axes(spark, sf):
 
 
 @q("j22_family_report", f"""SELECT scorer, axis, n, n_clusters, {rs('mean', 'lo', 'hi')}, CASE WHEN axis='flat' THEN round((mean - d)/(1 - d), 6) END AS skill FROM ci, (SELECT mean AS d FROM ci WHERE scorer='attention:inplane' AND axis='flat')""",
-   FAMILY + f", ci AS MATERIALIZED (SELECT * FROM {v.bootstrap('fxl', 'scorer, axis', 'value', reps=100)})")
+   FAMILY + f", ci AS MATERIALIZED (SELECT * FROM {v.bootstrap('fxl', 'scorer, axis', 'value', reps=10000)})")
 def family_report(spark, sf):
-    return r6(rp.family_report(family_axes(spark, sf), v.bags(spark, sf), 100), "mean", "lo", "hi", "skill")
+    return r6(rp.family_report(family_axes(spark, sf), v.bags(spark, sf), 10000), "mean", "lo", "hi", "skill")
 
 
-@q("j22_family_paired", f"SELECT scorer, n, n_clusters, {OUTCOME} AS outcome, {rs('mean', 'lo', 'hi')} FROM {v.bootstrap('pd', 'scorer', 'delta', reps=100)}",
+@q("j22_family_paired", f"SELECT scorer, n, n_clusters, {OUTCOME} AS outcome, {rs('mean', 'lo', 'hi')} FROM {v.bootstrap('pd', 'scorer', 'delta', reps=10000)}",
    FAMILY + ", pd AS (SELECT m.scorer, m.flat - t.flat AS delta, m.patient_id FROM fax m JOIN fax t ON m.bag_id = t.bag_id AND t.scorer = 'trained' AND m.scorer LIKE 'masks:%')")
 def family_paired(spark, sf):
-    return r6(rp.family_paired(family_axes(spark, sf), v.bags(spark, sf), 100), "mean", "lo", "hi")
+    return r6(rp.family_paired(family_axes(spark, sf), v.bags(spark, sf), 10000), "mean", "lo", "hi")
 
 
-@q("j23_axis_gate", f"SELECT tag, axis, n, n_clusters, lo <= 0.5 AND hi >= 0.5 AS covers_half, {rs('mean', 'lo', 'hi')} FROM {v.bootstrap('axl', 'tag, axis', 'value', reps=100)}", f"{TAGS}, {AXL}")
+@q("j23_axis_gate", f"SELECT tag, axis, n, n_clusters, lo <= 0.5 AND hi >= 0.5 AS covers_half, {rs('mean', 'lo', 'hi')} FROM {v.bootstrap('axl', 'tag, axis', 'value', reps=10000)}", f"{TAGS}, {AXL}")
 def axis_gate(spark, sf):
-    return r6(rp.axis_gate(tag_axes(spark, sf), 100), "mean", "lo", "hi")
+    return r6(rp.axis_gate(tag_axes(spark, sf), 10000), "mean", "lo", "hi")
 
 
-@q("j23_covering_share", f"SELECT round(avg(CASE WHEN lo <= 0.5 AND hi >= 0.5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS share, count(*) AS n_tags FROM {v.bootstrap('axl', 'tag, axis', 'value', reps=100)} WHERE axis='slice' AND tag LIKE '%seed%'", f"{TAGS}, {AXL}")
+@q("j23_covering_share", f"SELECT round(avg(CASE WHEN lo <= 0.5 AND hi >= 0.5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS share, count(*) AS n_tags FROM {v.bootstrap('axl', 'tag, axis', 'value', reps=10000)} WHERE axis='slice' AND tag LIKE '%seed%'", f"{TAGS}, {AXL}")
 def covering_share(spark, sf):
-    return r6(rp.covering_share(rp.axis_gate(tag_axes(spark, sf), 100), F.contains(F.col("tag"), F.lit("seed"))), "share")
+    return r6(rp.covering_share(rp.axis_gate(tag_axes(spark, sf), 10000), F.contains(F.col("tag"), F.lit("seed"))), "share")
 
 
 DS = "ds AS (SELECT a.arm, a.seed, a.patient_id, c.slice - a.slice AS delta FROM ta a JOIN ta c ON c.tag='centre_prior' AND a.bag_id=c.bag_id WHERE a.seed IS NOT NULL)"
 
 
-@q("j24_paired_slice_per_seed", f"SELECT arm, seed, n, n_clusters, {OUTCOME} AS outcome, {rs('mean', 'lo', 'hi')} FROM {v.bootstrap('ds', 'arm, seed', 'delta', reps=100)}", f"{TAGS}, {DS}")
+@q("j24_paired_slice_per_seed", f"SELECT arm, seed, n, n_clusters, {OUTCOME} AS outcome, {rs('mean', 'lo', 'hi')} FROM {v.bootstrap('ds', 'arm, seed', 'delta', reps=10000)}", f"{TAGS}, {DS}")
 def paired_slice(spark, sf):
-    return r6(rp.paired_slice(tag_axes(spark, sf), "centre_prior", 100)[0], "mean", "lo", "hi")
+    return r6(rp.paired_slice(tag_axes(spark, sf), "centre_prior", 10000)[0], "mean", "lo", "hi")
 
 
-@q("j24_paired_slice_pooled", f"SELECT arm, n, n_clusters, {OUTCOME} AS outcome, {rs('mean', 'lo', 'hi')} FROM {v.bootstrap('ds', 'arm', 'delta', reps=100)}", f"{TAGS}, {DS}")
+@q("j24_paired_slice_pooled", f"SELECT arm, n, n_clusters, {OUTCOME} AS outcome, {rs('mean', 'lo', 'hi')} FROM {v.bootstrap('ds', 'arm', 'delta', reps=10000)}", f"{TAGS}, {DS}")
 def paired_slice_pooled(spark, sf):
-    return r6(rp.paired_slice(tag_axes(spark, sf), "centre_prior", 100)[1], "mean", "lo", "hi")
+    return r6(rp.paired_slice(tag_axes(spark, sf), "centre_prior", 10000)[1], "mean", "lo", "hi")
 
 
 @q("j37_stored_agreement", "SELECT tag, round(avg(slice), 6) AS ours, round(avg(slice), 6) AS stored, TRUE AS agrees, count(slice) AS n_stored FROM ta GROUP BY tag HAVING count(slice) > 0")
@@ -249,9 +249,9 @@ CROSS = f"""{v.FLAG}, {v.BAGS}, {DONOR.format(seed=0, reps=100)}, {SHUF}, cm AS
  cl AS (UNPIVOT (SELECT patient_id, "real", "cross", skill FROM cb) ON "real", "cross", skill INTO NAME quantity VALUE value)"""
 
 
-@q("j15_cross_patient", f"SELECT quantity, n, n_clusters, {rs('mean', 'lo', 'hi')} FROM {v.bootstrap('cl', 'quantity', 'value', reps=100)}", CROSS)
+@q("j15_cross_patient", f"SELECT quantity, n, n_clusters, {rs('mean', 'lo', 'hi')} FROM {v.bootstrap('cl', 'quantity', 'value', reps=10000)}", CROSS)
 def cross_patient(spark, sf):
-    out = rp.cross_patient(v.flagged(spark, sf), v.bags(spark, sf), v.bag_sizes(spark, sf), "s1", v.N_PATCH, 100, 100)
+    out = rp.cross_patient(v.flagged(spark, sf), v.bags(spark, sf), v.bag_sizes(spark, sf), "s1", v.N_PATCH, 100, 10000)
     return r6(out, "mean", "lo", "hi")
 
 
@@ -334,14 +334,14 @@ def h8_verdict(spark, sf):
     return r6(vd.h8(conditions(spark, sf), value, 0.5), "value")
 
 
-H9B = v.bootstrap("fl9", "condition, tag", "flat", reps=100)
+H9B = v.bootstrap("fl9", "condition, tag", "flat", reps=10000)
 
 
 @q("j20_h9_ordering", f"""SELECT a.tag, a.condition AS cond_a, b.condition AS cond_b, CASE WHEN a.hi < b.lo THEN 'PASS' ELSE 'FAIL' END AS outcome, CASE WHEN a.hi < b.lo THEN 'ordered' WHEN b.hi < a.lo THEN 'reversed' ELSE 'indistinguishable' END AS basis,
  round(a.hi, 6) AS hi_a, round(b.lo, 6) AS lo_b FROM b9 a JOIN b9 b ON a.tag = b.tag AND a.condition = 'ASIA' AND b.condition = 'EUROPE'""",
    f"{TAGS}, fl9 AS (SELECT * FROM ta WHERE seed IS NOT NULL), b9 AS MATERIALIZED (SELECT * FROM {H9B})")
 def h9_ordering(spark, sf):
-    ci = es.cluster_bootstrap(tag_axes(spark, sf).where(is_arm()), ["condition", "tag"], "flat", "patient_id", 100)
+    ci = es.cluster_bootstrap(tag_axes(spark, sf).where(is_arm()), ["condition", "tag"], "flat", "patient_id", 10000)
     def side(c, s):
         return ci.where(F.col("condition") == c).select("tag", F.lit(c).alias(f"cond_{s}"), F.col("lo").alias(f"lo_{s}"), F.col("hi").alias(f"hi_{s}"))
     null = F.lit(None).cast("double")
@@ -357,13 +357,13 @@ def h10_rows(spark, sf):
     fax = family_axes(spark, sf)
     arm = fax.where("scorer = 'trained'").select("bag_id", F.col("flat").alias("_arm"))
     d = fax.where("scorer = 'masks:separable'").join(arm, "bag_id").select("bag_id", (F.col("flat") - F.col("_arm")).alias("delta"))
-    ci = es.cluster_bootstrap(with_condition(d, spark, sf), ["condition"], "delta", "patient_id", 100)
+    ci = es.cluster_bootstrap(with_condition(d, spark, sf), ["condition"], "delta", "patient_id", 10000)
     return ci.withColumn("interval", es.interval_outcome(F.col("lo"), F.col("hi")))
 
 
 @q("j21_h10_outcomes", f"""SELECT r_name AS condition, n_scored, oracle_wins, indistinguishable, trained_wins, CASE WHEN n_scored IS NULL THEN 'NOT_RUN' WHEN trained_wins >= n_scored//2 + 1 THEN 'FAIL' ELSE 'PASS' END AS outcome
  FROM region LEFT JOIN (SELECT condition, count(o) AS n_scored, sum(CASE WHEN o='oracle_wins' THEN 1 ELSE 0 END)::BIGINT AS oracle_wins, sum(CASE WHEN o='indistinguishable' THEN 1 ELSE 0 END)::BIGINT AS indistinguishable, sum(CASE WHEN o='trained_wins' THEN 1 ELSE 0 END)::BIGINT AS trained_wins
-  FROM (SELECT condition, {OUTCOME} AS o FROM {v.bootstrap('d10', 'condition', 'delta', reps=100)}) GROUP BY condition) ON condition = r_name""", f"{FAMILY}, {D10}")
+  FROM (SELECT condition, {OUTCOME} AS o FROM {v.bootstrap('d10', 'condition', 'delta', reps=10000)}) GROUP BY condition) ON condition = r_name""", f"{FAMILY}, {D10}")
 def h10_outcomes(spark, sf):
     return vd.h10(conditions(spark, sf), h10_rows(spark, sf))
 
@@ -391,13 +391,13 @@ def beside_the_gate(spark, sf):
     return r6(out.select("tag", "auc", es.skill(F.col("auc"), F.col("_d")).alias("skill")), "auc", "skill")
 
 
-@q("j30_untrained_floor", f"SELECT model::INTEGER AS model, n, n_clusters, {', '.join(f'round({c}, 4) AS {c}' for c in ('mean', 'lo', 'hi'))} FROM {v.bootstrap('uf', 'model', 'auc', reps=100)}",
-   f"""{v.FLAG}, {v.BAGS}, um AS (SELECT f.*, model, {HALF} AS part FROM flagged f, range(3) m(model)), {random_ctes('um', '1.0::DOUBLE', "'0m' || model", ("0.0::DOUBLE",) * 3, 'ur')},
+@q("j30_untrained_floor", f"SELECT model::INTEGER AS model, n, n_clusters, {', '.join(f'round({c}, 4) AS {c}' for c in ('mean', 'lo', 'hi'))} FROM {v.bootstrap('uf', 'model', 'auc', reps=10000)}",
+   f"""{v.FLAG}, {v.BAGS}, um AS (SELECT f.*, model, {HALF} AS part FROM flagged f, range(30) m(model)), {random_ctes('um', '1.0::DOUBLE', "'0m' || model", ("0.0::DOUBLE",) * 3, 'ur')},
    ul AS MATERIALIZED (SELECT model, bag_id, part, target, slot, CASE slot WHEN 0 THEN r0 WHEN 1 THEN r1 ELSE r2 END AS score FROM ur, range(3) s(slot)),
    ua AS (SELECT model, slot FROM (SELECT model, slot, avg(x) AS x FROM (SELECT model, slot, bag_id, sum(score*target)/sum(score) AS x FROM ul WHERE part='fit' GROUP BY ALL) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY model ORDER BY x DESC, slot) = 1),
    uf AS (SELECT model, auc, patient_id FROM {v.auc('ul', 'model, slot, bag_id', where="part <> 'fit'")} JOIN ua USING (model, slot) JOIN bags USING (bag_id))""")
 def untrained_floor(spark, sf):
-    out = rp.untrained_floor(v.flagged(spark, sf), v.bags(spark, sf), v.SLOTS, v.N_PATCH, 3, 100)
+    out = rp.untrained_floor(v.flagged(spark, sf), v.bags(spark, sf), v.SLOTS, v.N_PATCH, 30, 10000)
     return r4(out, "mean", "lo", "hi")
 
 

@@ -166,7 +166,7 @@ def axes(source: str, keys: str = "bag_id", score: str = "score") -> str:
      WHERE f.auc IS NOT NULL AND f.n_pos + f.n_neg = 16 * (s.n_pos + s.n_neg))"""
 
 
-def bootstrap(source: str, keys: str, value: str, cluster: str = "patient_id", reps: int = 200,
+def bootstrap(source: str, keys: str, value: str, cluster: str = "patient_id", reps: int = 10000,
               seed: int = 0) -> str:
     """Cluster bootstrap with the same draws."""
     k = f"{keys}," if keys else ""

@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import draws
 from ..session import pin
+from . import replicates
 from .scale import clean, hashed_positions, quantiles, require
 
 
@@ -66,9 +66,8 @@ def cluster_bootstrap(df: DataFrame, keys: Sequence[str], value: str, cluster: s
                       reps: int = 10000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """Mean and percentile interval, resampling clusters: ``mean, lo, hi, n, n_clusters``.
 
-    Each key's clusters are numbered 0..C-1; every (replicate, draw) is one row that looks its
-    cluster up by number. Rows are spread by (key, number), so nothing is collected. ``reps=0``
-    gives the mean alone.
+    Each key's clusters are numbered 0..C-1 and packed into arrays; a task draws a batch of replicates for them and returns one
+    array of sums (``replicates``), so what is shuffled does not grow with draws. ``reps=0`` gives the mean alone.
     """
     if not keys:  # one group
         one = cluster_bootstrap(df.withColumn("_all", F.lit(0)), ["_all"], value, cluster, reps,
@@ -86,16 +85,7 @@ def cluster_bootstrap(df: DataFrame, keys: Sequence[str], value: str, cluster: s
         return point.select(*keys, "mean", null.alias("lo"), null.alias("hi"), "n", "n_clusters")
     numbered = hashed_positions(per.withColumn("_h", F.md5("cluster")), keys, "_h", ["cluster"],
                                 name="ix", total="size")
-    drawn = numbered.select(
-        *keys, "size", F.col("ix").alias("turn"),
-        F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    pick = draws.draw(seed, F.col("rep"), F.col("turn")) % F.col("size")
-    drawn = drawn.select(*keys, "rep", pick.alias("ix"))
-    means = (drawn.join(numbered.select(*keys, "ix", "total", "rows"), [*keys, "ix"])
-             .groupBy(*keys, "rep").agg((F.sum("total") / F.sum("rows")).alias("m")))
-    edges = means.groupBy(*keys).agg(
-        F.percentile("m", F.lit(alpha / 2)).alias("lo"),
-        F.percentile("m", F.lit(1 - alpha / 2)).alias("hi"))
+    edges = replicates.edges(replicates.cluster_means(numbered, keys, reps, seed), keys, alpha)
     return point.join(edges, keys).select(*keys, "mean", "lo", "hi", "n", "n_clusters")
 
 

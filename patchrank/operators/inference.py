@@ -7,9 +7,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import draws, tails
+from ..functions import tails
 from . import ranking as rk
-from .scale import clean, hashed_positions, require, running
+from .replicates import rank_replicates
+from .scale import clean, require, running
 
 
 def _lookup(pairs: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
@@ -169,14 +170,17 @@ def binary_metrics(df: DataFrame, keys: Sequence[str], y: str, score: str, cut:
     yes, hit = F.col(y) == 1, F.col(score) > cut
     cells = {"tp": yes & hit, "fp": ~yes & hit, "fn": yes & ~hit, "tn": ~yes & ~hit}
     counts = df.groupBy(*keys).agg(*[F.sum(F.when(c, w).otherwise(0)).cast("double").alias(n) for n, c in cells.items()])
-    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
-    f1 = _over_present((2 * tp, 2 * tp + fp + fn), (2 * tn, 2 * tn + fp + fn))
-    out = counts.select(*keys, f1.alias("macro_f1"), ((tp + tn) / (tp + fp + fn + tn)).alias("acc"),
-                        _over_present((tp, tp + fn), (tn, tn + fp)).alias("balanced_acc"))
+    out = counts.select(*keys, *_from_cells())
     a = rk.auc(df, keys, score, y, weight=weight)
     return out.join(a.select(*keys, "auc", "n_pos", "n_neg"), keys)
 
 
+def _from_cells() -> list[Column]:
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    f1 = _over_present((2 * tp, 2 * tp + fp + fn), (2 * tn, 2 * tn + fp + fn))
+    return [f1.alias("macro_f1"), ((tp + tn) / (tp + fp + fn + tn)).alias("acc"), _over_present((tp, tp + fn), (tn, tn + fp)).alias("balanced_acc")]
+
+
 def _over_present(*ratios: tuple[Column, Column]) -> Column:
     """Mean of the ratios whose denominator is positive: a class that never occurs has no say."""
     present = [(low > 0).cast("int") for _, low in ratios]
@@ -210,19 +214,11 @@ def bag_bootstrap(df: DataFrame, key: str, y: str, score: str, metric: str = "au
                   seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """Interval of a classification metric, resampling rows; one-class resamples are skipped.
 
-    Each (replicate, draw) row looks one row up by number; a replicate weighs rows by how often
-    they were drawn.
+    A replicate is a set of weights over the histogram of scores (``replicates.rank_replicates``).
     """
-    rows = hashed_positions(df.select(F.md5(F.col(key).cast("string")).alias("_h"), F.col(key).alias("_k"),
-                                      F.col(y).alias("y"), F.col(score).alias("score")),
-                            [], "_h", ["_k"], name="ix", total="size")
-    turns = rows.select("size", F.col("ix").alias("turn"),
-                        F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    pick = draws.draw(seed, F.col("rep"), F.col("turn")) % F.col("size")
-    weights = turns.select("rep", pick.alias("ix")).groupBy("rep", "ix").agg(F.count(F.lit(1)).alias("w"))
-    drawn = weights.join(rows.select("ix", "y", "score"), "ix")
-    per = binary_metrics(drawn, ["rep"], "y", "score", weight="w")
+    per = rank_replicates(df, key, y, score, reps, seed)
     per = per.where((F.col("n_pos") > 0) & (F.col("n_neg") > 0))
+    per = per.select((F.col("concordant") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"), *_from_cells())
     return per.agg(F.avg(metric).alias("mean"), F.percentile(metric, F.lit(alpha / 2)).alias("lo"),
                    F.percentile(metric, F.lit(1 - alpha / 2)).alias("hi"), F.count(F.lit(1)).alias("n_boot"))
 
