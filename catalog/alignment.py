@@ -46,6 +46,51 @@ def assignment(spark, sf):
     return al.assignment(al.affinity(halves(spark, sf).where("part = 'fit'"), v.SLOTS))
 
 
+MASKS = ("target", "f1", "f2", "f3", "f4")
+MASK_SQL = "CAST(frac < 0.3 AS INTEGER) AS f1, CAST(frac >= 0.7 AS INTEGER) AS f2, CAST(patch < 4 AS INTEGER) AS f3, 1 - target AS f4"
+CELLS = ", ".join(f"({i}, {j}, x{i}_{j})" for i in range(3) for j in range(5))
+SUMS = ", ".join(f"sum(s{i}*{m})/greatest(sum(s{i}), 1e-8) AS x{i}_{j}" for i in range(3) for j, m in enumerate(MASKS))
+MANY = f"""{v.FLAG}, mk AS (SELECT *, {HALF} AS part, {MASK_SQL} FROM flagged),
+ per AS (SELECT part, bag_id, {SUMS} FROM mk GROUP BY part, bag_id),
+ fa AS MATERIALIZED (SELECT part, u.slot, u.finding, avg(u.x) AS affinity, count(*) AS n_bags FROM per, LATERAL (VALUES {CELLS}) u(slot, finding, x) GROUP BY ALL)"""
+# every way to give three of the first n findings to the three slots, the best one first
+def best_sql(n: int, part: str) -> str:
+    cells = ", ".join(f"(SELECT round(affinity * 1e12)::BIGINT AS u, finding AS f FROM fa WHERE part = '{part}' AND slot = {i} AND finding < {n}) c{i}" for i in range(3))
+    order = ", ".join(f"CASE {k} WHEN c0.f THEN 0 WHEN c1.f THEN 1 WHEN c2.f THEN 2 ELSE 9 END" for k in range(n))
+    return f"(SELECT c0.f AS f0, c1.f AS f1, c2.f AS f2 FROM {cells} WHERE c0.f <> c1.f AND c0.f <> c2.f AND c1.f <> c2.f ORDER BY c0.u + c1.u + c2.u DESC, {order} LIMIT 1)"
+
+
+def masked(spark, sf):
+    rows = halves(spark, sf)
+    return rows.withColumns({"f1": (F.col("frac") < 0.3).cast("int"), "f2": (F.col("frac") >= 0.7).cast("int"), "f3": (F.col("patch") < 4).cast("int"), "f4": 1 - F.col("target")})
+
+
+@query("h01_finding_affinity", f"WITH {MANY} SELECT part, slot, finding, n_bags, round(affinity, 6) AS affinity FROM fa")
+def finding_affinity(spark, sf):
+    return r6(al.finding_affinity(masked(spark, sf), v.SLOTS, MASKS, ["part"]), "affinity")
+
+
+@query("h02_assignment_of_findings", "WITH " + MANY + ", " + ", ".join(f"b{n}{p[0]} AS {best_sql(n, p)}" for n in (3, 4, 5) for p in ("fit", "score")) + " " + " UNION ALL ".join(
+    f"SELECT {n} AS n_findings, '{p}' AS part, k.f AS finding, CASE k.f WHEN f0 THEN 0 WHEN f1 THEN 1 WHEN f2 THEN 2 END AS slot FROM b{n}{p[0]}, (SELECT range AS f FROM range({n})) k" for n in (3, 4, 5) for p in ("fit", "score")))
+def assignment_of_findings(spark, sf):
+    """Three slots against three, four and five findings, on both halves at once."""
+    aff = al.finding_affinity(masked(spark, sf), v.SLOTS, MASKS, ["part"])
+    each = aff.withColumn("n_findings", F.explode(F.array(F.lit(3), F.lit(4), F.lit(5)))).where("finding < n_findings")
+    out = al.assignment(each, ["n_findings", "part"])
+    return out.select("n_findings", "part", F.col("finding").cast("bigint").alias("finding"), "slot")
+
+
+@query("h03_apply_findings", f"""WITH {MANY}, b AS {best_sql(5, 'fit')}, n AS (SELECT k.f AS finding, CASE k.f WHEN f0 THEN 0 WHEN f1 THEN 1 WHEN f2 THEN 2 END AS slot FROM b, (SELECT range AS f FROM range(5)) k),
+ j AS (SELECT n.finding, n.slot, t.affinity FROM n LEFT JOIN (SELECT * FROM fa WHERE part = 'score') t USING (finding, slot))
+ SELECT finding, slot, round(affinity, 6) AS affinity, round(avg(affinity) OVER (), 6) AS mean_assigned, round(c, 6) AS chance, round(avg(affinity) OVER ()/c, 5) AS lift
+ FROM j, (SELECT avg(affinity) AS c FROM fa WHERE part = 'score')""")
+def apply_findings(spark, sf):
+    rows = masked(spark, sf)
+    frozen = al.assignment(al.finding_affinity(rows.where("part = 'fit'"), v.SLOTS, MASKS))
+    out = al.apply_findings(al.finding_affinity(rows.where("part <> 'fit'"), v.SLOTS, MASKS), frozen)
+    return r6(out, "affinity", "mean_assigned", "chance").withColumn("lift", F.round("lift", 5)).withColumn("finding", F.col("finding").cast("bigint"))
+
+
 H3 = ("mean_assigned_affinity", "lesion_affinity", "background_affinity", "chance_affinity", "lift_over_chance")
 
 

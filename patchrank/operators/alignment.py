@@ -5,10 +5,11 @@ from collections.abc import Sequence
 from itertools import combinations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stats import xlogx
-from .scale import salted_join
+from .scale import clean, require, salted_join
 
 EPS = 1e-8
 
@@ -52,22 +53,74 @@ def lesion_slot(aff: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         F.max("affinity").alias("affinity"))
 
 
+def finding_affinity(df: DataFrame, slots: Sequence[str], findings: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, slot, finding, affinity, n_bags) for any declared list of mask columns; finding is the column's place in the list.
+
+    Bags without a single masked instance are left out, as they have no annotated finding. One aggregation over the instances; masks may overlap.
+    """
+    keys = list(keys)
+    mask = {f: F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in findings}
+    wide = df.groupBy(*keys, "bag_id").agg(
+        F.sum(sum(mask.values())).alias("_any"), *[F.sum(s).alias(f"_a_{s}") for s in slots],
+        *[F.sum(F.col(s) * mask[f]).alias(f"_l_{s}_{j}") for s in slots for j, f in enumerate(findings)]).where("_any > 0")
+    cells = [({"slot": i, "finding": j}, F.col(f"_l_{s}_{j}") / F.greatest(F.col(f"_a_{s}"), F.lit(EPS)))
+             for i, s in enumerate(slots) for j in range(len(findings))]
+    per = _stack(wide, [*keys, "bag_id"], cells)
+    return per.groupBy(*keys, "slot", "finding").agg(F.avg("value").alias("affinity"), F.count(F.lit(1)).alias("n_bags"))
+
+
+MOST_FINDINGS, UNIT = 12, 1e12
+
+
 def assignment(aff: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Best one-to-one (slot, finding) assignment for two findings: one row per finding.
+    """Best one-to-one (slot, finding) assignment: one row per finding, its slot NULL if there are more findings than slots.
 
-    Pairs of distinct slots are compared by total affinity; slots are few by construction.
+    As many findings as possible get a slot of their own; among those assignments the largest total affinity wins (compared in whole units of
+    1e-12, so that the order of addition is moot), then the lowest slot of the first finding, of the second, and so on. A pair without an
+    affinity is never assigned. A fold over the slots holds the best partial assignment for every set of findings: 2**F states per key, for F up to ``MOST_FINDINGS``.
+    """
+    keys = list(keys)
+    rows = require(aff, [*keys, "slot", "finding"]).groupBy(*keys).agg(
+        F.array_sort(F.collect_set("finding")).alias("_f"), F.array_sort(F.collect_set("slot")).alias("_s"),
+        F.collect_list(F.struct("slot", "finding", F.round(clean(F.col("affinity")) * UNIT).cast("bigint").alias("units"))).alias("_c"))
+    rows = rows.where(F.size("_f") > 0)  # no rows, no keys
+    many = F.raise_error(F.concat(F.size("_f").cast("string"), F.lit(f" findings, at most {MOST_FINDINGS}"))).cast("int")
+    rows = rows.withColumn("_n", F.when(F.size("_f") > MOST_FINDINGS, many).otherwise(F.size("_f")))
+    cell = lambda s, f: F.get(F.filter("_c", lambda c: (c["slot"] == s) & (c["finding"] == f)), 0)["units"]
+    rows = rows.withColumn("_grid", F.transform("_s", lambda s: F.struct(s.alias("slot"), F.transform("_f", lambda f: cell(s, f)).alias("units"))))
+    states = F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.col("_n")) - 1)
+    state = "STRUCT<n: INT, total: BIGINT, order: ARRAY<BIGINT>>"  # order: minus the slot of each finding, so that the largest struct is the best
+    none = F.lit(-(1 << 62))
+    start = F.transform(states, lambda m: F.when(m == 0, F.struct(F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("total"), F.array_repeat(none, F.col("_n")).alias("order"))).cast(state))
+
+    def with_slot(best, row):
+        def extended(m, f):
+            before = F.get(best, m - F.call_function("shiftleft", F.lit(1), f))
+            units = F.get(row["units"], f)
+            order = F.transform(before["order"], lambda x, k: F.when(k == f, -row["slot"].cast("bigint")).otherwise(x))
+            return F.when(before["n"].isNotNull() & units.isNotNull(), F.struct((before["n"] + 1).alias("n"), (before["total"] + units).alias("total"), order.alias("order"))).cast(state)
+        taken = lambda m: F.filter(F.sequence(F.lit(0), F.col("_n") - 1), lambda f: F.call_function("getbit", m, f) == 1)
+        return F.transform(states, lambda m: F.array_max(F.concat(F.array(F.get(best, m)), F.transform(taken(m), lambda f: extended(m, f)))))
+    best = F.array_max(F.aggregate("_grid", start, with_slot))
+    named = F.posexplode(F.col("_b.order")).alias("_k", "_x")
+    chosen = rows.select(*keys, "_f", best.alias("_b")).select(*keys, "_f", named)
+    slot = F.when(F.col("_x") > none, -F.col("_x")).cast(aff.schema["slot"].dataType)
+    return chosen.select(*keys, F.get("_f", F.col("_k")).alias("finding"), slot.alias("slot"))
+
+
+def apply_findings(aff: DataFrame, frozen: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Held-out affinity of every finding under a frozen assignment: (keys, finding, slot, affinity, mean_assigned, chance, lift).
+
+    A finding without a slot keeps its row with a NULL affinity and is not part of the means.
     """
     keys = list(keys)
-    a = aff.where("finding = 0").select(*keys, F.col("slot").alias("slot_0"), F.col("affinity").alias("_x"))
-    b = aff.where("finding = 1").select(*keys, F.col("slot").alias("slot_1"), F.col("affinity").alias("_y"))
-    cond = F.col("slot_0") != F.col("slot_1")
-    pairs = (a.join(b, keys) if keys else a.join(b, cond)).where(cond)
-    best = pairs.groupBy(*keys).agg(F.max_by(
-        F.struct("slot_0", "slot_1"),
-        F.struct(F.col("_x") + F.col("_y"), -F.col("slot_0"), -F.col("slot_1"))).alias("b"))
-    each = F.array(F.struct(F.lit(0).alias("finding"), F.col("b.slot_0").alias("slot")),
-                   F.struct(F.lit(1).alias("finding"), F.col("b.slot_1").alias("slot")))
-    return best.withColumn("_e", F.explode(each)).select(*keys, "_e.finding", "_e.slot")
+    on = [*keys, "finding", "slot"]
+    named = frozen.join(aff.select(*on, "affinity"), on, "left")
+    whole = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+    chance = aff.groupBy(*keys).agg(F.avg("affinity").alias("chance"))
+    out = named.withColumn("mean_assigned", F.avg("affinity").over(whole))
+    out = out.join(chance, keys) if keys else out.withColumn("chance", aff.agg(F.avg("affinity")).scalar())
+    return out.withColumn("lift", F.col("mean_assigned") / F.greatest(F.col("chance"), F.lit(EPS)))
 
 
 def apply_assignment(aff: DataFrame, frozen: DataFrame) -> DataFrame:
