@@ -151,12 +151,16 @@ def crosstab(spark, sf):
     return r6(out, "real", "shuffle", "roll", "real_minus_shuffle", "shuffle_minus_roll")
 
 
-@query("f09_axes_under_nulls", f"""WITH {v.FLAG}, {COND},
- m AS (SELECT condition, f.bag_id, f.slice, f.s1, t.target, max(t.target) OVER (PARTITION BY condition, f.bag_id, f.slice) AS slice_pos FROM flagged f JOIN tg t USING (bag_id, pos)),
- ax AS {v.axes('m', 'condition, bag_id', 's1')}
+COND10 = f"""{rolled(4, 10)}, {DONOR.format(seed=4, reps=10)}, {SHUF},
+ tg AS MATERIALIZED (SELECT 'real' AS condition, 0 AS rep, bag_id, pos, target FROM inst UNION ALL SELECT 'roll', rep, bag_id, pos, target FROM rolled UNION ALL SELECT 'shuffle', rep, bag_id, pos, target FROM shuf)"""
+
+
+@query("f09_axes_under_nulls", f"""WITH {v.FLAG}, {COND10},
+ m AS (SELECT condition, rep, f.bag_id, f.slice, f.s1, t.target, max(t.target) OVER (PARTITION BY condition, rep, f.bag_id, f.slice) AS slice_pos FROM flagged f JOIN tg t USING (bag_id, pos)),
+ ax AS {v.axes('m', 'condition, rep, bag_id', 's1')}
  SELECT condition, {', '.join(f'round(avg({c}), 6) AS {c}, count({c}) AS n_{c}' for c in AX)} FROM ax GROUP BY condition""")
 def axes_under_nulls(spark, sf):
-    return r6(nr.axes_under_nulls(v.flagged(spark, sf), v.bag_sizes(spark, sf), "s1", v.N_PATCH, 4), *AX)
+    return r6(nr.axes_under_nulls(v.flagged(spark, sf), v.bag_sizes(spark, sf), "s1", v.N_PATCH, 4, 10), *AX)
 
 
 @query("f10_half_precision", f"""WITH {v.FLAG}, h AS (SELECT *, CASE WHEN s1 = 0 THEN 0 ELSE round_even(s1/pow(2, floor(log2(abs(s1))) - 10), 0) * pow(2, floor(log2(abs(s1))) - 10) END AS lowp FROM flagged)

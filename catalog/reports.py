@@ -255,6 +255,18 @@ def cross_patient(spark, sf):
     return r6(out, "mean", "lo", "hi")
 
 
+@q("j15_cross_patient_axes", f"SELECT axis, quantity, n, n_clusters, {rs('mean', 'lo', 'hi')} FROM {v.bootstrap('cl3', 'axis, quantity', 'value', reps=10000)}",
+   f"""{v.FLAG}, {v.BAGS}, {DONOR.format(seed=0, reps=100)}, {SHUF},
+   al AS MATERIALIZED (SELECT -1 AS rep, bag_id, slice, s1, target, slice_pos FROM flagged UNION ALL
+     SELECT s.rep, f.bag_id, f.slice, f.s1, s.target, max(s.target) OVER (PARTITION BY s.rep, f.bag_id, f.slice) FROM shuf s JOIN flagged f USING (bag_id, pos)),
+   a3 AS (UNPIVOT {v.axes('al', 'rep, bag_id', 's1')} ON flat, slice, within_slice INTO NAME axis VALUE auc),
+   b3 AS (SELECT axis, bag_id, max(auc) FILTER (rep < 0) AS "real", avg(auc) FILTER (rep >= 0) AS "cross" FROM a3 GROUP BY axis, bag_id),
+   cl3 AS (UNPIVOT (SELECT axis, patient_id, "real", "cross", "real" - "cross" AS skill FROM b3 JOIN bags USING (bag_id) WHERE "real" IS NOT NULL AND "cross" IS NOT NULL) ON "real", "cross", skill INTO NAME quantity VALUE value)""")
+def cross_patient_axes(spark, sf):
+    out = rp.cross_patient_axes(v.flagged(spark, sf), v.bags(spark, sf), v.bag_sizes(spark, sf), "s1", v.N_PATCH, 100, 10000)
+    return r6(out, "mean", "lo", "hi")
+
+
 SKL = "sk AS (SELECT a.condition, a.arm, a.seed, (a.flat - c.flat)/(1 - c.flat) AS skill, a.slice, a.flat, c.flat AS den FROM tm a JOIN tm c ON a.condition = c.condition AND c.tag='centre_prior' WHERE a.seed IS NOT NULL)"
 
 

@@ -3,9 +3,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from .scale import HOT_ROWS, clean, exact_mean, running, score_bucket
 
@@ -199,6 +203,99 @@ def axes(df: DataFrame, n_patch: int, keys: Sequence[str] = ("bag_id",), score:
     return wide.where(F.col("flat").isNotNull() & (F.col("_n") == F.col("n_slices") * F.lit(n_patch))).drop("_n")
 
 
+class SliceHistograms:
+    """One bag, ranked once: a cumulative histogram of dense ranks for every slice, which add up over any set of slices.
+
+    ``positions`` holds pos of every row. For a positive x and a slice b the histogram gives twice the rows of b below x plus those tied with
+    x. Rows of a set of slices are then compared with positives by adding the set's histograms; pairs of positives, p * p in all, are taken off.
+    """
+    CELLS = 1 << 24  # above this many cells slices are searched one by one instead
+
+    def __init__(self, positions: np.ndarray, scores: np.ndarray, n_patch: int):
+        order = np.argsort(positions, kind="stable")
+        self.positions, scores = positions[order], scores[order]
+        self.slices, self.slice_of = np.unique(self.positions // n_patch, return_inverse=True)
+        self.whole = len(scores) == len(self.slices) * n_patch  # else the bag is ragged
+        if not self.whole:
+            return
+        _, self.rank = np.unique(scores, return_inverse=True)
+        self.flat = self._twice(np.bincount(self.rank))
+        self.grid = np.sort(scores.reshape(-1, n_patch), axis=1)
+        means = (np.cumsum(self.grid, axis=1)[:, -1] / n_patch).astype(np.float32)  # added in sorted order, as elsewhere
+        _, at = np.unique(means, return_inverse=True)
+        self.by_slice = self._twice(np.bincount(at))[at]
+        self.scores, self.n_patch, self.table = scores, n_patch, None
+        if len(self.slices) * len(self.flat) <= self.CELLS:
+            counts = np.zeros((len(self.slices), len(self.flat)), np.int32)
+            np.add.at(counts, (self.slice_of, self.rank), 1)
+            self.table = 2 * np.cumsum(counts, axis=1, dtype=np.int32) - counts
+
+    @staticmethod
+    def _twice(counts: np.ndarray) -> np.ndarray:
+        return 2 * np.cumsum(counts) - counts
+
+    def axes(self, positives: np.ndarray):
+        """(flat, slice, within_slice, n_lesion_slices) of a set of positives; None where an axis has one class."""
+        x = np.searchsorted(self.positions, positives)
+        x = x[(x < len(self.positions)) & (self.positions[np.minimum(x, len(self.positions) - 1)] == positives)]
+        p, n = len(x), len(self.positions)
+        if not 0 < p < n:
+            return None
+        held = np.unique(self.slice_of[x])
+        if self.table is not None:
+            below = self.table[held].sum(axis=0, dtype=np.int64)[self.rank[x]].sum()
+        else:
+            own = self.scores[x]
+            below = sum(int(np.searchsorted(self.grid[b], own, side).sum()) for b in held for side in ("left", "right"))
+        flat = (self.flat[self.rank[x]].sum() - p * p) / (2 * p * (n - p))
+        s, f = len(self.slices), len(held)
+        inside = f * self.n_patch - p
+        return (float(flat), float((self.by_slice[held].sum() - f * f) / (2 * f * (s - f))) if f < s else None,
+                float((below - p * p) / (2 * p * inside)) if inside else None, f)
+
+
+def _axes_of_bag(n_patch: int, keys: list[str], labels: list[str], schema: pa.Schema):
+    def bag(key, rows: pa.Table, moved: pa.Table) -> pa.Table:
+        out = []
+        if rows.num_rows and moved.num_rows:
+            held = SliceHistograms(rows["pos"].to_numpy(), rows["score"].to_numpy(), n_patch)
+            if held.whole:
+                found = [held.axes(np.array(x, np.int64)) for x in moved["_positives"].to_pylist()]
+                names = list(zip(*(moved[c].to_pylist() for c in labels)))
+                first = [k.as_py() for k in key]
+                out = [(*first, *name, f[0], f[1], f[2], len(held.slices), f[3]) for name, f in zip(names, found) if f is not None]
+        columns = zip(*out) if out else [[]] * len(schema)
+        return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
+    return bag
+
+
+def axes_of_positives(rows: DataFrame, positives: DataFrame, n_patch: int, score: str = "score", keys: Sequence[str] = ("bag_id",),
+                      labels: Sequence[str] = ("rep",), hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``axes`` of every bag under every label, where only positives (keys, labels, pos) move: a bag is ranked once, whatever the labels.
+
+    ``rows`` has keys, pos and the score, and ``n_slices`` as a bound of a bag's slices. Bags up to ``hot_rows`` are held by one task as slice histograms; larger ones and those of
+    unknown size are ranked under each label. Rows without a score are left out, and a bag that is then ragged gives no row.
+    """
+    keys, labels = list(keys), list(labels)
+    scored = rows.withColumn("score", clean(F.col(score))).where(F.col("score").isNotNull())
+    scored = scored.select(*keys, F.col("pos").cast("bigint").alias("pos"), "score", "n_slices")
+    small, large = by_size(scored, "n_slices", max(hot_rows // n_patch, 0))
+    lists = positives.groupBy(*keys, *labels).agg(F.collect_set(F.col("pos").cast("bigint")).alias("_positives"))
+    kinds = {f.name: f.dataType for f in lists.schema}
+    schema = StructType([*(StructField(c, kinds[c]) for c in [*keys, *labels]), *StructType.fromDDL(
+        "flat DOUBLE, slice DOUBLE, within_slice DOUBLE, n_slices BIGINT, n_lesion_slices BIGINT")])
+    named = [F.col(c).alias(f"_k_{c}") for c in keys]  # names of their own: both sides may stem from one table
+    grouped = small.select(*named, "pos", "score").groupBy(*[f"_k_{c}" for c in keys]).cogroup(lists.groupBy(*keys))
+    out = grouped.applyInArrow(_axes_of_bag(n_patch, keys, labels, to_arrow_schema(schema)), schema)
+    on = lambda a: [F.col(c) == F.col(f"_k_{c}") for c in keys]
+    under = lists.select(*named, *labels)
+    every = large.join(under, on(under)).drop(*[f"_k_{c}" for c in keys])
+    true = positives.select(*keys, *labels, F.col("pos").cast("bigint").alias("pos"), F.lit(1).alias("target")).distinct()
+    every = every.join(true, [*keys, *labels, "pos"], "left").withColumn("target", F.coalesce("target", F.lit(0)))
+    every = every.withColumn("slice", F.floor(F.col("pos") / n_patch))
+    return out.unionByName(axes(every, n_patch, [*keys, *labels], hot_rows=hot_rows).select(*out.columns))
+
+
 PAIRS = (("p", "q", "a"), ("pw", "qw", "w"), ("ps", "qs", "s"))
 
 

@@ -56,17 +56,13 @@ def null_battery(rows: DataFrame, bags: DataFrame, slots: Sequence[str], n_patch
                                    F.count(F.lit(1)).alias("n_reps"))
 
 
-def under_nulls(rows: DataFrame, bags: DataFrame, n_patch: int, seed: int = 0) -> DataFrame:
-    """Rows under (real, shuffle, roll) targets in a ``condition`` column."""
-    keep = rows.drop("slice_pos")
-    real = keep.withColumn("condition", F.lit("real"))
-    out = real
-    rolled = nl.replace_target(keep, nl.roll_targets(keep, n_patch, seed)).withColumn("condition", F.lit("roll"))
-    swapped = nl.replace_target(keep, nl.shuffle_targets(keep, pin(nl.donor_map(bags, seed)), n_patch)).withColumn(
-        "condition", F.lit("shuffle"))
-    for part in (rolled, swapped):
-        out = out.unionByName(part.drop("rep").select(*out.columns))
-    return out
+def moved_positives(rows: DataFrame, bags: DataFrame, n_patch: int, seed: int = 0, reps: int = 1) -> DataFrame:
+    """(condition, rep, bag_id, pos) of the positives: as they are, rolled, and of another bag."""
+    targets = rows.select("bag_id", "pos", "n_slices", "target")
+    real = targets.where(F.col("target") > 0).select("bag_id", "pos").withColumns({"condition": F.lit("real"), "rep": F.lit(0)})
+    rolled = nl.roll_positives(targets, n_patch, seed, reps).withColumn("condition", F.lit("roll"))
+    swapped = nl.shuffle_positives(targets, pin(nl.donor_map(bags, seed, reps)), n_patch).withColumn("condition", F.lit("shuffle"))
+    return real.unionByName(rolled).unionByName(swapped)
 
 
 def crosstab_scorers(rows: DataFrame, slot: str, grid: int, template: DataFrame) -> DataFrame:
@@ -88,11 +84,7 @@ def crosstab(rows: DataFrame, bags: DataFrame, slot: str, template: DataFrame, n
     Each scorer is ranked once; the targets differ in their positives only.
     """
     scored = crosstab_scorers(rows, slot, grid, template)
-    targets = rows.select("bag_id", "pos", "n_slices", "target")
-    real = targets.where(F.col("target") > 0).select("bag_id", "pos").withColumn("condition", F.lit("real"))
-    rolled = nl.roll_positives(targets, n_patch, seed).withColumn("condition", F.lit("roll")).drop("rep")
-    swapped = nl.shuffle_positives(targets, pin(nl.donor_map(bags, seed)), n_patch).withColumn("condition", F.lit("shuffle")).drop("rep")
-    positives = real.unionByName(rolled).unionByName(swapped)
+    positives = moved_positives(rows, bags, n_patch, seed).drop("rep")
     ranks = rk.midranks(scored.withColumn("n_rows", F.col("n_slices") * F.lit(n_patch)), ["scorer", "bag_id"], size="n_rows")
     per = rk.auc_of_positives(ranks, positives, ["scorer", "condition", "bag_id"])
     table = per.groupBy("scorer").pivot("condition", ["real", "shuffle", "roll"]).agg(F.avg("auc"))
@@ -100,9 +92,9 @@ def crosstab(rows: DataFrame, bags: DataFrame, slot: str, template: DataFrame, n
             .withColumn("shuffle_minus_roll", F.col("shuffle") - F.col("roll")))
 
 
-def axes_under_nulls(rows: DataFrame, bags: DataFrame, slot: str, n_patch: int, seed: int = 0) -> DataFrame:
-    """Mean of each axis under each condition over the axis's own defined bags."""
-    every = under_nulls(rows, bags, n_patch, seed)
-    per = rk.axes(every, n_patch, ["condition", "bag_id"], slot)
+def axes_under_nulls(rows: DataFrame, bags: DataFrame, slot: str, n_patch: int, seed: int = 0, reps: int = 1) -> DataFrame:
+    """Mean of each axis under each condition over the axis's own defined bags and replicates. The scores are ranked once."""
+    moved = moved_positives(rows, bags, n_patch, seed, reps)
+    per = rk.axes_of_positives(rows, moved, n_patch, slot, labels=["condition", "rep"])
     return per.groupBy("condition").agg(
         *[f(c).alias(f"{n}{c}") for c in ("flat", "slice", "within_slice") for n, f in (("", F.avg), ("n_", F.count))])

@@ -89,6 +89,20 @@ def cross_patient(rows: DataFrame, bags: DataFrame, sizes: DataFrame, score: str
     return es.cluster_bootstrap(long, ["quantity"], "value", "patient_id", reps, seed)
 
 
+def cross_patient_axes(rows: DataFrame, bags: DataFrame, sizes: DataFrame, score: str, n_patch: int, derangements: int,
+                       reps: int, seed: int = 0) -> DataFrame:
+    """``cross_patient`` on all three axes: intervals of real, cross and difference by (axis, quantity). The scores are ranked once."""
+    keep = rows.select("bag_id", "pos", "n_slices", "target", score)
+    own = keep.where(F.col("target") > 0).select("bag_id", "pos").withColumn("rep", F.lit(-1))
+    moved = nl.shuffle_positives(keep, pin(nl.donor_map(sizes, seed, derangements)), n_patch)
+    per = rk.axes_of_positives(keep, own.unionByName(moved.select("bag_id", "pos", "rep")), n_patch, score)
+    long = es.melt(per, ["bag_id", "rep"], ["flat", "slice", "within_slice"], "axis", "auc")
+    both = long.groupBy("axis", "bag_id").agg(F.max(F.when(F.col("rep") < 0, F.col("auc"))).alias("real"), F.avg(F.when(F.col("rep") >= 0, F.col("auc"))).alias("cross"))
+    both = both.where("real IS NOT NULL AND cross IS NOT NULL").withColumn("skill", F.col("real") - F.col("cross"))
+    each = es.melt(both.join(bags, "bag_id"), ["axis", "patient_id"], ["real", "cross", "skill"], "quantity", "value")
+    return es.cluster_bootstrap(each, ["axis", "quantity"], "value", "patient_id", reps, seed)
+
+
 def in_region(rows: DataFrame, scorers: Sequence[str], threshold: float, n_patch: int, grid: int, n_radial: int) -> DataFrame:
     """(scorer, region, stratified, bag_id, auc): plain and stratified, restricted and not."""
     binned = sl.with_radial_bin(rows, n_patch, grid, n_radial).withColumn("n_rows", F.col("n_slices") * F.lit(n_patch))
