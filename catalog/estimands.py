@@ -77,9 +77,9 @@ def with_prior(spark, sf):
     return a.join(c, "bag_id").where("auc IS NOT NULL")
 
 
-@query("g03_prior_normalised_skill", f"WITH {SKILL} SELECT bag_id, round(auc, 6) AS auc, round(prior, 6) AS prior, round((auc - prior)/(1 - prior), 6) AS skill FROM sk")
+@query("g03_prior_normalised_skill", f"WITH {SKILL} SELECT bag_id, round(auc, 6) AS auc, round(prior, 6) AS prior, CASE WHEN prior < 1 THEN round((auc - prior)/(1 - prior), 6) END AS skill FROM sk")
 def prior_normalised_skill(spark, sf):
-    return r6(with_prior(spark, sf).withColumn("skill", es.skill(F.col("auc"), F.col("prior"))), "auc", "prior", "skill")
+    return r6(with_prior(spark, sf).withColumn("skill", F.when(F.col("prior") < 1, es.skill(F.col("auc"), F.col("prior")))), "auc", "prior", "skill")
 
 
 @query("g04_patient_specific_skill", f"WITH {SKILL} SELECT count(*) AS n, round(avg(auc - prior), 6) AS skill, round(min(auc - prior), 6) AS lo, round(max(auc - prior), 6) AS hi FROM sk")
@@ -150,7 +150,7 @@ def delong_pooled(spark, sf):
     return r6(inf.delong(v.flagged(spark, sf), [], "s0", "s1"), *DEL)
 
 
-@query("g09_delong_per_bag", f"WITH {v.FLAG}, d AS (SELECT *, {p_normal('z')} AS p FROM {delong_sql('flagged', 'bag_id', 's1', 's2')}) SELECT bag_id, n_pos, n_neg, {rs(*DEL)} FROM d")
+@query("g09_delong_per_bag", f"WITH {v.FLAG}, d AS (SELECT *, CASE WHEN z IS NOT NULL THEN {p_normal('z')} END AS p FROM {delong_sql('flagged', 'bag_id', 's1', 's2')}) SELECT bag_id, n_pos, n_neg, {rs(*DEL)} FROM d")
 def delong_per_bag(spark, sf):
     return r6(inf.delong(v.flagged(spark, sf), ["bag_id"], "s1", "s2"), *DEL)
 
@@ -233,7 +233,7 @@ def floor_distribution(spark, sf):
 
 
 @query("g15_power_note", f"""WITH {v.RUNS}, e AS (SELECT * FROM runs WHERE ts < TIMESTAMP '2024-01-10'), l AS (SELECT * FROM runs WHERE ts >= TIMESTAMP '2024-01-10'),
- j AS (SELECT a.arm, a.lo AS lo_a, a.hi AS hi_a, a.mean AS mean_a, b.lo AS lo_b, b.hi AS hi_b, b.mean AS mean_b FROM {v.bootstrap('e', 'arm', 'value', 'bag_id', 100)} a JOIN {v.bootstrap('l', 'arm', 'value', 'bag_id', 100)} b USING (arm))
+ j AS (SELECT a.arm, a.lo AS lo_a, a.hi AS hi_a, a.mean AS mean_a, b.lo AS lo_b, b.hi AS hi_b, b.mean AS mean_b FROM {v.bootstrap('e', 'arm', 'value', 'bag_id', 10000)} a JOIN {v.bootstrap('l', 'arm', 'value', 'bag_id', 10000)} b USING (arm))
  SELECT arm, round(mean_b - mean_a, 6) AS observed, round((mean_b - lo_b) + (hi_a - mean_a), 6) AS required, round((mean_b - lo_b) + (hi_a - mean_a) - (mean_b - mean_a), 6) AS shortfall, hi_a < lo_b AS orders FROM j""")
 def power_note(spark, sf):
     rows = v.runs(spark, sf)

@@ -87,7 +87,7 @@ def restrict_to_region(spark, sf):
     return r6(rk.auc(inside, ["bag_id"], "s1", size="n_rows").drop("conc2"), "auc")
 
 
-@query("b09_normalise_heatmap", f"""WITH {v.FLAG}, n AS (SELECT bag_id, (s1 - min(s1) OVER w)/(max(s1) OVER w - min(s1) OVER w) AS h FROM flagged WINDOW w AS (PARTITION BY bag_id))
+@query("b09_normalise_heatmap", f"""WITH {v.FLAG}, n AS (SELECT bag_id, coalesce((s1 - min(s1) OVER w)/nullif(max(s1) OVER w - min(s1) OVER w, 0), 0) AS h FROM flagged WINDOW w AS (PARTITION BY bag_id))
  SELECT bag_id, round(avg(h), 6) AS mean_h, round(min(h), 6) AS lo, round(max(h), 6) AS hi FROM n GROUP BY bag_id""")
 def normalise_heatmap(spark, sf):
     rows = sl.normalised(v.flagged(spark, sf), ["s1"])
@@ -114,7 +114,7 @@ def grid_cells(spark, sf):
    CASE WHEN i.patch//4 = cy.a THEN 1-cy.f ELSE 0 END + CASE WHEN i.patch//4 = cy.b THEN cy.f ELSE 0 END AS wy,
    CASE WHEN i.patch%4 = cx.a THEN 1-cx.f ELSE 0 END + CASE WHEN i.patch%4 = cx.b THEN cx.f ELSE 0 END AS wx, s1
    FROM inst i, c cy, c cx),
- im AS (SELECT bag_id, slice, y, x, sum(wy*wx*s1) AS value FROM px GROUP BY ALL)
+ im AS (SELECT bag_id, slice, y, x, sum(wy*wx*s1) AS value FROM px GROUP BY ALL HAVING sum(wy*wx) > 0.999999)
  SELECT y, x, count(*) AS n, round(avg(value), 6) AS mean_value, round(max(value), 6) AS peak FROM im GROUP BY y, x""")
 def upsample_in_plane(spark, sf):
     px = fl.upsample(v.instances(spark, sf), "s1", v.GRID, 8)
@@ -247,12 +247,12 @@ def template_lookup(spark, sf):
     return r6(tiled.groupBy("bag_id").agg(count().alias("n"), F.avg(F.col("template").cast("double")).alias("mean_template")), "mean_template")
 
 
-DONOR = """bs AS (SELECT bag_id, max(n_slices) AS n_slices FROM inst GROUP BY bag_id),
+DONOR = """bs AS (SELECT bag_id, max(n_slices) AS n_slices, max(n_rows) AS n_rows FROM inst GROUP BY bag_id),
  ord AS (SELECT *, rep, row_number() OVER (PARTITION BY rep ORDER BY md5(concat_ws('|', '{seed}', rep, bag_id)), bag_id) - 1 AS ix, count(*) OVER (PARTITION BY rep) AS size
    FROM bs, range({reps}) r(rep)),
- donors AS (SELECT a.rep, a.bag_id, a.n_slices, d.bag_id AS donor_id, d.n_slices AS donor_slices FROM ord a JOIN ord d ON a.rep = d.rep AND d.ix = (a.ix + 1) % a.size)"""
+ donors AS (SELECT a.rep, a.bag_id, a.n_slices, d.bag_id AS donor_id, d.n_slices AS donor_slices, d.n_rows AS donor_rows FROM ord a JOIN ord d ON a.rep = d.rep AND d.ix = (a.ix + 1) % a.size)"""
 SHUF = """shuf AS MATERIALIZED (SELECT d.rep, i.bag_id, i.pos, s.target FROM inst i JOIN donors d USING (bag_id)
-   JOIN inst s ON s.bag_id = d.donor_id AND s.pos = i.pos % (d.donor_slices * 16))"""
+   JOIN inst s ON s.bag_id = d.donor_id AND s.pos = i.pos % d.donor_rows)"""
 
 
 @query("c06_donor_targets", f"WITH {v.INST}, {DONOR.format(seed=3, reps=2)}, {SHUF} SELECT rep, bag_id, count(*) AS n, sum(target)::BIGINT AS n_pos FROM shuf GROUP BY rep, bag_id")
@@ -298,8 +298,8 @@ def patient_overlap(spark, sf):
     return per.groupBy("n_splits").agg(count().alias("n_patients"))
 
 
-@query("c12_auc_against_pairs", f"""WITH {v.FLAG} SELECT p.bag_id, round(avg(CASE WHEN p.s0 > q.s0 THEN 1.0::DOUBLE WHEN p.s0 = q.s0 THEN 0.5 ELSE 0.0 END), 6) AS auc, count(*) AS n_pairs
- FROM flagged p JOIN flagged q ON p.bag_id = q.bag_id AND p.target = 1 AND q.target = 0 GROUP BY p.bag_id""")
+@query("c12_auc_against_pairs", f"""WITH {v.FLAG} SELECT b.bag_id, round(avg(CASE WHEN p.s0 > q.s0 THEN 1.0::DOUBLE WHEN p.s0 = q.s0 THEN 0.5 WHEN p.s0 < q.s0 THEN 0.0 END), 6) AS auc, count(q.s0) AS n_pairs
+ FROM (SELECT DISTINCT bag_id FROM flagged) b LEFT JOIN flagged p ON p.bag_id = b.bag_id AND p.target = 1 LEFT JOIN flagged q ON p.bag_id = q.bag_id AND q.target = 0 GROUP BY b.bag_id""")
 def auc_against_pairs(spark, sf):
     per = rk.auc(sized(spark, sf), ["bag_id"], "s0", size="n_rows")
     return r6(per.select("bag_id", "auc", (F.col("n_pos") * F.col("n_neg")).alias("n_pairs")), "auc")

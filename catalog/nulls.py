@@ -18,7 +18,7 @@ from .registry import query, r6, rs
 
 
 def rolled(seed: int, reps: int, source: str = "inst") -> str:
-    return f"""rolled AS MATERIALIZED (SELECT rep, bag_id, (pos + 1 + {v.draw(str(seed), 'rep', 'bag_id')} % (n_slices*16 - 1)) % (n_slices*16) AS pos, target
+    return f"""rolled AS MATERIALIZED (SELECT rep, bag_id, (pos + 1 + {v.draw(str(seed), 'rep', 'bag_id')} % greatest(n_rows - 1, 1)) % n_rows AS pos, target
       FROM {source}, range({reps}) r(rep))"""
 
 

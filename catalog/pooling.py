@@ -144,11 +144,11 @@ def probe_ceiling(spark, sf):
 
 # Voxels: the same line items at 8 x 8 to a slice --------------------------------------------
 
-VOX = f"""{v.INST}, vox AS MATERIALIZED (SELECT bag_id, pos//64 AS slice, pos%64//8 AS y, pos%8 AS x, s1*1500 - 1000 AS hu, target AS finding, frac FROM inst WHERE pos < 64*(n_slices//4))"""
+VOX = f"""{v.INST}, vox AS MATERIALIZED (SELECT bag_id, pos//64 AS slice, pos%64//8 AS y, pos%8 AS x, s1*1500 - 1000 AS hu, target AS finding, frac FROM inst)"""
 
 
 def voxels(spark, sf):
-    rows = v.instances(spark, sf).where(F.col("pos") < 64 * F.floor(F.col("n_slices") / 4))
+    rows = v.instances(spark, sf)
     return rows.select("bag_id", geo.slice_of(F.col("pos"), 64).alias("slice"), F.floor((F.col("pos") % 64) / 8).alias("y"),
                        (F.col("pos") % 8).alias("x"), (F.col("s1") * 1500 - 1000).alias("hu"), F.col("target").alias("finding"), "frac")
 

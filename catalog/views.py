@@ -21,19 +21,25 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def build_instances(spark: SparkSession, sf: str) -> DataFrame:
-    """Line items as instances: bag = supplier, position = order by ship date, 16 to a slice."""
+    """Line items as instances: position = order by ship date, 16 to a slice.
+
+    A supplier's whole slices are one bag; the rows beyond them are a bag of their own, with a ragged slice (bag -1 - supplier). No row is
+    left out: operators that need whole slices drop ragged bags themselves and count them.
+    """
     rows = table(spark, sf, "lineitem").withColumn("bag_id", F.col("l_suppkey"))
     numbered = positions(rows, ["bag_id"], ["l_shipdate", "l_quantity"],
                          ["l_extendedprice", "l_orderkey", "l_partkey", "l_linenumber",
                           "l_discount", "l_tax", "l_returnflag", "l_linestatus"],
                          "pos", total="n_rows")
-    kept = numbered.withColumn("n_slices", F.floor(F.col("n_rows") / N_PATCH))
-    kept = kept.where(F.col("pos") < F.col("n_slices") * N_PATCH)
+    whole = F.floor(F.col("n_rows") / N_PATCH) * N_PATCH
+    tail = F.col("pos") >= whole
+    placed = numbered.withColumns({
+        "bag_id": F.when(tail, -1 - F.col("bag_id")).otherwise(F.col("bag_id")), "pos": F.when(tail, F.col("pos") - whole).otherwise(F.col("pos")),
+        "n_rows": F.when(tail, F.col("n_rows") - whole).otherwise(whole), "n_slices": F.when(tail, F.lit(1)).otherwise(F.floor(F.col("n_rows") / N_PATCH))})
     lesion = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")
-    return kept.select(
+    return placed.select(
         "bag_id", "pos", geo.slice_of(F.col("pos"), N_PATCH).alias("slice"),
-        geo.patch_of(F.col("pos"), N_PATCH).alias("patch"), "n_slices",
-        (F.col("n_slices") * N_PATCH).alias("n_rows"),
+        geo.patch_of(F.col("pos"), N_PATCH).alias("patch"), "n_slices", "n_rows",
         lesion.cast("int").alias("target"),
         F.when(lesion, F.col("l_tax")).otherwise(F.lit(0.0)).alias("coverage"),
         (F.col("l_quantity") / 50).alias("s0"), (F.col("l_extendedprice") / 100000).alias("s1"),
@@ -54,13 +60,13 @@ def instances(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bags(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per supplier with its patient (nation)."""
-    return table(spark, sf, "supplier").select(
-        F.col("s_suppkey").alias("bag_id"), F.col("s_nationkey").cast("bigint").alias("patient_id"))
+    """Both bags of every supplier with their patient (nation)."""
+    both = F.explode(F.array(F.col("s_suppkey"), -1 - F.col("s_suppkey")))
+    return table(spark, sf, "supplier").select(both.alias("bag_id"), F.col("s_nationkey").cast("bigint").alias("patient_id"))
 
 
 def bag_sizes(spark, sf):
-    return instances(spark, sf).groupBy("bag_id").agg(F.max("n_slices").alias("n_slices"))
+    return instances(spark, sf).groupBy("bag_id").agg(F.max("n_slices").alias("n_slices"), F.max("n_rows").alias("n_rows"))
 
 
 def with_patient(rows: DataFrame, spark, sf) -> DataFrame:
@@ -93,23 +99,24 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 INST = """
 inst AS MATERIALIZED (
- SELECT bag_id, pos, pos // 16 AS slice, pos % 16 AS patch, n // 16 AS n_slices,
+ SELECT CASE WHEN pos < whole THEN bag_id ELSE -1 - bag_id END AS bag_id, CASE WHEN pos < whole THEN pos ELSE pos - whole END AS pos,
+        CASE WHEN pos < whole THEN pos // 16 ELSE 0 END AS slice, pos % 16 AS patch, CASE WHEN pos < whole THEN n // 16 ELSE 1 END AS n_slices,
+        CASE WHEN pos < whole THEN whole ELSE n - whole END AS n_rows,
         CAST(l_returnflag='R' AND l_linestatus='F' AS INTEGER) AS target,
         CASE WHEN l_returnflag='R' AND l_linestatus='F' THEN l_tax ELSE 0.0::DOUBLE END AS coverage,
         l_quantity/50 AS s0, l_extendedprice/100000 AS s1, l_discount*10 AS s2,
         CAST(l_partkey % 10 AS DOUBLE)/10 AS frac
- FROM (SELECT l_suppkey AS bag_id, *,
+ FROM (SELECT *, 16 * (n // 16) AS whole FROM (SELECT l_suppkey AS bag_id, *,
         row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_quantity, l_extendedprice,
           l_orderkey, l_partkey, l_linenumber, l_discount, l_tax, l_returnflag, l_linestatus) - 1 AS pos,
-        count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem)
- WHERE pos < 16 * (n // 16))"""
+        count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem)))"""
 
 FLAG = INST + """,
 flagged AS MATERIALIZED (
  SELECT *, max(target) OVER (PARTITION BY bag_id, slice) AS slice_pos FROM inst)"""
 
 BAGS = """
-bags AS (SELECT s_suppkey AS bag_id, CAST(s_nationkey AS BIGINT) AS patient_id FROM supplier)"""
+bags AS (SELECT unnest([s_suppkey, -1 - s_suppkey]) AS bag_id, CAST(s_nationkey AS BIGINT) AS patient_id FROM supplier)"""
 
 SERIES = """
 series AS (SELECT o_orderkey AS bag_id, o_custkey AS patient_id,

@@ -89,11 +89,11 @@ def upsample_weights(spark, grid: int, out: int) -> DataFrame:
 
 
 def upsample(df: DataFrame, score: str, grid: int, out: int) -> DataFrame:
-    """Patch scores on the pixel grid of their own slice; slices never mix."""
+    """Patch scores on the pixel grid of their own slice; slices never mix. A pixel that needs a missing patch is left out."""
     weights = upsample_weights(df.sparkSession, grid, out)
     part = df.join(F.broadcast(weights), "patch")
     return part.groupBy("bag_id", "slice", "y", "x").agg(
-        F.sum(F.col(score) * F.col("weight")).alias("value"))
+        F.sum(F.col(score) * F.col("weight")).alias("value"), F.sum("weight").alias("_known")).where("_known > 0.999999").drop("_known")
 
 
 def slice_vectors(df: DataFrame, keys: Sequence[str], vector: str) -> DataFrame:

@@ -10,13 +10,18 @@ from ..functions import draws
 from .scale import hashed_positions, salted_join
 
 
+def length_of(df: DataFrame, n_patch: int, rows: str = "n_rows", slices: str = "n_slices") -> Column:
+    """Instances of a row's bag: its true count where the table carries one, else whole slices."""
+    return F.col(rows) if rows in df.columns else F.col(slices) * F.lit(n_patch)
+
+
 def roll_targets(df: DataFrame, n_patch: int, seed: int, reps: int = 1) -> DataFrame:
     """(rep, bag_id, pos, target): each bag's target shifted circularly by 1..n-1 positions.
 
     The shift is a function of (seed, rep, bag), so a row is re-keyed on its own.
     """
-    n = F.col("n_slices") * F.lit(n_patch)
-    shift = F.lit(1) + draws.draw(seed, F.col("rep"), F.col("bag_id")) % (n - 1)
+    n = length_of(df, n_patch)
+    shift = F.lit(1) + draws.draw(seed, F.col("rep"), F.col("bag_id")) % F.greatest(n - 1, F.lit(1))
     return (df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
             .select("rep", "bag_id", ((F.col("pos") + shift) % n).alias("pos"), "target"))
 
@@ -27,19 +32,21 @@ def replace_target(scores: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def donor_map(bags: DataFrame, seed: int, reps: int = 1) -> DataFrame:
-    """(rep, bag_id, n_slices, donor_id, donor_slices): the next bag in a shuffled cycle.
+    """(rep, bag_id, n_slices, donor_id, donor_slices): the next bag in a shuffled cycle; with ``n_rows`` also the true counts of both.
 
     With two bags or more no bag is its own donor; a single bag keeps itself.
     """
     order = bags.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     order = order.withColumn("_h", draws.order_key(seed, F.col("rep"), F.col("bag_id")))
-    numbered = hashed_positions(order.select("rep", "bag_id", "n_slices", "_h"), ["rep"], "_h",
+    sizes = [c for c in ("n_slices", "n_rows") if c in bags.columns]
+    numbered = hashed_positions(order.select("rep", "bag_id", *sizes, "_h"), ["rep"], "_h",
                                 ["bag_id"], name="ix", total="size")
+    of_donor = {"n_slices": "donor_slices", "n_rows": "donor_rows"}
     donors = numbered.select("rep", F.col("ix").alias("next_ix"), F.col("bag_id").alias("donor_id"),
-                             F.col("n_slices").alias("donor_slices"))
+                             *[F.col(c).alias(of_donor[c]) for c in sizes])
     return (numbered.withColumn("next_ix", (F.col("ix") + 1) % F.col("size"))
             .join(donors, ["rep", "next_ix"])
-            .select("rep", "bag_id", "n_slices", "donor_id", "donor_slices"))
+            .select("rep", "bag_id", *sizes, "donor_id", *[of_donor[c] for c in sizes]))
 
 
 def shuffle_targets(df: DataFrame, donors: DataFrame, n_patch: int, tiles: int = 64) -> DataFrame:
@@ -56,9 +63,9 @@ def shuffle_targets(df: DataFrame, donors: DataFrame, n_patch: int, tiles: int =
         wanted.select("rep", "donor_id", "donor_slices", "bag_id", "copies"), ["donor_id"], F.col("donor_pos"),
         size="donor_slices")
     source = source.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    length = F.col("donor_slices") * F.lit(n_patch)
+    length = length_of(donors, n_patch, "donor_rows", "donor_slices")
     asked = salted_join(df.select("bag_id", "n_slices", "pos"),
-                        wanted.select("rep", "bag_id", "n_slices", "donor_slices", "copies"), ["bag_id"],
+                        wanted.select("rep", "bag_id", "n_slices", *[c for c in ("donor_slices", "donor_rows") if c in donors.columns], "copies"), ["bag_id"],
                         F.col("pos"), size="n_slices")
     asked = (asked.withColumn("donor_pos", F.col("pos") % length)
              .withColumn("copy", (F.floor(F.col("pos") / length) % F.col("copies")).cast("int")))
@@ -76,7 +83,7 @@ def shuffle_positives(df: DataFrame, donors: DataFrame, n_patch: int) -> DataFra
     """(rep, bag_id, pos) of the positives of ``shuffle_targets``: each donor's positives, cropped or tiled to length."""
     given = df.where(F.col("target") > 0).select(F.col("bag_id").alias("donor_id"), F.col("pos").alias("donor_pos"), F.col("n_slices").alias("_size"))
     moved = salted_join(given, donors.withColumn("_size", F.col("donor_slices")), ["donor_id"], F.col("donor_pos"), size="_size")
-    length, wide = F.col("donor_slices") * F.lit(n_patch), F.col("n_slices") * F.lit(n_patch)
+    length, wide = length_of(donors, n_patch, "donor_rows", "donor_slices"), length_of(donors, n_patch)
     tiles = F.floor((wide - 1 - F.col("donor_pos")) / length)
     copies = F.when(tiles >= 0, F.sequence(F.lit(0).cast("bigint"), tiles))
     return moved.withColumn("_tile", F.explode(copies)).select("rep", "bag_id", (F.col("donor_pos") + F.col("_tile") * length).alias("pos"))

@@ -29,17 +29,19 @@ def clean(value: Column) -> Column:
 def exact_total(value: Column, window=None) -> Column:
     """Sum that does not depend on the order of the rows, as a double.
 
-    Each value is cut into two integers (units of 2**-20 and of 2**-52) that are summed as BIGINT.
+    Each value is cut into three integers (units of 2**-20, 2**-52 and 2**-84) that are summed as BIGINT, so a sum of one value is that value.
     Values up to 2**34 in groups up to 2**9 rows, or smaller values in larger groups, never
     overflow; beyond, the ANSI cast fails rather than giving a wrong sum.
     """
     scaled = value.cast("double") * F.lit(1048576.0)
     high = F.rint(scaled)
-    low = F.rint((scaled - high) * F.lit(4294967296.0))
-    parts = [F.sum(c.cast("bigint")) for c in (high, low)]
+    rest = (scaled - high) * F.lit(4294967296.0)
+    low = F.rint(rest)
+    parts = [F.sum(c.cast("bigint")) for c in (high, low, F.rint((rest - low) * F.lit(4294967296.0)))]
     if window is not None:
         parts = [c.over(window) for c in parts]
-    return (parts[0].cast("double") + parts[1].cast("double") / F.lit(4294967296.0)) / F.lit(1048576.0)
+    fine = parts[1].cast("double") + parts[2].cast("double") / F.lit(4294967296.0)
+    return (parts[0].cast("double") + fine / F.lit(4294967296.0)) / F.lit(1048576.0)
 
 
 def exact_mean(value: Column) -> Column:

@@ -34,7 +34,7 @@ def null_rows(rows: DataFrame, bags: DataFrame, slots: Sequence[str], n_patch: i
                            [F.col("bias") * F.lit(float(b)) for b in bias[:len(slots)]])
     for i, s in enumerate(slots):
         rand = rand.withColumnRenamed(f"r{i}", s)
-    rolled = nl.replace_target(base, nl.roll_targets(base, n_patch, seed, reps)).withColumn("null", F.lit("roll"))
+    rolled = nl.replace_target(base, nl.roll_targets(rows, n_patch, seed, reps)).withColumn("null", F.lit("roll"))
     donors = pin(nl.donor_map(bags, seed, reps))
     shuffled = nl.replace_target(base, nl.shuffle_targets(base, donors, n_patch)).withColumn("null", F.lit("shuffle"))
     cols = ["null", "rep", *keep]
@@ -58,7 +58,7 @@ def null_battery(rows: DataFrame, bags: DataFrame, slots: Sequence[str], n_patch
 
 def moved_positives(rows: DataFrame, bags: DataFrame, n_patch: int, seed: int = 0, reps: int = 1) -> DataFrame:
     """(condition, rep, bag_id, pos) of the positives: as they are, rolled, and of another bag."""
-    targets = rows.select("bag_id", "pos", "n_slices", "target")
+    targets = rows.select("bag_id", "pos", *[c for c in ("n_slices", "n_rows") if c in rows.columns], "target")
     real = targets.where(F.col("target") > 0).select("bag_id", "pos").withColumns({"condition": F.lit("real"), "rep": F.lit(0)})
     rolled = nl.roll_positives(targets, n_patch, seed, reps).withColumn("condition", F.lit("roll"))
     swapped = nl.shuffle_positives(targets, pin(nl.donor_map(bags, seed, reps)), n_patch).withColumn("condition", F.lit("shuffle"))

@@ -78,7 +78,7 @@ def paired_slice(axes: DataFrame, reference: str, reps: int, seed: int = 0) -> t
 def cross_patient(rows: DataFrame, bags: DataFrame, sizes: DataFrame, score: str, n_patch: int, derangements: int,
                   reps: int, seed: int = 0) -> DataFrame:
     """Real, cross-patient and difference intervals over patients; a derangement moves positives only."""
-    keep = rows.select("bag_id", "pos", "n_slices", "target", score).withColumn("n_rows", F.col("n_slices") * F.lit(n_patch))
+    keep = rows.select("bag_id", "pos", "n_slices", "target", score).withColumn("n_rows", F.col("n_slices") * F.lit(n_patch))  # a bound
     ranks = rk.midranks(keep, ["bag_id"], score, size="n_rows")
     own = keep.where(F.col("target") > 0).select("bag_id", "pos")
     real = rk.auc_of_positives(ranks, own, ["bag_id"]).where("auc IS NOT NULL").select("bag_id", F.col("auc").alias("real"))
@@ -154,7 +154,7 @@ def content_free_members(rows: DataFrame, score: str, n_patch: int, n_draws: int
     Each has its own in-plane template as the denominator; the template of the arm is fitted on
     the fit half with the true targets.
     """
-    part = rows.withColumn("part", draws.half(F.col("bag_id"))).withColumn("n_rows", F.col("n_slices") * F.lit(n_patch))
+    part = rows.withColumn("part", draws.half(F.col("bag_id"))).withColumn("n_rows", nl.length_of(rows, n_patch))
     fit, test = part.where("part = 'fit'"), part.where("part <> 'fit'")
     template = tp.global_template(fit, F.col(score))
     base = tp.tile(test, template).withColumn("template", F.col("template").cast("double"))
