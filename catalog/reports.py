@@ -23,11 +23,11 @@ from patchrank.sources import artefacts as ar
 
 from . import views as v
 from .alignment import HALF, H3, LONGH, SLOTVEC, aff_sql, halves
-from .estimands import OUTCOME, delong_sql, p_normal
+from .estimands import OUTCOME, delong_sql, p_normal, p_t
 from .filters import DONOR, SHUF, count
 from .nulls import battery_sql, r4, random_ctes, rolled
 from .ranking import AX, GT, LOC, RADIAL, apply_cte, centre_cte, family_ctes, sized, strat_sql
-from .registry import query, r6, rs
+from .registry import ORACLES, QUERIES, query, r6, rs
 
 ARMS3 = ("s0", "s1", "s2")
 
@@ -238,10 +238,20 @@ def h2_slice_prior(spark, sf):
     return vd.h2(conditions(spark, sf), arm_means(spark, sf), m.where("tag = 'centre_prior'"), "slice")
 
 
-@q("j14_h3_floor", "SELECT r_name AS condition, round(p95, 6) AS p95, n_inits, CASE WHEN p95 IS NULL THEN 'NOT_RUN' WHEN n_inits < 15 THEN 'VOID' WHEN p95 > 0.55 THEN 'PASS' ELSE 'FAIL' END AS outcome FROM region LEFT JOIN (SELECT condition, min(p95) AS p95, min(n) AS n_inits FROM (SELECT condition, tag, quantile_cont(flat, 0.95) AS p95, count(flat) AS n FROM ta WHERE seed = 0 GROUP BY ALL) GROUP BY condition) ON condition = r_name")
+UNTRAINED = f"""um AS (SELECT f.*, model, {HALF} AS part FROM flagged f, range(30) m(model)), {random_ctes('um', '1.0::DOUBLE', "'0m' || model", ("0.0::DOUBLE",) * 3, 'ur')},
+   ul AS MATERIALIZED (SELECT model, bag_id, part, target, slot, CASE slot WHEN 0 THEN r0 WHEN 1 THEN r1 ELSE r2 END AS score FROM ur, range(3) s(slot)),
+   ua AS (SELECT model, slot FROM (SELECT model, slot, avg(x) AS x FROM (SELECT model, slot, bag_id, sum(score*target)/sum(score) AS x FROM ul WHERE part='fit' GROUP BY ALL) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY model ORDER BY x DESC, slot) = 1),
+   uf AS (SELECT model, auc, patient_id FROM {v.auc('ul', 'model, slot, bag_id', where="part <> 'fit'")} JOIN ua USING (model, slot) JOIN bags USING (bag_id))"""
+
+
+@q("j14_h3_floor", """SELECT r_name AS condition, round(p95, 4) AS p95, n_inits, CASE WHEN p95 IS NULL THEN 'NOT_RUN' WHEN n_inits < 15 THEN 'VOID' WHEN p95 > 0.55 THEN 'PASS' ELSE 'FAIL' END AS outcome
+ FROM region LEFT JOIN (SELECT n_regionkey, quantile_cont(x, 0.95) AS p95, count(x) AS n_inits FROM (SELECT n_regionkey, model, avg(auc) AS x FROM uf JOIN nation ON n_nationkey = patient_id GROUP BY ALL) GROUP BY n_regionkey) ON n_regionkey = r_regionkey""",
+   f"{v.FLAG}, {v.BAGS}, {UNTRAINED}")
 def h3_floor(spark, sf):
-    floors = es.distribution(tag_axes(spark, sf).where("seed = 0"), ["condition", "tag"], "flat")
-    return r6(vd.h3(conditions(spark, sf), floors, 0.55, 15), "p95")
+    """The 95th percentile over untrained inits of their mean AUC in a condition."""
+    per = rp.untrained_bags(v.flagged(spark, sf), v.SLOTS, v.N_PATCH, 30)
+    means = with_condition(per, spark, sf).groupBy("condition", "model").agg(F.avg("auc").alias("auc"))
+    return r4(vd.h3(conditions(spark, sf), es.distribution(means, ["condition"], "auc"), 0.55, 15), "p95")
 
 
 CROSS = f"""{v.FLAG}, {v.BAGS}, {DONOR.format(seed=0, reps=100)}, {SHUF}, cm AS (SELECT s.rep, f.bag_id, f.s1, s.target FROM shuf s JOIN flagged f USING (bag_id, pos)),
@@ -349,16 +359,20 @@ def h8_verdict(spark, sf):
 H9B = v.bootstrap("fl9", "condition, tag", "flat", reps=10000)
 
 
-@q("j20_h9_ordering", f"""SELECT a.tag, a.condition AS cond_a, b.condition AS cond_b, CASE WHEN a.hi < b.lo THEN 'PASS' ELSE 'FAIL' END AS outcome, CASE WHEN a.hi < b.lo THEN 'ordered' WHEN b.hi < a.lo THEN 'reversed' ELSE 'indistinguishable' END AS basis,
- round(a.hi, 6) AS hi_a, round(b.lo, 6) AS lo_b FROM b9 a JOIN b9 b ON a.tag = b.tag AND a.condition = 'ASIA' AND b.condition = 'EUROPE'""",
-   f"{TAGS}, fl9 AS (SELECT * FROM ta WHERE seed IS NOT NULL), b9 AS MATERIALIZED (SELECT * FROM {H9B})")
+@q("j20_h9_ordering", f"""SELECT a.tag, a.condition AS cond_a, b.condition AS cond_b, CASE WHEN a.lo IS NULL OR b.lo IS NULL THEN 'VOID' WHEN a.hi < b.lo AND coalesce(sa.skill > sb.skill, TRUE) THEN 'PASS' ELSE 'FAIL' END AS outcome,
+ CASE WHEN a.lo IS NULL OR b.lo IS NULL THEN 'undefined' WHEN a.hi < b.lo AND coalesce(sa.skill > sb.skill, TRUE) THEN 'ordered' WHEN b.hi < a.lo THEN 'reversed' WHEN a.hi < b.lo THEN 'skill disagrees' ELSE 'indistinguishable' END AS basis,
+ round(a.hi, 6) AS hi_a, round(b.lo, 6) AS lo_b, round(sa.skill, 6) AS skill_a, round(sb.skill, 6) AS skill_b
+ FROM b9 a JOIN b9 b ON a.tag = b.tag AND a.condition < b.condition LEFT JOIN sk9 sa ON sa.tag = a.tag AND sa.condition = a.condition LEFT JOIN sk9 sb ON sb.tag = b.tag AND sb.condition = b.condition""",
+   f"{TAGS}, fl9 AS (SELECT * FROM ta WHERE seed IS NOT NULL), b9 AS MATERIALIZED (SELECT * FROM {H9B}), sk9 AS (SELECT a.condition, a.tag, (a.flat - c.flat)/(1 - c.flat) AS skill FROM tm a JOIN tm c ON a.condition = c.condition AND c.tag='centre_prior' WHERE a.seed IS NOT NULL)")
 def h9_ordering(spark, sf):
+    """Every pair of conditions in the order of their names, for every arm run."""
     ci = es.cluster_bootstrap(tag_axes(spark, sf).where(is_arm()), ["condition", "tag"], "flat", "patient_id", 10000)
-    def side(c, s):
-        return ci.where(F.col("condition") == c).select("tag", F.lit(c).alias(f"cond_{s}"), F.col("lo").alias(f"lo_{s}"), F.col("hi").alias(f"hi_{s}"))
-    null = F.lit(None).cast("double")
-    pairs = side("ASIA", "a").join(side("EUROPE", "b"), "tag").withColumn("skill_a", null).withColumn("skill_b", null)
-    return r6(vd.h9(pairs).select("tag", "cond_a", "cond_b", "outcome", "basis", "hi_a", "lo_b"), "hi_a", "lo_b")
+    ci = ci.join(skills(spark, sf).select("condition", "tag", "skill"), ["condition", "tag"], "left")
+
+    def side(s):
+        return ci.select("tag", *[F.col(c).alias(f"{n}_{s}") for c, n in (("condition", "cond"), ("lo", "lo"), ("hi", "hi"), ("skill", "skill"))])
+    pairs = side("a").join(side("b"), "tag").where("cond_a < cond_b")  # conditions are a declared list
+    return r6(vd.h9(pairs).select("tag", "cond_a", "cond_b", "outcome", "basis", "hi_a", "lo_b", "skill_a", "skill_b"), "hi_a", "lo_b", "skill_a", "skill_b")
 
 
 D10 = "d10 AS (SELECT r_name AS condition, m.patient_id, m.flat - t.flat AS delta FROM fax m JOIN fax t ON m.bag_id = t.bag_id AND t.scorer = 'trained' AND m.scorer = 'masks:separable' JOIN nation ON n_nationkey = m.patient_id JOIN region ON r_regionkey = n_regionkey)"
@@ -380,19 +394,25 @@ def h10_outcomes(spark, sf):
     return vd.h10(conditions(spark, sf), h10_rows(spark, sf))
 
 
-MATRIX = f"""vm AS (SELECT r_name AS condition, CASE WHEN (SELECT bool_or(gap <= 0.02) FROM tm WHERE tm.condition=r_name AND tag='depth') THEN 'VOID' WHEN (SELECT sum(CASE WHEN gap >= 0.02 THEN 1 ELSE 0 END) FROM am WHERE am.condition=r_name) >= 2 THEN 'FAIL' ELSE 'PASS' END AS "H1",
-  CASE WHEN (SELECT bool_or(a.slice >= c.slice) FROM am a, tm c WHERE a.condition=r_name AND c.condition=r_name AND c.tag='centre_prior') THEN 'FAIL' ELSE 'PASS' END AS "H2",
-  CASE WHEN (SELECT max(m) FROM (SELECT avg(skill) AS m FROM sk WHERE sk.condition=r_name GROUP BY arm)) > 0.04 THEN 'FAIL' ELSE 'PASS' END AS "H5", 'NOT_RUN' AS "H7" FROM region)"""
+VERDICTS = {"H1": "j12_h1_axial_gap", "H2": "j13_h2_slice_prior", "H3": "j14_h3_floor", "H4": "j15_h4_verdict", "H5": "j16_h5_skill", "H6": "j17_h6_guidance",
+            "H7": "j18_h7_verdict", "H8": "j19_h8_verdict", "H9": "j20_h9_ordering", "H10": "j21_h10_outcomes"}
+_ALL = " UNION ALL ".join(f"SELECT '{h}' AS h, {'NULL' if h in ('H7', 'H9') else 'condition'} AS condition, outcome FROM ({ORACLES[n]})" for h, n in VERDICTS.items())
+_WORST = "CASE WHEN bool_or(outcome = 'VOID') THEN 'VOID' WHEN bool_or(outcome = 'FAIL') THEN 'FAIL' WHEN bool_or(outcome = 'PASS') THEN 'PASS' ELSE 'NOT_RUN' END"
 
 
-@q("j29_verdict_matrix", "SELECT * FROM vm", f"{TAGS}, {SKL}, {MATRIX}")
+@query("j29_verdict_matrix", f"""WITH every AS MATERIALIZED ({_ALL}), one AS (SELECT h, condition, {_WORST} AS o FROM every WHERE condition IS NULL GROUP BY ALL UNION ALL SELECT h, condition, outcome FROM every WHERE condition IS NOT NULL)
+ SELECT r_name AS condition, {', '.join(f"coalesce(max(o) FILTER (h = '{h}'), 'NOT_RUN') AS {chr(34)}{h}{chr(34)}" for h in VERDICTS)} FROM region LEFT JOIN one ON condition = r_name OR condition IS NULL GROUP BY r_name""")
 def verdict_matrix(spark, sf):
-    parts = [("H1", h1_axial_gap), ("H2", h2_slice_prior), ("H5", h5_skill)]
+    """All ten hypotheses. H7 and H9 are outcomes of the study: they stand in every row, H9 as the worst of its declared pairs."""
+    where = conditions(spark, sf)
     out = None
-    for name, fn in parts:
-        one = fn(spark, sf).select("condition", F.lit(name).alias("hypothesis"), "outcome")
+    for h, name in VERDICTS.items():
+        one = QUERIES[name](spark, sf)
+        if h in ("H7", "H9"):
+            one = where.withColumn("outcome", one.agg(vd.worst("outcome")).scalar())
+        one = one.select("condition", F.lit(h).alias("hypothesis"), "outcome")
         out = one if out is None else out.unionByName(one)
-    return vd.verdict_matrix(out, ["H1", "H2", "H5", "H7"])
+    return vd.verdict_matrix(out, list(VERDICTS))
 
 
 @q("j36_beside_the_gate", f"SELECT tag, round(avg(flat), 6) AS auc, round((avg(flat) - d)/(1 - d), 6) AS skill FROM ta, (SELECT avg(flat) AS d FROM ta WHERE tag='centre_prior') WHERE tag IN ('depth', 'mean') GROUP BY tag, d")
@@ -404,10 +424,7 @@ def beside_the_gate(spark, sf):
 
 
 @q("j30_untrained_floor", f"SELECT model::INTEGER AS model, n, n_clusters, {', '.join(f'round({c}, 4) AS {c}' for c in ('mean', 'lo', 'hi'))} FROM {v.bootstrap('uf', 'model', 'auc', reps=10000)}",
-   f"""{v.FLAG}, {v.BAGS}, um AS (SELECT f.*, model, {HALF} AS part FROM flagged f, range(30) m(model)), {random_ctes('um', '1.0::DOUBLE', "'0m' || model", ("0.0::DOUBLE",) * 3, 'ur')},
-   ul AS MATERIALIZED (SELECT model, bag_id, part, target, slot, CASE slot WHEN 0 THEN r0 WHEN 1 THEN r1 ELSE r2 END AS score FROM ur, range(3) s(slot)),
-   ua AS (SELECT model, slot FROM (SELECT model, slot, avg(x) AS x FROM (SELECT model, slot, bag_id, sum(score*target)/sum(score) AS x FROM ul WHERE part='fit' GROUP BY ALL) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY model ORDER BY x DESC, slot) = 1),
-   uf AS (SELECT model, auc, patient_id FROM {v.auc('ul', 'model, slot, bag_id', where="part <> 'fit'")} JOIN ua USING (model, slot) JOIN bags USING (bag_id))""")
+   f"{v.FLAG}, {v.BAGS}, {UNTRAINED}")
 def untrained_floor(spark, sf):
     out = rp.untrained_floor(v.flagged(spark, sf), v.bags(spark, sf), v.SLOTS, v.N_PATCH, 30, 10000)
     return r4(out, "mean", "lo", "hi")
@@ -421,6 +438,51 @@ def control_tables(spark, sf):
     return r6(out, *AX)
 
 
+CONTROL = f"""{v.FLAG}, {v.BAGS}, {RADIAL},
+ cr AS MATERIALIZED (SELECT x.*, rbin FROM ({' UNION ALL '.join(f"SELECT '{a}' AS arm, {s} AS seed, bag_id, slice, patch, target, slice_pos, {a}{' + 0.1::DOUBLE * ' + U1 if s else ''} AS score FROM flagged" for a in ARMS3 for s in (0, 1))}) x JOIN rb USING (patch)),
+ cm AS (SELECT arm, seed, bag_id, 'raw' AS mode, auc, n_pos * n_neg AS w FROM {v.auc('cr', 'arm, seed, bag_id')}
+  UNION ALL SELECT arm, seed, bag_id, 'slice', auc, n_pos * n_neg FROM {v.auc('cr', 'arm, seed, bag_id', where='slice_pos = 1')}
+  UNION ALL SELECT arm, seed, bag_id, 'radial', auc, n_pos * n_neg FROM {v.auc('cr', 'arm, seed, bag_id, rbin')}
+  UNION ALL SELECT arm, seed, bag_id, 'joint', auc, n_pos * n_neg FROM {v.auc('cr', 'arm, seed, bag_id, slice, rbin')}),
+ cb AS MATERIALIZED (SELECT arm, seed, bag_id, mode, sum(auc * w)/nullif(sum(w), 0) AS auc, sum(w)::BIGINT AS n_pairs FROM cm GROUP BY ALL),
+ cs AS MATERIALIZED (SELECT r_name AS condition, arm, seed, mode, avg(auc) AS auc, count(auc) AS n_bags FROM cb JOIN bags USING (bag_id) JOIN nation ON n_nationkey = patient_id JOIN region ON r_regionkey = n_regionkey GROUP BY ALL)"""
+
+
+def control_bags(spark, sf):
+    """Every bag under four stratifications, written once."""
+    key = ("control_bags", sf)
+    if is_materialised(spark, key):
+        return reopen(spark, key)
+    rows = tag_rows(spark, sf).where(is_arm()).withColumn("patch", (F.col("pos") % v.N_PATCH).cast("bigint"))
+    per = rk.stratified_axes(sl.with_radial_bin(rows, v.N_PATCH, v.GRID, 4), ["arm", "seed", "bag_id"])
+    return materialise(with_condition(per, spark, sf), key)
+
+
+@query("j31_stratified_pairs", f"WITH {CONTROL} SELECT arm, seed, mode, sum(n_pairs)::BIGINT AS n_pairs, count(auc) AS n_bags, round(avg(auc), 6) AS auc FROM cb GROUP BY ALL")
+def stratified_pairs(spark, sf):
+    out = control_bags(spark, sf).groupBy("arm", "seed", "mode").agg(F.sum("n_pairs").alias("n_pairs"), F.count("auc").alias("n_bags"), F.avg("auc").alias("auc"))
+    return r6(out, "auc")
+
+
+@query("j31_stratified_seeds", f"WITH {CONTROL} SELECT condition, arm, seed, mode, n_bags, round(auc, 6) AS auc FROM cs")
+def stratified_seeds(spark, sf):
+    return r6(rp.control_seeds(control_bags(spark, sf)), "auc")
+
+
+@query("j31_stratified_arms", f"WITH {CONTROL} SELECT condition, arm, mode, round(avg(auc), 6) AS mean, round(stddev_pop(auc), 6) AS sd, count(auc) AS n_seeds FROM cs GROUP BY ALL")
+def stratified_arms(spark, sf):
+    return r6(rp.control_arms(rp.control_seeds(control_bags(spark, sf))), "mean", "sd")
+
+
+@query("j31_stratified_deltas", f"""WITH {CONTROL}, dr AS (SELECT condition, mode, arm, auc FROM cs WHERE arm IN ('s1', 's0') AND auc IS NOT NULL UNION ALL SELECT NULL, mode, arm, auc FROM cs WHERE arm IN ('s1', 's0') AND auc IS NOT NULL),
+ ds AS (SELECT condition, mode, avg(auc) FILTER (arm='s1') AS m1, avg(auc) FILTER (arm='s0') AS m2, var_samp(auc) FILTER (arm='s1') AS v1, var_samp(auc) FILTER (arm='s0') AS v2, count(*) FILTER (arm='s1') AS n1, count(*) FILTER (arm='s0') AS n2 FROM dr GROUP BY ALL),
+ dt AS (SELECT *, (m1-m2)/sqrt(v1/n1+v2/n2) AS t, (v1/n1+v2/n2)**2/((v1/n1)**2/(n1-1)+(v2/n2)**2/(n2-1)) AS df FROM ds), dp AS (SELECT *, {p_t('t', 'df')} AS p FROM dt)
+ SELECT condition, mode, n1, n2, round(m1 - m2, 6) AS delta, round(t, 4) AS t, round(p, 3) AS p FROM dp""")
+def stratified_deltas(spark, sf):
+    out = rp.control_deltas(rp.control_seeds(control_bags(spark, sf)), "s1", "s0")
+    return r6(out, "delta").withColumns({"t": F.round("t", 4), "p": F.round("p", 3)})
+
+
 @query("j32_null_report", battery_sql().replace("SELECT \"null\", round(avg(auc), 4) AS mean, round(stddev_pop(auc), 4) AS std, round(min(auc), 4) AS lo, round(max(auc), 4) AS hi, count(*) AS n_reps FROM allr GROUP BY \"null\"", "SELECT \"null\", round(avg(auc), 4) AS mean, round(avg(auc) - 0.5, 4) AS above_half, round((SELECT auc FROM main WHERE \"null\"='reference') - avg(auc), 4) AS below_reference FROM allr GROUP BY \"null\""))
 def null_report(spark, sf):
     b = nr.null_battery(v.flagged(spark, sf), v.bag_sizes(spark, sf), v.SLOTS, v.N_PATCH, 2, 2)

@@ -179,6 +179,30 @@ def stratified_auc(df: DataFrame, keys: Sequence[str], strata: Sequence[str],
         F.count(F.lit(1)).alias("n_strata_total"))
 
 
+STRATIFICATIONS = ("raw", "slice", "radial", "joint")
+
+
+def stratified_axes(df: DataFrame, keys: Sequence[str], score: str = "score", target: str = "target") -> DataFrame:
+    """(keys, mode, auc, n_pairs) of every bag under four stratifications, from one pass over the instances.
+
+    ``raw`` compares all instances, ``slice`` those of slices that hold a positive, ``radial`` those of one radial bin, ``joint`` those of one slice and
+    bin. Needs slice, rbin and slice_pos. The joint histogram of scores is made once; the others are sums of it. Rows without a
+    score or a target are left out; a mode without a comparable pair has a NULL auc and no pairs.
+    """
+    keys = list(keys)
+    rows = df.select(*keys, "slice", "rbin", "slice_pos", clean(F.col(score)).alias("score"), (F.col(target) > 0).cast("bigint").alias("p"))
+    joint = rows.where(F.col("score").isNotNull() & F.col("p").isNotNull()).groupBy(*keys, "slice", "rbin", "slice_pos", "score").agg(
+        F.sum("p").alias("p"), F.sum(1 - F.col("p")).alias("q"))
+    none, at = F.lit(None).cast("bigint"), {c: F.col(c).cast("bigint") for c in ("slice", "rbin")}
+    strata = {"raw": (none, none), "slice": (none, none), "radial": (none, at["rbin"]), "joint": (at["slice"], at["rbin"])}
+    modes = F.array(*[F.struct(F.lit(m).alias("mode"), a.alias("_a"), b.alias("_c")) for m, (a, b) in strata.items()])
+    each = joint.withColumn("_m", F.explode(modes)).select(*keys, "_m.*", "slice_pos", "score", "p", "q").where((F.col("mode") != "slice") | (F.col("slice_pos") > 0))
+    hist = each.groupBy(*keys, "mode", "_a", "_c", score_bucket(F.col("score")).alias("_b"), "score").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    per = concordance(hist, [*keys, "mode", "_a", "_c"], [("p", "q", "x")])
+    pairs = F.col("x_pos").cast("double") * F.col("x_neg").cast("double")
+    return per.groupBy(*keys, "mode").agg(ratio(F.sum(F.when(pairs > 0, F.col("x_conc2") / 2)), F.sum(pairs)).alias("auc"), F.sum(pairs).cast("bigint").alias("n_pairs"))
+
+
 def axes(df: DataFrame, n_patch: int, keys: Sequence[str] = ("bag_id",), score: str = "score",
          target: str = "target", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Flat, slice and within-slice AUC per bag.

@@ -103,6 +103,24 @@ def cross_patient_axes(rows: DataFrame, bags: DataFrame, sizes: DataFrame, score
     return es.cluster_bootstrap(each, ["axis", "quantity"], "value", "patient_id", reps, seed)
 
 
+def control_seeds(per_bag: DataFrame) -> DataFrame:
+    """(condition, arm, seed, mode, auc, n_bags): mean of ``ranking.stratified_axes`` over the bags that have one."""
+    return per_bag.groupBy("condition", "arm", "seed", "mode").agg(F.avg("auc").alias("auc"), F.count("auc").alias("n_bags"))
+
+
+def control_arms(seeds: DataFrame) -> DataFrame:
+    """(condition, arm, mode, mean, sd, n_seeds): arms over seeds, with the population deviation."""
+    return seeds.groupBy("condition", "arm", "mode").agg(F.avg("auc").alias("mean"), F.stddev_pop("auc").alias("sd"), F.count("auc").alias("n_seeds"))
+
+
+def control_deltas(seeds: DataFrame, first: str, second: str) -> DataFrame:
+    """(condition, mode, delta, t, p): arm ``first`` minus ``second`` by Welch over seeds, per condition and pooled (condition NULL)."""
+    both = seeds.where(F.col("arm").isin(first, second) & F.col("auc").isNotNull())
+    rows = both.select("condition", "mode", "arm", "auc").unionByName(both.select(F.lit(None).cast("string").alias("condition"), "mode", "arm", "auc"))
+    out = inf.welch(rows, ["condition", "mode"], "arm", first, "auc")
+    return out.select("condition", "mode", (F.col("m1") - F.col("m2")).alias("delta"), "n1", "n2", "t", "p")
+
+
 def in_region(rows: DataFrame, scorers: Sequence[str], threshold: float, n_patch: int, grid: int, n_radial: int) -> DataFrame:
     """(scorer, region, stratified, bag_id, auc): plain and stratified, restricted and not."""
     binned = sl.with_radial_bin(rows, n_patch, grid, n_radial).withColumn("n_rows", F.col("n_slices") * F.lit(n_patch))
@@ -135,16 +153,21 @@ def holm_family(rows: DataFrame, arms: Sequence[str], references: Sequence[str],
             .withColumn("underflow", (F.col("p") == 0).cast("int")))
 
 
-def untrained_floor(rows: DataFrame, bags: DataFrame, slots: Sequence[str], n_patch: int, inits: int, reps: int,
-                    seed: int = 0) -> DataFrame:
-    """Per untrained init (a key): frozen slot on the fit half, per-bag AUC, interval over patients."""
+def untrained_bags(rows: DataFrame, slots: Sequence[str], n_patch: int, inits: int, seed: int = 0) -> DataFrame:
+    """(model, slot, bag_id, auc) of the score half, per untrained init under the slot frozen on the fit half."""
     base = rows.select("bag_id", "pos", "n_slices", "target").withColumn("part", draws.half(F.col("bag_id")))
     every = base.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(inits - 1))))
     every = nl.random_slots(every, len(slots), 1.0, F.concat(F.lit(f"{seed}m"), F.col("model").cast("string")))
     names = [f"r{i}" for i in range(len(slots))]
     frozen = al.lesion_slot(al.affinity(every.where("part = 'fit'"), names, ["model"]), ["model"])
     sized = every.where("part <> 'fit'").withColumn("n_rows", F.col("n_slices") * F.lit(n_patch))
-    per = sl.slot_auc(sized, names, ["model", "bag_id"], size="n_rows").join(frozen.select("model", "slot"), ["model", "slot"])
+    return sl.slot_auc(sized, names, ["model", "bag_id"], size="n_rows").join(frozen.select("model", "slot"), ["model", "slot"])
+
+
+def untrained_floor(rows: DataFrame, bags: DataFrame, slots: Sequence[str], n_patch: int, inits: int, reps: int,
+                    seed: int = 0) -> DataFrame:
+    """Per untrained init (a key): per-bag AUC of its frozen slot, interval over patients."""
+    per = untrained_bags(rows, slots, n_patch, inits, seed)
     return es.cluster_bootstrap(per.join(bags, "bag_id"), ["model"], "auc", "patient_id", reps, seed)
 
 
