@@ -1,6 +1,7 @@
 """Slot-to-finding alignment, selection rules and faithfulness over the line-item instances."""
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from patchrank.functions import draws
@@ -223,3 +224,42 @@ FA = ("deletion_auc", "deletion_auc_std", "insertion_auc", "insertion_auc_std",
  SELECT {rs(*FA)}, n_bags FROM f""")
 def faithfulness(spark, sf):
     return r6(se.faithfulness_summary(se.faithfulness_curves(sized(spark, sf), "s1", "s0", 20, "n_rows")), *FA)
+
+
+POOLED_CLASSES = np.array([[1.0 if d % 3 == c else 0.0 for d in range(64)] for c in range(3)])
+
+
+def pooled_sql(weight: str) -> str:
+    ys = ", ".join(f"list_sum(list_transform(generate_series(1 + {c}, 64, 3), lambda d: embedding[d]::DOUBLE)) AS y{c}" for c in range(3))
+    groups = (("del", "rk >= step*per", "last"), ("ins", "rk < step*per", "first"))
+    sums = ", ".join(f"sum({weight} * y{c}) FILTER ({w})/sum({weight}) FILTER ({w}) AS {k}{c}" for k, w, _ in groups for c in range(3))
+    kept = ", ".join(f"max(CASE WHEN {w} THEN y{c} END) AS {n}{c}" for n, w in (("first", "rk = 0"), ("last", "rk = n - 1")) for c in range(3))
+    soft = lambda k, o: "exp(coalesce({0}1, {1}1))/(exp(coalesce({0}0, {1}0)) + exp(coalesce({0}1, {1}1)) + exp(coalesce({0}2, {1}2)))".format(k, o)
+    return f"""{v.VECS}, pv AS (SELECT bag_id, pos, 2*embedding[1]::DOUBLE AS l, {ys} FROM vecs),
+ pr AS (SELECT *, row_number() OVER (PARTITION BY bag_id ORDER BY l DESC, pos) - 1 AS rk, count(*) OVER (PARTITION BY bag_id) AS n, greatest(1, count(*) OVER (PARTITION BY bag_id)//20) AS per FROM pv),
+ pg AS (SELECT bag_id, step, {sums}, {kept} FROM pr, range(21) s(step) GROUP BY bag_id, step),
+ pc AS (SELECT bag_id, 'deletion' AS kind, step, {soft('del', 'last')} AS bag_score FROM pg UNION ALL SELECT bag_id, 'insertion', step, {soft('ins', 'first')} FROM pg)"""
+
+
+def pooled_curves(spark, sf, logit):
+    rows = v.vectors(spark, sf).withColumn("l", 2 * F.col("embedding")[0].cast("double"))
+    return se.pooled_faithfulness(rows, "l", "embedding", POOLED_CLASSES, 1, 20, logit)
+
+
+@query("h14_pooled_curves", f"WITH {pooled_sql('exp(l)')} SELECT bag_id, kind, step::INTEGER AS step, round(step/20.0::DOUBLE, 6) AS fraction, round(bag_score, 5) AS bag_score FROM pc")
+def pooled_curves_by_attention(spark, sf):
+    """Deletion and insertion under softmax attention pooling, re-pooled at every step."""
+    return r6(pooled_curves(spark, sf, "l"), "fraction").withColumn("bag_score", F.round("bag_score", 5))
+
+
+@query("h14_pooled_curves_of_the_mean", f"WITH {pooled_sql('1.0::DOUBLE')} SELECT bag_id, kind, step::INTEGER AS step, round(step/20.0::DOUBLE, 6) AS fraction, round(bag_score, 5) AS bag_score FROM pc")
+def pooled_curves_of_the_mean(spark, sf):
+    return r6(pooled_curves(spark, sf, None), "fraction").withColumn("bag_score", F.round("bag_score", 5))
+
+
+@query("h14_pooled_faithfulness", f"""WITH {pooled_sql('exp(l)')}, pw AS (SELECT bag_id, kind, bag_score, CASE WHEN step IN (0, 20) THEN 0.5 ELSE 1.0 END/20 AS w FROM pc),
+ pa AS (SELECT bag_id, sum(bag_score*w) FILTER (kind='deletion') AS d, sum(bag_score*w) FILTER (kind='insertion') AS i FROM pw GROUP BY bag_id),
+ pf AS (SELECT avg(d) AS deletion_auc, stddev_pop(d) AS deletion_auc_std, avg(i) AS insertion_auc, stddev_pop(i) AS insertion_auc_std, avg(i) - avg(d) AS insertion_minus_deletion, count(*) AS n_bags FROM pa)
+ SELECT {rs(*FA)}, n_bags FROM pf""")
+def pooled_faithfulness(spark, sf):
+    return r6(se.faithfulness_summary(pooled_curves(spark, sf, "l")), *FA)
