@@ -3,6 +3,7 @@ import hashlib
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -55,3 +56,20 @@ def test_stages_keep_the_columns_of_documents(spark):
     docs = table(spark, SF, "documents")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(20), SF).columns == docs.columns
+
+
+def test_stages_on_hard_rows_and_on_an_empty_table(spark, make, hard):
+    """Nulls in any column, empty and very long texts, repeated rows, clashing names: every stage ends and keeps the columns."""
+    holes = hard.unionByName(make([(None, None)]).withColumns({c: F.lit(None).cast(t) for c, t in hard.dtypes}))
+    n = holes.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, holes, SF)
+        assert out.columns == holes.columns
+        rows = out.collect()
+        if name == "secret_scan":
+            assert len(rows) == n
+        elif name == "ngram_jaccard":  # rows without a doc_id are linked with nothing and stay
+            assert sum(r.doc_id is None for r in rows) == 3 and {-4} == {r.doc_id for r in rows if r.doc_id is not None and (r.doc_id in (-4, 5, 6) or r.doc_id >= 100)}
+        assert stage(spark, make([]), SF).count() == 0
+    tokens = corpus_pipeline.STAGES[-1][1](spark, holes, SF)
+    assert tokens.count() == n and corpus_pipeline.STAGES[-1][1](spark, make([]), SF).count() == 0
