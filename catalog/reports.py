@@ -25,7 +25,7 @@ from . import views as v
 from .alignment import HALF, H3, LONGH, SLOTVEC, aff_sql, halves
 from .estimands import OUTCOME, delong_sql, p_normal, p_t
 from .filters import DONOR, SHUF, count
-from .nulls import battery_sql, r4, random_ctes, rolled
+from .nulls import SLOT_ENT, battery_sql, match_sql, r4, random_ctes, rolled
 from .ranking import AX, GT, LOC, RADIAL, apply_cte, centre_cte, family_ctes, sized, strat_sql
 from .registry import ORACLES, QUERIES, query, r6, rs
 
@@ -333,15 +333,47 @@ def content_free_members(spark, sf):
     return r6(out, "mean", "median", "hi", "first_draw")
 
 
-@q("j18_h7_verdict", "SELECT 'study' AS condition, round((p.x - 0.5)/0.5, 6) AS probe_skill, round((SELECT max(mean) FROM cs), 6) AS worst, 3::BIGINT AS n_members, 3::BIGINT AS n_computed, CASE WHEN (p.x - 0.5)/0.5 > 0.5 AND (SELECT max(mean) FROM cs) < 0.1 THEN 'PASS' ELSE 'FAIL' END AS outcome FROM p",
-   f"{CFM}, p AS (SELECT avg(auc) AS x FROM {v.auc('(SELECT *, target + 0.001::DOUBLE * s1 AS sup FROM flagged)', 'bag_id', 'sup')})")
+def matched_sql() -> str:
+    """Entropy of the score half, the bracket search of f05, then random attention at the scale it ends with."""
+    chain = match_sql()
+    start, stop = chain.index("probe AS MATERIALIZED"), chain.index(" SELECT round((lo+hi)/2, 5)")
+    search = chain[start:stop].replace("FROM ent)", "FROM ent2)")
+    ent = SLOT_ENT.replace("ent AS (", "ent2 AS (").replace("FROM flagged", "FROM mhv WHERE part <> 'fit'")
+    return f"""{v.FLAG}, mhv AS (SELECT *, {HALF} AS part FROM flagged), {ent}, {search},
+ mp AS (SELECT h.*, draw, (lo + hi)/2 AS scale FROM mhv h, b10, range(3) d(draw)), {random_ctes('mp', 'scale', "'8all' || draw", ("0.0::DOUBLE",) * 3, 'mr')},
+ mt AS (SELECT draw, patch, CAST(CAST(avg(r0) AS FLOAT) AS DOUBLE) AS den FROM mr WHERE part = 'fit' GROUP BY draw, patch),
+ ms AS MATERIALIZED (SELECT draw, bag_id, target, r0, den, scale FROM mr JOIN mt USING (draw, patch) WHERE part <> 'fit'),
+ mm AS (SELECT draw, a.x AS auc, b.x AS denominator FROM (SELECT draw, avg(auc) AS x FROM {v.auc('ms', 'draw, bag_id', 'r0')} GROUP BY draw) a JOIN (SELECT draw, avg(auc) AS x FROM {v.auc('ms', 'draw, bag_id', 'den')} GROUP BY draw) b USING (draw))"""
+
+
+def entropy_members(spark, sf):
+    """Random attention at the entropy of three slots; an arm with one slot is not computable."""
+    probe = spark.range(4096).select(*[draws.normal("probe", F.col("id"), j).alias(f"z{j}") for j in range(3)])
+    return rp.entropy_matched_members(v.flagged(spark, sf), {"all": v.SLOTS, "single": v.SLOTS[:1]}, probe, ["z0", "z1", "z2"], v.N_PATCH, 3, 8)
+
+
+@query("j18_entropy_matched", f"""WITH {matched_sql()} SELECT 'all' AS arm, draw::INTEGER AS draw, TRUE AS computable, round((SELECT (lo + hi)/2 FROM b10), 3) AS scale, round(auc, 4) AS auc, round(denominator, 4) AS denominator, round((auc - denominator)/(1 - denominator), 4) AS skill FROM mm
+ UNION ALL SELECT 'single', NULL, FALSE, NULL, NULL, NULL, NULL""")
+def entropy_matched(spark, sf):
+    out = entropy_members(spark, sf)
+    return r4(out.select("arm", "draw", "computable", F.round("scale", 3).alias("scale"), "auc", "denominator", "skill"), "auc", "denominator", "skill")
+
+
+H7_WORST = "greatest((SELECT max(mean) FROM cs), (SELECT avg((auc - denominator)/(1 - denominator)) FROM mm))"
+
+
+@q("j18_h7_verdict", f"SELECT 'study' AS condition, round((p.x - 0.5)/0.5, 4) AS probe_skill, round({H7_WORST}, 4) AS worst, 4::BIGINT AS n_members, 4::BIGINT AS n_computed, CASE WHEN (p.x - 0.5)/0.5 > 0.5 AND {H7_WORST} < 0.1 THEN 'PASS' ELSE 'FAIL' END AS outcome FROM p",
+   f"{CFM}, {matched_sql().removeprefix(v.FLAG + ', ')}, p AS (SELECT avg(auc) AS x FROM {v.auc('(SELECT *, target + 0.001::DOUBLE * s1 AS sup FROM flagged)', 'bag_id', 'sup')})")
 def h7_verdict(spark, sf):
+    """Chance, roll permutation, fitted template and entropy-matched random attention as content-free members."""
+    matched = entropy_members(spark, sf).where("computable").groupBy("arm").agg(F.avg("skill").alias("skill"))
     members = content_free(spark, sf).select(F.lit("study").alias("condition"), F.col("mean").alias("skill"))
+    members = members.unionByName(matched.select(F.lit("study").alias("condition"), "skill"))
     rows = sized(spark, sf).withColumn("sup", F.col("target") + F.lit(0.001) * F.col("s1"))
     probe = rk.auc(rows, ["bag_id"], "sup", size="n_rows").agg(F.avg("auc").alias("x"))
     probe = probe.select(F.lit("study").alias("condition"), es.skill(F.col("x"), F.lit(0.5)).alias("skill"))
     study = probe.select("condition")
-    return r6(vd.h7(study, probe, members, 0.5, 0.1), "probe_skill", "worst")
+    return r4(vd.h7(study, probe, members, 0.5, 0.1), "probe_skill", "worst")
 
 
 @q("j19_h8_verdict", f"""SELECT r_name AS condition, round(x, 6) AS value, x > 0.5 AS exceeds, CASE WHEN x IS NULL THEN 'NOT_RUN' ELSE 'REPORTED' END AS outcome

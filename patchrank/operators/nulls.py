@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import draws
+from ..session import pin
 from .scale import hashed_positions, salted_join
 
 
@@ -163,6 +164,37 @@ def match_scale(probe: DataFrame, normals: Sequence[str], target: DataFrame, lo:
     return bracket.select(((F.col("lo") + F.col("hi")) / 2).alias("scale"), "goal")
 
 
+def match_scales(targets: DataFrame, keys: Sequence[str], probe: DataFrame, normals: Sequence[str], lo: float = 1e-3, hi: float = 30.0,
+                 rounds: int = 10, points: int = 16) -> DataFrame:
+    """(keys, slot_entropy, scale, achieved, computable): ``match_scale`` for any number of keys at once, a bracket row per key.
+
+    ``probe`` is a sample of normals of a fixed, declared size, held as one array; every round each key tries its own grid of scales on it, row by row. One slot
+    has no entropy to match: with a single normal, or without a target, the scale is NULL and the key is not computable.
+    """
+    keys = list(keys)
+    held = probe.agg(F.collect_list(F.array(*normals))).scalar()
+    able = F.col("slot_entropy").isNotNull() & F.lit(len(normals) > 1)
+    now = targets.select(*keys, "slot_entropy", able.alias("computable"), F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi")).withColumn("_p", held)
+
+    def entropy(scale):
+        def one(z):
+            top = F.array_max(F.transform(z, lambda x: x * scale))
+            e = F.transform(z, lambda x: F.exp(x * scale - top))
+            total = F.aggregate(e, F.lit(0.0), lambda s, x: s + x)
+            return F.aggregate(e, F.lit(0.0), lambda s, x: s - x / total * F.log(F.greatest(x / total, F.lit(1e-12))))
+        return F.aggregate("_p", F.lit(0.0), lambda s, z: s + one(z)) / F.size("_p")
+    for _ in range(rounds):
+        at = F.transform(F.sequence(F.lit(0), F.lit(points)), lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * i / F.lit(points))
+        curve = F.transform(at, lambda s: F.struct(s.alias("scale"), entropy(s).alias("h")))
+        now = pin(now.withColumn("_c", F.when(F.col("computable"), curve)).select(
+            *keys, "slot_entropy", "computable", "_p",
+            F.coalesce(F.array_max(F.transform(F.filter("_c", lambda x: x["h"] > F.col("slot_entropy")), lambda x: x["scale"])), F.col("lo")).alias("lo"),
+            F.coalesce(F.array_min(F.transform(F.filter("_c", lambda x: x["h"] <= F.col("slot_entropy")), lambda x: x["scale"])), F.col("hi")).alias("hi")))
+    scale = F.when(F.col("computable"), (F.col("lo") + F.col("hi")) / 2)
+    found = now.withColumn("scale", scale)
+    return found.select(*keys, "slot_entropy", "scale", F.when(F.col("computable"), entropy(F.col("scale"))).alias("achieved"), "computable")
+
+
 def half_precision(value):
     """The value as a 16-bit float would hold it (11-bit mantissa, round half to even)."""
     step = F.pow(F.lit(2.0), F.floor(F.log2(F.abs(value))) - 10)

@@ -195,6 +195,36 @@ def content_free_members(rows: DataFrame, score: str, n_patch: int, n_draws: int
     return means.withColumn("skill", es.skill(F.col("auc"), F.col("denominator")))
 
 
+def entropy_matched_members(rows: DataFrame, arms: dict[str, Sequence[str]], probe: DataFrame, normals: Sequence[str], n_patch: int, n_draws: int,
+                            seed: int = 0) -> DataFrame:
+    """(arm, draw, scale, auc, denominator, skill, computable) of random attention at the entropy of each arm's slots on the score half.
+
+    The scale is matched once per arm and shared by its draws. Numerator and denominator are the first random slot and its own in-plane template, fitted on the
+    random attention of the fit half. An arm with one slot is a row that is not computable. Arms are a declared list.
+    """
+    part = rows.withColumn("part", draws.half(F.col("bag_id")))
+    test = part.where("part <> 'fit'")
+    goals = None
+    for arm, slots in arms.items():
+        one = nl.slot_entropy(test, slots).select(F.lit(arm).alias("arm"), (F.col("slot_entropy") if len(slots) > 1 else F.lit(None).cast("double")).alias("slot_entropy"))
+        goals = one if goals is None else goals.unionByName(one)
+    scales = pin(nl.match_scales(goals, ["arm"], probe, normals))
+    named = F.when(F.lit(False), F.lit(None).cast("double"))
+    for r in arms:
+        named = named.when(F.col("arm") == r, scales.where(F.col("arm") == r).select("scale").scalar())
+    base = part.select("bag_id", "pos", "patch", "target", "part", (F.col("n_slices") * F.lit(n_patch)).alias("n_rows"))
+    each = F.array(*[F.struct(F.lit(a).alias("arm"), F.lit(d).alias("draw")) for a, s in arms.items() if len(s) > 1 for d in range(n_draws)])
+    every = base.withColumn("_m", F.explode(each)).select(*base.columns, "_m.*").withColumn("scale", named)
+    drawn = nl.random_slots(every, len(normals), F.col("scale"), F.concat(F.lit(f"{seed}"), F.col("arm"), F.col("draw").cast("string")))
+    keys = ["arm", "draw"]
+    template = drawn.where("part = 'fit'").groupBy(*keys, "patch").agg(F.avg("r0").cast("float").cast("double").alias("den"))
+    scored = drawn.where("part <> 'fit'").join(template, [*keys, "patch"])
+    per = sl.slot_auc(scored, ["r0", "den"], [*keys, "bag_id"], size="n_rows")
+    means = per.groupBy(*keys).agg(*[F.avg(F.when(F.col("slot") == i, F.col("auc"))).alias(n) for i, n in enumerate(("auc", "denominator"))])
+    out = scales.select("arm", "scale", "computable").join(means, "arm", "left")
+    return out.withColumn("skill", (F.col("auc") - F.col("denominator")) / (1 - F.col("denominator")))
+
+
 def alignment_report(rows: DataFrame, slots: Sequence[str], size: str) -> DataFrame:
     """One (metric, value) row per number of the alignment protocol."""
     fit, test = rows.where("part = 'fit'"), rows.where("part <> 'fit'")
