@@ -139,7 +139,7 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60, kin
 
     Alternating large and small stars. First each task replaces its own edges by a spanning forest of them, which shrinks
     dense groups without gathering any; then every round is two aggregations and two joins over the remaining edges, written
-    to shared storage. No node's edges meet in one task: minima combine on the map side and the joins can be split. Nulls
+    to shared storage. Minima combine on the map side; in the two joins the edges of a star's centre share a key, which only Spark's skew join splits. Nulls
     and loops are left out; an empty table gives an empty result.
     """
     spark = edges.sparkSession
