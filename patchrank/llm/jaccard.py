@@ -7,10 +7,13 @@ satisfies 100 o >= t (a + b - o), so they differ in at most H(a + b) shingles.
    empty, or both have more than ``spare`` empty parts; each set therefore sends one signature per part, and all empty ones only in
    that case. ``spare`` is five deviations above the empty parts that the smallest set of the class is expected to have. Sets that share a signature are joined by star edges, and their components are the candidate families. A set's
    classes are its own and the larger ones with which it can link. Equal sets of one task travel once.
-2. *Product.* A family's incidence rows meet in blocks of bounded size; a larger family is cut into chunks and every pair of
-   chunks is a block. A block accumulates the overlap counts of one row with all rows not yet reached whose sizes can
-   link, and keeps those that meet the bound. It returns a spanning forest, never pairs.
-3. Components of these forests over all blocks are the result.
+2. *Thinning.* A shingle held by one set of its family adds to no overlap. A set that shares fewer than t / 100 of its own shingles with
+   the rest of its family links with nothing and leaves it; without it families fall apart, so the rest is signed anew, until a
+   pass removes less than a tenth. Documents that only have a passage in common go here, before any block is made.
+3. *Product.* A family's incidence rows meet in blocks of bounded size; a larger family is cut into chunks and every pair of
+   chunks is a block. A block keeps the columns that two of its rows or more share, accumulates over them the overlap counts of one row with
+   all rows not yet reached whose sizes can link, and keeps those that meet the bound. It returns a spanning forest, never pairs.
+4. Components of these forests over all blocks are the result.
 """
 from __future__ import annotations
 
@@ -23,10 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patchrank.llm import text as T
-from patchrank.llm.common import breaks, components, forest, keep, packed_slices, spread, unpacked_slice
+from patchrank.llm.common import blobs, breaks, components, forest, keep, packed_slices, spread, unpacked_slice
 
 RATIO = 1.4
 PACKED = "grp INT, sigs BINARY, refs BINARY, docs BINARY, sizes BINARY"
+SETS = "doc_id BIGINT, family BIGINT, members BINARY"
 REDUCED = "kind STRING, a BIGINT, b BIGINT, n BIGINT"
 
 
@@ -99,6 +103,20 @@ def signatures(members: np.ndarray, classes: Classes) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _dealt(sigs, owner, groups):
+    """Packed rows of the signatures of the documents ``owner``, by group."""
+    sigs, owner = np.concatenate(sigs), np.concatenate(owner)
+    order = np.argsort(sigs)
+    sigs, owner = sigs[order], owner[order]
+    table, owner = np.unique(owner, return_inverse=True)
+    for columns in packed_slices(_group(sigs, groups), sigs, owner, table):
+        yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(columns[0]), pa.binary())], ["grp", "sigs", "refs", "docs", "sizes"])
+
+
+def _group(codes, groups):
+    return (((codes >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)).astype(np.int64)
+
+
 def _signer(width, percent, groups):
     def rows(stream):
         classes, largest = None, 0
@@ -125,15 +143,8 @@ def _signer(width, percent, groups):
                 [pa.array([-1 - int(sizes.sum() % 1024)], pa.int32()), pa.array([known.tobytes()], pa.binary()), pa.array([reps.astype(np.int64).tobytes()], pa.binary()),
                  pa.array([ids.astype(np.int64).tobytes()], pa.binary()), pa.array([sizes.astype(np.int64).tobytes()], pa.binary())],
                 ["grp", "sigs", "refs", "docs", "sizes"])
-            if not sigs:
-                continue
-            sigs, owner = np.concatenate(sigs), np.concatenate(owner)
-            order = np.argsort(sigs)
-            sigs, owner = sigs[order], owner[order]
-            grp = (((sigs >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)).astype(np.int64)
-            table, owner = np.unique(owner, return_inverse=True)
-            for columns in packed_slices(grp, sigs, owner, table):
-                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(columns[0]), pa.binary())], ["grp", "sigs", "refs", "docs", "sizes"])
+            if sigs:
+                yield from _dealt(sigs, owner, groups)
     return rows
 
 
@@ -178,19 +189,88 @@ def _families(stream):
     T.release()
 
 
-def _incidence(width):
+def _members(width):
+    """The sets of the candidates (doc_id, family, text)."""
     def rows(stream):
         for batch in T.batches(stream):
             members, bounds = sets_of(lowered(batch["text"]), width)
-            for i, (doc, blocks) in enumerate(zip(batch["doc_id"].to_pylist(), batch["blocks"].to_pylist())):
-                own = members[bounds[i]:bounds[i + 1]].tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x["family"] for x in blocks], pa.int64()), pa.array([x["i"] for x in blocks], pa.int32()), pa.array([x["j"] for x in blocks], pa.int32()),
-                     pa.array([doc] * len(blocks), pa.int64()), pa.array([own] * len(blocks), pa.binary())],
-                    ["family", "i", "j", "doc_id", "members"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].combine_chunks(), batch["family"].combine_chunks(), blobs(members, bounds)], ["doc_id", "family", "members"])
+    return rows
+
+
+def _loaded(batch):
+    """(doc_ids, shingles of all sets, bounds) of a batch of candidates."""
+    data, offsets = T.utf8(batch["members"])
+    return batch["doc_id"].to_numpy(), np.frombuffer(data.tobytes(), np.uint64), offsets // 8
+
+
+def _resigner(percent, groups):
+    def rows(stream):
+        for batch in T.batches(stream, column="members"):
+            ids, members, bounds = _loaded(batch)
+            classes = Classes(percent, int(np.diff(bounds).max(initial=1)))
+            full = np.flatnonzero(np.diff(bounds))
+            sigs = [signatures(members[bounds[i]:bounds[i + 1]], classes) for i in full]
+            if sigs:
+                yield from _dealt(sigs, [np.full(len(x), ids[i]) for x, i in zip(sigs, full)], groups)
+    return rows
+
+
+def _asked(groups):
+    """The shingles of all candidates, told apart by family; of one that a batch holds often, two entries prove that it is shared."""
+    def rows(stream):
+        for batch in T.batches(stream, column="members"):
+            ids, members, bounds = _loaded(batch)
+            if not len(members):
+                continue
+            owner = np.repeat(np.arange(len(ids)), np.diff(bounds))
+            codes = T.mix(members + T.mix(batch["family"].to_numpy().astype(np.uint64))[owner])
+            order = np.argsort(codes)
+            codes, owner = codes[order], owner[order]
+            few = np.ones(len(codes), bool)
+            few[2:] = codes[2:] != codes[:-2]
+            codes, owner = codes[few], owner[few]
+            for columns in packed_slices(_group(codes, groups), codes, owner, ids):
+                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(columns[0]), pa.binary())], ["grp", "sigs", "refs", "docs", "sizes"])
     return rows
 
 
+def _single(stream):
+    """(doc_id, number of its shingles in this group that no other set of the family holds)."""
+    held, codes, docs = None, [], []
+
+    def close():
+        c, d = np.concatenate(codes), np.concatenate(docs)
+        order = np.argsort(c)
+        cut = breaks(c[order])
+        d, n = np.unique(d[order][cut[:-1][np.diff(cut) == 1]], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "alone"])
+
+    for batch in stream:
+        for i, grp in enumerate(batch.column("grp").to_pylist()):
+            if grp != held and codes:
+                yield close()
+                codes, docs = [], []
+            held = grp
+            c, d = unpacked_slice(*(batch.column(x)[i].as_py() for x in ("sigs", "refs", "docs")))
+            codes.append(c)
+            docs.append(d)
+    if codes:
+        yield close()
+    T.release()
+
+
+def _incidence(stream):
+    for batch in T.batches(stream, column="members"):
+        ids, members, bounds = _loaded(batch)
+        for i, blocks in enumerate(batch["blocks"].to_pylist()):
+            own = members[bounds[i]:bounds[i + 1]].tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x["family"] for x in blocks], pa.int64()), pa.array([x["i"] for x in blocks], pa.int32()), pa.array([x["j"] for x in blocks], pa.int32()),
+                 pa.array([ids[i]] * len(blocks), pa.int64()), pa.array([own] * len(blocks), pa.binary())],
+                ["family", "i", "j", "doc_id", "members"])
+
+
 def product(docs: np.ndarray, rows: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Star edges (node, root) over the linked rows of one block.
 
@@ -200,10 +280,12 @@ def product(docs: np.ndarray, rows: list[np.ndarray], percent: int) -> tuple[np.
     sizes = np.array([len(r) for r in rows])
     order = np.argsort(sizes, kind="stable")
     sizes, docs = sizes[order], docs[order]
-    columns, at = np.unique(np.concatenate([rows[i] for i in order]), return_inverse=True)
-    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    columns, at, held = np.unique(np.concatenate([rows[i] for i in order]), return_inverse=True, return_counts=True)
+    shared = np.concatenate([[0], np.cumsum(held[at] > 1)])
+    bounds = shared[np.concatenate([[0], np.cumsum(sizes)])]  # of the shared columns of each row
+    at = at[held[at] > 1]
     mark = np.zeros(len(columns), np.int32)
-    left = np.arange(len(docs))  # unreached rows, by size
+    left = np.flatnonzero(100 * np.diff(bounds) >= percent * sizes)  # unreached rows that can link, by size
     a, b = [], []
     while len(left):
         queue, left = [left[0]], left[1:]
@@ -215,12 +297,13 @@ def product(docs: np.ndarray, rows: list[np.ndarray], percent: int) -> tuple[np.
             if not len(near):
                 continue
             mark[at[bounds[x]:bounds[x + 1]]] = 1
-            lens = sizes[near]
-            starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
-            cells = np.arange(lens.sum()) + np.repeat(bounds[near] - starts, lens)
-            overlap = np.add.reduceat(mark[at[cells]], starts)
+            lens = bounds[near + 1] - bounds[near]
+            ends = np.cumsum(lens)
+            cells = np.arange(ends[-1]) + np.repeat(bounds[near] - (ends - lens), lens)
+            sums = np.concatenate([[0], np.cumsum(mark[at[cells]])])
+            overlap = sums[ends] - sums[ends - lens]
             mark[at[bounds[x]:bounds[x + 1]]] = 0
-            linked = near[100 * overlap >= percent * (n + lens - overlap)]
+            linked = near[100 * overlap >= percent * (n + sizes[near] - overlap)]
             if len(linked):
                 queue.extend(linked.tolist())
                 a.append(docs[linked])
@@ -255,11 +338,35 @@ def _products(percent):
     return rows
 
 
+def _thinned(sets: DataFrame, percent: int, group_rows: int) -> DataFrame:
+    """``sets`` (doc_id, family, members) without those that cannot link, their families formed anew.
+
+    A doc_id with several texts always stays. Every pass sends each candidate's shingles once.
+    """
+    spark = sets.sparkSession
+    while True:
+        before = sets.agg(F.sum(F.octet_length("members"))).first()[0] or 0
+        groups = spread(spark, before // 8, group_rows)
+        alone = (sets.mapInArrow(_asked(groups), PACKED).repartition(groups, "grp").sortWithinPartitions("grp")
+                 .mapInArrow(_single, "doc_id BIGINT, alone BIGINT").groupBy("doc_id").agg(F.sum("alone").alias("alone")))
+        sized = sets.groupBy("doc_id").agg((F.sum(F.octet_length("members")) / 8).alias("n"), F.count(F.lit(1)).alias("texts"))
+        able = F.expr(f"texts > 1 OR 100 * (n - coalesce(alone, 0)) >= {percent} * n")
+        left = keep(sets.join(sized.join(alone, "doc_id", "left").where(able).select("doc_id"), "doc_id", "left_semi").select(sets.columns), "jaccard-left")
+        after = left.agg(F.sum(F.octet_length("members"))).first()[0] or 0
+        if after == before:
+            return left
+        signed = left.mapInArrow(_resigner(percent, groups), PACKED)
+        edges = signed.repartition(groups, "grp").sortWithinPartitions("grp").mapInArrow(_families, REDUCED).select("a", "b")
+        families = components(edges, "jaccard-families").select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+        sets = keep(left.drop("family").join(families, "doc_id").select(sets.columns), "jaccard-sets")
+        if 10 * after > 9 * before:
+            return sets
+
+
 def links(docs: DataFrame, width: int = 5, percent: int = 80, block: int = 1_000_000, group_rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """(sizes, components): rows (doc_id, n_shingles) for every row of ``docs``, and (node, component) for every linked doc_id.
 
-    Any bound gives the exact links, but parts shrink as the bound falls, and small parts join documents that only share a
-    passage into one family, whose blocks are many. ``block`` bounds the shingles of one chunk of a family. A text without words has an empty set and no links. Rows without a doc_id
+    Any bound gives the exact links. ``block`` bounds the shingles of one chunk of a family. A text without words has an empty set and no links. Rows without a doc_id
     have a size and no links. Rows that share a doc_id are one node, linked by any of their texts.
     """
     spark = docs.sparkSession
@@ -270,15 +377,16 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80, block: int = 1_000
     reduced = keep(signed.repartition(groups, "grp").sortWithinPartitions("grp").mapInArrow(_families, REDUCED), "jaccard-signatures")
     sizes = reduced.where("kind = 'size'").select(F.col("a").alias("doc_id"), "b", "n")
     families = components(reduced.where("kind = 'edge'").select("a", "b"), "jaccard-families")
+    named = families.select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+    sets = _thinned(keep(rows.join(named, "doc_id").mapInArrow(_members(width), SETS), "jaccard-sets"), percent, group_rows)
 
-    weighed = families.join(sizes.select(F.col("doc_id").alias("node"), "n"), "node")
-    totals = weighed.groupBy("component").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("chunks"))
-    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    weight = F.octet_length("members") / 8
+    totals = sets.groupBy("family").agg(F.ceil(F.sum(weight) / F.lit(block)).cast("int").alias("chunks"))
+    chunk = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
     blocks = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(
-        F.col("component").alias("family"), F.least(k, F.col("chunk")).alias("i"), F.greatest(k, F.col("chunk")).alias("j")))
-    where = (families.join(totals, "component").withColumn("chunk", chunk)
-             .select(F.col("node").alias("doc_id"), blocks.alias("blocks")))
-    incidence = rows.join(where, "doc_id").mapInArrow(_incidence(width), "family BIGINT, i INT, j INT, doc_id BIGINT, members BINARY")
+        F.col("family"), F.least(k, F.col("chunk")).alias("i"), F.greatest(k, F.col("chunk")).alias("j")))
+    incidence = (sets.join(totals, "family").withColumn("chunk", chunk).select("doc_id", "members", blocks.alias("blocks"))
+                 .mapInArrow(_incidence, "family BIGINT, i INT, j INT, doc_id BIGINT, members BINARY"))
     keys = ["family", "i", "j"]
     found = (incidence.repartition(spread(spark, 0, 1), *keys).sortWithinPartitions(*keys).mapInArrow(_products(percent), "a BIGINT, b BIGINT"))
     equal = sizes.where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
