@@ -44,6 +44,17 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keep_bucketed(df: DataFrame, name: str, buckets: int, key: str) -> DataFrame:
+    """Like ``keep``, as a table in ``buckets`` buckets of ``key``: joins and groups on the key with as many partitions move the other side only.
+
+    The table is external, its files lie in shared storage; the session's catalog holds its name.
+    """
+    path = shared_path(df.sparkSession, name)
+    title = path.rsplit("/", 1)[1].replace("-", "_")
+    df.write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(title)
+    return df.sparkSession.table(title)
+
+
 def spread(spark: SparkSession, rows: int, per_task: int) -> int:
     """Partitions for ``rows`` rows, never fewer than the session's shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))

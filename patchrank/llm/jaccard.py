@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patchrank.llm import text as T
-from patchrank.llm.common import blobs, breaks, components, forest, keep, packed_slices, spread, unpacked_slice
+from patchrank.llm.common import blobs, breaks, components, forest, keep, keep_bucketed, packed_slices, spread, unpacked_slice
 
 RATIO = 1.4
 PACKED = "grp INT, sigs BINARY, refs BINARY, docs BINARY, sizes BINARY"
@@ -225,12 +225,13 @@ def _asked(groups):
                 continue
             owner = np.repeat(np.arange(len(ids)), np.diff(bounds))
             codes = T.mix(members + T.mix(batch["family"].to_numpy().astype(np.uint64))[owner])
+            codes = (_group(codes, groups).astype(np.uint64) << np.uint64(32)) | (codes & np.uint64(0xFFFFFFFF))
             order = np.argsort(codes)
             codes, owner = codes[order], owner[order]
             few = np.ones(len(codes), bool)
             few[2:] = codes[2:] != codes[:-2]
             codes, owner = codes[few], owner[few]
-            for columns in packed_slices(_group(codes, groups), codes, owner, ids):
+            for columns in packed_slices((codes >> np.uint64(32)).astype(np.int64), codes, owner, ids):
                 yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(columns[0]), pa.binary())], ["grp", "sigs", "refs", "docs", "sizes"])
     return rows
 
@@ -341,9 +342,11 @@ def _products(percent):
 def _thinned(sets: DataFrame, percent: int, group_rows: int) -> DataFrame:
     """``sets`` (doc_id, family, members) without those that cannot link, their families formed anew.
 
-    A doc_id with several texts always stays. Every pass sends each candidate's shingles once.
+    A doc_id with several texts always stays. Every pass sends each candidate's shingles once, as 32 bits beside their group: two that
+    are taken for one only keep a candidate. Sets themselves stay in their buckets.
     """
     spark = sets.sparkSession
+    buckets = spread(spark, 0, 1)
     while True:
         before = sets.agg(F.sum(F.octet_length("members"))).first()[0] or 0
         groups = spread(spark, before // 8, group_rows)
@@ -351,14 +354,15 @@ def _thinned(sets: DataFrame, percent: int, group_rows: int) -> DataFrame:
                  .mapInArrow(_single, "doc_id BIGINT, alone BIGINT").groupBy("doc_id").agg(F.sum("alone").alias("alone")))
         sized = sets.groupBy("doc_id").agg((F.sum(F.octet_length("members")) / 8).alias("n"), F.count(F.lit(1)).alias("texts"))
         able = F.expr(f"texts > 1 OR 100 * (n - coalesce(alone, 0)) >= {percent} * n")
-        left = keep(sets.join(sized.join(alone, "doc_id", "left").where(able).select("doc_id"), "doc_id", "left_semi").select(sets.columns), "jaccard-left")
+        able = sized.join(alone, "doc_id", "left").where(able).select("doc_id")
+        left = keep_bucketed(sets.join(able, "doc_id", "left_semi").select(sets.columns), "jaccard-left", buckets, "doc_id")
         after = left.agg(F.sum(F.octet_length("members"))).first()[0] or 0
         if after == before:
             return left
         signed = left.mapInArrow(_resigner(percent, groups), PACKED)
         edges = signed.repartition(groups, "grp").sortWithinPartitions("grp").mapInArrow(_families, REDUCED).select("a", "b")
         families = components(edges, "jaccard-families").select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
-        sets = keep(left.drop("family").join(families, "doc_id").select(sets.columns), "jaccard-sets")
+        sets = keep_bucketed(left.drop("family").join(families, "doc_id").select(sets.columns), "jaccard-sets", buckets, "doc_id")
         if 10 * after > 9 * before:
             return sets
 
@@ -378,14 +382,17 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80, block: int = 1_000
     sizes = reduced.where("kind = 'size'").select(F.col("a").alias("doc_id"), "b", "n")
     families = components(reduced.where("kind = 'edge'").select("a", "b"), "jaccard-families")
     named = families.select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
-    sets = _thinned(keep(rows.join(named, "doc_id").mapInArrow(_members(width), SETS), "jaccard-sets"), percent, group_rows)
+    buckets = spread(spark, 0, 1)
+    sets = keep_bucketed(rows.join(named, "doc_id").mapInArrow(_members(width), SETS), "jaccard-sets", buckets, "doc_id")
+    sets = _thinned(sets, percent, group_rows)
 
-    weight = F.octet_length("members") / 8
-    totals = sets.groupBy("family").agg(F.ceil(F.sum(weight) / F.lit(block)).cast("int").alias("chunks"))
+    sized = keep(sets.groupBy("doc_id", "family").agg((F.sum(F.octet_length("members")) / 8).alias("n")), "jaccard-sized")
+    totals = sized.groupBy("family").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("chunks"))
     chunk = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
     blocks = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(
         F.col("family"), F.least(k, F.col("chunk")).alias("i"), F.greatest(k, F.col("chunk")).alias("j")))
-    incidence = (sets.join(totals, "family").withColumn("chunk", chunk).select("doc_id", "members", blocks.alias("blocks"))
+    where = sized.join(totals, "family").withColumn("chunk", chunk).select("doc_id", blocks.alias("blocks"))
+    incidence = (sets.select("doc_id", "members").join(where, "doc_id").select("doc_id", "members", "blocks")
                  .mapInArrow(_incidence, "family BIGINT, i INT, j INT, doc_id BIGINT, members BINARY"))
     keys = ["family", "i", "j"]
     found = (incidence.repartition(spread(spark, 0, 1), *keys).sortWithinPartitions(*keys).mapInArrow(_products(percent), "a BIGINT, b BIGINT"))
