@@ -248,9 +248,15 @@ def template_lookup(spark, sf):
 
 
 DONOR = """bs AS (SELECT bag_id, max(n_slices) AS n_slices, max(n_rows) AS n_rows FROM inst GROUP BY bag_id),
- ord AS (SELECT *, rep, row_number() OVER (PARTITION BY rep ORDER BY md5(concat_ws('|', '{seed}', rep, bag_id)), bag_id) - 1 AS ix, count(*) OVER (PARTITION BY rep) AS size
-   FROM bs, range({reps}) r(rep)),
- donors AS (SELECT a.rep, a.bag_id, a.n_slices, d.bag_id AS donor_id, d.n_slices AS donor_slices, d.n_rows AS donor_rows FROM ord a JOIN ord d ON a.rep = d.rep AND d.ix = (a.ix + 1) % a.size)"""
+ ord AS (SELECT *, rep, row_number() OVER (PARTITION BY rep ORDER BY md5(concat_ws('|', '{seed}', rep, bag_id)), bag_id) - 1 AS ix, count(*) OVER (PARTITION BY rep) AS size,
+   row_number() OVER (PARTITION BY rep ORDER BY md5(concat_ws('|', '{seed}', rep, bag_id, 'donor')), bag_id) - 1 AS donor_ix FROM bs, range({reps}) r(rep)),
+ perm AS MATERIALIZED (SELECT a.rep, a.ix, a.size, a.bag_id, d.bag_id AS donor_id FROM ord a JOIN ord d ON a.rep = d.rep AND d.donor_ix = a.ix),
+ fixed AS (SELECT *, row_number() OVER (PARTITION BY rep ORDER BY ix) - 1 AS nth, count(*) OVER (PARTITION BY rep) AS n_fixed FROM perm WHERE bag_id = donor_id AND size > 1),
+ repair AS (SELECT f.rep, f.bag_id, g.bag_id AS donor_id FROM fixed f JOIN fixed g ON f.rep = g.rep AND g.nth = (f.nth + 1) % f.n_fixed WHERE f.n_fixed > 1
+   UNION ALL SELECT f.rep, f.bag_id, p.donor_id FROM fixed f JOIN perm p ON f.rep = p.rep AND p.ix = (f.ix + 1) % f.size WHERE f.n_fixed = 1
+   UNION ALL SELECT f.rep, p.bag_id, f.bag_id FROM fixed f JOIN perm p ON f.rep = p.rep AND p.ix = (f.ix + 1) % f.size WHERE f.n_fixed = 1),
+ donors AS (SELECT p.rep, p.bag_id, b.n_slices, d.bag_id AS donor_id, d.n_slices AS donor_slices, d.n_rows AS donor_rows FROM perm p LEFT JOIN repair r USING (rep, bag_id)
+   JOIN bs b USING (bag_id) JOIN bs d ON d.bag_id = coalesce(r.donor_id, p.donor_id))"""
 SHUF = """shuf AS MATERIALIZED (SELECT d.rep, i.bag_id, i.pos, s.target FROM inst i JOIN donors d USING (bag_id)
    JOIN inst s ON s.bag_id = d.donor_id AND s.pos = i.pos % d.donor_rows)"""
 

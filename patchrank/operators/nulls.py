@@ -33,21 +33,35 @@ def replace_target(scores: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def donor_map(bags: DataFrame, seed: int, reps: int = 1) -> DataFrame:
-    """(rep, bag_id, n_slices, donor_id, donor_slices): the next bag in a shuffled cycle; with ``n_rows`` also the true counts of both.
+    """(rep, bag_id, n_slices, donor_id, donor_slices): a random derangement; with ``n_rows`` also the true counts of both.
 
-    With two bags or more no bag is its own donor; a single bag keeps itself.
+    Two independent shuffled orders pair every bag with the one at its place in the other: a uniform permutation. The bags
+    that meet themselves, one a replicate on average, are repaired: several hand their targets round among themselves, a
+    single one trades donors with the bag at the next place. Neither makes a new fixed point, so with two bags or more no bag is
+    its own donor; a single bag keeps itself.
     """
-    order = bags.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    order = order.withColumn("_h", draws.order_key(seed, F.col("rep"), F.col("bag_id")))
     sizes = [c for c in ("n_slices", "n_rows") if c in bags.columns]
-    numbered = hashed_positions(order.select("rep", "bag_id", *sizes, "_h"), ["rep"], "_h",
-                                ["bag_id"], name="ix", total="size")
     of_donor = {"n_slices": "donor_slices", "n_rows": "donor_rows"}
-    donors = numbered.select("rep", F.col("ix").alias("next_ix"), F.col("bag_id").alias("donor_id"),
-                             *[F.col(c).alias(of_donor[c]) for c in sizes])
-    return (numbered.withColumn("next_ix", (F.col("ix") + 1) % F.col("size"))
-            .join(donors, ["rep", "next_ix"])
-            .select("rep", "bag_id", *sizes, "donor_id", *[of_donor[c] for c in sizes]))
+    drawn = bags.select("bag_id", *sizes).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+
+    def order(*salt, **names):
+        keyed = drawn.withColumn("_h", draws.order_key(seed, F.col("rep"), F.col("bag_id"), *salt))
+        return hashed_positions(keyed, ["rep"], "_h", ["bag_id"], name="ix", **names).drop("_h")
+
+    donors = order("donor").select("rep", "ix", F.struct(F.col("bag_id").alias("donor_id"), *[F.col(c).alias(of_donor[c]) for c in sizes]).alias("donor"))
+    drawn_pairs = pin(order(total="size").join(donors, ["rep", "ix"]))
+    own = F.struct(F.col("bag_id").alias("donor_id"), *[F.col(c).alias(of_donor[c]) for c in sizes])
+    fixed = drawn_pairs.where((F.col("bag_id") == F.col("donor.donor_id")) & (F.col("size") > 1))
+    fixed = fixed.withColumn("_h", draws.order_key(seed, F.col("rep"), F.col("bag_id")))
+    fixed = hashed_positions(fixed.select("rep", "bag_id", "ix", "size", own.alias("self"), "_h"), ["rep"], "_h", ["bag_id"], name="nth", total="n_fixed").drop("_h")
+    round_ = (fixed.where("n_fixed > 1").withColumn("nth", (F.col("nth") + 1) % F.col("n_fixed")).select("rep", "bag_id", "nth")
+              .join(fixed.select("rep", "nth", F.col("self").alias("repaired")), ["rep", "nth"]).select("rep", "bag_id", "repaired"))
+    alone = fixed.where("n_fixed = 1").select("rep", ((F.col("ix") + 1) % F.col("size")).alias("ix"), F.col("bag_id").alias("_fixed"), "self")
+    traded = drawn_pairs.select("rep", "ix", "bag_id", "donor").join(alone, ["rep", "ix"])
+    trades = traded.select("rep", F.explode(F.array(F.struct(F.col("_fixed").alias("bag_id"), F.col("donor").alias("repaired")),
+                                                    F.struct("bag_id", F.col("self").alias("repaired")))).alias("_t")).select("rep", "_t.*")
+    out = drawn_pairs.join(round_.unionByName(trades), ["rep", "bag_id"], "left").withColumn("donor", F.coalesce("repaired", "donor"))
+    return out.select("rep", "bag_id", *sizes, "donor.donor_id", *[F.col(f"donor.{of_donor[c]}") for c in sizes])
 
 
 def shuffle_targets(df: DataFrame, donors: DataFrame, n_patch: int, tiles: int = 64) -> DataFrame:

@@ -47,6 +47,34 @@ def test_donors_have_no_fixed_point_and_tile(spark):
         assert r.target == rows[(donor, r.pos % (n * 16))]
 
 
+def cycle_type(donor: dict) -> tuple:
+    left, sizes = set(donor), []
+    while left:
+        at, n = left.pop(), 1
+        while donor[at] in left:
+            at = donor[at]
+            left.discard(at)
+            n += 1
+        sizes.append(n)
+    return tuple(sorted(sizes))
+
+
+def test_derangements_are_permutations_of_many_cycle_types(spark):
+    for n in (2, 3, 9):
+        sizes = spark.range(n).select(F.col("id").alias("bag_id"), (F.col("id") + 2).alias("n_slices"))
+        donors = {}
+        for r in nl.donor_map(sizes, 7, 100).collect():
+            assert r.donor_slices == r.donor_id + 2 and r.n_slices == r.bag_id + 2
+            assert donors.setdefault(r.rep, {}).setdefault(r.bag_id, r.donor_id) == r.donor_id
+        assert len(donors) == 100
+        for d in donors.values():
+            assert sorted(d) == sorted(d.values()) == list(range(n)) and all(a != b for a, b in d.items())
+        types = {cycle_type(d) for d in donors.values()}
+        assert len(types) == 1 if n < 4 else len(types) > 3
+        assert n < 3 or len({tuple(sorted(d.items())) for d in donors.values()}) > 1
+    assert nl.donor_map(spark.range(0).select(F.col("id").alias("bag_id"), F.col("id").alias("n_slices")), 7, 3).count() == 0
+
+
 def test_single_bag_keeps_its_target(spark):
     df = bags(spark, [2])
     d = nl.donor_map(df.groupBy("bag_id").agg(F.max("n_slices").alias("n_slices")), 0)
