@@ -5,7 +5,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from patchrank.operators.scale import positions
+from patchrank.operators.scale import prefix_sums
 from patchrank.session import checkpoint_dir
 from patchrank.sources import artefacts as ar
 from patchrank.sources import cache as ca
@@ -44,7 +44,7 @@ def masked_keys(spark, sf):
 def flat_dump(spark, sf):
     rows = v.instances(spark, sf).select("bag_id", "pos", "s0")
     lengths = rows.groupBy("bag_id").agg(count().alias("length"))
-    lengths = positions(lengths.withColumn("_b", F.floor(F.col("bag_id") / 65536)), [], ["_b"], ["bag_id"], "bag_ix").drop("_b")
+    lengths = prefix_sums(lengths, "bag_id", F.lit(1), "bag_ix")
     flat = ca.flat_index(rows, lengths).select("ix", "s0")
     out = ca.unflatten(flat, lengths)
     return out.groupBy("bag_id").agg(count().alias("n"), F.max("pos").alias("last_pos"), F.round(F.sum("s0"), 4).alias("total"))

@@ -142,6 +142,33 @@ def hashed_positions(df: DataFrame, keys: Sequence[str], hash_column: str,
     return positions(lead, keys, ["_lead"], [hash_column, *order], name, total).drop("_lead")
 
 
+def prefix_sums(df: DataFrame, order: str, value: Column, name: str, block: int = 4096) -> DataFrame:
+    """Add ``name``: the total of ``value`` over all rows with a smaller ``order``, an integer that no two rows share.
+
+    The orders are cut into blocks, blocks into blocks of blocks, as many levels as the range from the smallest to the
+    largest needs. A window sees at most ``block`` rows, whatever the table's size; a sparse range costs levels, not rows.
+    A NULL order is an error, a NULL value counts as nothing.
+    """
+    df = require(df, [order])
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    if low is None:
+        return df.withColumn(name, F.lit(0).cast("bigint"))
+    rows = df.withColumn("_at", F.col(order).cast("bigint") - F.lit(low).cast("bigint")).withColumn("_value", F.coalesce(value.cast("bigint"), F.lit(0)))
+    return _levels(rows, int(high) - int(low), block).withColumnRenamed("_before", name).drop("_at", "_value")
+
+
+def _levels(rows: DataFrame, span: int, block: int) -> DataFrame:
+    """``rows`` with ``_before``, the sum of ``_value`` over rows with a smaller ``_at``, which goes from 0 to ``span``."""
+    grouped = rows.withColumn("_group", F.expr(f"_at div {block}"))  # whole numbers throughout: ids beyond 2**53 keep their order
+    inside = W.partitionBy("_group").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    local = grouped.withColumn("_before", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
+    if span < block:
+        return local.drop("_group")
+    totals = grouped.groupBy(F.col("_group").alias("_at")).agg(F.sum("_value").alias("_value"))
+    above = _levels(totals, span // block, block).select(F.col("_at").alias("_group"), F.col("_before").alias("_base"))
+    return local.join(above, "_group").withColumn("_before", F.col("_base") + F.col("_before")).drop("_group", "_base")
+
+
 def running(hist: DataFrame, keys: Sequence[str], score: str, sums: Sequence[str],
             descending: bool = False, size: str | None = None,
             hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -4,12 +4,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import draws
-from ..operators.scale import attach, positions
+from ..operators.scale import attach, prefix_sums
 from ..session import pin
 
 
@@ -58,17 +57,8 @@ def stored_size(files: DataFrame) -> DataFrame:
 
 
 def bag_offsets(lengths: DataFrame, block: int = 4096) -> DataFrame:
-    """Prefix sums of the bag lengths in ``bag_ix`` order (0-based, contiguous): column ``start``.
-
-    Totals per ``block`` bags, a prefix over those few totals, then a prefix inside each block.
-    """
-    group = F.floor(F.col("bag_ix") / F.lit(block))
-    totals = lengths.groupBy(group.alias("_g")).agg(F.sum("length").alias("_t"))
-    over = W.orderBy("_g").rowsBetween(W.unboundedPreceding, -1)
-    starts = totals.select("_g", F.coalesce(F.sum("_t").over(over), F.lit(0)).alias("_base"))
-    inside = W.partitionBy("_g").orderBy("bag_ix").rowsBetween(W.unboundedPreceding, -1)
-    return (lengths.withColumn("_g", group).join(starts, "_g")
-            .withColumn("start", F.col("_base") + F.coalesce(F.sum("length").over(inside), F.lit(0))).drop("_g", "_base"))
+    """Prefix sums of the bag lengths in ``bag_ix`` order: column ``start``. No window sees more than ``block`` bags or blocks."""
+    return prefix_sums(lengths, "bag_ix", F.col("length"), "start", block)
 
 
 def unflatten(flat: DataFrame, lengths: DataFrame, block: int = 4096) -> DataFrame:
@@ -142,9 +132,8 @@ def merge_shards(shards: Sequence[DataFrame], method: str, by: str = "bag_id") -
 
 
 def shard_of(df: DataFrame, order: str, shards: int) -> DataFrame:
-    """Stride sharding of a work list: rank modulo ``shards``."""
-    lead = df.withColumn("_lead", F.floor(F.col(order) / 65536))
-    return positions(lead, [], ["_lead"], [order], "_ix").withColumn("shard", F.col("_ix") % shards).drop("_ix", "_lead")
+    """Stride sharding of a work list: rank modulo ``shards``. ``order`` is an integer that names one item of the list."""
+    return prefix_sums(df, order, F.lit(1), "_ix").withColumn("shard", F.col("_ix") % shards).drop("_ix")
 
 
 def discover(paths: DataFrame, column: str = "path") -> DataFrame:
