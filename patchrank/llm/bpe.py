@@ -14,6 +14,8 @@ import functools
 import hashlib
 import json
 import os
+import sys
+import unicodedata
 import zlib
 from dataclasses import dataclass
 
@@ -27,6 +29,7 @@ from patchrank.llm import text as T
 from patchrank.llm.common import schema_with, spread
 
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed value: the byte-level word rule
+RULE = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}  # the pre-tokenizer that splits by WORD
 SHARD_BYTES = 16 << 20
 ASKED = "part INT, shard INT, words BINARY"
 ANSWERED = "shard INT, part INT, ids BINARY"
@@ -39,11 +42,32 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@functools.cache
+def unsettled() -> frozenset[str]:
+    """Code points that the regular expressions take for letters or digits but this Python's Unicode tables do not know yet.
+
+    The tokenizers library may class them otherwise, so a text that holds one is split by the library itself.
+    """
+    every = "".join(chr(i) for i in range(sys.maxunicode + 1) if not 0xD800 <= i < 0xE000)
+    return frozenset(c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn")
+
+
 @dataclass(frozen=True)
 class Vocabulary:
-    """A byte-level BPE tokenizer file; executors get its text, not its path."""
+    """A byte-level BPE tokenizer file; executors get its text, not its path.
+
+    A file with a normalizer, another pre-tokenizer or added tokens that reach beyond their own characters is an error: its texts are not cut into words by ``WORD``.
+    """
     spec: str
 
+    def __post_init__(self):
+        spec = json.loads(self.spec)
+        rule = {"add_prefix_space": True, "use_regex": True} | (spec.get("pre_tokenizer") or {})
+        if spec.get("normalizer") or any(rule.get(k) != v for k, v in RULE.items()):
+            raise ValueError("only tokenizers without a normalizer whose pre-tokenizer is byte-level, without a prefix space, can be used")
+        if any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that strip blanks or stand for whole words only cannot be used")
+
     @classmethod
     def read(cls, path: str) -> Vocabulary:
         with open(path, encoding="utf-8") as f:
@@ -67,7 +91,10 @@ class Vocabulary:
     @functools.cached_property
     def words(self):
         """Function from a text to its words in order; special tokens are words."""
-        find = regex.compile(WORD).findall
+        plain, odd = regex.compile(WORD).findall, unsettled()
+
+        def find(text: str) -> list[str]:
+            return plain(text) if text.isascii() or odd.isdisjoint(text) else self.split(text)
         if not self.special:
             return find
         split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split
@@ -79,6 +106,13 @@ class Vocabulary:
             return [w for i, part in enumerate(split(text)) for w in ([part] if i % 2 else find(part))]
         return words
 
+    @functools.cached_property
+    def split(self):
+        """Function from a text without special tokens to the words that the library cuts it into."""
+        from tokenizers import Tokenizer
+        cut, letters = Tokenizer.from_str(self.spec).pre_tokenizer.pre_tokenize_str, byte_letters()
+        return lambda text: [bytes(letters[c] for c in word).decode() for word, _ in cut(text)]
+
     @functools.cached_property
     def encode(self):
         """Function from words to their ids."""

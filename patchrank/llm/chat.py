@@ -7,7 +7,8 @@ template is local to a turn, turns are formatted where they lie, without a shuff
     <|turn:ROLE|>\\n BODY <|end|>\\n
 
 Control strings inside roles and texts are broken by a backslash after their first character, and backslashes are doubled, so
-``unescape`` restores every text exactly. The loss mask holds the text parts of the roles that are learned.
+``unescape`` restores every text exactly. Neighbouring text parts may hold a control string between them; a text part that could end
+one begun in the parts before it starts with a backslash. The loss mask holds the text parts of the roles that are learned.
 """
 from __future__ import annotations
 
@@ -23,6 +24,8 @@ from patchrank.llm.common import spread
 
 CONTROL = ("<|", "|>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<s>", "</s>")
 LEARNED = ("assistant",)
+OPENING = frozenset(c[0] for c in CONTROL)
+REACH = max(map(len, CONTROL)) - 1  # characters of the text so far that a control string may begin in
 ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 TURN = re.compile(r"<\|turn:(.*?)\|>\n(.*?)<\|end\|>\n", re.DOTALL)
 PART = ("struct<kind:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>")
@@ -51,6 +54,7 @@ class Flattener:
     page_tokens: int = 512
     out: list[str] = field(default_factory=list)
     at: int = 0
+    tail: str = ""
     texts: list[tuple[int, int]] = field(default_factory=list)
     attachments: list[tuple] = field(default_factory=list)
 
@@ -65,12 +69,16 @@ class Flattener:
     def visit_text(self, part):
         body = escape(part.get("text") or "")
         if body:
+            if body[0] != "\\" and not OPENING.isdisjoint(self.tail):
+                body = "\\" + body
+            self.tail = (self.tail + body)[-REACH:]
             self.texts.append((self.at, self.at + len(body)))
         self.put(body)
 
     def attach(self, kind, part, tokens):
         self.attachments.append((self.at, kind, part.get("ref"), tokens))
         self.put(f"<|{kind}:{len(self.attachments) - 1}|>")
+        self.tail = ""
 
     def visit_image(self, part):
         self.attach("image", part, -(-(part.get("width") or 0) // self.patch) * -(-(part.get("height") or 0) // self.patch))
