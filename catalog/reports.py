@@ -265,6 +265,23 @@ def cross_patient(spark, sf):
     return r6(out, "mean", "lo", "hi")
 
 
+@q("j15_cross_patient_chain", """SELECT 's1' AS score, "from", "to", round(delta, 6) AS delta, round(CASE WHEN total <> 0 THEN delta/total END, 5) AS frac, kind, n_bags, n_without, round(md, 6) AS mean_over_derangements, consistent FROM st""",
+   f"""{CROSS}, {GT}, ft AS (SELECT f.bag_id, target, CAST(template AS DOUBLE) AS tmpl FROM flagged f JOIN gt USING (patch)),
+   fa AS (SELECT r.bag_id, r.auc AS "real", c.x AS "cross" FROM {v.auc('flagged', 'bag_id', 's1')} r LEFT JOIN (SELECT bag_id, avg(auc) AS x FROM {v.auc('cm', 'rep, bag_id', 's1')} GROUP BY bag_id) c USING (bag_id) WHERE r.auc IS NOT NULL),
+   fx AS MATERIALIZED (SELECT avg("real") FILTER ("cross" IS NOT NULL) AS f, avg("cross") AS c, avg("real" - "cross") AS p, count("cross") AS n_bags, count(*) - count("cross") AS n_without FROM fa),
+   kn AS MATERIALIZED (SELECT *, (SELECT avg(m) FROM (SELECT avg(auc) AS m FROM {v.auc('cm', 'rep, bag_id', 's1')} GROUP BY rep)) AS md, (SELECT avg(auc) FROM {v.auc('ft', 'bag_id', 'tmpl')}) AS t, abs(f - c - p) < 1e-9 AS consistent FROM fx),
+   st AS (SELECT 'chance' AS "from", 'fitted_template' AS "to", t - 0.5 AS delta, f - 0.5 AS total, 'step' AS kind, * EXCLUDE (f, c, p, t) FROM kn
+     UNION ALL SELECT 'fitted_template', 'cross_patient', c - t, f - 0.5, 'step', * EXCLUDE (f, c, p, t) FROM kn
+     UNION ALL SELECT 'cross_patient', 'full', f - c, f - 0.5, 'step', * EXCLUDE (f, c, p, t) FROM kn
+     UNION ALL SELECT 'chance', 'full', f - 0.5, f - 0.5, 'total', * EXCLUDE (f, c, p, t) FROM kn)""")
+def cross_patient_chain(spark, sf):
+    rows = v.flagged(spark, sf)
+    tiled = tp.tile(rows, tp.global_template(rows, F.col("s1"))).withColumn("template", F.col("template").cast("double"))
+    template = rk.auc(tiled.withColumn("n_rows", F.col("n_slices") * F.lit(v.N_PATCH)), ["bag_id"], "template", size="n_rows")
+    out = rp.cross_patient_chain(rows, v.bag_sizes(spark, sf), template, "s1", v.N_PATCH, 100)
+    return r6(out, "delta", "mean_over_derangements").withColumn("frac", F.round("frac", 5))
+
+
 @q("j15_cross_patient_axes", f"SELECT axis, quantity, n, n_clusters, {rs('mean', 'lo', 'hi')} FROM {v.bootstrap('cl3', 'axis, quantity', 'value', reps=10000)}",
    f"""{v.FLAG}, {v.BAGS}, {DONOR.format(seed=0, reps=100)}, {SHUF},
    al AS MATERIALIZED (SELECT -1 AS rep, bag_id, slice, s1, target, slice_pos FROM flagged UNION ALL

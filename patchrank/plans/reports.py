@@ -75,20 +75,51 @@ def paired_slice(axes: DataFrame, reference: str, reps: int, seed: int = 0) -> t
             outcome(es.cluster_bootstrap(arms, ["arm"], "delta", "patient_id", reps, seed)))
 
 
-def cross_patient(rows: DataFrame, bags: DataFrame, sizes: DataFrame, score: str, n_patch: int, derangements: int,
-                  reps: int, seed: int = 0) -> DataFrame:
-    """Real, cross-patient and difference intervals over patients; a derangement moves positives only."""
+def _real_and_cross(rows: DataFrame, sizes: DataFrame, score: str, n_patch: int, derangements: int, seed: int):
+    """(bag_id, real) and (rep, bag_id, auc) under derangements; the scores are ranked once and only positives move."""
     keep = rows.select("bag_id", "pos", "n_slices", "target", score).withColumn("n_rows", F.col("n_slices") * F.lit(n_patch))  # a bound
     ranks = rk.midranks(keep, ["bag_id"], score, size="n_rows")
     own = keep.where(F.col("target") > 0).select("bag_id", "pos")
     real = rk.auc_of_positives(ranks, own, ["bag_id"]).where("auc IS NOT NULL").select("bag_id", F.col("auc").alias("real"))
     moved = nl.shuffle_positives(keep, pin(nl.donor_map(sizes, seed, derangements)), n_patch)
-    per = rk.auc_of_positives(ranks, moved, ["rep", "bag_id"]).groupBy("bag_id").agg(F.avg("auc").alias("cross"))
+    return real, rk.auc_of_positives(ranks, moved, ["rep", "bag_id"])
+
+
+def cross_patient(rows: DataFrame, bags: DataFrame, sizes: DataFrame, score: str, n_patch: int, derangements: int,
+                  reps: int, seed: int = 0) -> DataFrame:
+    """Real, cross-patient and difference intervals over patients; a derangement moves positives only."""
+    real, drawn = _real_and_cross(rows, sizes, score, n_patch, derangements, seed)
+    per = drawn.groupBy("bag_id").agg(F.avg("auc").alias("cross"))
     both = real.join(per.where("cross IS NOT NULL"), "bag_id").withColumn("skill", F.col("real") - F.col("cross"))
     long = es.melt(both.join(bags, "bag_id"), ["patient_id"], ["real", "cross", "skill"], "quantity", "value")
     return es.cluster_bootstrap(long, ["quantity"], "value", "patient_id", reps, seed)
 
 
+def cross_patient_chain(rows: DataFrame, sizes: DataFrame, template_auc: DataFrame, score: str, n_patch: int, derangements: int, seed: int = 0) -> DataFrame:
+    """The chain chance, fitted template, cross-patient, full with each step's share, and what backs it.
+
+    ``template_auc`` has (bag_id, auc). Every row also carries the bags scored, the bags with a real value but none under any derangement (they
+    are left out), the mean over derangements of their mean over bags, and ``consistent``: whether the mean of the paired
+    differences equals the difference of the means over one set of bags. A link without a value gives steps of NULL.
+    """
+    real, drawn = _real_and_cross(rows, sizes, score, n_patch, derangements, seed)
+    drawn = pin(drawn)
+    per = drawn.where("auc IS NOT NULL").groupBy("bag_id").agg(F.avg("auc").alias("cross"))
+    both = real.join(per, "bag_id", "left").withColumn("_skill", F.col("real") - F.col("cross"))
+    scored = F.col("cross").isNotNull()
+    facts = both.agg(F.count("cross").alias("n_bags"), F.count(F.when(~scored, 1)).alias("n_without"), F.avg(F.when(scored, F.col("real"))).alias("_full"),
+                     F.avg("cross").alias("_cross"), F.avg("_skill").alias("_paired"))
+    by_draw = drawn.groupBy("rep").agg(F.avg("auc").alias("_m")).agg(F.avg("_m").alias("mean_over_derangements"))
+    parts = [df.withColumn("score", F.lit(score)) for df in (facts, by_draw, template_auc.agg(F.avg("auc").alias("_template")))]  # one row each
+    known = parts[0].join(parts[1], "score").join(parts[2], "score")
+    known = known.withColumn("consistent", F.coalesce(F.abs(F.col("_full") - F.col("_cross") - F.col("_paired")) < 1e-9, F.lit(True)))
+    links = (("chance", F.lit(0.5)), ("fitted_template", F.col("_template")), ("cross_patient", F.col("_cross")), ("full", F.col("_full")))
+    kept = ["n_bags", "n_without", "mean_over_derangements", "consistent"]
+    steps = known.select("score", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("step"), F.lit(n).alias("name"), x.alias("value")) for i, (n, x) in enumerate(links)])).alias("_l")).select("score", "_l.*")
+    return es.reference_chain(steps, ["score"], "step", "name", "value").join(known.select("score", *kept), "score")
+
+
 def cross_patient_axes(rows: DataFrame, bags: DataFrame, sizes: DataFrame, score: str, n_patch: int, derangements: int,
                        reps: int, seed: int = 0) -> DataFrame:
     """``cross_patient`` on all three axes: intervals of real, cross and difference by (axis, quantity). The scores are ranked once."""
