@@ -134,6 +134,23 @@ def positions(df: DataFrame, keys: Sequence[str], bucket: Sequence[str], order:
             .drop("_start", "_nth"))
 
 
+def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Rows of groups up to ``hot_rows`` and rows of larger ones, by counted size.
+
+    Only the keys of large groups are broadcast, at most one for every ``hot_rows`` rows. A NULL key is an error.
+    """
+    df = require(df, keys)
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(*keys)
+    return df.join(F.broadcast(hot), list(keys), "left_anti"), df.join(F.broadcast(hot), list(keys), "left_semi")
+
+
+def positions_in_place(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "pos", total: str | None = None) -> DataFrame:
+    """``positions`` of groups small enough for one task: one exchange by ``keys``, which later windows that hold them share."""
+    whole = W.partitionBy(*keys)
+    out = df.withColumn(name, (F.row_number().over(whole.orderBy(*order)) - 1).cast("bigint"))
+    return out.withColumn(total, F.count(F.lit(1)).over(whole)) if total else out
+
+
 def hashed_positions(df: DataFrame, keys: Sequence[str], hash_column: str,
                      order: Sequence[str] = (), name: str = "ix",
                      total: str | None = None) -> DataFrame:
