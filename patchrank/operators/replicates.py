@@ -2,7 +2,7 @@
 
 A group of C units has C draws with replacement in every replicate. Groups of up to ``DIRECT`` units take the draws of ``functions.draws``
 (the leading 32 bits of an MD5 over seed, replicate and turn, modulo C), so another engine reproduces them; they are made once for all
-groups of a task. Larger groups are cut into blocks of ``DIRECT`` units. How many draws of a replicate fall into a block follows from binomial
+groups of a batch. Larger groups are cut into blocks of ``BLOCK`` units. How many draws of a replicate fall into a block follows from binomial
 splits along the binary tree over the blocks, drawn from generators that are seeded by the tree's nodes: every block finds its own
 numbers without seeing another, and together they are an exact multinomial. Only arrays over the replicates of a batch are shuffled.
 """
@@ -19,7 +19,8 @@ from pyspark.sql.types import StructType
 
 from .scale import positions, running
 
-DIRECT = 4096  # units whose draws are taken one by one
+DIRECT = 16384  # units whose draws are taken one by one
+BLOCK = 4096    # units of a block of a larger group
 BATCH = 250    # replicates of a row
 
 
@@ -54,7 +55,7 @@ class Draws:
             more = draw_matrix(self.seed, replicates_of(batch, self.reps), range(have, size))
             self.matrix = np.concatenate([self.matrix, more], axis=1)
         if size not in self.sizes:
-            if len(self.sizes) >= 8:
+            if len(self.sizes) >= 8 or sum(x.size for x in self.sizes.values()) > DIRECT * BATCH:
                 self.sizes = {}
             self.sizes[size] = self.matrix[:, :size] % size
         return self.sizes[size]
@@ -97,7 +98,7 @@ def _batches(df: DataFrame, reps: int) -> DataFrame:
     return df.withColumn("_batch", F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // BATCH))))
 
 
-def _cluster_sums(names: Sequence[str], seed: int, reps: int):
+def _cluster_sums(names: Sequence[str], seed: int, reps: int, width: int):
     def rows(stream):
         draws = Draws(seed, reps)
         for batch in stream:
@@ -109,7 +110,7 @@ def _cluster_sums(names: Sequence[str], seed: int, reps: int):
                     totals.append(total[ix].sum(axis=1))
                     counts.append(count[ix].sum(axis=1))
                     continue
-                n = block_draws(seed, b, len(replicates_of(b, reps)), block, lambda k, size=size: min(k * DIRECT, size), -(-size // DIRECT))
+                n = block_draws(seed, b, len(replicates_of(b, reps)), block, lambda k, size=size: min(k * width, size), -(-size // width))
                 rng = generator(seed, b, "picks", block)
                 ix = [rng.integers(0, len(total), k) for k in n.tolist()]
                 totals.append(np.array([total[x].sum() for x in ix]))
@@ -120,15 +121,15 @@ def _cluster_sums(names: Sequence[str], seed: int, reps: int):
 
 def cluster_means(numbered: DataFrame, keys: Sequence[str], reps: int, seed: int) -> DataFrame:
     """(keys, means ARRAY<DOUBLE>) of the replicates; ``numbered`` has ix, size, total and rows of every cluster of a key."""
-    keys = list(keys)
-    block = F.when(F.col("size") <= DIRECT, F.lit(0)).otherwise(F.floor(F.col("ix") / DIRECT)).cast("bigint")
+    keys, width = list(keys), min(BLOCK, DIRECT)
+    block = F.when(F.col("size") <= DIRECT, F.lit(0)).otherwise(F.floor(F.col("ix") / width)).cast("bigint")
     units = F.array_sort(F.collect_list(F.struct("ix", "total", "rows")))
     blocks = numbered.groupBy(*keys, F.col("size").alias("_size"), block.alias("_block")).agg(units.alias("_u")).select(
         *keys, "_size", "_block", F.col("_u.total").cast("array<double>").alias("_totals"), F.col("_u.rows").cast("array<double>").alias("_counts"))
     names = [*keys, "_size", "_batch"]
-    dealt = _batches(blocks, reps).repartition(*keys, "_block", "_batch").sortWithinPartitions("_batch", "_size")
+    dealt = _batches(blocks, reps).repartition("_block", "_batch").sortWithinPartitions("_batch", "_size")  # groups of a batch share its draws
     schema = StructType([*dealt.select(*names).schema, *StructType.fromDDL("_t ARRAY<DOUBLE>, _n ARRAY<DOUBLE>")])
-    sums = dealt.mapInArrow(_cluster_sums(names, seed, reps), schema)
+    sums = dealt.mapInArrow(_cluster_sums(names, seed, reps, width), schema)
     if numbered.where(F.col("size") > DIRECT).isEmpty():
         per = sums.select(*keys, F.zip_with("_t", "_n", lambda t, n: t / n).alias("_m"))
     else:  # the blocks of a key add up by replicate
@@ -187,7 +188,7 @@ def _ranked(seed: int, reps: int, cut: float):
     return rows
 
 
-def rank_replicates(df: DataFrame, key: str, y: str, score: str, reps: int, seed: int, cut: float = 0.5, direct: int = DIRECT) -> DataFrame:
+def rank_replicates(df: DataFrame, key: str, y: str, score: str, reps: int, seed: int, cut: float = 0.5, direct: int = BLOCK) -> DataFrame:
     """A row per replicate of resampled rows: n_pos, n_neg, concordant (pairs in order, ties half), and the cells tp, fp, fn, tn at the cut.
 
     A replicate is a set of weights over the histogram of scores. Tables above ``direct`` rows are cut into blocks of neighbouring scores;
