@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..functions import block_draws, draws
 from . import ranking as rk
 from .scale import HOT_ROWS
 
@@ -166,3 +167,54 @@ def stratified_axes(df: DataFrame, n_patch: int, scores: Mapping[str, Column], k
     out = _in_place(small, keys, scores, target, F.col("rbin"), "mode STRING, auc DOUBLE, n_pairs BIGINT", _modes_of_score)
     rest = _long(large, [*keys, "slice", "rbin", "slice_pos", target], scores)
     return out.unionByName(rk.stratified_axes(rest, ["scorer", *keys], "score", target).select(*out.columns))
+
+
+def _held(rows: DataFrame, keys: list[str], slots: Sequence[str] = ()) -> DataFrame:
+    """Instances behind one exchange by bag, with the text that keys their draws; a NULL target is NaN.
+
+    Their work is far larger than their bytes, so the partitions are not merged by size.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).select(
+        *keys, draws.text_key(*[F.col(k) for k in keys], F.col("pos")).alias("_text"), F.col("target").cast("double").alias("_t"),
+        *[F.col(s).cast("double").alias(f"_s{i}") for i, s in enumerate(slots)]).sortWithinPartitions(*keys)
+
+
+def _aucs(edges: np.ndarray, score: np.ndarray, target: np.ndarray) -> pa.Array:
+    """AUC of every bag; NULL where a class is missing. Rows without a score or a target are left out."""
+    bag = np.repeat(np.arange(len(edges)), np.diff(np.append(edges, len(target))))
+    known = ~np.isnan(target) & ~np.isnan(score)
+    return _ratio(*concordant(bag[known], len(edges), bag[known], score[known], (target[known] > 0).astype(np.int64)))
+
+
+def _shares(edges: np.ndarray, score: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Share of a score's mass inside the lesion, per bag."""
+    mass = np.add.reduceat(np.nan_to_num(score), edges)
+    return np.add.reduceat(np.nan_to_num(score * target), edges) / np.maximum(mass, 1e-8)
+
+
+def _random_rows(keys: list[str], schema: pa.Schema, seed: str, inits: int, k: int, frozen: Mapping[int, int] | None):
+    def rows(stream):
+        for table, edges in _whole_bags(stream, keys):
+            texts, target = block_draws.Keys(table["_text"].combine_chunks()), table["_t"].to_numpy()
+            heads = [c.combine_chunks() for c in table.select(keys).take(pa.array(edges)).columns]
+            for model in range(inits):
+                if frozen is not None and model not in frozen:
+                    continue
+                scores = block_draws.random_slots(texts.normals(f"{seed}m{model}", k), 1.0, [0.0] * k)
+                for slot in range(k) if frozen is None else [frozen[model]]:
+                    found = pa.array(_shares(edges, scores[slot], target)) if frozen is None else _aucs(edges, scores[slot], target)
+                    names = [pa.array(np.full(len(edges), x, np.int32)) for x in (model, slot)]
+                    yield pa.RecordBatch.from_arrays([*heads, *names, found], schema=schema)
+    return rows
+
+
+def untrained(rows: DataFrame, k: int, inits: int, seed: int = 0, frozen: Mapping[int, int] | None = None, keys: Sequence[str] = ("bag_id",)) -> DataFrame:
+    """Random attention over ``k`` slots of every untrained init, drawn, normalised and measured by the task that holds the bag.
+
+    Without ``frozen`` (keys, model, slot, value): the share of each slot's mass inside the lesion. With it, the one slot of every model,
+    (keys, model, slot, auc). Scores never leave the task: an instance is shuffled once, whatever the number of inits. For bags of a bounded size.
+    """
+    keys = list(keys)
+    wide = _held(rows, keys)
+    schema = StructType([*(wide.schema[x] for x in keys), *StructType.fromDDL(f"model INT, slot INT, {'value' if frozen is None else 'auc'} DOUBLE")])
+    return wide.mapInArrow(_random_rows(keys, to_arrow_schema(schema), str(seed), inits, k, frozen), schema)
