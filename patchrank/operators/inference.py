@@ -8,54 +8,58 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import tails
+from ..session import pin
 from . import ranking as rk
 from .replicates import rank_replicates
 from .scale import clean, require, running
 
 
-def _lookup(pairs: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
-    """(keys, score) -> DeLong components of a positive (v10) and of a negative (v01)."""
-    hist = pairs.groupBy(*keys, score).agg(
-        F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0)).alias("p"),
-        F.sum(F.when(F.col("y") == 0, F.col("w")).otherwise(0)).alias("q"))
-    cum = running(hist, keys, score, ["p", "q"])
+LOOKUP_ROWS = 1 << 16  # a lookup of at most this many rows is sent to every task
+
+
+def _placements(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, scorer, score) -> DeLong components of a positive (v10) and of a negative (v01)."""
+    cum = running(hist, [*keys, "scorer"], "score", ["p", "q"])
     v10 = rk.ratio((2 * F.col("before_q") + F.col("q")).cast("double"), 2.0 * F.col("all_q"))
     v01 = rk.ratio((2 * F.col("all_p") - 2 * F.col("before_p") - F.col("p")).cast("double"), 2.0 * F.col("all_p"))
-    return cum.select(*keys, score, v10.alias(f"v10_{score}"), v01.alias(f"v01_{score}"))
+    return cum.select(*keys, "scorer", "score", v10.alias("v10"), v01.alias("v01"))
 
 
-def delong(df: DataFrame, keys: Sequence[str], a: str, b: str, target: str = "target") -> DataFrame:
-    """Paired DeLong test of two scores per key: ``auc_a, auc_b, delta, z, p`` and class counts.
+def delong_family(df: DataFrame, keys: Sequence[str], pairs: Sequence[tuple[str, str]], target: str = "target") -> DataFrame:
+    """Paired DeLong tests of declared pairs of score columns: (keys, arm, reference, auc_a, auc_b, delta, n_pos, n_neg, z, p).
 
-    Components are looked up per distinct score; moments per class are plain sums, so no group is
-    ever gathered. A variance of zero gives z = 0 and p = 1.
+    Every score is ranked once, whatever the number of its pairs, and the instances are never multiplied by pairs: placements are looked
+    up per distinct score as columns, small lookups (counted) in place, and all moments are plain sums of one aggregation. A variance of zero gives z = 0 and p = 1.
     """
-    if not keys:
-        return delong(df.withColumn("_all", F.lit(0)), ["_all"], a, b, target).drop("_all")
-    keys = list(keys)
-    rows = df.select(*keys, (F.col(target) > 0).cast("int").alias("y"), clean(F.col(a)).alias("a"),
-                     clean(F.col(b)).alias("b"))
-    rows = require(rows, [*keys, "a", "b"])
-    for c in [*keys, "a", "b"]:  # implied by the joins below; stated here, all read one exchange
-        rows = rows.where(F.col(c).isNotNull())
-    pairs = rows.groupBy(*keys, "y", "a", "b").agg(F.count(F.lit(1)).alias("w"))
-    # one lookup row per distinct score; a score shared by many pairs is split by Spark's skew join
-    rows = pairs.join(_lookup(pairs, keys, "a"), [*keys, "a"]).join(_lookup(pairs, keys, "b"), [*keys, "b"])
-    va = F.when(F.col("y") == 1, F.col("v10_a")).otherwise(F.col("v01_a"))
-    vb = F.when(F.col("y") == 1, F.col("v10_b")).otherwise(F.col("v01_b"))
-    rows = rows.select(*keys, "y", F.col("w").cast("double").alias("w"), va.alias("va"), vb.alias("vb"))
-    sums = rows.groupBy(*keys, "y").agg(
-        F.sum("w").alias("n"), *[F.sum(F.col("w") * e).alias(n) for n, e in (
-            ("a", F.col("va")), ("b", F.col("vb")), ("aa", F.col("va") * F.col("va")),
-            ("bb", F.col("vb") * F.col("vb")), ("ab", F.col("va") * F.col("vb")))])
-
-    def cov(x: str, y: str, xy: str) -> Column:
-        return F.when(F.col("n") > 1, (F.col(xy) - F.col(x) * F.col(y) / F.col("n")) / (F.col("n") - 1))
-    spread = (cov("a", "a", "aa") + cov("b", "b", "bb") - 2 * cov("a", "b", "ab")) / F.col("n")
-    per = sums.select(*keys, "y", "n", (F.col("a") / F.col("n")).alias("ma"),
-                      (F.col("b") / F.col("n")).alias("mb"), spread.alias("v"))
-    pos, neg = F.col("y") == 1, F.col("y") == 0
-    out = per.groupBy(*keys).agg(
+    keys, pairs = list(keys), list(pairs)
+    scores = list(dict.fromkeys(c for pair in pairs for c in pair))
+    named = {c: f"_x{i}" for i, c in enumerate(scores)}
+    rows = df.select(*keys, (F.col(target) > 0).cast("int").alias("_y"), *[clean(F.col(c)).alias(x) for c, x in named.items()])
+    rows = require(rows, [*keys, *named.values()])
+    each = F.array(*[F.struct(F.lit(x).alias("scorer"), F.col(x).alias("score")) for x in named.values()])
+    hist = rows.select(*keys, "_y", F.explode(each).alias("_e")).groupBy(*keys, "_e.scorer", "_e.score").agg(
+        F.sum(F.when(F.col("_y") == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col("_y") == 0, 1).otherwise(0)).alias("q"))
+    placed = pin(_placements(pin(hist), keys))
+    counted = {r.scorer: r.n for r in placed.groupBy("scorer").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per declared score
+    for x in sorted(named.values(), key=lambda x: counted.get(x, 0)):
+        lookup = placed.where(F.col("scorer") == x).select(*keys, F.col("score").alias(x), F.col("v10").alias("_p"), F.col("v01").alias("_q"))
+        joined = rows.join(F.broadcast(lookup) if counted.get(x, 0) <= LOOKUP_ROWS else lookup, [*keys, x])
+        rows = joined.withColumn(x, F.when(F.col("_y") == 1, F.col("_p")).otherwise(F.col("_q"))).drop("_p", "_q")
+    products = {(a, b): F.col(named[a]) * F.col(named[b]) for a, b in [*((c, c) for c in scores), *pairs]}
+    code = {k: f"_m{i}" for i, k in enumerate(products)}
+    sums = rows.groupBy(*keys, "_y").agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(x).alias(x) for x in named.values()],
+                                         *[F.sum(p).alias(code[k]) for k, p in products.items()])
+
+    def cov(x: Column, y: Column, xy: Column) -> Column:
+        return F.when(F.col("n") > 1, (xy - x * y / F.col("n")) / (F.col("n") - 1))
+
+    def test(a, b):
+        x, y = F.col(named[a]), F.col(named[b])
+        spread = (cov(x, x, F.col(code[a, a])) + cov(y, y, F.col(code[b, b])) - 2 * cov(x, y, F.col(code[a, b]))) / F.col("n")
+        return F.struct(F.lit(a).alias("arm"), F.lit(b).alias("reference"), (x / F.col("n")).alias("ma"), (y / F.col("n")).alias("mb"), spread.alias("v"))
+    per = sums.select(*keys, "_y", "n", F.explode(F.array(*[test(a, b) for a, b in pairs])).alias("_t")).select(*keys, "_y", "n", "_t.*")
+    pos, neg = F.col("_y") == 1, F.col("_y") == 0
+    out = per.groupBy(*keys, "arm", "reference").agg(
         F.max(F.when(pos, F.col("ma"))).alias("auc_a"), F.max(F.when(pos, F.col("mb"))).alias("auc_b"),
         F.max(F.when(pos, F.col("n"))).cast("bigint").alias("n_pos"),
         F.max(F.when(neg, F.col("n"))).cast("bigint").alias("n_neg"), F.sum("v").alias("_v"))
@@ -64,6 +68,13 @@ def delong(df: DataFrame, keys: Sequence[str], a: str, b: str, target: str = "ta
     return out.withColumn("z", z).withColumn("p", tails.normal_p("z")).drop("_v")
 
 
+def delong(df: DataFrame, keys: Sequence[str], a: str, b: str, target: str = "target") -> DataFrame:
+    """Paired DeLong test of two scores per key: ``auc_a, auc_b, delta, z, p`` and class counts; one pair of ``delong_family``."""
+    if not keys:
+        return delong(df.withColumn("_all", F.lit(0)), ["_all"], a, b, target).drop("_all")
+    return delong_family(df, keys, [(a, b)], target).drop("arm", "reference")
+
+
 def holm(df: DataFrame, family: Sequence[str], p: str, order: str, alpha: float = 0.05) -> DataFrame:
     """Holm step-down per family: ``p_adjusted, reject, n_family, n_reject``.
 

@@ -173,10 +173,7 @@ def holm_family(rows: DataFrame, arms: Sequence[str], references: Sequence[str],
     A member that cannot be paired in a seed (one class, or no rows) stays in the output with a NULL p and counts
     toward the family; ``short`` says that the seed's family then lacks a declared member, ``underflow`` that a p-value is below doubles.
     """
-    pairs = F.array(*[F.struct(F.lit(a).alias("arm"), F.lit(r).alias("reference"), F.col(a).cast("double").alias("a"),
-                               F.col(r).cast("double").alias("b")) for a in arms for r in references])
-    long = rows.withColumn("_p", F.explode(pairs)).select(seed_key, "target", "_p.*")
-    tests = inf.delong(long, [seed_key, "arm", "reference"], "a", "b")
+    tests = inf.delong_family(rows, [seed_key], [(a, r) for a in arms for r in references])
     declared = F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), F.lit(r).alias("reference")) for a in arms for r in references]))
     whole = rows.select(seed_key).distinct().withColumn("_m", declared).select(seed_key, "_m.arm", "_m.reference")
     every = whole.join(tests, [seed_key, "arm", "reference"], "left").withColumn("test", F.concat_ws("|", "arm", "reference"))
