@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import draws
 from ..session import pin
-from .scale import hashed_positions, salted_join
+from .scale import HOT_ROWS, hashed_positions, salted_join
 
 
 def length_of(df: DataFrame, n_patch: int, rows: str = "n_rows", slices: str = "n_slices") -> Column:
@@ -64,9 +64,36 @@ def donor_map(bags: DataFrame, seed: int, reps: int = 1) -> DataFrame:
     return out.select("rep", "bag_id", *sizes, "donor.donor_id", *[F.col(f"donor.{of_donor[c]}") for c in sizes])
 
 
-def shuffle_targets(df: DataFrame, donors: DataFrame, n_patch: int, tiles: int = 64) -> DataFrame:
+def _between_small(donors: DataFrame, limit: int) -> Column:
+    """Both bags of a request are known to be small."""
+    return F.coalesce((F.col("n_slices") <= limit) & (F.col("donor_slices") <= limit), F.lit(False))
+
+
+def shuffle_targets(df: DataFrame, donors: DataFrame, n_patch: int, tiles: int = 64, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(rep, bag_id, pos, target) with the donor's target cropped or tiled to length.
 
+    Between two bags of up to ``hot_rows`` rows and without a gap the donor's targets travel as one array a request, which the task of
+    the request lays out. All others are joined row by row.
+    """
+    limit = max(hot_rows // n_patch, 0)
+    cells = F.array_sort(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), "target")))
+    held = df.where(F.col("n_slices") <= limit).groupBy("bag_id").agg(cells.alias("_c")).where(F.element_at("_c", -1)["pos"] == F.size("_c") - 1)
+    whole = donors.join(held.select("bag_id", F.size("_c").alias("_own")), "bag_id", "left")
+    given = held.select(F.col("bag_id").alias("donor_id"), F.transform("_c", lambda c: c["target"]).alias("_given"))
+    ready = F.col("_own").isNotNull() & F.col("_given").isNotNull() & _between_small(donors, limit)
+    asked = whole.join(given, "donor_id", "left").withColumn("_ready", ready)
+    length = length_of(donors, n_patch, "donor_rows", "donor_slices").cast("int")
+    laid = F.transform(F.sequence(F.lit(0), F.col("_own") - 1), lambda p: F.when(
+        p % length < F.size("_given"), F.struct(p.cast("bigint").alias("pos"), F.get("_given", p % length).alias("target"))))
+    out = asked.where("_ready").select("rep", "bag_id", F.explode(laid).alias("_l")).where("_l IS NOT NULL")
+    out = out.select("rep", "bag_id", F.col("_l.pos").cast(df.schema["pos"].dataType).alias("pos"), F.col("_l.target").alias("target"))
+    rest = pin(asked.where("NOT _ready").select(*donors.columns))
+    return out if rest.isEmpty() else out.unionByName(_shuffled_rows(df, rest, n_patch, tiles))
+
+
+def _shuffled_rows(df: DataFrame, donors: DataFrame, n_patch: int, tiles: int) -> DataFrame:
+    """``shuffle_targets`` row by row.
+
     A long bag with a short donor asks for the same donor row many times; donor rows are copied
     up to ``tiles`` times and the copies share the requests.
     """
@@ -104,6 +131,24 @@ def shuffle_positives(df: DataFrame, donors: DataFrame, n_patch: int) -> DataFra
     return moved.withColumn("_tile", F.explode(copies)).select("rep", "bag_id", (F.col("donor_pos") + F.col("_tile") * length).alias("pos"))
 
 
+def lists_of_positives(df: DataFrame) -> DataFrame:
+    """(bag_id, positives): the sorted positions of every bag's positives. For bags of a bounded size."""
+    return df.where(F.col("target") > 0).groupBy("bag_id").agg(F.sort_array(F.collect_set(F.col("pos").cast("int"))).alias("positives"))
+
+
+def shuffle_lists(df: DataFrame, donors: DataFrame, n_patch: int, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(rep, bag_id, positives) of ``shuffle_positives``, one row a request, and the donors of the requests left to it.
+
+    Lists serve requests between two bags of up to ``hot_rows`` rows, so a replicate moves one row a bag in place of one a positive.
+    """
+    limit = max(hot_rows // n_patch, 0)
+    given = lists_of_positives(df.where(F.col("n_slices") <= limit)).withColumnRenamed("bag_id", "donor_id")
+    length, wide = (x.cast("int") for x in (length_of(donors, n_patch, "donor_rows", "donor_slices"), length_of(donors, n_patch)))
+    moved = donors.where(_between_small(donors, limit)).join(given, "donor_id")
+    tiled = F.flatten(F.transform(F.filter("positives", lambda x: x < wide), lambda x: F.sequence(x, wide - 1, length)))
+    return moved.select("rep", "bag_id", tiled.alias("positives")), donors.where(~_between_small(donors, limit))
+
+
 def every_replicate(per: DataFrame, bags: DataFrame, reps: int) -> DataFrame:
     """``per`` (rep, bag_id, n_pos, auc) with a row for each bag and replicate; a bag without a positive has none to rank."""
     whole = bags.select("bag_id").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))

@@ -139,6 +139,45 @@ def auc_of_positives(ranks: DataFrame, positives: DataFrame, keys: Sequence[str]
     return found.select(*keys, "n_pos", ratio(F.col("_s") - p * (p + 1), 2 * p * (F.col("_n") - p)).alias("auc"))
 
 
+def list_rows(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of an Arrow list column and where each list begins; one more edge ends the last."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    edges = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), edges
+
+
+def _auc_of_lists(keys: list[str], labels: list[str], schema: pa.Schema):
+    def bag(key, rows: pa.Table, moved: pa.Table) -> pa.Table:
+        if not rows.num_rows or not moved.num_rows:
+            return schema.empty_table()
+        order = np.argsort(rows["pos"].to_numpy())
+        positions, score = rows["pos"].to_numpy()[order], rows["score"].to_numpy()[order]
+        _, at, count = np.unique(score, return_inverse=True, return_counts=True)
+        twice = (2 * np.cumsum(count) - count + 1)[at]
+        values, edges = list_rows(moved["positives"])
+        x = np.minimum(np.searchsorted(positions, values), len(positions) - 1)
+        found = positions[x] == values
+        p, total = (np.concatenate([[0], np.cumsum(c)]) for c in (found.astype(np.int64), np.where(found, twice[x], 0)))
+        p, total = p[edges[1:]] - p[edges[:-1]], total[edges[1:]] - total[edges[:-1]]
+        n, some = len(positions), pa.array(np.flatnonzero(p))
+        pairs = 2.0 * p * (n - p)
+        auc = pa.array((total - p * (p + 1)) / np.where(pairs > 0, pairs, 1), mask=pairs == 0)
+        first = [pa.array([k.as_py()] * len(some), schema.field(c).type) for k, c in zip(key, keys)]
+        names = [moved[c].combine_chunks().take(some) for c in labels]
+        return pa.Table.from_arrays([*first, *names, pa.array(p).take(some), auc.take(some)], schema=schema)
+    return bag
+
+
+def auc_of_lists(rows: DataFrame, lists: DataFrame, score: str = "score", keys: Sequence[str] = ("bag_id",), labels: Sequence[str] = ("rep",)) -> DataFrame:
+    """``auc_of_positives`` of bags of a bounded size, whose positives come as lists (keys, labels, positives): a bag is ranked once by one task."""
+    keys, labels = list(keys), list(labels)
+    named = [F.col(c).alias(f"_k_{c}") for c in keys]  # names of their own: both sides may stem from one table
+    scored = rows.select(*named, F.col("pos").cast("bigint").alias("pos"), clean(F.col(score)).alias("score")).where(F.col("score").isNotNull())
+    schema = StructType([*(lists.schema[c] for c in [*keys, *labels]), *StructType.fromDDL("n_pos BIGINT, auc DOUBLE")])
+    grouped = scored.groupBy(*[f"_k_{c}" for c in keys]).cogroup(lists.select(*keys, *labels, "positives").groupBy(*keys))
+    return grouped.applyInArrow(_auc_of_lists(keys, labels, to_arrow_schema(schema)), schema)
+
+
 def average_precision(df: DataFrame, keys: Sequence[str], score: str = "score",
                       target: str = "target", size: str | None = None,
                       hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -284,7 +323,8 @@ def _axes_of_bag(n_patch: int, keys: list[str], labels: list[str], schema: pa.Sc
         if rows.num_rows and moved.num_rows:
             held = SliceHistograms(rows["pos"].to_numpy(), rows["score"].to_numpy(), n_patch)
             if held.whole:
-                found = [held.axes(np.array(x, np.int64)) for x in moved["_positives"].to_pylist()]
+                values, edges = list_rows(moved["_positives"])
+                found = [held.axes(values[i:j]) for i, j in zip(edges, edges[1:])]
                 names = list(zip(*(moved[c].to_pylist() for c in labels)))
                 first = [k.as_py() for k in key]
                 out = [(*first, *name, f[0], f[1], f[2], len(held.slices), f[3]) for name, f in zip(names, found) if f is not None]
@@ -294,17 +334,22 @@ def _axes_of_bag(n_patch: int, keys: list[str], labels: list[str], schema: pa.Sc
 
 
 def axes_of_positives(rows: DataFrame, positives: DataFrame, n_patch: int, score: str = "score", keys: Sequence[str] = ("bag_id",),
-                      labels: Sequence[str] = ("rep",), hot_rows: int = HOT_ROWS) -> DataFrame:
+                      labels: Sequence[str] = ("rep",), hot_rows: int = HOT_ROWS, lists: DataFrame | None = None) -> DataFrame:
     """``axes`` of every bag under every label, where only positives (keys, labels, pos) move: a bag is ranked once, whatever the labels.
 
     ``rows`` has keys, pos and the score, and ``n_slices`` as a bound of a bag's slices. Bags up to ``hot_rows`` are held by one task as slice histograms; larger ones and those of
     unknown size are ranked under each label. Rows without a score are left out, and a bag that is then ragged gives no row.
+    Positives of bags up to ``hot_rows`` may come as ``lists`` (keys, labels, positives) as well, of other labels than the rows.
     """
+    given = lists
     keys, labels = list(keys), list(labels)
     scored = rows.withColumn("score", clean(F.col(score))).where(F.col("score").isNotNull())
     scored = scored.select(*keys, F.col("pos").cast("bigint").alias("pos"), "score", "n_slices")
     small, large = by_size(scored, "n_slices", max(hot_rows // n_patch, 0))
     lists = positives.groupBy(*keys, *labels).agg(F.collect_set(F.col("pos").cast("bigint")).alias("_positives"))
+    under = lists
+    if given is not None:
+        lists = lists.unionByName(given.select(*keys, *labels, F.col("positives").cast("array<bigint>").alias("_positives")))
     kinds = {f.name: f.dataType for f in lists.schema}
     schema = StructType([*(StructField(c, kinds[c]) for c in [*keys, *labels]), *StructType.fromDDL(
         "flat DOUBLE, slice DOUBLE, within_slice DOUBLE, n_slices BIGINT, n_lesion_slices BIGINT")])
@@ -312,7 +357,7 @@ def axes_of_positives(rows: DataFrame, positives: DataFrame, n_patch: int, score
     grouped = small.select(*named, "pos", "score").groupBy(*[f"_k_{c}" for c in keys]).cogroup(lists.groupBy(*keys))
     out = grouped.applyInArrow(_axes_of_bag(n_patch, keys, labels, to_arrow_schema(schema)), schema)
     on = lambda a: [F.col(c) == F.col(f"_k_{c}") for c in keys]
-    under = lists.select(*named, *labels)
+    under = under.select(*named, *labels)
     every = large.join(under, on(under)).drop(*[f"_k_{c}" for c in keys])
     true = positives.select(*keys, *labels, F.col("pos").cast("bigint").alias("pos"), F.lit(1).alias("target")).distinct()
     every = every.join(true, [*keys, *labels, "pos"], "left").withColumn("target", F.coalesce("target", F.lit(0)))

@@ -77,14 +77,31 @@ def paired_slice(axes: DataFrame, reference: str, reps: int, seed: int = 0) -> t
             outcome(es.cluster_bootstrap(arms, ["arm"], "delta", "patient_id", reps, seed)))
 
 
-def _real_and_cross(rows: DataFrame, sizes: DataFrame, score: str, n_patch: int, derangements: int, seed: int):
+def _moved_lists(rows: DataFrame, sizes: DataFrame, n_patch: int, derangements: int, seed: int, hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """(rep, bag_id, positives) of bags up to ``hot_rows``, their own under rep -1, and (rep, bag_id, pos) of all other requests, None without any."""
+    donors = pin(nl.donor_map(sizes, seed, derangements))
+    lists, rest = nl.shuffle_lists(rows, donors, n_patch, hot_rows)
+    small, large = rk.by_size(rows, "n_slices", max(hot_rows // n_patch, 0))
+    own = nl.lists_of_positives(small).withColumn("rep", F.lit(-1))
+    lists = lists.unionByName(own.select(*lists.columns))
+    if rest.isEmpty() and large.isEmpty():
+        return lists, None
+    own = large.where(F.col("target") > 0).select(F.lit(-1).alias("rep"), "bag_id", "pos")
+    return lists, own.unionByName(nl.shuffle_positives(rows, rest, n_patch))
+
+
+def _real_and_cross(rows: DataFrame, sizes: DataFrame, score: str, n_patch: int, derangements: int, seed: int, hot_rows: int = HOT_ROWS):
     """(bag_id, real) and (rep, bag_id, auc) under derangements; the scores are ranked once and only positives move."""
-    keep = rows.select("bag_id", "pos", "n_slices", "target", score).withColumn("n_rows", F.col("n_slices") * F.lit(n_patch))  # a bound
-    ranks = rk.midranks(keep, ["bag_id"], score, size="n_rows")
-    own = keep.where(F.col("target") > 0).select("bag_id", "pos")
-    real = rk.auc_of_positives(ranks, own, ["bag_id"]).where("auc IS NOT NULL").select("bag_id", F.col("auc").alias("real"))
-    moved = nl.shuffle_positives(keep, pin(nl.donor_map(sizes, seed, derangements)), n_patch)
-    return real, rk.auc_of_positives(ranks, moved, ["rep", "bag_id"])
+    keep = rows.select("bag_id", "pos", "n_slices", "target", score)
+    lists, rest = _moved_lists(keep, sizes, n_patch, derangements, seed, hot_rows)
+    small, _ = rk.by_size(keep, "n_slices", max(hot_rows // n_patch, 0))
+    per = rk.auc_of_lists(small, lists, score).select("rep", "bag_id", "n_pos", "auc")
+    if rest is not None:
+        asked = keep.join(rest.select("bag_id").distinct(), "bag_id", "left_semi").withColumn("n_rows", F.col("n_slices") * F.lit(n_patch))  # a bound
+        per = per.unionByName(rk.auc_of_positives(rk.midranks(asked, ["bag_id"], score, size="n_rows", hot_rows=hot_rows), rest, ["rep", "bag_id"]))
+    per = pin(per)
+    real = per.where("rep < 0 AND auc IS NOT NULL").select("bag_id", F.col("auc").alias("real"))
+    return real, per.where("rep >= 0")
 
 
 def cross_patient(rows: DataFrame, bags: DataFrame, sizes: DataFrame, score: str, n_patch: int, derangements: int,
@@ -105,7 +122,6 @@ def cross_patient_chain(rows: DataFrame, sizes: DataFrame, template_auc: DataFra
     differences equals the difference of the means over one set of bags. A link without a value gives steps of NULL.
     """
     real, drawn = _real_and_cross(rows, sizes, score, n_patch, derangements, seed)
-    drawn = pin(drawn)
     per = drawn.where("auc IS NOT NULL").groupBy("bag_id").agg(F.avg("auc").alias("cross"))
     both = real.join(per, "bag_id", "left").withColumn("_skill", F.col("real") - F.col("cross"))
     scored = F.col("cross").isNotNull()
@@ -126,9 +142,9 @@ def cross_patient_axes(rows: DataFrame, bags: DataFrame, sizes: DataFrame, score
                        reps: int, seed: int = 0) -> DataFrame:
     """``cross_patient`` on all three axes: intervals of real, cross and difference by (axis, quantity). The scores are ranked once."""
     keep = rows.select("bag_id", "pos", "n_slices", "target", score)
-    own = keep.where(F.col("target") > 0).select("bag_id", "pos").withColumn("rep", F.lit(-1))
-    moved = nl.shuffle_positives(keep, pin(nl.donor_map(sizes, seed, derangements)), n_patch)
-    per = rk.axes_of_positives(keep, own.unionByName(moved.select("bag_id", "pos", "rep")), n_patch, score)
+    lists, rest = _moved_lists(keep, sizes, n_patch, derangements, seed, HOT_ROWS)
+    moved = keep.limit(0).select(F.lit(0).alias("rep"), "bag_id", "pos") if rest is None else rest
+    per = rk.axes_of_positives(keep, moved, n_patch, score, lists=lists)
     long = es.melt(per, ["bag_id", "rep"], ["flat", "slice", "within_slice"], "axis", "auc")
     both = long.groupBy("axis", "bag_id").agg(F.max(F.when(F.col("rep") < 0, F.col("auc"))).alias("real"), F.avg(F.when(F.col("rep") >= 0, F.col("auc"))).alias("cross"))
     both = both.where("real IS NOT NULL AND cross IS NOT NULL").withColumn("skill", F.col("real") - F.col("cross"))
