@@ -188,8 +188,8 @@ def _aucs(edges: np.ndarray, score: np.ndarray, target: np.ndarray) -> pa.Array:
 
 def _shares(edges: np.ndarray, score: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Share of a score's mass inside the lesion, per bag."""
-    mass = np.add.reduceat(np.nan_to_num(score), edges)
-    return np.add.reduceat(np.nan_to_num(score * target), edges) / np.maximum(mass, 1e-8)
+    mass, inside = (np.add.reduceat(np.where(np.isnan(x), 0.0, x), edges) for x in (score, score * target))
+    return inside / np.maximum(mass, 1e-8)
 
 
 def _random_rows(keys: list[str], schema: pa.Schema, seed: str, inits: int, k: int, frozen: Mapping[int, int] | None):
@@ -218,3 +218,74 @@ def untrained(rows: DataFrame, k: int, inits: int, seed: int = 0, frozen: Mappin
     wide = _held(rows, keys)
     schema = StructType([*(wide.schema[x] for x in keys), *StructType.fromDDL(f"model INT, slot INT, {'value' if frozen is None else 'auc'} DOUBLE")])
     return wide.mapInArrow(_random_rows(keys, to_arrow_schema(schema), str(seed), inits, k, frozen), schema)
+
+
+MEASURES = "`null` STRING, rep INT, slot INT, value DOUBLE, auc DOUBLE"
+
+
+def _battery_rows(keys: list[str], schema: pa.Schema, seed: str, reps: int, k: int, kinds: Sequence[tuple[str, float, float]], bias: Sequence[float]):
+    def rows(stream):
+        for table, edges in _whole_bags(stream, keys):
+            texts, target = block_draws.Keys(table["_text"].combine_chunks()), table["_t"].to_numpy()
+            heads = [c.combine_chunks() for c in table.select(keys).take(pa.array(edges)).columns]
+
+            def measured(null, rep, scores):
+                for slot, score in enumerate(scores):
+                    names = [pa.array([null] * len(edges), pa.string()), *(pa.array(np.full(len(edges), x, np.int32)) for x in (rep, slot))]
+                    yield pa.RecordBatch.from_arrays([*heads, *names, pa.array(_shares(edges, score, target)), _aucs(edges, score, target)], schema=schema)
+            yield from measured("reference", 0, [table[f"_s{i}"].to_numpy() for i in range(k)])
+            for rep in range(reps):
+                normals = texts.normals(f"{seed}r{rep}", k)
+                for null, scale, biased in kinds:
+                    yield from measured(null, rep, block_draws.random_slots(normals, scale, [biased * b for b in bias]))
+    return rows
+
+
+def battery(rows: DataFrame, slots: Sequence[str], kinds: Sequence[tuple[str, float, float]], reps: int, seed: int, bias: Sequence[float],
+            keys: Sequence[str] = ("bag_id",)) -> DataFrame:
+    """(keys, null, rep, slot, value, auc) of every bag under its own slots and under random ones: lesion share and AUC.
+
+    ``kinds`` are (null, scale, weight of the bias). The normals of a replicate serve all kinds, and no score leaves its task. For bags of a bounded size.
+    """
+    keys = list(keys)
+    wide = _held(rows, keys, slots)
+    schema = StructType([*(wide.schema[x] for x in keys), *StructType.fromDDL(MEASURES)])
+    return wide.mapInArrow(_battery_rows(keys, to_arrow_schema(schema), str(seed), reps, len(slots), list(kinds), list(bias)), schema)
+
+
+def _measures_of_lists(k: int, schema: pa.Schema):
+    def bag(key, rows: pa.Table, moved: pa.Table) -> pa.Table:
+        if not rows.num_rows or not moved.num_rows:
+            return schema.empty_table()
+        order = np.argsort(rows["pos"].to_numpy())
+        positions = rows["pos"].to_numpy()[order]
+        values, edges = rk.list_rows(moved["positives"])
+        x = np.minimum(np.searchsorted(positions, values), len(positions) - 1)
+        hit, out = positions[x] == values, []
+        for slot in range(k):
+            score = rows[f"_s{slot}"].to_numpy()[order]
+            known = ~np.isnan(score)
+            _, at, count = np.unique(score[known], return_inverse=True, return_counts=True)
+            twice = np.zeros(len(score), np.int64)
+            twice[known] = (2 * np.cumsum(count) - count + 1)[at]
+            found = hit & known[x]
+            p, total, inside = (np.concatenate([[0], np.cumsum(np.where(found, c, 0))]) for c in (1, twice[x], score[x]))
+            p, total, inside = (c[edges[1:]] - c[edges[:-1]] for c in (p, total, inside))
+            pairs = 2.0 * p * (known.sum() - p)
+            n = len(p)
+            out.append(pa.Table.from_arrays([
+                pa.array([key[0].as_py()] * n, schema.field(0).type), moved["null"].combine_chunks(), moved["rep"].combine_chunks().cast(pa.int32()), pa.array(np.full(n, slot, np.int32)),
+                pa.array(inside / max(score[known].sum(), 1e-8)), pa.array((total - p * (p + 1)) / np.where(pairs > 0, pairs, 1), mask=pairs == 0)], schema=schema))
+        return pa.concat_tables(out)
+    return bag
+
+
+def measures_of_lists(rows: DataFrame, slots: Sequence[str], lists: DataFrame) -> DataFrame:
+    """(bag_id, null, rep, slot, value, auc): lesion share and AUC of every slot under the positives of ``lists`` (bag_id, null, rep, positives).
+
+    A list without a positive has a share of 0. For bags of a bounded size and targets of 0 or 1.
+    """
+    wide = rows.select(F.col("bag_id").alias("_bag"), F.col("pos").cast("bigint").alias("pos"), *[F.col(s).cast("double").alias(f"_s{i}") for i, s in enumerate(slots)])
+    schema = StructType([rows.schema["bag_id"], *StructType.fromDDL(MEASURES)])
+    grouped = wide.groupBy("_bag").cogroup(lists.select("bag_id", "null", "rep", "positives").groupBy("bag_id"))
+    return grouped.applyInArrow(_measures_of_lists(len(slots), to_arrow_schema(schema)), schema)
