@@ -9,6 +9,7 @@ from ..operators import ranking as rk
 
 
 BUCKETS = 256
+TASK_ROWS = 1 << 18  # a batch is scored by tasks of about this many rows
 
 
 def latest(results: DataFrame) -> DataFrame:
@@ -18,6 +19,12 @@ def latest(results: DataFrame) -> DataFrame:
     return last.where(F.col("flat").isNotNull())
 
 
+def spread_over(session: SparkSession, rows: int) -> None:
+    """As many shuffle partitions as the rows need; a stream's session has a fixed number of them and is no other query's."""
+    now = int(session.conf.get("spark.sql.shuffle.partitions"))
+    session.conf.set("spark.sql.shuffle.partitions", max(now, -(-rows // TASK_ROWS)))
+
+
 def ingest(spark: SparkSession, landing: str, out: str, checkpoint: str, schema: T.StructType, n_patch: int,
            score: str, files_per_batch: int = 64) -> DataFrame:
     """Process everything in ``landing`` that is new, then stop; return the current results.
@@ -38,6 +45,7 @@ def ingest(spark: SparkSession, landing: str, out: str, checkpoint: str, schema:
         touched = new.select("bag_id").distinct()
         buckets = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most BUCKETS numbers
         filed = session.read.option("basePath", store).parquet(store).where(F.col("bucket").isin(buckets) & (F.col("batch") <= number))
+        spread_over(session, filed.count())
         rows = filed.join(touched, "bag_id", "left_semi").dropDuplicates(["bag_id", "pos"]).drop("bucket", "batch")
         rows = rows.withColumn("slice", F.floor(F.col("pos") / F.lit(n_patch)))
         scored = touched.join(rk.axes(rows, n_patch, ["bag_id"], score), "bag_id", "left")
