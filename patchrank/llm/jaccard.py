@@ -3,13 +3,14 @@
 A document's set holds its distinct shingles (fingerprints of 64 bits). Two sets of sizes a and b link when their overlap o
 satisfies 100 o >= t (a + b - o), so they differ in at most H(a + b) shingles.
 
-1. *Blocks.* Shingles are dealt by hash into H + 1 + spare parts, for H of the size class. Linked sets agree in one part that is not
+1. *Census.* A set that links shares at least t in 100 of its shingles with another one. Of a fixed share of all shingles, chosen by
+   their fingerprints, those that occur in a single set are counted; a set with more of them than it may have outside a partner links with
+   nothing. Of equal sets the smallest doc_id goes on. Documents that only have a passage in common go here, before any signature is made.
+2. *Families.* Shingles are dealt by hash into H + 1 + spare parts, for H of the size class. Linked sets agree in one part that is not
    empty, or both have more than ``spare`` empty parts; each set therefore sends one signature per part, and all empty ones only in
    that case. ``spare`` is five deviations above the empty parts that the smallest set of the class is expected to have. Sets that share a signature are joined by star edges, and their components are the candidate families. A set's
-   classes are its own and the larger ones with which it can link. Equal sets of one task travel once.
-2. *Thinning.* A shingle held by one set of its family adds to no overlap. A set that shares fewer than t / 100 of its own shingles with
-   the rest of its family links with nothing and leaves it; without it families fall apart, so the rest is signed anew, until a
-   pass removes less than a tenth. Documents that only have a passage in common go here, before any block is made.
+   classes are its own and the larger ones with which it can link. Before that and after it the census is taken again of all shingles of the
+   remaining sets, the second time within families, until a pass removes less than a tenth.
 3. *Product.* A family's incidence rows meet in blocks of bounded size; a larger family is cut into chunks and every pair of
    chunks is a block. A block keeps the columns that two of its rows or more share, accumulates over them the overlap counts of one row with
    all rows not yet reached whose sizes can link, and keeps those that meet the bound. It returns a spanning forest, never pairs.
@@ -26,12 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patchrank.llm import text as T
-from patchrank.llm.common import blobs, breaks, components, forest, keep, keep_bucketed, packed_slices, spread, unpacked_slice
+from patchrank.llm.common import blobs, breaks, components, forest, keep, keep_bucketed, packed_slices, planes, spread, unpacked_slice
 
 RATIO = 1.4
 PACKED = "grp INT, sigs BINARY, refs BINARY, docs BINARY, sizes BINARY"
 SETS = "doc_id BIGINT, family BIGINT, members BINARY"
-REDUCED = "kind STRING, a BIGINT, b BIGINT, n BIGINT"
+TOLD = "doc_id BIGINT, n BIGINT, same BINARY, texts BIGINT, able BOOLEAN"
+CODES = 1 << 26  # of a group; two shingles taken for one only keep a document
 
 
 def needed(total: np.ndarray, percent: int) -> np.ndarray:
@@ -39,6 +41,11 @@ def needed(total: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * total // (100 + percent))
 
 
+def sampled(percent: int) -> float:
+    """Share of all shingles that is counted: a set that can link has at most 100 - percent in a hundred that no other set holds."""
+    return min(1.0, 2.5 * (100 - percent) / 100)
+
+
 class Classes:
     """Size classes and the number of parts of each."""
 
@@ -117,43 +124,158 @@ def _group(codes, groups):
     return (((codes >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)).astype(np.int64)
 
 
-def _signer(width, percent, groups):
+def _spoken(width, percent, groups):
+    """Of every text its size and the digest of its set, and codes of a fixed share of its shingles; equal sets of a batch send codes once.
+
+    Sizes go to the group -1 - g, for g of the doc_id's hash.
+    """
+    share = sampled(percent)
+
     def rows(stream):
-        classes, largest = None, 0
         for batch in T.batches(stream):
             ids = batch["doc_id"]
             known = ids.is_valid().to_numpy()
-            ids = ids.fill_null(0).to_numpy()
+            ids = ids.fill_null(0).to_numpy().astype(np.int64)
             members, bounds = sets_of(lowered(batch["text"]), width)
-            sizes = np.diff(bounds)
-            if classes is None or sizes.max(initial=1) > largest:
-                largest = int(sizes.max(initial=1))
-                classes = Classes(percent, largest)
-            same: dict[bytes, int] = {}
-            reps = ids.copy()
-            sigs, owner = [], []
+            sizes = np.diff(bounds).astype(np.int64)
+            same = np.zeros((len(ids), 16), np.uint8)
+            met: set[bytes] = set()
+            sent = np.zeros(len(ids), bool)
             for i in np.flatnonzero(known & (sizes > 0))[np.argsort(ids[known & (sizes > 0)], kind="stable")]:
-                own = members[bounds[i]:bounds[i + 1]]
-                reps[i] = same.setdefault(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), int(ids[i]))
-                if reps[i] == ids[i]:
-                    s = signatures(own, classes)
-                    sigs.append(s)
-                    owner.append(np.full(len(s), ids[i]))
+                digest = hashlib.blake2b(members[bounds[i]:bounds[i + 1]].tobytes(), digest_size=16).digest()
+                same[i] = np.frombuffer(digest, np.uint8)
+                sent[i] = digest not in met
+                met.add(digest)
+            home = _group(T.mix(np.where(known, ids, np.arange(len(ids))).view(np.uint64)), groups)
+            order = np.argsort(home, kind="stable")
+            at = breaks(home[order])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([-1 - int(sizes.sum() % 1024)], pa.int32()), pa.array([known.tobytes()], pa.binary()), pa.array([reps.astype(np.int64).tobytes()], pa.binary()),
-                 pa.array([ids.astype(np.int64).tobytes()], pa.binary()), pa.array([sizes.astype(np.int64).tobytes()], pa.binary())],
+                [pa.array(-1 - home[order][at[:-1]], pa.int32()), blobs(same[order].view("V16").ravel(), at), blobs(known[order], at), blobs(ids[order], at), blobs(sizes[order], at)],
                 ["grp", "sigs", "refs", "docs", "sizes"])
-            if sigs:
-                yield from _dealt(sigs, owner, groups)
+            owner = np.repeat(np.arange(len(ids)), sizes)
+            told = sent[owner] & (members <= np.uint64(int(share * (2 ** 64 - 1))) if share < 1 else True)
+            codes, owner = T.mix(members[told]), owner[told]
+            yield from _coded((_group(codes, groups).astype(np.uint64) << np.uint64(32)) | (codes & np.uint64(CODES - 1)), owner, ids)
+    return rows
+
+
+def _coded(codes, owner, ids):
+    """Packed rows of codes (group, then 32 bits); of one that a batch holds often, two entries prove that it is shared."""
+    order = np.argsort(codes)
+    codes, owner = codes[order], owner[order]
+    few = np.ones(len(codes), bool)
+    few[2:] = codes[2:] != codes[:-2]
+    codes, owner = codes[few], owner[few]
+    if len(codes):
+        for columns in packed_slices((codes >> np.uint64(32)).astype(np.int64), codes, owner, ids):
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(columns[0]), pa.binary())], ["grp", "sigs", "refs", "docs", "sizes"])
+
+
+def _alone(codes, docs):
+    """(doc_ids, number of their codes that occur once)"""
+    c, d = np.concatenate(codes), np.concatenate(docs)
+    order = np.argsort(c)
+    cut = breaks(c[order])
+    return np.unique(d[order[cut[:-1][np.diff(cut) == 1]]], return_counts=True)
+
+
+def _census(groups):
+    """Sizes as they came; of every group of codes, the doc_ids and numbers of those that one text alone holds, by the doc_id's group."""
+    def rows(stream):
+        held, codes, docs = None, [], []
+
+        def close():
+            d, n = _alone(codes, docs)
+            home = _group(T.mix(d.view(np.uint64)), groups)
+            order = np.argsort(home, kind="stable")  # doc_ids ascend in each
+            d, n, home = d[order], n[order], home[order]
+            for a, b in zip((at := breaks(home))[:-1], at[1:]):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([-1 - home[a]], pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()),
+                     *(pa.array([planes(x)], pa.binary()) for x in (np.diff(d[a:b], prepend=0), n[a:b].astype(np.int64)))], ["grp", "sigs", "refs", "docs", "sizes"])
+
+        for batch in stream:
+            grps = batch.column("grp").to_pylist()
+            if grps and grps[0] < 0:
+                yield batch.slice(0, sum(g < 0 for g in grps))
+            for i, grp in enumerate(grps):
+                if grp < 0:
+                    continue
+                if grp != held and codes:
+                    yield from close()
+                    codes, docs = [], []
+                held = grp
+                c, d = unpacked_slice(*(batch.column(x)[i].as_py() for x in ("sigs", "refs", "docs")))
+                codes.append(c.astype(np.uint32))
+                docs.append(d)
+        if codes:
+            yield from close()
+        T.release()
+    return rows
+
+
+def _judged(percent):
+    """A row for every text: doc_id, size, digest of its set, texts of its doc_id, and whether its set can link with another one."""
+    def rows(stream):
+        held, sized, single = None, [], []
+
+        def close():
+            same, known, ids, n = (np.concatenate(x) for x in zip(*sized))
+            alone = np.zeros(len(ids), np.int64)
+            nodes, at, texts = np.unique(ids[known], return_inverse=True, return_counts=True)
+            total = np.zeros(len(nodes), np.int64)
+            for d, k in single:
+                total[np.searchsorted(nodes, d)] += k  # a doc_id once in each
+            alone[known] = total[at]
+            several = np.zeros(len(ids), np.int64)
+            several[known] = texts[at]
+            able = known & (n > 0) & ((several > 1) | (100 * alone <= (100 - percent) * n))
+            full = known & (n > 0)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64(), mask=~known), pa.array(n, pa.int64()), pa.array([x.tobytes() if f else None for x, f in zip(same, full)], pa.binary()),
+                 pa.array(several, pa.int64()), pa.array(able)], ["doc_id", "n", "same", "texts", "able"])
+
+        for batch in stream:
+            for i, grp in enumerate(batch.column("grp").to_pylist()):
+                if grp != held and sized:
+                    yield close()
+                    sized, single = [], []
+                held = grp
+                s, r, d, n = (batch.column(c)[i].as_py() for c in ("sigs", "refs", "docs", "sizes"))
+                if s is None:
+                    single.append((np.cumsum(_unplaned(d)), _unplaned(n)))
+                else:
+                    sized.append((np.frombuffer(s, "V16"), np.frombuffer(r, bool), np.frombuffer(d, np.int64), np.frombuffer(n, np.int64)))
+        if sized:
+            yield close()
+        T.release()
     return rows
 
 
-def _rows(kind, a, b, n=None, valid=None):
-    k = len(a)
-    mask = None if valid is None else ~valid
-    return pa.RecordBatch.from_arrays(
-        [pa.array([kind] * k, pa.string()), pa.array(a, pa.int64(), mask=mask), pa.array(b, pa.int64(), mask=mask),
-         pa.nulls(k, pa.int64()) if n is None else pa.array(n, pa.int64())], ["kind", "a", "b", "n"])
+def _summed(stream):
+    """(doc_id, number of its codes that it holds alone)"""
+    held, docs, counts = None, [], []
+
+    def close():
+        d, at = np.unique(np.concatenate(docs), return_inverse=True)
+        n = np.bincount(at, np.concatenate(counts)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "alone"])
+
+    for batch in stream:
+        for i, grp in enumerate(batch.column("grp").to_pylist()):
+            if grp != held and docs:
+                yield close()
+                docs, counts = [], []
+            held = grp
+            docs.append(np.cumsum(_unplaned(batch.column("docs")[i].as_py())))
+            counts.append(_unplaned(batch.column("sizes")[i].as_py()))
+    if docs:
+        yield close()
+    T.release()
+
+
+def _unplaned(data):
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
 
 
 def _families(stream):
@@ -169,19 +291,15 @@ def _families(stream):
         far = d != low
         if far.any():
             a, b = forest(d[far], low[far])
-            yield _rows("edge", a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     for batch in stream:
         for i, grp in enumerate(batch.column("grp").to_pylist()):
-            s, r, d, n = (batch.column(c)[i].as_py() for c in ("sigs", "refs", "docs", "sizes"))
-            if grp < 0:
-                yield _rows("size", np.frombuffer(d, np.int64), np.frombuffer(r, np.int64), np.frombuffer(n, np.int64), np.frombuffer(s, bool))
-                continue
             if grp != held:
                 if sigs:
                     yield from close()
                 held, sigs, docs = grp, [], []
-            s, d = unpacked_slice(s, r, d)
+            s, d = unpacked_slice(*(batch.column(c)[i].as_py() for c in ("sigs", "refs", "docs")))
             sigs.append(s)
             docs.append(d)
     if sigs:
@@ -217,7 +335,7 @@ def _resigner(percent, groups):
 
 
 def _asked(groups):
-    """The shingles of all candidates, told apart by family; of one that a batch holds often, two entries prove that it is shared."""
+    """The shingles of all candidates, told apart by family."""
     def rows(stream):
         for batch in T.batches(stream, column="members"):
             ids, members, bounds = _loaded(batch)
@@ -226,41 +344,10 @@ def _asked(groups):
             owner = np.repeat(np.arange(len(ids)), np.diff(bounds))
             codes = T.mix(members + T.mix(batch["family"].to_numpy().astype(np.uint64))[owner])
             codes = (_group(codes, groups).astype(np.uint64) << np.uint64(32)) | (codes & np.uint64(0xFFFFFFFF))
-            order = np.argsort(codes)
-            codes, owner = codes[order], owner[order]
-            few = np.ones(len(codes), bool)
-            few[2:] = codes[2:] != codes[:-2]
-            codes, owner = codes[few], owner[few]
-            for columns in packed_slices((codes >> np.uint64(32)).astype(np.int64), codes, owner, ids):
-                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(columns[0]), pa.binary())], ["grp", "sigs", "refs", "docs", "sizes"])
+            yield from _coded(codes, owner, ids)
     return rows
 
 
-def _single(stream):
-    """(doc_id, number of its shingles in this group that no other set of the family holds)."""
-    held, codes, docs = None, [], []
-
-    def close():
-        c, d = np.concatenate(codes), np.concatenate(docs)
-        order = np.argsort(c)
-        cut = breaks(c[order])
-        d, n = np.unique(d[order][cut[:-1][np.diff(cut) == 1]], return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "alone"])
-
-    for batch in stream:
-        for i, grp in enumerate(batch.column("grp").to_pylist()):
-            if grp != held and codes:
-                yield close()
-                codes, docs = [], []
-            held = grp
-            c, d = unpacked_slice(*(batch.column(x)[i].as_py() for x in ("sigs", "refs", "docs")))
-            codes.append(c)
-            docs.append(d)
-    if codes:
-        yield close()
-    T.release()
-
-
 def _incidence(stream):
     for batch in T.batches(stream, column="members"):
         ids, members, bounds = _loaded(batch)
@@ -347,28 +434,29 @@ def _thinned(sets: DataFrame, percent: int, group_rows: int) -> DataFrame:
     """
     spark = sets.sparkSession
     buckets = spread(spark, 0, 1)
+    signed = None
     while True:
         before = sets.agg(F.sum(F.octet_length("members"))).first()[0] or 0
         groups = spread(spark, before // 8, group_rows)
         alone = (sets.mapInArrow(_asked(groups), PACKED).repartition(groups, "grp").sortWithinPartitions("grp")
-                 .mapInArrow(_single, "doc_id BIGINT, alone BIGINT").groupBy("doc_id").agg(F.sum("alone").alias("alone")))
+                 .mapInArrow(_census(groups), PACKED).repartition(groups, "grp").sortWithinPartitions("grp").mapInArrow(_summed, "doc_id BIGINT, alone BIGINT"))
         sized = sets.groupBy("doc_id").agg((F.sum(F.octet_length("members")) / 8).alias("n"), F.count(F.lit(1)).alias("texts"))
         able = F.expr(f"texts > 1 OR 100 * (n - coalesce(alone, 0)) >= {percent} * n")
         able = sized.join(alone, "doc_id", "left").where(able).select("doc_id")
         left = keep_bucketed(sets.join(able, "doc_id", "left_semi").select(sets.columns), "jaccard-left", buckets, "doc_id")
         after = left.agg(F.sum(F.octet_length("members"))).first()[0] or 0
-        if after == before:
+        if not after or signed is not None and 10 * after > 9 * before:
             return left
         signed = left.mapInArrow(_resigner(percent, groups), PACKED)
-        edges = signed.repartition(groups, "grp").sortWithinPartitions("grp").mapInArrow(_families, REDUCED).select("a", "b")
+        edges = signed.repartition(groups, "grp").sortWithinPartitions("grp").mapInArrow(_families, "a BIGINT, b BIGINT")
         families = components(edges, "jaccard-families").select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
         sets = keep_bucketed(left.drop("family").join(families, "doc_id").select(sets.columns), "jaccard-sets", buckets, "doc_id")
-        if 10 * after > 9 * before:
-            return sets
 
 
 def links(docs: DataFrame, width: int = 5, percent: int = 80, block: int = 1_000_000, group_rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
-    """(sizes, components): rows (doc_id, n_shingles) for every row of ``docs``, and (node, component) for every linked doc_id.
+    """(sizes, components): rows (doc_id, n_shingles) for every row of ``docs``, and (node, component) for every doc_id linked with a smaller one.
+
+    A doc_id that the second table lacks is the smallest of its component.
 
     Any bound gives the exact links. ``block`` bounds the shingles of one chunk of a family. A text without words has an empty set and no links. Rows without a doc_id
     have a size and no links. Rows that share a doc_id are one node, linked by any of their texts.
@@ -376,15 +464,16 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80, block: int = 1_000
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = spread(spark, volume // 40, group_rows)  # about one signature for 40 bytes of prose
-    signed = rows.mapInArrow(_signer(width, percent, groups), PACKED)
-    reduced = keep(signed.repartition(groups, "grp").sortWithinPartitions("grp").mapInArrow(_families, REDUCED), "jaccard-signatures")
-    sizes = reduced.where("kind = 'size'").select(F.col("a").alias("doc_id"), "b", "n")
-    families = components(reduced.where("kind = 'edge'").select("a", "b"), "jaccard-families")
-    named = families.select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+    groups = spread(spark, int(volume * sampled(percent)) // 7, 4 * group_rows)  # about one shingle for 7 bytes of prose
+    said = rows.mapInArrow(_spoken(width, percent, groups), PACKED).repartition(groups, "grp").sortWithinPartitions("grp")
+    told = keep(said.mapInArrow(_census(groups), PACKED).repartition(groups, "grp").sortWithinPartitions("grp").mapInArrow(_judged(percent), TOLD), "jaccard-told")
+    first = told.where("same IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    copies = keep(told.join(first, "same").where("doc_id <> rep").select("doc_id", "rep", "texts"), "jaccard-copies")
+    once = copies.where("texts = 1").select("doc_id", "rep")  # these leave all further work to the smallest doc_id of equal sets
+    able = keep(told.where("able").select("doc_id").distinct().join(once, "doc_id", "left_anti"), "jaccard-able")
     buckets = spread(spark, 0, 1)
-    sets = keep_bucketed(rows.join(named, "doc_id").mapInArrow(_members(width), SETS), "jaccard-sets", buckets, "doc_id")
-    sets = _thinned(sets, percent, group_rows)
+    sets = rows.join(able, "doc_id").select("doc_id", F.lit(0).cast("bigint").alias("family"), "text").mapInArrow(_members(width), SETS)
+    sets = _thinned(keep_bucketed(sets.repartition(buckets, "doc_id"), "jaccard-sets", buckets, "doc_id"), percent, group_rows)
 
     sized = keep(sets.groupBy("doc_id", "family").agg((F.sum(F.octet_length("members")) / 8).alias("n")), "jaccard-sized")
     totals = sized.groupBy("family").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("chunks"))
@@ -396,8 +485,10 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80, block: int = 1_000
                  .mapInArrow(_incidence, "family BIGINT, i INT, j INT, doc_id BIGINT, members BINARY"))
     keys = ["family", "i", "j"]
     found = (incidence.repartition(spread(spark, 0, 1), *keys).sortWithinPartitions(*keys).mapInArrow(_products(percent), "a BIGINT, b BIGINT"))
-    equal = sizes.where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
-    return sizes.select("doc_id", F.col("n").alias("n_shingles")), components(found.union(equal), "jaccard-links")
+    equal = copies.where("texts > 1").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    linked = components(found.union(equal), "jaccard-links")
+    follow = once.join(linked, F.col("rep") == F.col("node"), "left").select(F.col("doc_id").alias("node"), F.coalesce("component", "rep").alias("component"))
+    return told.select("doc_id", F.col("n").alias("n_shingles")), linked.union(follow)
 
 
 def classes_of(docs: DataFrame, **options) -> DataFrame:
