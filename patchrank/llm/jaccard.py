@@ -279,7 +279,7 @@ def _unplaned(data):
 
 
 def _families(stream):
-    """Star edges between the sets that share a signature, as one spanning forest per group of signatures."""
+    """Star edges between the sets that share a signature, as one spanning forest per group of signatures, a packed row each."""
     held, sigs, docs = None, [], []
 
     def close():
@@ -291,7 +291,7 @@ def _families(stream):
         far = d != low
         if far.any():
             a, b = forest(d[far], low[far])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([planes(x.astype(np.int64))], pa.binary()) for x in (a, b)], ["a", "b"])
 
     for batch in stream:
         for i, grp in enumerate(batch.column("grp").to_pylist()):
@@ -307,6 +307,17 @@ def _families(stream):
     T.release()
 
 
+def _forests(stream):
+    """The edges of a task's packed rows as one spanning forest: groups that find the same sets linked do not add to it."""
+    a, b = [], []
+    for batch in stream:
+        for held, name in ((a, "a"), (b, "b")):
+            held.extend(_unplaned(x) for x in batch.column(name).to_pylist())
+    if a:
+        x, y = forest(np.concatenate(a), np.concatenate(b))
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+
+
 def _members(width):
     """The sets of the candidates (doc_id, family, text)."""
     def rows(stream):
@@ -448,8 +459,8 @@ def _thinned(sets: DataFrame, percent: int, group_rows: int) -> DataFrame:
         if not after or signed is not None and 10 * after > 9 * before:
             return left
         signed = left.mapInArrow(_resigner(percent, groups), PACKED)
-        edges = signed.repartition(groups, "grp").sortWithinPartitions("grp").mapInArrow(_families, "a BIGINT, b BIGINT")
-        families = components(edges, "jaccard-families").select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+        edges = keep(signed.repartition(groups, "grp").sortWithinPartitions("grp").mapInArrow(_families, "a BINARY, b BINARY"), "jaccard-edges")
+        families = components(edges.mapInArrow(_forests, "a BIGINT, b BIGINT"), "jaccard-families").select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
         sets = keep_bucketed(left.drop("family").join(families, "doc_id").select(sets.columns), "jaccard-sets", buckets, "doc_id")
 
 

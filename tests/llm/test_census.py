@@ -54,3 +54,14 @@ def test_a_group_of_codes_returns_its_singles_packed():
     told.sort(key=lambda r: r["grp"])
     summed = pa.Table.from_batches(jaccard._summed(iter([pa.RecordBatch.from_pylist(told)])))
     assert sorted(zip(*(summed[c].to_pylist() for c in ("doc_id", "alone")))) == [(i, groups) for i in ids.tolist()]
+
+
+def test_groups_that_link_the_same_sets_add_no_edges():
+    """Near copies agree in most groups of signatures: a packed row a group, and one forest of all."""
+    groups, ids = 20, np.arange(100) * 5
+    sigs = np.repeat(np.arange(groups, dtype=np.uint64) * np.uint64((1 << 64) // groups), 100) + np.uint64(1 << 40)
+    sent = list(jaccard._dealt([sigs], [np.tile(ids, groups)], groups))
+    packed = list(jaccard._families(iter(sent)))
+    assert sum(x.num_rows for x in packed) == groups
+    edges = pa.Table.from_batches(jaccard._forests(iter(packed)))
+    assert sorted(edges["a"].to_pylist()) == ids[1:].tolist() and set(edges["b"].to_pylist()) == {0}
