@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patchrank.llm import text as T
-from patchrank.llm.common import blobs, breaks, components, forest, keep, keep_bucketed, packed_slices, planes, spread, unpacked_slice
+from patchrank.llm.common import blobs, breaks, components, forest, keep, keep_bucketed_sum, packed_slices, planes, spread, unpacked_slice
 
 RATIO = 1.4
 PACKED = "grp INT, sigs BINARY, refs BINARY, docs BINARY, sizes BINARY"
@@ -437,8 +437,8 @@ def _products(percent):
     return rows
 
 
-def _thinned(sets: DataFrame, percent: int, group_rows: int) -> DataFrame:
-    """``sets`` (doc_id, family, members) without those that cannot link, their families formed anew.
+def _thinned(sets: DataFrame, percent: int, group_rows: int, before: int | None = None) -> DataFrame:
+    """``sets`` (doc_id, family, members; ``before`` bytes of members, summed here if not given) without those that cannot link, their families formed anew.
 
     A doc_id with several texts always stays. Every pass sends each candidate's shingles once, as 32 bits beside their group: two that
     are taken for one only keep a candidate. Sets themselves stay in their buckets.
@@ -446,22 +446,22 @@ def _thinned(sets: DataFrame, percent: int, group_rows: int) -> DataFrame:
     spark = sets.sparkSession
     buckets = spread(spark, 0, 1)
     signed = None
-    while True:
+    if before is None:
         before = sets.agg(F.sum(F.octet_length("members"))).first()[0] or 0
+    while True:
         groups = spread(spark, before // 8, group_rows)
         alone = (sets.mapInArrow(_asked(groups), PACKED).repartition(groups, "grp").sortWithinPartitions("grp")
                  .mapInArrow(_census(groups), PACKED).repartition(groups, "grp").sortWithinPartitions("grp").mapInArrow(_summed, "doc_id BIGINT, alone BIGINT"))
         sized = sets.groupBy("doc_id").agg((F.sum(F.octet_length("members")) / 8).alias("n"), F.count(F.lit(1)).alias("texts"))
         able = F.expr(f"texts > 1 OR 100 * (n - coalesce(alone, 0)) >= {percent} * n")
         able = sized.join(alone, "doc_id", "left").where(able).select("doc_id")
-        left = keep_bucketed(sets.join(able, "doc_id", "left_semi").select(sets.columns), "jaccard-left", buckets, "doc_id")
-        after = left.agg(F.sum(F.octet_length("members"))).first()[0] or 0
+        left, after = keep_bucketed_sum(sets.join(able, "doc_id", "left_semi").select(sets.columns), "jaccard-left", buckets, "doc_id", F.octet_length("members"))
         if not after or signed is not None and 10 * after > 9 * before:
             return left
         signed = left.mapInArrow(_resigner(percent, groups), PACKED)
         edges = keep(signed.repartition(groups, "grp").sortWithinPartitions("grp").mapInArrow(_families, "a BINARY, b BINARY"), "jaccard-edges")
         families = components(edges.mapInArrow(_forests, "a BIGINT, b BIGINT"), "jaccard-families").select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
-        sets = keep_bucketed(left.drop("family").join(families, "doc_id").select(sets.columns), "jaccard-sets", buckets, "doc_id")
+        sets, before = keep_bucketed_sum(left.drop("family").join(families, "doc_id").select(sets.columns), "jaccard-sets", buckets, "doc_id", F.octet_length("members"))
 
 
 def links(docs: DataFrame, width: int = 5, percent: int = 80, block: int = 1_000_000, group_rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
@@ -484,7 +484,8 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80, block: int = 1_000
     able = keep(told.where("able").select("doc_id").distinct().join(once, "doc_id", "left_anti"), "jaccard-able")
     buckets = spread(spark, 0, 1)
     sets = rows.join(able, "doc_id").select("doc_id", F.lit(0).cast("bigint").alias("family"), "text").mapInArrow(_members(width), SETS)
-    sets = _thinned(keep_bucketed(sets.repartition(buckets, "doc_id"), "jaccard-sets", buckets, "doc_id"), percent, group_rows)
+    sets, held = keep_bucketed_sum(sets.repartition(buckets, "doc_id"), "jaccard-sets", buckets, "doc_id", F.octet_length("members"))
+    sets = _thinned(sets, percent, group_rows, held)
 
     sized = keep(sets.groupBy("doc_id", "family").agg((F.sum(F.octet_length("members")) / 8).alias("n")), "jaccard-sized")
     totals = sized.groupBy("family").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("chunks"))
