@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patchrank.llm import text as T
-from patchrank.llm.common import blobs, breaks, components, forest, keep, keep_bucketed_sum, packed_slices, planes, spread, unpacked_slice
+from patchrank.llm.common import blobs, breaks, components, forest, keep, keep_bucketed_sum, merged, packed_slices, planes, spread, unpacked_slice
 
 RATIO = 1.4
 PACKED = "grp INT, sigs BINARY, refs BINARY, docs BINARY, sizes BINARY"
@@ -454,14 +454,14 @@ def _thinned(sets: DataFrame, percent: int, group_rows: int, before: int | None
                  .mapInArrow(_census(groups), PACKED).repartition(groups, "grp").sortWithinPartitions("grp").mapInArrow(_summed, "doc_id BIGINT, alone BIGINT"))
         sized = sets.groupBy("doc_id").agg((F.sum(F.octet_length("members")) / 8).alias("n"), F.count(F.lit(1)).alias("texts"))
         able = F.expr(f"texts > 1 OR 100 * (n - coalesce(alone, 0)) >= {percent} * n")
-        able = sized.join(alone, "doc_id", "left").where(able).select("doc_id")
-        left, after = keep_bucketed_sum(sets.join(able, "doc_id", "left_semi").select(sets.columns), "jaccard-left", buckets, "doc_id", F.octet_length("members"))
+        able = merged(sized, alone, "doc_id", "left").where(able).select("doc_id")
+        left, after = keep_bucketed_sum(merged(sets, able, "doc_id", "left_semi").select(sets.columns), "jaccard-left", buckets, "doc_id", F.octet_length("members"))
         if not after or signed is not None and 10 * after > 9 * before:
             return left
         signed = left.mapInArrow(_resigner(percent, groups), PACKED)
         edges = keep(signed.repartition(groups, "grp").sortWithinPartitions("grp").mapInArrow(_families, "a BINARY, b BINARY"), "jaccard-edges")
         families = components(edges.mapInArrow(_forests, "a BIGINT, b BIGINT"), "jaccard-families").select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
-        sets, before = keep_bucketed_sum(left.drop("family").join(families, "doc_id").select(sets.columns), "jaccard-sets", buckets, "doc_id", F.octet_length("members"))
+        sets, before = keep_bucketed_sum(merged(left.drop("family"), families, "doc_id").select(sets.columns), "jaccard-sets", buckets, "doc_id", F.octet_length("members"))
 
 
 def links(docs: DataFrame, width: int = 5, percent: int = 80, block: int = 1_000_000, group_rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
@@ -479,11 +479,11 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80, block: int = 1_000
     said = rows.mapInArrow(_spoken(width, percent, groups), PACKED).repartition(groups, "grp").sortWithinPartitions("grp")
     told = keep(said.mapInArrow(_census(groups), PACKED).repartition(groups, "grp").sortWithinPartitions("grp").mapInArrow(_judged(percent), TOLD), "jaccard-told")
     first = told.where("same IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    copies = keep(told.join(first, "same").where("doc_id <> rep").select("doc_id", "rep", "texts"), "jaccard-copies")
+    copies = keep(merged(told, first, "same").where("doc_id <> rep").select("doc_id", "rep", "texts"), "jaccard-copies")
     once = copies.where("texts = 1").select("doc_id", "rep")  # these leave all further work to the smallest doc_id of equal sets
-    able = keep(told.where("able").select("doc_id").distinct().join(once, "doc_id", "left_anti"), "jaccard-able")
+    able = keep(merged(told.where("able").select("doc_id").distinct(), once, "doc_id", "left_anti"), "jaccard-able")
     buckets = spread(spark, 0, 1)
-    sets = rows.join(able, "doc_id").select("doc_id", F.lit(0).cast("bigint").alias("family"), "text").mapInArrow(_members(width), SETS)
+    sets = merged(rows, able, "doc_id").select("doc_id", F.lit(0).cast("bigint").alias("family"), "text").mapInArrow(_members(width), SETS)
     sets, held = keep_bucketed_sum(sets.repartition(buckets, "doc_id"), "jaccard-sets", buckets, "doc_id", F.octet_length("members"))
     sets = _thinned(sets, percent, group_rows, held)
 
@@ -492,21 +492,21 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80, block: int = 1_000
     chunk = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
     blocks = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(
         F.col("family"), F.least(k, F.col("chunk")).alias("i"), F.greatest(k, F.col("chunk")).alias("j")))
-    where = sized.join(totals, "family").withColumn("chunk", chunk).select("doc_id", blocks.alias("blocks"))
-    incidence = (sets.select("doc_id", "members").join(where, "doc_id").select("doc_id", "members", "blocks")
+    where = merged(sized, totals, "family").withColumn("chunk", chunk).select("doc_id", blocks.alias("blocks"))
+    incidence = (merged(sets.select("doc_id", "members"), where, "doc_id").select("doc_id", "members", "blocks")
                  .mapInArrow(_incidence, "family BIGINT, i INT, j INT, doc_id BIGINT, members BINARY"))
     keys = ["family", "i", "j"]
     found = (incidence.repartition(spread(spark, 0, 1), *keys).sortWithinPartitions(*keys).mapInArrow(_products(percent), "a BIGINT, b BIGINT"))
     equal = copies.where("texts > 1").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     linked = components(found.union(equal), "jaccard-links")
-    follow = once.join(linked, F.col("rep") == F.col("node"), "left").select(F.col("doc_id").alias("node"), F.coalesce("component", "rep").alias("component"))
+    follow = merged(once, linked, F.col("rep") == F.col("node"), "left").select(F.col("doc_id").alias("node"), F.coalesce("component", "rep").alias("component"))
     return told.select("doc_id", F.col("n").alias("n_shingles")), linked.union(follow)
 
 
 def classes_of(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest doc_id reachable by links, for every row of ``docs``."""
     sizes, found = links(docs, **options)
-    joined = sizes.join(found, F.col("doc_id") == F.col("node"), "left")
+    joined = merged(sizes, found, F.col("doc_id") == F.col("node"), "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
@@ -514,4 +514,4 @@ def dedup(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its group; of repeated rows with one doc_id all stay."""
     _, found = links(docs, **options)
     gone = found.where("node <> component").select(F.col("node").alias("_node"))
-    return docs.join(gone, docs["doc_id"] == gone["_node"], "left_anti")
+    return merged(docs, gone, docs["doc_id"] == gone["_node"], "left_anti")

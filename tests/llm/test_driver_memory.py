@@ -68,3 +68,23 @@ def test_features_reach_the_driver_packed():
     assert np.array_equal(b, buckets) and b.dtype == np.int32 and np.array_equal(c, counts)
     assert 5 * len(data) <= 8 * len(buckets)
     assert [len(x) for x in quality.unfolded(quality.folded(buckets[:0], counts[:0]))] == [0, 0]
+
+
+def plans(spark, work):
+    """Plans of all queries that ``work`` runs, as they were carried out."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = store.executionsCount()
+    work()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    listed = store.executionsList()
+    return [listed.apply(i).physicalPlanDescription() for i in range(before, listed.size())]
+
+
+def test_no_table_of_documents_is_broadcast(spark, make):
+    """Files understate what a hashed relation takes of the driver; small tables too are joined as large ones are."""
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") in ("10485760b", "10MB")
+    found = plans(spark, lambda: jaccard.dedup(make(corpus(), 7), width=5, percent=80).collect())
+    assert found and not [x for x in found if "BroadcastExchange" in x]
+    chain = spark.createDataFrame([(i, i + 1) for i in range(200)], "a BIGINT, b BIGINT").repartition(9)
+    assert not [x for x in plans(spark, lambda: common.components(chain).collect()) if "BroadcastExchange" in x]
