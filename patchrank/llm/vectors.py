@@ -2,7 +2,7 @@
 
 The angle between vectors is a metric. Within a label, pivots partition the vectors: a vector is owned by the cell of its nearest
 pivot. Two vectors within angle r can be in different cells i and j only if d(x, p_j) <= d(x, p_i) + 2 r, so a vector also visits
-every cell that meets this bound; nothing else needs to. Cells then join independently: visitors and owners against owners, so
+every cell that meets this bound; nothing else needs to. The pivots of a label reach a task once for a few thousand of its vectors. Cells then join independently: visitors and owners against owners, so
 each vector meets each possible partner once. A cell over ``chunk`` rows is cut into owner chunks and query chunks whose pairs
 are blocks; blocks return counts and a spanning forest, never pairs.
 """
@@ -24,20 +24,33 @@ def usable(vectors: DataFrame) -> DataFrame:
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull())
     rows = rows.where(fine & F.exists("embedding", lambda x: x != 0))
-    return rows.select(F.col("vec_id").cast("bigint"), "label", F.col("embedding").cast("array<double>")).dropDuplicates()
+    return rows.select(F.col("vec_id").cast("bigint"), "label", F.col("embedding").cast(kept_type(vectors))).dropDuplicates()
+
+
+def kept_type(vectors: DataFrame) -> str:
+    """Embeddings travel as they are if they are FLOAT; they are doubles once a task reads them."""
+    return "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
 
 
 def with_pivots(points: DataFrame, cell_rows: int) -> DataFrame:
-    """``points`` with ``_pivots``, vectors drawn by hash: about one for ``cell_rows`` rows of the label, 1 to 2 * PIVOTS."""
+    """(label, _dim, vec_id, embedding, _pivots), dealt in groups of about ``cell_rows`` vectors of a label, each behind one row that holds the label's pivots alone.
+
+    Pivots are vectors drawn by hash: about one for ``cell_rows`` rows of the label, 1 to 2 * PIVOTS.
+    """
     draw = F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(1 << 40))
     share = F.least(F.lit(PIVOTS), F.floor(F.col("_n") / cell_rows)) / F.col("_n")
-    sizes = points.groupBy("label", F.size("embedding").alias("_dim")).agg(F.count(F.lit(1)).alias("_n"), F.min_by("embedding", draw).alias("_first"))
-    drawn = (points.withColumn("_dim", F.size("embedding")).join(sizes.drop("_first"), ["label", "_dim"])
+    points = points.withColumn("_dim", F.size("embedding"))
+    sizes = points.groupBy("label", "_dim").agg(F.count(F.lit(1)).alias("_n"), F.min_by("embedding", draw).alias("_first"))
+    parts = F.ceil(F.col("_n") / cell_rows).cast("int")
+    drawn = (points.join(sizes.drop("_first"), ["label", "_dim"])
              .where(draw < share * F.lit(float(1 << 40))).select("label", "_dim", F.struct(draw.alias("d"), "embedding").alias("p"))
              .groupBy("label", "_dim").agg(F.slice(F.sort_array(F.collect_list("p")), 1, 2 * PIVOTS).alias("_p")))
-    pivots = sizes.drop("_n").join(drawn, ["label", "_dim"], "left").select(
-        "label", "_dim", F.concat(F.array("_first"), F.coalesce(F.col("_p.embedding"), F.array())).alias("_pivots"))
-    return points.withColumn("_dim", F.size("embedding")).join(pivots, ["label", "_dim"])
+    pivots = sizes.join(drawn, ["label", "_dim"], "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    pivots = pivots.select("label", "_dim", "_part", F.concat(F.array("_first"), F.coalesce(F.col("_p.embedding"), F.array())).alias("_pivots"))
+    part = F.pmod(F.xxhash64("vec_id", "embedding", F.lit(1)), parts).cast("int")
+    rows = points.join(sizes.drop("_first"), ["label", "_dim"]).select("label", "_dim", part.alias("_part"), "vec_id", "embedding")
+    dealt = rows.unionByName(pivots, allowMissingColumns=True).repartition("label", "_dim", "_part")
+    return dealt.sortWithinPartitions("label", "_dim", "_part", F.col("_pivots").isNull()).select("label", "_dim", "vec_id", "embedding", "_pivots")
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -49,25 +62,30 @@ def _matrix(column, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
 
 
-def _assign(radius: float):
-    """One row per cell that a vector owns or visits."""
+def _assign(radius: float, most: int = 1 << 15):
+    """One row per cell that a vector owns or visits, in batches of about ``most`` rows or fewer."""
     def rows(stream):
+        p = None  # of the group read now
         for batch in stream:
-            label, dim = batch.column("label").to_pylist(), np.array(batch.column("_dim").to_pylist())
-            key: dict = {}
-            for i, k in enumerate(zip(label, dim.tolist())):
-                key.setdefault(k, []).append(i)
-            for (_, d), at in key.items():
-                part = batch.take(pa.array(at))
-                x, p = unit(_matrix(part.column("embedding"), d)), unit(np.array(part.column("_pivots")[0].as_py(), np.float64))
-                angle = np.arccos(np.clip(x @ p.T, -1, 1))
-                own = angle.argmin(axis=1)
-                near = angle <= angle[np.arange(len(x)), own][:, None] + 2 * radius + SLACK
-                row, cell = np.nonzero(near)
-                out = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays(
-                    [out.column("label"), out.column("_dim"), pa.array(cell, pa.int32()), pa.array(own[row] == cell), out.column("vec_id"), out.column("embedding")],
-                    ["label", "_dim", "cell", "owner", "vec_id", "embedding"])
+            heads = np.flatnonzero(batch.column("_pivots").is_valid().to_numpy(zero_copy_only=False))
+            edges = [0, *heads.tolist(), batch.num_rows]
+            plain = batch.drop_columns(["_pivots"])
+            for i, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+                if i:  # a row of pivots, then vectors
+                    p = unit(np.array(batch.column("_pivots")[a].as_py(), np.float64))
+                    a += 1
+                while a < b:
+                    part = plain.slice(a, min(b - a, max(1, most // len(p))))
+                    a += part.num_rows
+                    x = unit(_matrix(part.column("embedding"), p.shape[1]))
+                    angle = np.arccos(np.clip(x @ p.T, -1, 1))
+                    own = angle.argmin(axis=1)
+                    near = angle <= angle[np.arange(len(x)), own][:, None] + 2 * radius + SLACK
+                    row, cell = np.nonzero(near)
+                    out = part.take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays(
+                        [out.column("label"), out.column("_dim"), pa.array(cell, pa.int32()), pa.array(own[row] == cell), out.column("vec_id"), out.column("embedding")],
+                        ["label", "_dim", "cell", "owner", "vec_id", "embedding"])
     return rows
 
 
@@ -125,8 +143,8 @@ def links(vectors: DataFrame, least: float = 0.93, cell_rows: int = 4096, chunk:
     spark = vectors.sparkSession
     points = with_pivots(usable(vectors), cell_rows)
     kind = vectors.schema["label"].dataType.simpleString()
-    schema = f"label {kind}, _dim INT, cell INT, owner BOOLEAN, vec_id BIGINT, embedding ARRAY<DOUBLE>"
-    cells = keep(points.select("label", "_dim", "vec_id", "embedding", "_pivots").mapInArrow(_assign(float(np.arccos(least))), schema), "vector-cells")
+    schema = f"label {kind}, _dim INT, cell INT, owner BOOLEAN, vec_id BIGINT, embedding {kept_type(vectors)}"
+    cells = keep(points.mapInArrow(_assign(float(np.arccos(least))), schema), "vector-cells")
     keys = ["label", "_dim", "cell"]
     sizes = cells.groupBy(keys).agg(F.ceil(F.count_if("owner") / chunk).cast("int").alias("_o"), F.ceil(F.count(F.lit(1)) / (4 * chunk)).cast("int").alias("_q"))
     mine = F.pmod(F.xxhash64("vec_id"), F.greatest("_o", F.lit(1))).cast("int")
