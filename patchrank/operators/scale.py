@@ -129,7 +129,7 @@ def positions(df: DataFrame, keys: Sequence[str], bucket: Sequence[str], order:
     starts = counts.select(*keys, *bucket, *columns)
     inside = W.partitionBy(*keys, *bucket).orderBy(*order)
     ranked = df.withColumn("_nth", F.row_number().over(inside))
-    return (ranked.join(starts, [*keys, *bucket])
+    return (ranked.join(starts.hint("merge"), [*keys, *bucket])  # ranked is dealt and sorted so; the driver gathers no starts
             .withColumn(name, (F.col("_start") + F.col("_nth") - 1).cast("bigint"))
             .drop("_start", "_nth"))
 
