@@ -230,11 +230,12 @@ def untrained_floor(rows: DataFrame, bags: DataFrame, slots: Sequence[str], n_pa
     return es.cluster_bootstrap(per.join(bags, "bag_id"), ["model"], "auc", "patient_id", reps, seed)
 
 
-def content_free_members(rows: DataFrame, score: str, n_patch: int, n_draws: int, seed: int = 0) -> DataFrame:
+def content_free_members(rows: DataFrame, score: str, n_patch: int, n_draws: int, seed: int = 0, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(member, draw, auc, denominator, skill): chance, roll permutation, fitted template.
 
     Each has its own in-plane template as the denominator; the template of the arm is fitted on
-    the fit half with the true targets.
+    the fit half with the true targets. A draw moves one list of positives a bag, between rows that are ranked once; bags above ``hot_rows``,
+    with gaps or with unknown targets are rolled row by row.
     """
     part = rows.withColumn("part", draws.half(F.col("bag_id"))).withColumn("n_rows", nl.length_of(rows, n_patch))
     fit, test = part.where("part = 'fit'"), part.where("part <> 'fit'")
@@ -243,12 +244,23 @@ def content_free_members(rows: DataFrame, score: str, n_patch: int, n_draws: int
     each = F.array(F.struct(F.lit("fitted_template").alias("member"), F.col("template").alias("score"), F.col("template").alias("den")),
                    F.struct(F.lit("chance").alias("member"), F.lit(1.0).alias("score"), F.lit(1.0).alias("den")))
     fixed = base.withColumn("_m", F.explode(each)).select("bag_id", "target", "n_rows", F.lit(0).alias("draw"), "_m.*")
-    rolled = nl.replace_target(base.select("bag_id", "pos", "n_rows", "target", score, "template"),
-                               nl.roll_targets(test, n_patch, seed, n_draws))
-    rolled = rolled.select("bag_id", "target", "n_rows", F.col("rep").alias("draw"), F.lit("roll_permutation").alias("member"),
-                           F.col(score).alias("score"), F.col("template").alias("den"))
-    every = fixed.unionByName(rolled.select(*fixed.columns))
-    per = sl.slot_auc(every, ["score", "den"], ["member", "draw", "bag_id"], size="n_rows")
+    per = sl.slot_auc(fixed, ["score", "den"], ["member", "draw", "bag_id"], size="n_rows").select("member", "draw", "slot", "auc")
+    whole = F.bool_and(F.coalesce((F.col("n_slices") <= max(hot_rows // n_patch, 0)) & F.col("target").isNotNull(), F.lit(False)))
+    whole = whole & (F.count(F.lit(1)) == F.max("n_rows")) & (F.max("pos") == F.max("n_rows") - 1)
+    apart = pin(test.groupBy("bag_id").agg(whole.alias("_whole")).where("NOT _whole").select("bag_id"))
+    some = not apart.isEmpty()
+    small = base.join(apart, "bag_id", "left_anti") if some else base
+    lists = nl.roll_lists(small, n_patch, seed, n_draws)
+    for slot, value in enumerate((score, "template")):
+        moved = rk.auc_of_lists(small, lists, value)
+        per = per.unionByName(moved.select(F.lit("roll_permutation").alias("member"), F.col("rep").alias("draw"), F.lit(slot).alias("slot"), "auc"))
+    if some:
+        own, given = (df.join(apart, "bag_id", "left_semi") for df in (base, test))
+        rolled = nl.replace_target(own.select("bag_id", "pos", "n_rows", "target", score, "template"), nl.roll_targets(given, n_patch, seed, n_draws))
+        rolled = rolled.select("bag_id", "target", "n_rows", F.col("rep").alias("draw"), F.lit("roll_permutation").alias("member"),
+                               F.col(score).alias("score"), F.col("template").alias("den"))
+        rest = sl.slot_auc(rolled, ["score", "den"], ["member", "draw", "bag_id"], size="n_rows")
+        per = per.unionByName(rest.select(*per.columns))
     means = per.groupBy("member", "draw").agg(F.avg(F.when(F.col("slot") == 0, F.col("auc"))).alias("auc"),
                                               F.avg(F.when(F.col("slot") == 1, F.col("auc"))).alias("denominator"))
     return means.withColumn("skill", es.skill(F.col("auc"), F.col("denominator")))

@@ -44,3 +44,30 @@ def test_targets_in_arrays_equal_targets_in_rows(spark):
         donors = nl.donor_map(sizes, 3, 4)
         fast, mixed, slow = (sorted(nl.shuffle_targets(df, donors, 4, hot_rows=h).collect(), key=str) for h in (1 << 20, 13, 0))
         assert fast == slow and mixed == slow and len(fast) > 200
+
+
+def test_rolled_members_move_lists(spark, monkeypatch):
+    """Whole bags of known targets are not rolled row by row; bags with a gap or an unknown target are, with the same means."""
+    import random
+
+    from patchrank.operators import nulls
+    from patchrank.plans import reports as rp
+    rng = random.Random(5)
+    rows = []
+    for bag in range(40):
+        n = rng.randrange(4, 30)
+        for pos in range(n):
+            if bag % 8 == 3 and pos == 2:
+                continue
+            target = None if bag % 8 == 5 and pos == 1 else int(rng.random() < 0.3)
+            rows.append((bag, pos, pos // 4, pos % 4, -(-n // 4), n, target, None if rng.random() < 0.05 else float(rng.randrange(6))))
+    df = spark.createDataFrame(rows, "bag_id BIGINT, pos BIGINT, slice BIGINT, patch BIGINT, n_slices BIGINT, n_rows BIGINT, target INT, s DOUBLE")
+    sent = []
+    replace = nulls.replace_target
+    monkeypatch.setattr(nulls, "replace_target", lambda scores, targets: sent.append({r.bag_id for r in scores.select("bag_id").distinct().collect()}) or replace(scores, targets))
+
+    def told(**kw):
+        return sorted(tuple(x if not isinstance(x, float) else round(x, 9) for x in r) for r in rp.content_free_members(df, "s", 4, 5, 2, **kw).collect())
+    got, by_rows = told(), told(hot_rows=0)
+    assert got == by_rows and len(got) == 7
+    assert sent[0] and all(b % 8 in (3, 5) for b in sent[0]) and len(sent[1]) > len(sent[0])
